@@ -8,11 +8,16 @@ only create pairs of higher rank, so ascending order over the batch equals preto
 
 from __future__ import annotations
 
+import functools
+import gc
 import hashlib
 import heapq
 import json
+import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
@@ -21,10 +26,15 @@ from pyspark.sql import functions as F
 #: Fixed by the byte-level format: the pretoken pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pretokens remembered by one worker; beyond it the memory is emptied, which changes no result.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 600_000
 #: Below this code point the Unicode tables of ``regex`` and of the tokenizers library agree.
 AGREED_BELOW = 0x530
 
+#: Pairs with as many positions are merged as vectors.
+OFTEN = 24
+#: Bits of a token id within a packed pair.
+SHIFT = 24
+
 RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -35,6 +45,17 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+def fast_pattern() -> re.Pattern:
+    """``PATTERN`` for texts below ``AGREED_BELOW``, its classes spelt out for the quicker ``re``."""
+
+    def span(prop: str) -> str:
+        member = regex.compile(prop)
+        return "".join(re.escape(c) for c in map(chr, range(AGREED_BELOW)) if member.match(c))
+
+    letters, digits, space = span(r"\p{L}"), span(r"\p{N}"), span(r"\s")
+    return re.compile(f"'(?:[stmd]|re|ve|ll)| ?[{letters}]+| ?[{digits}]+| ?[^{space}{letters}{digits}]+|[{space}]+(?![^{space}])|[{space}]+")
+
+
 class PairIndexBPE:
     """Encoder and decoder for a byte-level tokenizer file."""
 
@@ -48,17 +69,22 @@ class PairIndexBPE:
         self.byte_id = [0] * 256
         for char, b in back.items():
             self.byte_id[b] = vocab[char]
-        self.ranks: dict[tuple[int, int], tuple[int, int]] = {}
-        for rank, merge in enumerate(spec["model"]["merges"]):
+        self.ranks: dict[int, int] = {}  # of a pair, packed into one number
+        self.merges: list[tuple[int, int, int]] = []  # by rank: left, right, merged
+        for merge in spec["model"]["merges"]:
             a, b = merge.split(" ") if isinstance(merge, str) else merge
-            self.ranks.setdefault((vocab[a], vocab[b]), (rank, vocab[a + b]))
+            self.ranks.setdefault(vocab[a] << SHIFT | vocab[b], len(self.merges))
+            self.merges.append((vocab[a], vocab[b], vocab[a + b]))
+        self.keys = np.array(sorted(self.ranks), np.int64)
+        self.key_ranks = np.array([self.ranks[k] for k in self.keys.tolist()], np.int32)
         added = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.added = added
         self.piece |= {i: t.encode() for t, i in added.items()}
         self.split_added = regex.compile("(" + "|".join(map(regex.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
         self.pretoken = regex.compile(PATTERN)
+        self.fast, self.beyond = fast_pattern(), re.compile(f"[^\0-{chr(AGREED_BELOW - 1)}]")
         self.path, self.library, self.agrees = path, None, {}
-        self.cache: dict[str, tuple] = {}
+        self.cache: dict[str, tuple[int, str, bytes]] = {}  # of a pretoken: number of ids, ids, bytes they decode to
 
     # pretokens ---------------------------------------------------------------------------------
 
@@ -77,7 +103,9 @@ class PairIndexBPE:
         return self.agrees[char]
 
     def _pretokens(self, text: str) -> list[str]:
-        if not text.isascii() and not all(ord(c) < AGREED_BELOW or self._agreed(c) for c in set(text)):
+        if not self.beyond.search(text):
+            return self.fast.findall(text)
+        if not all(ord(c) < AGREED_BELOW or self._agreed(c) for c in set(text)):
             return self._by_library(text)
         return self.pretoken.findall(text)
 
@@ -93,6 +121,13 @@ class PairIndexBPE:
                 out += self._pretokens(part)
         return out
 
+    def _ranks_of(self, left, right) -> np.ndarray:
+        """Rank of each pair, -1 where it has none."""
+        keys = (np.asarray(left, np.int64) << SHIFT) + right
+        at = np.searchsorted(self.keys, keys)
+        at[at == len(self.keys)] = 0
+        return np.where((self.keys[at] == keys) & (np.asarray(left) >= 0) & (np.asarray(right) >= 0), self.key_ranks[at], -1)
+
     # merging -----------------------------------------------------------------------------------
 
     def merge_all(self, words: list[str]) -> list[list[int]]:
@@ -104,35 +139,63 @@ class PairIndexBPE:
             symbol += [self.byte_id[b] for b in w.encode("utf-8", "surrogatepass")]
             symbol.append(-1)  # no pair crosses a pretoken
         n = len(symbol)
-        following, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        index: dict[tuple[int, int], list[int]] = {}
-        ranks, active = self.ranks, []
-        for i in range(n - 1):
-            pair = (symbol[i], symbol[i + 1])
-            if pair in index:
-                index[pair].append(i)
-            elif pair in ranks:
-                index[pair] = [i]
-                active.append((ranks[pair][0], pair))
-        heapq.heapify(active)
+        symbol, following, before = array("i", symbol), array("i", range(1, n + 1)), array("i", range(-1, n - 1))
+        # The same memory as vectors, for the pairs that occur often.
+        sym, nxt, prv = (np.frombuffer(x, np.int32) for x in (symbol, following, before))
+        rank_of, index, active = self.ranks.get, {}, []
+        push, pop = heapq.heappush, heapq.heappop
+
+        def enlist(at: np.ndarray, left, right) -> None:
+            """Add positions to the lists of the pairs that now stand there."""
+            ranks = self._ranks_of(left, right)
+            found = ranks >= 0
+            at, ranks = at[found], ranks[found]
+            order = np.argsort(ranks, kind="stable")
+            at, ranks = at[order], ranks[order]
+            cuts = np.flatnonzero(np.diff(ranks)) + 1
+            for rank, where in zip(ranks[np.concatenate([[0], cuts])].tolist() if len(ranks) else (), np.split(at, cuts), strict=False):
+                if rank not in index:
+                    index[rank] = []
+                    push(active, rank)
+                index[rank] += where.tolist()
+
+        enlist(np.arange(n - 1, dtype=np.int32), sym[:-1], sym[1:])
         while active:
-            _, pair = heapq.heappop(active)
-            left, right = pair
-            merged = ranks[pair][1]
-            for i in sorted(index.pop(pair)):
+            rank = pop(active)
+            left, right, merged = self.merges[rank]
+            where = index.pop(rank)
+            if len(where) >= OFTEN and left != right:
+                i = np.sort(np.array(where, np.int32))
+                i = i[(sym[i] == left) & (sym[nxt[i]] == right)]
+                i = i[np.concatenate([[True], i[1:] != i[:-1]])] if len(i) else i
+                j = nxt[i]
+                k = nxt[j]
+                sym[i], sym[j] = merged, -2
+                nxt[i], prv[k] = k, i
+                enlist(i, merged, sym[k])
+                h = prv[i]
+                enlist(h, np.where(h >= 0, sym[h], -1), merged)
+                continue
+            for i in sorted(where):
                 j = following[i]
-                if symbol[i] != left or j >= n or symbol[j] != right:
+                if symbol[i] != left or symbol[j] != right:
                     continue  # an earlier merge took one of the two
                 symbol[i], symbol[j] = merged, -2
                 k = following[i] = following[j]
-                if k < n:
-                    before[k] = i
-                for at, new in ((before[i], (symbol[before[i]], merged) if before[i] >= 0 else None), (i, (merged, symbol[k]) if k < n else None)):
+                before[k] = i  # a separator ends every pretoken, so k is in range
+                if (new := rank_of(merged << SHIFT | symbol[k])) is not None:
+                    if new in index:
+                        index[new].append(i)
+                    else:
+                        index[new] = [i]
+                        push(active, new)
+                k = before[i]
+                if k >= 0 and (new := rank_of(symbol[k] << SHIFT | merged)) is not None:
                     if new in index:
-                        index[new].append(at)
-                    elif new in ranks:
-                        index[new] = [at]
-                        heapq.heappush(active, (ranks[new][0], new))
+                        index[new].append(k)
+                    else:
+                        index[new] = [k]
+                        push(active, new)
         out = []
         for start in starts:
             ids, i = [], start
@@ -148,22 +211,29 @@ class PairIndexBPE:
             self.cache.clear()
             new = list(parts)
         plain = [p for p in new if p not in self.added]
-        for p, ids in zip(plain, self.merge_all(plain), strict=True):
-            self.cache[p] = tuple(ids)
-        for p in new:
-            if p in self.added:
-                self.cache[p] = (self.added[p],)
+        found = [*zip(plain, self.merge_all(plain), strict=True), *((p, [self.added[p]]) for p in new if p in self.added)]
+        for p, ids in found:
+            self.cache[p] = (len(ids), ",".join(map(str, ids)), self.decoded(ids))
 
     def encode(self, text: str) -> list[int]:
         parts = self.parts(text)
         self._learn(set(parts))
-        return [i for p in parts for i in self.cache[p]]
+        return [int(i) for p in parts for i in self.cache[p][1].split(",")]
+
+    def decoded(self, ids) -> bytes:
+        return b"".join(map(self.piece.__getitem__, ids))
 
     def decode(self, ids) -> str:
-        return b"".join(map(self.piece.__getitem__, ids)).decode("utf-8", "replace")
+        return self.decoded(ids).decode("utf-8", "replace")
+
+
+@functools.lru_cache(1)
+def shared(path: str) -> PairIndexBPE:
+    """One model for each Python worker, which keeps its pretokens from task to task."""
+    return PairIndexBPE(path)
 
 
-def _chunks(texts: pd.Series, chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def _chunks(texts: pd.Series, chars: int = 8_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``chars`` characters, so that long texts don't pile up in one index."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -180,17 +250,20 @@ def encoder_udf(tokenizer: str, with_ids: bool = False):
 
     @F.pandas_udf(RESULT + (", ids array<int>" if with_ids else ""))
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = PairIndexBPE(tokenizer)
+        model = shared(tokenizer)
         for texts in batches:
             texts = texts.fillna("")
             rows = []
             for a, b in _chunks(texts):
+                gc.disable()  # millions of short lists and strings, none of them in a cycle
                 parts = [model.parts(t) for t in texts.iloc[a:b]]
                 model._learn({p for ps in parts for p in ps})
                 for ps in parts:
-                    ids = [i for p in ps for i in model.cache[p]]
-                    row = (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(model.decode(ids).encode()).hexdigest())
-                    rows.append((*row, ids) if with_ids else row)
+                    counts, strings, pieces = zip(*map(model.cache.__getitem__, ps), strict=True) if ps else ((), (), ())
+                    ids, back = ",".join(strings), b"".join(pieces).decode("utf-8", "replace")
+                    row = (sum(counts), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
+                    rows.append((*row, list(map(int, ids.split(","))) if ids else []) if with_ids else row)
+                gc.enable()
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
     return encode
