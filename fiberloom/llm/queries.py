@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fiberloom.llm import bpe, html_text, langid, mixing, secrets
+from fiberloom.llm import bpe, html_text, langid, mixing, quality, secrets
 from fiberloom.llm.common import table
 
 
@@ -31,6 +31,12 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.judge(docs, model).drop("text")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).drop("text")
 
@@ -43,6 +49,7 @@ QUERIES = {
     "op2_language_id": op2_language_id,
     "op3_mixing": op3_mixing,
     "op5_secret_scan": op5_secret_scan,
+    "op6_quality": op6_quality,
     "op8_bpe": op8_bpe,
     "op10_html_text": op10_html_text,
 }
