@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+SPACES = r"[\x20\x09-\x0D]+"
 
 _names = itertools.count()
 
@@ -29,7 +30,7 @@ def fresh(stem: str) -> str:
 
 def words_of(text: Column) -> Column:
     """Array of the words of a text; a null text has none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    return F.filter(F.split(F.coalesce(text, F.lit("")), SPACES), lambda w: w != "")
 
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:

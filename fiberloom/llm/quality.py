@@ -10,21 +10,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fiberloom.llm.common import let, words_of
+from fiberloom.llm.common import SPACES, let, words_of
 
 #: Hash buckets of the two multinomials; the model is one array of as many numbers.
 BUCKETS = 1 << 16
 #: Counts added to what is seen and to what is expected, so that rare buckets say little.
 PRIOR = 8.0
 #: Mean log ratio below which a document is rejected.
-THRESHOLD = -0.35
+THRESHOLD = -0.12
 #: Trusted documents the target is fitted on at most, the first in order of a hash.
 TRUSTED = 20_000
 WINDOW = 8
 #: Rules that fail a document whatever its score (fixed values).
 MIN_WORDS, MAX_REPEAT_PERCENT = 20, 30
 
-SYMBOLS = "#*$%&|<>"
+SYMBOLS = "[#*$%&|<>]"
 SPACE = " \t\n\x0b\x0c\r"
 
 COLUMNS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "llr", "kept")
@@ -51,8 +51,9 @@ def _repeat_words(pairs: Column) -> Column:
         step = lambda acc, p: F.struct(p.alias("last"), (acc["n"] + F.least(F.lit(WINDOW), p - acc["last"])).alias("n"))
         return F.aggregate(let(tagged, positions), start, step, lambda acc: acc["n"])
 
-    eight = let(_pairs(pairs, 2), lambda four: _pairs(four, 4))
-    return let(eight, lambda w: F.when(F.size(F.array_distinct(w)) == F.size(w), F.lit(0)).otherwise(covered(w)))
+    unique = lambda a: F.size(F.array_distinct(a)) == F.size(a)
+    eight = lambda four: let(_pairs(four, 4), lambda w: F.when(unique(w), F.lit(0)).otherwise(covered(w)))
+    return let(_pairs(pairs, 2), lambda four: F.when(unique(four), F.lit(0)).otherwise(eight(four)))  # no four words twice, no eight
 
 
 def _hashes(text: Column) -> Column:
@@ -97,8 +98,7 @@ def judge(docs: DataFrame, model: DataFrame, *, text: str = "text", threshold: f
     """
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in COLUMNS]
     whole = F.coalesce(F.col(text), F.lit(""))
-    without = lambda chars: F.length(F.translate(whole, chars, ""))
-    lines = F.filter(F.split(whole, "\n"), lambda x: F.translate(x, SPACE, "") != "")
+    lines = F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     score = lambda grams: F.aggregate(grams, F.lit(0.0), lambda acc, g: acc + F.get(F.col("__fl_model"), F.pmod(g, F.lit(BUCKETS)).cast("int"))) / F.greatest(F.size(grams), F.lit(1))
     of_words = let(
         _hashes(F.col(text)),
@@ -106,8 +106,8 @@ def judge(docs: DataFrame, model: DataFrame, *, text: str = "text", threshold: f
     )
     out = docs.withColumn("__fl_model", model.scalar()).select(
         *kept,
-        without(SPACE).cast("long").alias("word_chars"),
-        (F.length(whole) - without(SYMBOLS)).cast("long").alias("n_symbols"),
+        F.length(F.concat_ws("", F.split(whole, SPACES))).cast("long").alias("word_chars"),
+        F.regexp_count(whole, F.lit(SYMBOLS)).cast("long").alias("n_symbols"),
         let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
         of_words.alias("__fl_words"),
     )
