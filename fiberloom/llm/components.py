@@ -1,0 +1,43 @@
+"""Connected components of a graph given as a DataFrame of links, by alternating stars."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from fiberloom.llm.common import durable
+
+
+def _star(links: DataFrame, large: bool) -> DataFrame:
+    """Join each vertex's neighbours to the least of them: the larger ones, or the smaller ones and itself."""
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(links.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    if not large:
+        both = both.where("v < u")
+    least = both.groupBy("u").agg(F.min("v").alias("m"))
+    # A join on u, never a window: one vertex may hold a third of all links, and a join's side can be split.
+    joined = both.join(least.withColumnRenamed("u", "w"), F.col("u") == F.col("w"))
+    low = F.least("u", "m")
+    if large:
+        out = joined.where("v > u").select(F.col("v").alias("a"), low.alias("b"))
+    else:
+        out = joined.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
+    return out.where("a <> b").distinct()
+
+
+def components(links: DataFrame, *, rounds: int = 60) -> DataFrame:
+    """``(id, component)`` for every vertex of a link; ``component`` is the least id it reaches.
+
+    ``links`` has the long columns ``a`` and ``b``; loops and repeats don't matter, nulls are
+    dropped. Each round is written to the shared checkpoint folder; the number of rounds grows with
+    the logarithm of the size. Only counts reach the driver.
+    """
+    state = durable(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
+    seen = None
+    for _ in range(rounds):
+        state = durable(_star(_star(state, True), False))
+        now = state.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
+        if now == seen:
+            vertices = state.select(F.col("a").alias("id"), F.col("b").alias("component"))
+            return vertices.unionByName(state.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+        seen = now
+    raise RuntimeError(f"the components did not settle in {rounds} rounds")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fiberloom.llm import bpe, html_text, langid, mixing, quality, secrets
+from fiberloom.llm import bpe, html_text, jaccard, langid, mixing, quality, secrets
 from fiberloom.llm.common import table
 
 
@@ -41,6 +41,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).drop("text")
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_quality": op6_quality,
     "op8_bpe": op8_bpe,
+    "op9_jaccard_join": op9_jaccard_join,
     "op10_html_text": op10_html_text,
 }
 
