@@ -17,7 +17,8 @@ def _towards_least(links: DataFrame, larger: bool) -> DataFrame:
         out = met.where("v > u").select(F.col("v").alias("a"), F.least("u", "m").alias("b"))
     else:
         out = met.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
-    return out.where("a <> b").distinct()
+    out = out.where("a <> b")
+    return out if larger else out.distinct()
 
 
 def connected(links: DataFrame, vertices: DataFrame | None = None, *, rounds: int = 60) -> DataFrame:
