@@ -283,10 +283,6 @@ _SEG = """SELECT ring_name, site_id AS site_id_a, lead(site_id) OVER w AS site_i
 _D2 = "(p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)"
 
 
-def _seg_d2(t="f"):
-    return f"""(SELECT (p.x-(ax+t*(zx-ax)))*(p.x-(ax+t*(zx-ax)))+(p.y-(ay+t*(zy-ay)))*(p.y-(ay+t*(zy-ay))))"""
-
-
 _NEAR = """n AS (SELECT p.*, f.name, f.ax, f.ay, f.bx AS zx, f."by" AS zy, greatest(0.0, least(1.0, ((p.x-f.ax)*(f.bx-f.ax)+(p.y-f.ay)*(f."by"-f.ay))/((f.bx-f.ax)*(f.bx-f.ax)+(f."by"-f.ay)*(f."by"-f.ay)))) AS t
  FROM {} p JOIN fiber_lines f ON p.x BETWEEN least(f.ax, f.bx) - {} AND greatest(f.ax, f.bx) + {} AND p.y BETWEEN least(f.ay, f."by") - {} AND greatest(f.ay, f."by") + {}),
 m AS (SELECT *, (x-(ax+t*(zx-ax)))*(x-(ax+t*(zx-ax)))+(y-(ay+t*(zy-ay)))*(y-(ay+t*(zy-ay))) AS d2 FROM n)"""
