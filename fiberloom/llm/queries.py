@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fiberloom.llm import ann, bpe, html_text, jaccard, langid, mixing, quality, quotes, secrets, warc
+from fiberloom.llm import ann, bpe, html_text, jaccard, langid, mixing, oracles, quality, quotes, secrets, warc
 from fiberloom.llm.common import table
 
 
@@ -19,11 +19,11 @@ def tokenizer_path() -> str:
 #: The pages table has no archive around it. Every page becomes a response and a later (at times an
 #: earlier) revisit with its own validators, over all pages; both engines run this text.
 CAPTURES = """
-SELECT concat('r', CAST(page_id AS STRING)) AS record_id, url, 'response' AS kind, 200 AS status, page_id * 600 AS at,
+SELECT concat('r', CAST(page_id AS STRING)) AS record_id, url, 'response' AS kind, 200 AS status, page_id * 600 AS seconds,
   md5(html) AS etag, NULL AS cache_control, CAST(length(html) AS STRING) AS content_length, md5(html) AS digest FROM pages
 UNION ALL
 SELECT concat('v', CAST(page_id AS STRING)) AS record_id, concat(replace(url, 'http', 'HTTP'), '#again') AS url, 'revisit' AS kind, 304 AS status,
-  page_id * 600 + CASE WHEN page_id % 11 = 3 THEN -60 ELSE (page_id % 5) * 86400 + 300 END AS at,
+  page_id * 600 + CASE WHEN page_id % 11 = 3 THEN -60 ELSE (page_id % 5) * 86400 + 300 END AS seconds,
   CASE WHEN page_id % 10 = 7 THEN 'stale' WHEN page_id % 10 = 8 THEN NULL ELSE concat('W/', md5(html)) END AS etag,
   concat('max-age=', CAST(page_id % 1000 AS STRING)) AS cache_control, '0' AS content_length, md5(html) AS digest FROM pages
 """
@@ -34,30 +34,14 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     header = lambda name, c: F.struct(F.lit(name).alias("k"), F.col(c).alias("v"))
     pairs = F.array(header("ETag", "etag"), header("Cache-Control", "cache_control"), header("Content-Length", "content_length"))
     held = F.map_from_entries(F.filter(pairs, lambda x: x["v"].isNotNull()))
-    return rows.select("record_id", "url", F.timestamp_seconds("at").alias("ts"), "kind", "status", held.alias("headers"), "digest")
+    return rows.select("record_id", "url", F.timestamp_seconds("seconds").alias("ts"), "kind", "status", held.alias("headers"), "digest")
 
 
 def op1_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.resolve(captures(spark, sf_dir))
     header = lambda name: F.col("headers")[name].alias(name.replace("-", "_"))
-    return out.select("record_id", "url", F.unix_seconds("ts").alias("at"), "status", "response_id", F.unix_seconds("response_ts").alias("response_at"), "body_digest", header("etag"), header("cache-control"), header("content-length"))
-
-
-OP1_SQL = f"""
-WITH c AS ({CAPTURES}),
-b AS (SELECT *, regexp_replace(url, '#.*$', '') AS bare FROM c),
-k AS (SELECT *, lower(regexp_extract(bare, '^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)', 1)) AS head FROM b),
-u AS (SELECT *, CASE WHEN head = '' THEN bare ELSE concat(regexp_replace(regexp_replace(head, '^(http://[^/?]*):80$', '\1'), '^(https://[^/?]*):443$', '\1'),
-  CASE WHEN substring(bare, length(head) + 1, 1) = '/' THEN '' ELSE '/' END, substring(bare, length(head) + 1)) END AS key FROM k),
-m AS (SELECT v.record_id, max(struct_pack(at := r.at, id := r.record_id)) AS latest FROM u v JOIN u r ON v.key = r.key AND v.kind = 'revisit' AND r.kind = 'response' AND r.at < v.at GROUP BY 1),
-j AS (SELECT v.*, r.record_id AS rid, r.at AS rat, r.digest AS rdigest, r.etag AS retag, r.content_length AS rlength
-  FROM u v LEFT JOIN m USING (record_id) LEFT JOIN u r ON r.record_id = m.latest.id WHERE v.kind = 'revisit'),
-s AS (SELECT *, CASE WHEN rid IS NULL THEN 'orphan' WHEN etag IS NOT NULL AND replace(etag, 'W/', '') <> retag THEN 'mismatch'
-  WHEN etag IS NULL AND digest <> rdigest THEN 'mismatch' ELSE 'resolved' END AS verdict FROM j)
-SELECT record_id, url, at, verdict AS status, CASE WHEN verdict = 'resolved' THEN rid END AS response_id, CASE WHEN verdict = 'resolved' THEN rat END AS response_at,
-  CASE WHEN verdict = 'resolved' THEN rdigest END AS body_digest, CASE WHEN verdict = 'resolved' THEN coalesce(etag, retag) END AS etag,
-  CASE WHEN verdict = 'resolved' THEN cache_control END AS cache_control, CASE WHEN verdict = 'resolved' THEN rlength END AS content_length FROM s
-"""
+    return out.select("record_id", "url", F.unix_seconds("ts").alias("seconds"), "status", "response_id", F.unix_seconds("response_ts").alias("response_seconds"), "body_digest", header("etag"), header("cache-control"), header("content-length"))
+
 
 #: The conversations hold no quotation marks. Every turn but the first is given the quotation of an
 #: earlier one, and of what that one may quote, over all conversations; both engines run this text.
@@ -128,4 +112,5 @@ QUERIES = {
     "op10_html_text": op10_html_text,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_revisits": OP1_SQL}
+#: SQL can't express the others: they hash, train, tokenize, parse HTML or search by score.
+ORACLE_SQL: dict[str, str] = {"op1_revisits": oracles.revisits(CAPTURES), "op4_quotations": oracles.quotations(MAIL)}
