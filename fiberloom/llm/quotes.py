@@ -84,14 +84,16 @@ def link(messages: DataFrame, *, thread: str = "conv_id", pos: str = "turn", bod
     rows = whole.join(own, ["thread", "pos"], "left").join(near, ["thread", "pos"], "left").join(away, ["thread", "pos"], "left")
     rows = durable(rows.select("thread", "pos", "author", (-F.col("best.less")).alias("parent"), F.col("s.source.thread").alias("source_thread"), F.col("s.source.pos").alias("source_pos"), F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"), (F.coalesce("n_near", F.lit(0)) + F.coalesce("n_away", F.lit(0))).cast("long").alias("n_linked"), F.coalesce("text", F.lit("")).alias("text")))
 
-    # Pointer doubling to the root: as many rounds as the logarithm of the deepest reply.
-    up = rows.select("thread", "pos", F.coalesce("parent", "pos").alias("root"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("long").alias("depth"))
+    # Pointer doubling to the root, of those messages only that have not reached theirs.
+    up = rows.select("thread", "pos", F.coalesce("parent", "pos").alias("root"), F.when(F.col("parent").isNotNull(), 1).otherwise(0).cast("long").alias("depth"), F.col("parent").isNull().alias("done"))
     for _ in range(rounds):
         up = durable(up)
-        above = up.select("thread", F.col("pos").alias("root"), F.col("root").alias("higher"), F.col("depth").alias("more"))
-        if up.join(above, ["thread", "root"]).where("higher <> root").isEmpty():
+        open_ = up.where("not done")
+        if open_.isEmpty():
             break
-        up = up.join(above, ["thread", "root"], "left").select("thread", "pos", F.coalesce("higher", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
-    out = rows.join(up, ["thread", "pos"]).select("thread", "pos", "author", "parent", "source_thread", "source_pos", "depth", "root", "n_passages", "n_linked", "text")
+        above = up.select("thread", F.col("pos").alias("root"), F.col("root").alias("higher"), F.col("depth").alias("more"), F.col("done").alias("top"))
+        moved = open_.join(above, ["thread", "root"]).select("thread", "pos", F.col("higher").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("top").alias("done"))
+        up = up.where("done").unionByName(moved)
+    out = rows.join(up.drop("done"), ["thread", "pos"]).select("thread", "pos", "author", "parent", "source_thread", "source_pos", "depth", "root", "n_passages", "n_linked", "text")
     alone = keyless.select("thread", "pos", "author", F.lit(None).cast("long").alias("parent"), F.lit(None).cast(out.schema["source_thread"].dataType).alias("source_thread"), F.lit(None).cast("long").alias("source_pos"), F.lit(0).cast("long").alias("depth"), F.col("pos").alias("root"), F.lit(0).cast("long").alias("n_passages"), F.lit(0).cast("long").alias("n_linked"), F.btrim(F.array_join(F.filter(F.split("body", r"\r?\n"), lambda x: ~x.rlike(MARKS)), "\n"), F.lit(" \t\r\n")).alias("text"))
     return out.unionByName(alone)
