@@ -190,14 +190,14 @@ def search(vectors: DataFrame, queries: DataFrame, *, vec_id: str = "vec_id", ve
     """``query_id, rank, vec_id, score``: the k nearest rows found for each row of ``queries``, but itself.
 
     Every usable vector is indexed under its nearest centroid; rows that are null, zero or hold a
-    null or non-finite component take no part, nor do vectors of another length than the sample's
+    null or non-finite component take no part, nor do rows without an id, nor vectors of another length than the sample's
     first. A list longer than ``part`` rows is dealt by a hash of the id over several tasks, and a
     query goes to all of them, so a vector that is very common fills no single task; its best are
     then merged, k from each part. Ties go to the smaller ``vec_id``. Rows that repeat an id are
     candidates of their own. Extra columns don't matter; an empty table gives an empty result.
     """
     index = index or fit(vectors, vec_id=vec_id, vec=vec)
-    named = lambda df: usable(df, vec).select(F.col(vec_id).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec"))
+    named = lambda df: usable(df, vec).select(F.col(vec_id).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("vec")).where("id is not null")
     lists = len(index.centroids)
     rows = named(vectors).mapInPandas(_assign(index), "id long, list int, vec array<double>")
     # One count for each list reaches the driver, at most a twentieth of the bounded sample.

@@ -7,6 +7,8 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from fiberloom.runtime import durable  # noqa: F401
+
 #: A word is a run of characters that are not ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = r"[\x20\x09-\x0D]+"
@@ -35,21 +37,3 @@ def words_of(text: Column) -> Column:
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def durable(df: DataFrame, spark=None) -> DataFrame:
-    """Cut the lineage through the shared checkpoint folder, so that a lost executor costs a reread.
-
-    A checkpoint folder is set here only where the session names none (tests, local runs).
-    """
-    spark = spark or df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", ""):
-        if spark.sparkContext.getCheckpointDir() is None:
-            import tempfile
-
-            if not spark.sparkContext.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="fiberloom-"))
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
-    return df.checkpoint(eager=True)
