@@ -88,3 +88,9 @@ def test_column_matching():
     assert files.match_column(["Site", "Longitude", "Lat"], files.LON, 0.85) == "Longitude"
     with pytest.raises(ValueError, match="looks like"):
         files.match_column(["foo"], files.LON, 0.85)
+
+
+def test_components_of_a_long_path_and_a_star(spark):
+    links = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(5, 5)]
+    got = {r["id"]: r["component"] for r in components.connected(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert all(got[i] == 0 for i in range(41)) and all(got[200 + i] == 100 for i in range(50))
