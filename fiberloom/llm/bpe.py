@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 #: Fixed by the byte-level format: the pretoken pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pretokens remembered by one worker; beyond it the memory is emptied, which changes no result.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 300_000
 #: Below this code point the Unicode tables of ``regex`` and of the tokenizers library agree.
 AGREED_BELOW = 0x530
 
@@ -233,7 +233,7 @@ def shared(path: str) -> PairIndexBPE:
     return PairIndexBPE(path)
 
 
-def _chunks(texts: pd.Series, chars: int = 8_000_000) -> Iterator[tuple[int, int]]:
+def _chunks(texts: pd.Series, chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Row ranges of about ``chars`` characters, so that long texts don't pile up in one index."""
     start = size = 0
     for i, t in enumerate(texts):
@@ -262,7 +262,7 @@ def encoder_udf(tokenizer: str, with_ids: bool = False):
                     counts, strings, pieces = zip(*map(model.cache.__getitem__, ps), strict=True) if ps else ((), (), ())
                     ids, back = ",".join(strings), b"".join(pieces).decode("utf-8", "replace")
                     row = (sum(counts), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
-                    rows.append((*row, list(map(int, ids.split(","))) if ids else []) if with_ids else row)
+                    rows.append((*row, np.fromstring(ids, dtype=np.int32, sep=",")) if with_ids else row)
                 gc.enable()
             yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
 
