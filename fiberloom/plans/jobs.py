@@ -140,9 +140,9 @@ def identify_centerline(lines: DataFrame, tolerance: float = 1.0, reach: float =
 # queries ----------------------------------------------------------------------------------------
 
 def _ringed(s, d):
-    p = view(s, d, "site_rings").where("ring_name <= 'R000003'")
+    p = view(s, d, "site_rings")
     kind = F.when(F.col("seq") == 0, "FO Hub").otherwise(F.col("site_type"))
-    return p.withColumn("site_type", kind).withColumn("ord", F.col("seq").cast("long")).where("x < 49000 and y < 1000 * 50")
+    return p.withColumn("site_type", kind).withColumn("ord", F.col("seq").cast("long"))
 
 
 def job_supervised(s, d):
