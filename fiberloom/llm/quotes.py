@@ -70,10 +70,15 @@ def link(messages: DataFrame, *, thread: str = "conv_id", pos: str = "turn", bod
     found = both.withColumn("parent", F.last("holder", ignorenulls=True).over(before)).where("level is not null")
     found = durable(found.select("thread", "pos", "run", "level", "nth", "key", "parent"))
 
-    # Elsewhere: one earliest holder of each key among all threads, and the distinct keys still asked for.
-    lost = found.groupBy("thread", "pos", "run", "level").agg(F.max("parent").alias("p"), F.min_by("key", "nth").alias("key")).where("p is null").drop("p")
-    first = originals.groupBy("key").agg(F.min(F.struct("thread", "pos")).alias("source"))
-    away = lost.join(first, "key").where("source.thread <> thread").groupBy("thread", "pos").agg(F.min(F.struct("level", "source")).alias("s"), F.count_distinct("run").alias("n_away"))
+    # Elsewhere: two rows at most for each key, its earliest holder and the earliest of a different thread.
+    lost = found.withColumn("p", F.max("parent").over(Window.partitionBy("thread", "pos", "run", "level"))).where("p is null").select("thread", "pos", "run", "level", "nth", "key")
+    by_thread = originals.groupBy("key", "thread").agg(F.min("pos").alias("at")).select("key", F.struct("thread", F.col("at").alias("pos")).alias("source"))
+    first = by_thread.groupBy("key").agg(F.min("source").alias("first"))
+    second = by_thread.join(first, "key").where("source.thread <> first.thread").groupBy("key").agg(F.min("source").alias("second"))
+    holders = first.join(second, "key", "left")
+    held = lost.join(holders, "key").withColumn("source", F.when(F.col("first.thread") != F.col("thread"), F.col("first")).otherwise(F.col("second"))).where("source is not null")
+    runs_away = held.groupBy("thread", "pos", "run", "level").agg(F.min_by("source", "nth").alias("source"))
+    away = runs_away.groupBy("thread", "pos").agg(F.min(F.struct("level", "source")).alias("s"), F.count_distinct("run").alias("n_away"))
 
     per_run = found.groupBy("thread", "pos", "run", "level").agg(F.min_by("parent", F.when(F.col("parent").isNotNull(), F.col("nth"))).alias("parent"))
     near = per_run.groupBy("thread", "pos").agg(

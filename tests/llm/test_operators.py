@@ -320,3 +320,25 @@ def test_quotations(spark):
     assert (got[2, 0]["source_thread"], got[2, 0]["source_pos"]) == (1, 3)
     assert got[None, 0]["text"] == "own" and got[1, 2]["n_linked"] == 2
     assert quotes.link(table.limit(0)).count() == 0
+
+
+def test_quotations_across_threads(spark):
+    rows = [
+        (1, 0, "u", "First line.\nSecond line.\nThird line."),
+        (2, 0, "u", "> Second line\n> Third line\nPart of another thread's message."),
+        (3, 0, "u", "> no one wrote this\n> second line\nOnly one line is known."),
+        (4, 0, "u", "Shared words"),
+        (4, 1, "u", "> Alone here\nx"),
+        (5, 0, "u", "> Shared words\nno"),
+        (5, 1, "u", "Shared words"),
+        (3, 1, "u", "> Later words\nLater words"),
+        (6, 0, "u", "Later words"),
+        (4, 2, "u", "> Nobody anywhere\ny"),
+    ]
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r["thread"], r["pos"]): (r["parent"], r["source_thread"], r["source_pos"], r["n_linked"]) for r in quotes.link(table).collect()}
+    assert got[2, 0] == (None, 1, 0, 1)
+    assert got[3, 0] == (None, 1, 0, 1)
+    assert got[5, 0] == (None, 4, 0, 1)
+    assert got[3, 1] == (None, 6, 0, 1)
+    assert got[4, 1] == got[4, 2] == (None, None, None, 0)
