@@ -117,14 +117,20 @@ def fixed_wireless(sites: DataFrame, buildings: DataFrame, distance: float = 500
 
 
 def fiber_utilization(lines: DataFrame, fiber: DataFrame, reach: float = 20.0) -> DataFrame:
-    """Length of each ring's lines along each fiber line in reach, and what is new."""
+    """Length of each ring's lines along each fiber line in reach; pairs that share no length give no row."""
     segs = boq.exploded(lines, "ring_name")
     p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
-    other = fiber.select(F.col("name").alias("fiber"), "line", F.explode(boq.geo.segments(F.col("line"))).alias("s")).select("fiber", "line", F.col("s.a.x").alias("x"), F.col("s.a.y").alias("y"))
-    met = spatial.near_line(other, segs, reach + 1000.0).select("ring_name", "part", "ax", "ay", "bx", "by", "fiber", "line").distinct()
+    # Segment against segment: both are dealt to the cells of their boxes, the fiber's grown by the reach.
+    cell = max(reach * 8, 1000.0)
+    span = lambda p, q, grow: F.explode(F.sequence(F.floor((F.least(p, q) - grow) / cell), F.floor((F.greatest(p, q) + grow) / cell)))
+    mine = segs.withColumn("cx", span("ax", "bx", 0.0)).withColumn("cy", span("ay", "by", 0.0))
+    ends = fiber.select(F.col("name").alias("fiber"), "line", F.explode(boq.geo.segments(F.col("line"))).alias("s"))
+    ends = ends.select("fiber", "line", F.col("s.a.x").alias("cx1"), F.col("s.a.y").alias("cy1"), F.col("s.b.x").alias("cx2"), F.col("s.b.y").alias("cy2"))
+    other = ends.withColumn("cx", span("cx1", "cx2", reach)).withColumn("cy", span("cy1", "cy2", reach)).select("fiber", "line", "cx", "cy").distinct()
+    met = mine.join(other, ["cx", "cy"]).select("ring_name", "part", "ax", "ay", "bx", "by", "fiber", "line").distinct()
     pairs = met.select("ring_name", "part", "fiber", F.array(p("ax", "ay"), p("bx", "by")).alias("seg"), "line")
     o = boq.fiber_overlap(pairs.select("ring_name", "part", "fiber", F.col("seg").alias("line"), F.col("line").alias("other")), reach)
-    return o.groupBy("ring_name", "fiber").agg(F.sum("existing").alias("existing"))
+    return o.groupBy("ring_name", "fiber").agg(F.sum("existing").alias("existing")).where("existing > 0")
 
 
 def identify_centerline(lines: DataFrame, tolerance: float = 1.0, reach: float = 50.0) -> DataFrame:

@@ -5,6 +5,7 @@ import math
 
 import pytest
 
+from fiberloom.functions import kernel
 from fiberloom.operators import network, rings
 from fiberloom.plans import jobs
 from fiberloom.plans.fixtures import view
@@ -42,3 +43,14 @@ def test_jobs_plan_every_ring_at_least_cost(spark, small):
         assert hops[0][1] == hops[-1][2] == hub and {h[1] for h in hops} == {hub, *rest}
         assert sum(cost[a][b] for _, a, b in hops) == pytest.approx(min(map(walk, itertools.permutations(rest))))
         assert sum(r["ring_name"] == name for r in fixed) == len(rest)
+
+
+def test_utilization_meets_fiber_wherever_it_starts(spark):
+    lines = {"far end": [(4500.0, 10.0), (5000.0, 10.0)], "diagonal": [(0.0, 0.0), (3000.0, 4000.0)], "away": [(4500.0, 30.0), (5000.0, 30.0)]}
+    fiber = {"straight": [(0.0, 0.0), (5000.0, 0.0)], "slope": [(-3000.0, -4000.0), (6000.0, 8000.0)], "next": [(5000.0, 10.0), (6250.0, 10.0)]}
+    table = lambda rows, key: spark.createDataFrame(list(rows.items()), f"{key} string, line array<struct<x:double,y:double>>")
+    near = lambda p, q: kernel.near_spans(p, q, 20.0)
+    want = {(r, f): sum(b - a for a, b in near(p, q)) for r, p in lines.items() for f, q in fiber.items()}
+    got = {(r["ring_name"], r["fiber"]): r["existing"] for r in jobs.fiber_utilization(table(lines, "ring_name"), table(fiber, "name")).collect()}
+    assert {k: pytest.approx(v) for k, v in want.items() if v} == got
+    assert got["far end", "straight"] == pytest.approx(500.0) and got["diagonal", "slope"] == pytest.approx(5000.0)
