@@ -11,6 +11,7 @@ import itertools
 import math
 from collections import defaultdict
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -101,36 +102,52 @@ def tour(d, start: int, end: int | None, nodes: list[int], exact: int = 12) -> t
 
 
 def complete_linkage(d, limit: float | None = None, groups: int | None = None) -> list[int]:
-    """Cluster of each item: merge the closest pair by largest distance while it is below ``limit`` (or down to ``groups``)."""
-    clusters = {i: [i] for i in range(len(d))}
-    far = {(i, j): d[i][j] for i in clusters for j in clusters if i < j}
-    while far and (groups is None or len(clusters) > groups):
-        c, (i, j) = min((c, p) for p, c in far.items())
-        if limit is not None and c >= limit:
-            break
-        clusters[i] += clusters.pop(j)
-        for k in clusters:
-            if k != i:
-                key, old = (min(i, k), max(i, k)), (min(j, k), max(j, k))
-                far[key] = max(far[key], far[old])
-        far = {p: c for p, c in far.items() if j not in p}
-    out = [0] * len(d)
-    for members in clusters.values():
-        for m in members:
-            out[m] = min(members)
-    return out
-
+    """Cluster of each item: merge the closest pair by largest distance while it is below ``limit`` (or down to ``groups``).
 
-def resplit(d, labels: list[int], expectation: int, tolerance: int = 0, rounds: int = 5) -> list[int]:
-    """Split clusters larger than expected into ceil(n / expectation) groups, a few times over."""
-    labels = list(labels)
+    Of equal pairs the one with the least first and then the least second cluster goes first.
+    """
+    n = len(d)
+    far = np.array(d, dtype=float).reshape(n, n)
+    far[np.tril_indices(n)] = np.inf  # each pair once, above the diagonal
+    out, alive = np.arange(n), np.ones(n, dtype=bool)
+    nearest = far.argmin(axis=1) if n else out
+    least = far[np.arange(n), nearest]
+    left = n
+    while left > 1 and (groups is None or left > groups):
+        i = int(least.argmin())
+        j = int(nearest[i])
+        if least[i] == np.inf or limit is not None and least[i] >= limit:
+            break
+        one, two = (np.concatenate((far[:k, k], far[k, k:])) for k in (i, j))
+        both = np.maximum(one, two)
+        far[:i, i], far[i, i + 1 :] = both[:i], both[i + 1 :]
+        far[:j, j] = far[j, :] = np.inf
+        out[out == j] = i
+        alive[j], least[j] = False, np.inf
+        left -= 1
+        stale = np.flatnonzero(alive & ((nearest == i) | (nearest == j) | (np.arange(n) == i)))
+        nearest[stale] = far[stale].argmin(axis=1)
+        least[stale] = far[stale, nearest[stale]]
+    return out.tolist()
+
+
+def resplit(d, labels: list[int], expectation: int, tolerance: int = 0, rounds: int = 5, at=None) -> list[int]:
+    """Split clusters larger than expected into ceil(n / expectation) groups, a few times over.
+
+    ``at`` gives each item's row of ``d`` where several items share one.
+    """
+    labels, d = list(labels), np.asarray(d, dtype=float)
+    at = np.arange(len(labels)) if at is None else np.asarray(at)
     for _ in range(rounds):
-        big = [k for k in set(labels) if labels.count(k) > expectation + tolerance]
+        held = defaultdict(list)
+        for i, x in enumerate(labels):
+            held[x].append(i)
+        big = [members for members in held.values() if len(members) > expectation + tolerance]
         if not big:
             break
-        for k in big:
-            members = [i for i, x in enumerate(labels) if x == k]
-            sub = complete_linkage([[d[i][j] for j in members] for i in members], groups=math.ceil(len(members) / expectation))
+        for members in big:
+            rows = at[members]
+            sub = complete_linkage(d[np.ix_(rows, rows)], groups=math.ceil(len(members) / expectation))
             for i, x in zip(members, sub, strict=True):
                 labels[i] = members[x]
     return labels
@@ -182,16 +199,19 @@ def distances(sites: DataFrame, edges: DataFrame, group: str, cutoff: float = ma
     """``group, site_i, site_j, dist``: road distance of every ordered pair of a group's sites within the cutoff.
 
     ``sites`` has ``group, site_id, node``; ``edges`` has ``group, node_start, node_end, weight``.
-    Sites at one node are 0 apart.
+    Sites at one node are 0 apart. Where ``sites`` has ``asked``, only pairs from those rows are wanted.
     """
+    asks = "asked" in sites.columns
 
     def run(key, s: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
         graph = adjacency(e[["node_start", "node_end", "weight"]].itertuples(index=False))
-        at = defaultdict(list)
-        for site, node in s[["site_id", "node"]].itertuples(index=False):
+        at, asked = defaultdict(list), defaultdict(list)
+        for site, node, wanted in zip(s["site_id"], s["node"], s["asked"] if asks else itertools.repeat(True), strict=False):
             at[node].append(site)
+            if wanted:
+                asked[node].append(site)
         rows = []
-        for node, here in at.items():
+        for node, here in asked.items():
             cost, _ = dijkstra(graph, [node], cutoff)
             cost[node] = 0.0
             rows += [(key[0], i, j, float(cost[n])) for n, there in at.items() if n in cost for i in here for j in there if i != j]
@@ -251,13 +271,29 @@ def ring_order(points: DataFrame, dist: DataFrame, ring: str = "ring_name") -> D
 
 
 def cluster(sites: DataFrame, dist: DataFrame, group: str, max_distance: float, expectation: int = 10, tolerance: int = 2) -> DataFrame:
-    """``group, site_id, label``: complete linkage below ``max_distance`` within a component, large clusters split again."""
+    """``group, site_id, label``: complete linkage below ``max_distance`` within a component, large clusters split again.
+
+    Where ``sites`` has ``node``, those at one node are 0 apart and merge first; ``dist`` then needs
+    only the pairs of each node's least site, and a component takes memory by its nodes, not its sites.
+    """
+    noded = "node" in sites.columns
 
     def run(key, s: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(s["site_id"])
-        known = {(i, j): x for i, j, x in d[["site_i", "site_j", "dist"]].itertuples(index=False)}
-        m = [[0.0 if i == j else min(known.get((i, j), 1e10), known.get((j, i), 1e10)) for j in ids] for i in ids]
-        labels = resplit(m, complete_linkage(m, limit=max_distance), expectation, tolerance)
+        s = s.sort_values("site_id")
+        ids = s["site_id"].tolist()
+        first = s.drop_duplicates("node") if noded else s
+        place = {x: k for k, x in enumerate(first["site_id"])}
+        at = s["node"].map(dict(zip(first["node"], range(len(first)), strict=True))).to_numpy() if noded else np.arange(len(ids))
+        m = np.full((len(first), len(first)), 1e10)
+        i, j = (d[c].map(place) for c in ("site_i", "site_j"))
+        known = (i.notna() & j.notna()).to_numpy()
+        i, j, x = i[known].to_numpy(int), j[known].to_numpy(int), d["dist"].to_numpy(float)[known]
+        np.minimum.at(m, (i, j), x)
+        m = np.minimum(m, m.T)
+        np.fill_diagonal(m, 0.0)
+        heads = np.flatnonzero(~s["node"].duplicated()) if noded else np.arange(len(ids))
+        base = np.array(complete_linkage(m, limit=max_distance), dtype=int)
+        labels = resplit(m, heads[base[at]].tolist(), expectation, tolerance, at=at)
         return pd.DataFrame({group: key[0], "site_id": ids, "label": [ids[x] for x in labels]})
 
     kind = sites.schema[group].dataType.simpleString()

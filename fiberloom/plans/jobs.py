@@ -55,17 +55,57 @@ def supervised(points: DataFrame, road_edges: DataFrame, road_nodes: DataFrame)
     return {"points": order.where("not rejected").drop("rejected"), "paths": paths, "rejects": order.where("rejected").select("ring_name", "site_id")}
 
 
+def blobs(sites: DataFrame, reach: float) -> DataFrame:
+    """``id, component`` of sites (``ord, x, y``) linked within ``reach``, as components of grid cells.
+
+    A cell's sites are all in reach of each other. Cells whose boxes are wholly in reach are linked
+    without their pairs; pairs are made only between cells that this leaves apart.
+    """
+    side = reach / 4
+    placed = durable(sites.select("ord", "x", "y", F.floor(F.col("x") / side).alias("i"), F.floor(F.col("y") / side).alias("j")))
+    ends = [f(c).alias(n + c) for c in ("x", "y") for f, n in ((F.min, "l"), (F.max, "h"))]
+    boxes = durable(placed.groupBy("i", "j").agg(F.min("ord").alias("a"), *ends))
+    near = F.explode(F.sequence(F.lit(-5), F.lit(5)))
+    left = boxes.withColumn("di", near).withColumn("dj", near).withColumn("i", F.col("i") + F.col("di")).withColumn("j", F.col("j") + F.col("dj")).drop("di", "dj")
+    right = boxes.withColumnsRenamed({"a": "b", "lx": "olx", "hx": "ohx", "ly": "oly", "hy": "ohy"})
+    wide = lambda c: F.greatest(F.col(f"h{c}") - F.col(f"ol{c}"), F.col(f"oh{c}") - F.col(f"l{c}"))
+    gap = lambda c: F.greatest(F.col(f"ol{c}") - F.col(f"h{c}"), F.col(f"l{c}") - F.col(f"oh{c}"), F.lit(0.0))
+    square = lambda f: f("x") * f("x") + f("y") * f("y")
+    pairs = left.join(right, ["i", "j"]).where("a < b").where(square(gap) <= reach * reach).select("a", "b", (square(wide) <= reach * reach).alias("sure"))
+    pairs = durable(pairs)
+    cells = boxes.select(F.col("a").alias("id"))
+    sure = durable(connected(pairs.where("sure").select("a", "b"), cells))
+    of = lambda k: sure.select(F.col("id").alias(k), F.col("component").alias(f"c{k}"))
+    open_ = pairs.where("not sure").join(of("a"), "a").join(of("b"), "b").where("ca <> cb")
+    held = placed.join(boxes.select("i", "j", F.col("a").alias("cell")), ["i", "j"]).select("cell", "ord", "x", "y")
+    side_of = lambda k, x, y: held.select(F.col("cell").alias(k), F.col("x").alias(x), F.col("y").alias(y))
+    met = open_.join(side_of("a", "px", "py"), "a").join(side_of("b", "qx", "qy"), "b")
+    met = met.where((F.col("px") - F.col("qx")) ** 2 + (F.col("py") - F.col("qy")) ** 2 <= reach * reach).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
+    whole = connected(met, sure.select(F.col("component").alias("id")).distinct()).select(F.col("id").alias("component"), F.col("component").alias("whole"))
+    of_cell = sure.join(whole, "component").select(F.col("id").alias("cell"), F.col("whole").alias("component"))
+    return held.join(of_cell, "cell").select(F.col("ord").alias("id"), "component")
+
+
 def unsupervised(sites: DataFrame, hubs: DataFrame, road_edges: DataFrame, road_nodes: DataFrame, member_expectation: int = 10, max_distance: float = 10_000.0, drop_existings: bool = False) -> DataFrame:
     """Rings found by road distance: components within reach, complete linkage inside, numbered by region, two nearest hubs.
 
     Weights are plain lengths here; a pair farther apart than the reach is no pair.
     """
-    blob = connected(spatial.self_pairs(sites, "ord", max_distance).select("a", "b"), sites.select(F.col("ord").alias("id")))
-    pts = durable(snapped(sites.join(blob.withColumnRenamed("id", "ord"), "ord"), road_nodes))
+    pts = durable(snapped(sites.join(blobs(sites, max_distance).withColumnRenamed("id", "ord"), "ord"), road_nodes))
     plain = rings.edge_costs(road_edges, road_nodes, "route")
-    roads = durable(roads_of(pts, plain, road_nodes, "component"))
-    dist = network.distances(pts.select("component", "site_id", "node"), roads, "component", max_distance)
-    labels = network.cluster(pts.select("component", "site_id"), dist, "component", max_distance, max(1, member_expectation - 2), 2)
+    at = road_nodes.select(F.col("node_id").alias("node"), "x", "y")
+    heads = durable(pts.groupBy("component", "node").agg(F.min("site_id").alias("site_id")).join(at, "node"))
+    # Distances in blocks: a cell's nodes ask for those of the cells around, a road being no shorter than straight.
+    cell = lambda c: F.floor(F.col(c) / max_distance)
+    around = F.explode(F.expr("flatten(transform(sequence(-1, 1), i -> transform(sequence(-1, 1), j -> struct(i, j))))"))
+    dealt = heads.withColumn("o", around).withColumn("asked", (F.col("o.i") == 0) & (F.col("o.j") == 0))
+    dealt = dealt.withColumn("block", F.concat_ws("#", "component", cell("x") + F.col("o.i"), cell("y") + F.col("o.j")))
+    dealt = durable(dealt.select("block", "site_id", "node", "x", "y", "asked"))
+    roads = durable(roads_of(dealt.where("asked"), plain, road_nodes, "block", max_distance, max_distance))
+    dist = network.distances(dealt.select("block", "site_id", "node", "asked"), roads, "block", max_distance)
+    of = heads.select(F.col("site_id").alias("site_i"), F.col("component").alias("of"))
+    dist = durable(dist).join(of, "site_i").select(F.col("of").alias("component"), "site_i", "site_j", "dist")
+    labels = network.cluster(pts.select("component", "site_id", "node"), dist, "component", max_distance, max(1, member_expectation - 2), 2)
     named = rings.numbered(labels.join(sites, "site_id"), "label").drop("label", "component", "cluster_no")
     if drop_existings:
         named = rings.with_new_site(named)
@@ -156,7 +196,7 @@ def job_supervised(s, d):
 
 
 def job_unsupervised(s, d):
-    return unsupervised(view(s, d, "sites").where("ord < 200"), view(s, d, "hubs"), view(s, d, "road_edges"), view(s, d, "road_nodes")).select("ring_name", "site_id", "flag")
+    return unsupervised(view(s, d, "sites"), view(s, d, "hubs"), view(s, d, "road_edges"), view(s, d, "road_nodes")).select("ring_name", "site_id", "flag")
 
 
 def job_fixroute(s, d):

@@ -2,11 +2,13 @@
 
 import itertools
 import math
+import os
+import random
 
 import pytest
 
 from fiberloom.functions import kernel
-from fiberloom.operators import network, rings
+from fiberloom.operators import components, network, rings, spatial
 from fiberloom.plans import jobs
 from fiberloom.plans.fixtures import view
 
@@ -54,3 +56,59 @@ def test_utilization_meets_fiber_wherever_it_starts(spark):
     got = {(r["ring_name"], r["fiber"]): r["existing"] for r in jobs.fiber_utilization(table(lines, "ring_name"), table(fiber, "name")).collect()}
     assert {k: pytest.approx(v) for k, v in want.items() if v} == got
     assert got["far end", "straight"] == pytest.approx(500.0) and got["diagonal", "slope"] == pytest.approx(5000.0)
+
+
+def plain_linkage(d, limit=None, groups=None):
+    clusters = {i: [i] for i in range(len(d))}
+    while len(clusters) > (groups or 1):
+        c, i, j = min((max(d[p][q] for p in clusters[i] for q in clusters[j]), i, j) for i in clusters for j in clusters if i < j)
+        if limit is not None and c >= limit:
+            break
+        clusters[i] += clusters.pop(j)
+    return [next(k for k, m in clusters.items() if i in m) for i in range(len(d))]
+
+
+def test_linkage_of_many_ties_is_the_plain_one():
+    rng = random.Random(3)
+    for n in (1, 2, 9, 14):
+        d = [[0] * n for _ in range(n)]
+        for i, j in itertools.combinations(range(n), 2):
+            d[i][j] = d[j][i] = rng.randrange(5)
+        for more in ({"limit": 3}, {"groups": 2}, {}):
+            assert network.complete_linkage(d, **more) == plain_linkage(d, **more)
+
+
+@pytest.mark.parametrize("reach", [10.0, 25.0, 60.0])
+def test_blobs_equal_components_of_all_pairs(spark, reach):
+    rng = random.Random(int(reach))
+    sites = spark.createDataFrame([(k, rng.uniform(-300, 300), rng.uniform(-300, 300)) for k in range(150)], "ord long, x double, y double")
+    want = {r["id"]: r["component"] for r in components.connected(spatial.self_pairs(sites, "ord", reach).select("a", "b"), sites.selectExpr("ord as id")).collect()}
+    assert {r["id"]: r["component"] for r in jobs.blobs(sites, reach).collect()} == want
+
+
+def test_clusters_cover_every_site(spark, small, tmp_path):
+    """Sites beyond the first 200, some on one node, against distances and linkage of each component as a whole."""
+    for t in ("region", "nation", "part", "supplier"):
+        os.symlink(f"{small}/{t}.parquet", tmp_path / f"{t}.parquet")
+    keys = [k for k in range(1, 1500) if k * 7919 % 50000 < 16000 and k * 104729 % 50000 < 12000][:60] + [*range(1300, 1320)]
+    spark.createDataFrame([(k, f"c{k}", 0, "BUILDING") for k in keys], "c_custkey long, c_name string, c_nationkey int, c_mktsegment string").write.parquet(str(tmp_path / "customer.parquet"))
+    d = str(tmp_path)
+    sites, nodes = view(spark, d, "sites"), view(spark, d, "road_nodes")
+    pts = jobs.snapped(sites, nodes).join(components.connected(spatial.self_pairs(sites, "ord", 10_000.0).select("a", "b"), sites.selectExpr("ord as id")).withColumnRenamed("id", "ord"), "ord").collect()
+    graph = network.adjacency((r["node_start"], r["node_end"], r["length"]) for r in rings.edge_costs(view(spark, d, "road_edges"), nodes, "route").collect())
+    want = set()
+    for c in {r["component"] for r in pts}:
+        own = sorted((r["site_id"], r["node"]) for r in pts if r["component"] == c)
+        cost = {n: network.dijkstra(graph, [n], 10_000.0)[0] for _, n in own}
+        m = [[0.0 if i == j else cost[a].get(b, 1e10) for j, (_, b) in enumerate(own)] for i, (_, a) in enumerate(own)]
+        labels = plain_linkage(m, limit=10_000.0)
+        for _ in range(5):
+            for k in {k for k in labels if labels.count(k) > 10}:
+                at = [i for i, x in enumerate(labels) if x == k]
+                for i, x in zip(at, plain_linkage([[m[i][j] for j in at] for i in at], groups=math.ceil(len(at) / 8)), strict=True):
+                    labels[i] = at[x]
+        want |= {frozenset(own[i][0] for i, x in enumerate(labels) if x == k) for k in labels}
+    got = {}
+    for r in jobs.job_unsupervised(spark, d).where("flag = ''").collect():
+        got.setdefault(r["ring_name"], set()).add(r["site_id"])
+    assert sum(map(len, got.values())) == len(keys) and {frozenset(v) for v in got.values()} == want
