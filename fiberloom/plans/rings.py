@@ -44,12 +44,12 @@ def _edges(s, d):
     return rings.edge_costs(view(s, d, "road_edges"), view(s, d, "road_nodes"))
 
 
-def _ring_nodes(s, d, n=6):
-    """Sites of each ring on road nodes, and a block of roads around them, by ring."""
-    pts = view(s, d, "road_nodes").where("node_id % 37 < 1").select(F.concat(F.lit("G"), F.floor(F.col("node_id") / 400).cast("string")).alias("ring_name"), F.col("node_id").cast("string").alias("site_id"), F.col("node_id").alias("node"))
-    e = _edges(s, d)
-    by_ring = e.withColumn("ring_name", F.concat(F.lit("G"), F.floor(F.col("node_start") / 400).cast("string")))
-    return pts, by_ring
+def _ring_nodes(s, d):
+    """Every site of every ring with its road node, and the roads around each ring."""
+    from fiberloom.plans import jobs  # which imports this module
+
+    pts = durable(jobs.snapped(view(s, d, "site_rings"), view(s, d, "road_nodes")).select("ring_name", "site_id", F.col("node").cast("long").alias("node"), "x", "y"))
+    return pts.drop("x", "y"), durable(jobs.roads_of(pts, _edges(s, d), view(s, d, "road_nodes"), "ring_name"))
 
 
 def jn_01(s, d):
@@ -221,7 +221,7 @@ def tsp_05(s, d):
     pts, e = _ring_nodes(s, d)
     dist = network.distances(pts, e, "ring_name")
     first = pts.groupBy("ring_name").agg(F.min("site_id").alias("h"))
-    p = pts.join(first, "ring_name").select("ring_name", "site_id", F.col("node").alias("ord"), (F.col("site_id") == F.col("h")).alias("hub"))
+    p = pts.join(first, "ring_name").select("ring_name", "site_id", F.substring("site_id", 2, 7).cast("long").alias("ord"), (F.col("site_id") == F.col("h")).alias("hub"))
     return network.ring_order(p, dist)
 
 
@@ -229,8 +229,9 @@ def _hops(s, d):
     order = durable(tsp_05(s, d).where("not rejected"))
     from pyspark.sql.window import Window
 
-    nxt = F.lead("site_id").over(Window.partitionBy("ring_name").orderBy("place"))
-    return order.withColumn("to", nxt).where("to is not null").select("ring_name", F.col("place").cast("long").alias("seq"), F.col("site_id").cast("long").alias("start"), F.col("to").cast("long").alias("end"))
+    order = order.join(_ring_nodes(s, d)[0].select("site_id", "node"), "site_id")
+    nxt = F.lead("node").over(Window.partitionBy("ring_name").orderBy("place"))
+    return order.withColumn("to", nxt).where("to is not null").select("ring_name", F.col("place").cast("long").alias("seq"), F.col("node").alias("start"), F.col("to").alias("end"))
 
 
 def gr_02(s, d):

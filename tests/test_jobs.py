@@ -10,6 +10,7 @@ import pytest
 from fiberloom.functions import kernel
 from fiberloom.operators import components, network, rings, spatial
 from fiberloom.plans import jobs
+from fiberloom.plans import rings as plans
 from fiberloom.plans.fixtures import view
 
 
@@ -112,3 +113,22 @@ def test_clusters_cover_every_site(spark, small, tmp_path):
     for r in jobs.job_unsupervised(spark, d).where("flag = ''").collect():
         got.setdefault(r["ring_name"], set()).add(r["site_id"])
     assert sum(map(len, got.values())) == len(keys) and {frozenset(v) for v in got.values()} == want
+
+
+def test_road_queries_hold_every_ring_member(spark, small):
+    members = {(r["ring_name"], r["site_id"]) for r in view(spark, small, "site_rings").collect()}
+    pts, e = plans._ring_nodes(spark, small)
+    node, roads = {r["site_id"]: r["node"] for r in pts.collect()}, e.collect()
+    assert {(r["ring_name"], r["site_id"]) for r in pts.collect()} == members
+    got = {(r["site_i"], r["site_j"]): r["dist"] for r in plans.gr_01(spark, small).collect()}
+    want = {}
+    for name in {r for r, _ in members}:
+        graph = network.adjacency((r["node_start"], r["node_end"], r["weight"]) for r in roads if r["ring_name"] == name)
+        ids = [i for r, i in members if r == name]
+        cost = {i: network.dijkstra(graph, [node[i]], 9e8)[0] for i in ids}
+        want |= {(i, j): cost[i][node[j]] for i in ids for j in ids if i != j and node[j] in cost[i]}
+    assert want and got == pytest.approx(want)
+    for query in (plans.tsp_05, plans.cl_02):
+        assert {(r["ring_name"], r["site_id"]) for r in query(spark, small).collect()} == members
+    hops = plans.gr_02(spark, small).collect()
+    assert len(hops) == len(members) - 2 and {h["start"] for h in hops} | {h["end"] for h in hops} == set(node.values())
