@@ -12,7 +12,12 @@ from fiberloom.runtime import durable
 
 
 def _routes(s, d):
-    """Drawn route of each ring through its first five sites."""
+    """Drawn route of each ring through all its sites."""
+    return _lines(s, d).select("ring_name", "line")
+
+
+def _routes_of_five(s, d):
+    """Drawn route of each ring through its first five sites, as the SQL of GEO-17 and GEO-20 has it."""
     return _lines(s, d).select("ring_name", F.slice("line", 1, 5).alias("line"))
 
 
@@ -25,7 +30,7 @@ def geo_03(s, d):
 
 
 def geo_17(s, d):
-    nodes, edges = boq.graph_tables(_routes(s, d), "ring_name")
+    nodes, edges = boq.graph_tables(_routes_of_five(s, d), "ring_name")
     return edges.select("ring_name", "node_a", "node_b", F.round("length", 6).alias("length"))
 
 
@@ -59,7 +64,7 @@ def geo_14(s, d):
 
 
 def geo_20(s, d):
-    segs = boq.exploded(_routes(s, d), "ring_name").select(F.col("ring_name").alias("line_id"), "ax", "ay", "bx", "by")
+    segs = boq.exploded(_routes_of_five(s, d), "ring_name").select(F.col("ring_name").alias("line_id"), "ax", "ay", "bx", "by")
     rail = s.createDataFrame([("rail", 0.0, 20000.5, 50000.0, 20000.5), ("toll", 30000.5, 0.0, 30000.5, 50000.0)], "name string, ax double, ay double, bx double, by double")
     return boq.obstacles(segs, rail, 0.01).select("line_id", "name", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 

@@ -9,6 +9,7 @@ import pytest
 
 from fiberloom.functions import kernel
 from fiberloom.operators import components, network, rings, spatial
+from fiberloom.plans import boq as bills
 from fiberloom.plans import jobs
 from fiberloom.plans import rings as plans
 from fiberloom.plans.fixtures import view
@@ -132,3 +133,18 @@ def test_road_queries_hold_every_ring_member(spark, small):
         assert {(r["ring_name"], r["site_id"]) for r in query(spark, small).collect()} == members
     hops = plans.gr_02(spark, small).collect()
     assert len(hops) == len(members) - 2 and {h["start"] for h in hops} | {h["end"] for h in hops} == set(node.values())
+
+
+def test_routes_pass_every_site_of_a_ring(spark, small):
+    rows = view(spark, small, "site_rings").collect()
+    ends = [r for r in rows if r["seq"] == max(q["seq"] for q in rows if q["ring_name"] == r["ring_name"])]
+    assert {(r["x"], r["y"]) for r in bills.geo_18(spark, small).collect()} >= {(r["x"], r["y"]) for r in ends}
+    assert all(r["otb_distance"] == 0 for r in bills.boq_01(spark, small).collect() if r["site_id"] in {e["site_id"] for e in ends})
+    length = {}
+    for a, b in itertools.pairwise(sorted(rows, key=lambda r: (r["ring_name"], r["seq"]))):
+        if a["ring_name"] == b["ring_name"]:
+            length[a["ring_name"]] = length.get(a["ring_name"], 0) + math.dist((a["x"], a["y"]), (b["x"], b["y"]))
+    for r in bills.geo_19(spark, small).collect():
+        assert r["access_length"] + r["backbone_length"] == pytest.approx(length[r["line_id"]], abs=1e-3)
+    for r in (*bills.geo_14(spark, small).collect(), *bills.geo_21(spark, small).collect()):
+        assert r["existing"] + r["new"] == pytest.approx(length[r["line_id"]], abs=0.2)
