@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut the lineage through the checkpoint folder that all executors share.
+
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share.
 
     The session's ``spark.checkpoint.dir`` names it; only a local session without one gets a
     folder of its own.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", "")
@@ -22,4 +24,43 @@ def durable(df: DataFrame) -> DataFrame:
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="fiberloom-")
         context.setCheckpointDir(folder)
+    return context.getCheckpointDir()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut the lineage through the checkpoint folder that all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name within the shared one, for tables that are written and read again."""
+    return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+
+
+#: Rows of a few numbers each that may be broadcast; with more, they are shuffled.
+BROADCAST_ROWS = 1_000_000
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """Rows of a few numbers each, broadcast if their count shows that they may be."""
+    return F.broadcast(rows) if rows.count() <= BROADCAST_ROWS else rows
+
+
+#: Rows of one key from which on it is hot; fewer than a hundred thousand keys can be.
+HOT_KEY = 10_000
+
+
+def skewed_join(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
+    """Inner join of ``rows`` with a ``table`` of one row for each key, where a key may hold most of the rows.
+
+    ``weight`` is the number of rows of a key. Keys beyond the greater of ``HOT_KEY`` and a
+    hundred-thousandth of all weights are broadcast, and can't be more than a hundred thousand; the rest is shuffled.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    bound = max(HOT_KEY, total // 100_000)
+    hot = table.where(F.col(weight) > bound)
+    if hot.isEmpty():
+        return rows.join(table, key)
+    known = F.broadcast(hot.select(key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(known, key, "left_anti").join(table.where(F.col(weight) <= bound), key))
