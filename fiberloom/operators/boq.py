@@ -201,6 +201,18 @@ def summary(points: DataFrame, lines: DataFrame, obstacle: DataFrame) -> DataFra
     return a.join(b, "ring_name", "left").join(c, "ring_name", "left").fillna(0)
 
 
+def pivots(sites: DataFrame, devices: DataFrame, routes: DataFrame, obstacle: DataFrame, kinds: dict[str, list[str]]) -> DataFrame:
+    """One row for each ring of ``sites``: sites and devices by ``type``, route ``length`` by type, obstacles by type; 0 where there are none.
+
+    All have ``ring_name`` and ``type``; ``kinds`` has the types of each table, which are columns of the result.
+    """
+    out = sites.select("ring_name").distinct()
+    for rows, name in ((sites, "sites"), (devices, "devices"), (routes, "routes"), (obstacle, "obstacles")):
+        by = rows.groupBy("ring_name").pivot("type", kinds[name])
+        out = out.join(by.agg(F.sum("length")) if name == "routes" else by.count(), "ring_name", "left")
+    return out.fillna(0)
+
+
 def flattened(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     """One row for each entry of a map column."""
     return rows.select(*keys, F.explode(column).alias("fiber", "value"))

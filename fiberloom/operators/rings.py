@@ -62,6 +62,11 @@ def numbered(df: DataFrame, label: str, region: str = "region") -> DataFrame:
     return df.withColumn("cluster_no", n).withColumn("ring_name", F.concat_ws("_", region, F.lpad(n.cast("string"), 4, "0")))
 
 
+def ring_code(area: str, number: Column, prefix: str = "RING", project: str = "P") -> Column:
+    """Name of a ring by its area's code and its number there; prefix and project are the user's."""
+    return F.concat(F.lit(f"{prefix}-"), F.col(area), F.lit(f"-{project}-"), F.lpad(number.cast("string"), 4, "0"))
+
+
 def sorted_by(df: DataFrame, order: DataFrame, key: str) -> DataFrame:
     """Rows with ``sort_no``, their place in an external list (``key``, ``place``); unlisted keys last."""
     rows = df.join(order.select(key, "place"), key, "left")

@@ -6,6 +6,9 @@ reach, so a row meets at most nine of them.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -107,3 +110,39 @@ def self_pairs(rows: DataFrame, key: str, reach: float, *, at=("x", "y")) -> Dat
     left = rows.select(F.col(key).alias("a"), F.col(x).alias("x"), F.col(y).alias("y"))
     right = rows.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"))
     return within_radius(left, right, reach).where("a < b").select("a", "b", "d2")
+
+
+def hulls(points: DataFrame, key: str) -> DataFrame:
+    """``key, vertex, x, y``: corners of the convex hull of each key's points, counter-clockwise from the lowest x, then y.
+
+    Hulls of parts come first, so the last step holds corners only, however many points a key has.
+    """
+
+    def chain(rows: list[tuple[float, float]]) -> list[tuple[float, float]]:
+        rows = sorted(set(rows))
+        if len(rows) < 3:
+            return rows
+        turn = lambda o, a, b: (a[0] - o[0]) * (b[1] - o[1]) - (a[1] - o[1]) * (b[0] - o[0])
+        sides = []
+        for order in (rows, rows[::-1]):
+            side: list[tuple[float, float]] = []
+            for p in order:
+                while len(side) > 1 and turn(side[-2], side[-1], p) <= 0:
+                    side.pop()
+                side.append(p)
+            sides.append(side[:-1])
+        return sides[0] + sides[1]
+
+    def parts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = [(k, x, y) for k, some in batch.groupby(key, sort=False) for x, y in chain(list(zip(some["x"], some["y"], strict=True)))]
+            yield pd.DataFrame(found, columns=[key, "x", "y"])
+
+    def whole(k, rows: pd.DataFrame) -> pd.DataFrame:
+        out = chain(list(zip(rows["x"], rows["y"], strict=True)))
+        return pd.DataFrame([(k[0], i, x, y) for i, (x, y) in enumerate(out)], columns=[key, "vertex", "x", "y"])
+
+    kind = points.schema[key].dataType.simpleString()
+    some = points.select(key, "x", "y").where(F.col(key).isNotNull() & F.col("x").isNotNull() & F.col("y").isNotNull())
+    corners = some.mapInPandas(parts, f"{key} {kind}, x double, y double")
+    return corners.groupBy(key).applyInPandas(whole, f"{key} {kind}, vertex int, x double, y double")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fiberloom.functions import kernel
+from fiberloom.runtime import durable
 
 REQUIRED = {
     "supervised": ("site_id", "site_name", "site_type", "lat", "long", "ring_name", "flag"),
@@ -119,19 +120,46 @@ def winkler_udf():
     return similarity
 
 
-def best_match(words: DataFrame, candidates: DataFrame, threshold: float = 0.6, max_candidates: int = 10_000) -> DataFrame:
+def best_match(words: DataFrame, candidates: DataFrame, threshold: float = 0.6, block: int = 5_000) -> DataFrame:
     """``word, match, score``: the most similar candidate of at least ``threshold``, else the word itself with 0.
 
-    ``candidates`` (columns ``ord``, ``name``) is a list of names such as column headers; it is
-    counted, and refused beyond the bound, before it is broadcast. The first of equals wins.
+    ``candidates`` (columns ``ord``, ``name``) is a list of names such as column headers. It is
+    dealt into blocks of about ``block`` names, and each distinct word meets every block once, so
+    a list of any length is held in bounded pieces. The first of equals wins.
     """
-    if candidates.count() > max_candidates:
-        raise ValueError(f"more than {max_candidates} names to match against")
-    distinct = words.select("word").distinct()
-    pairs = distinct.join(F.broadcast(candidates), F.lit(True), "left").withColumn("score", winkler_udf()("word", "name"))
-    best = pairs.groupBy("word").agg(F.max_by(F.struct("name", "score"), F.struct("score", -F.col("ord"))).alias("b"))
+    blocks = max(1, -(-candidates.count() // block))
+    names = candidates.groupBy(F.pmod(F.xxhash64("name", "ord"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("ord", "name"))).alias("names"))
+    asked = words.select("word").distinct().withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+
+    @F.pandas_udf("name string, score double, ord long")
+    def closest(word: pd.Series, lists: pd.Series) -> pd.DataFrame:
+        rows = []
+        for w, known in zip(word, lists, strict=True):
+            scored = [] if w is None else [(kernel.jaro_winkler(w, n["name"]), -n["ord"], n["name"]) for n in known if n["name"] is not None]
+            s, at, name = max(scored, default=(None, None, None))
+            rows.append((name, s, None if at is None else -at))
+        return pd.DataFrame(rows, columns=["name", "score", "ord"])
+
+    found = asked.join(names, "block", "left").where("names is not null").withColumn("b", closest("word", "names")).where("b.score is not null")
+    best = found.groupBy("word").agg(F.max_by("b", F.struct("b.score", -F.col("b.ord"))).alias("b"))
+    every = words.select("word").distinct().join(best.withColumnRenamed("word", "__w"), F.col("word").eqNullSafe(F.col("__w")), "left")
     good = F.coalesce(F.col("b.score") >= threshold, F.lit(False))
-    return best.select("word", F.when(good, F.col("b.name")).otherwise(F.col("word")).alias("match"), F.when(good, F.col("b.score")).otherwise(0.0).alias("score"))
+    return every.select("word", F.when(good, F.col("b.name")).otherwise(F.col("word")).alias("match"), F.when(good, F.col("b.score")).otherwise(0.0).alias("score"))
+
+
+def numbered(df: DataFrame, order: list, name: str = "no") -> DataFrame:
+    """Rows with their place from 1 in a global order, without bringing them into one task.
+
+    Range partitions are in order; a row's place is its place within, after the rows of the
+    partitions before. Only one count for each partition reaches the driver.
+    """
+    placed = durable(df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()))
+    before, total = {}, 0
+    for r in sorted(placed.groupBy("__p").count().collect(), key=lambda r: r["__p"]):
+        before[r["__p"]], total = total, total + r["count"]
+    start = F.element_at(F.create_map(*[F.lit(v) for kv in before.items() for v in kv]), F.col("__p")) if before else F.lit(0)
+    within = F.row_number().over(Window.partitionBy("__p").orderBy(*order))
+    return placed.withColumn(name, (within + start).cast("long")).drop("__p")
 
 
 def mode_of(df: DataFrame, keys: list[str], column: str) -> DataFrame:
@@ -146,18 +174,41 @@ def pivot_sum(df: DataFrame, keys: list[str], column: str, values: list[str], am
     return df.groupBy(*keys).pivot(column, values).agg(F.sum(amount)).fillna(0, values)
 
 
+def contained(texts: DataFrame, text: str, ids: DataFrame) -> DataFrame:
+    """Pairs of a text and an id (``site_id``) that it contains.
+
+    An equi-join on the pieces of a text that are as long as some id; only the few different
+    lengths reach the driver.
+    """
+    lengths = sorted(r[0] for r in ids.select(F.length("site_id")).distinct().collect() if r[0])
+    n = F.length(text)
+
+    def pieces_of(k: int) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.greatest(n - k + 1, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(k)))
+        return F.when(n >= k, cut).otherwise(F.array().cast("array<string>"))  # a sequence up to a smaller number would count down
+
+    pieces = [pieces_of(k) for k in lengths]
+    if not pieces:
+        return texts.select(text).join(ids.select("site_id"), F.lit(False))
+    cut = texts.select(text).distinct().select(text, F.explode(F.array_distinct(F.concat(*pieces))).alias("site_id"))
+    return cut.join(ids.select("site_id").distinct(), "site_id")
+
+
 def near_far(segments: DataFrame, ids: DataFrame) -> DataFrame:
     """Near and far end of a segment name ``A-B``: the ids that its two parts contain.
 
-    A part with several ids takes the one that is not the other side's.
+    The words connection and route don't count. A part with several ids takes the least of those
+    that are not the other side's; one without any has null. Every row of ``segments`` stays.
     """
     parts = F.split(F.regexp_replace("name", r"(?i)\b(connection|route)\b", ""), "-")
-    rows = segments.select("name", F.trim(F.get(parts, F.lit(0))).alias("p0"), F.trim(F.try_element_at(parts, F.lit(-1))).alias("p1"))
+    rows = segments.select("name").distinct().select("name", F.trim(F.get(parts, F.lit(0))).alias("p0"), F.trim(F.try_element_at(parts, F.lit(-1))).alias("p1"))
 
     def side(p: str) -> DataFrame:
-        exact = rows.join(ids, F.col(p) == F.col("site_id"), "left").select("name", F.col("site_id").alias(f"id_{p}"))
-        return exact.groupBy("name").agg(F.sort_array(F.collect_set(f"id_{p}")).alias(p))
+        found = contained(rows, p, ids).groupBy(p).agg(F.sort_array(F.collect_set("site_id")).alias(f"ids_{p}"))
+        return rows.join(found, p, "left").select("name", f"ids_{p}")
 
     both = side("p0").join(side("p1"), "name")
-    pick = lambda a, b: F.get(F.when(F.size(a) > 1, F.array_except(a, b)).otherwise(a), F.lit(0))
-    return both.select("name", pick(F.col("p0"), F.col("p1")).alias("near_end"), pick(F.col("p1"), F.col("p0")).alias("far_end"))
+    empty = F.array().cast("array<string>")
+    pick = lambda a, b: F.get(F.when(F.size(a) > 1, F.array_except(a, F.coalesce(b, empty))).otherwise(a), F.lit(0))
+    ends = both.select("name", pick(F.col("ids_p0"), F.col("ids_p1")).alias("near_end"), pick(F.col("ids_p1"), F.col("ids_p0")).alias("far_end"))
+    return segments.join(ends, "name", "left")

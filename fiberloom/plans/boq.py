@@ -16,11 +16,6 @@ def _routes(s, d):
     return _lines(s, d).select("ring_name", "line")
 
 
-def _routes_of_five(s, d):
-    """Drawn route of each ring through its first five sites, as the SQL of GEO-17 and GEO-20 has it."""
-    return _lines(s, d).select("ring_name", F.slice("line", 1, 5).alias("line"))
-
-
 def _fiber(s, d):
     return view(s, d, "fiber_lines").select("name", "ax", "ay", "bx", "by")
 
@@ -30,7 +25,7 @@ def geo_03(s, d):
 
 
 def geo_17(s, d):
-    nodes, edges = boq.graph_tables(_routes_of_five(s, d), "ring_name")
+    nodes, edges = boq.graph_tables(_routes(s, d), "ring_name")
     return edges.select("ring_name", "node_a", "node_b", F.round("length", 6).alias("length"))
 
 
@@ -64,7 +59,7 @@ def geo_14(s, d):
 
 
 def geo_20(s, d):
-    segs = boq.exploded(_routes_of_five(s, d), "ring_name").select(F.col("ring_name").alias("line_id"), "ax", "ay", "bx", "by")
+    segs = boq.exploded(_routes(s, d), "ring_name").select(F.col("ring_name").alias("line_id"), "ax", "ay", "bx", "by")
     rail = s.createDataFrame([("rail", 0.0, 20000.5, 50000.0, 20000.5), ("toll", 30000.5, 0.0, 30000.5, 50000.0)], "name string, ax double, ay double, bx double, by double")
     return boq.obstacles(segs, rail, 0.01).select("line_id", "name", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
@@ -89,8 +84,7 @@ def geo_22(s, d):
 
 
 def geo_25(s, d):
-    ring = F.filter(F.slice("line", 1, 3), lambda p: p.isNotNull())
-    rows = _lines(s, d).select("ring_name", ring.alias("r")).where("size(r) = 3")
+    rows = _lines(s, d).select("ring_name", F.col("line").alias("r")).where("size(r) >= 3")
     cx, cy = geo.centroid(F.col("r"))
     area = geo.signed_area(F.col("r"))
     return rows.select("ring_name", F.round(F.abs(area), 4).alias("area"), F.round(F.when(area != 0, cx), 4).alias("cx"), F.round(F.when(area != 0, cy), 4).alias("cy"))
@@ -114,19 +108,19 @@ QUERIES = {
 }
 
 _R = with_views("site_rings")
-_P = "v AS (SELECT ring_name, x, y, row_number() OVER (PARTITION BY ring_name ORDER BY seq) AS k FROM site_rings), r AS (SELECT * FROM v WHERE k <= 5)"
+_P = "v AS (SELECT ring_name, x, y, row_number() OVER (PARTITION BY ring_name ORDER BY seq) AS k FROM site_rings), r AS (SELECT * FROM v)"
 _E = "s AS (SELECT ring_name, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS zy, k FROM r WINDOW w AS (PARTITION BY ring_name ORDER BY k)), e AS (SELECT * FROM s WHERE bx IS NOT NULL)"
 _N = "p AS (SELECT DISTINCT x, y FROM r), n AS (SELECT x, y, concat('N', lpad(CAST(row_number() OVER (ORDER BY x, y) AS VARCHAR), 7, '0')) AS node_id FROM p)"
 
 ORACLE = {
     "GEO-03": f"""{_R}, s AS (SELECT ring_name, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS zy, row_number() OVER w - 1 AS part FROM site_rings WINDOW w AS (PARTITION BY ring_name ORDER BY seq)) SELECT ring_name, CAST(part AS INT) AS part, ax, ay, bx, zy AS "by" FROM s WHERE bx IS NOT NULL""",
     "GEO-17": f"{_R}, {_P}, {_E}, {_N} SELECT ring_name, a.node_id AS node_a, b.node_id AS node_b, round(sqrt((ax-bx)*(ax-bx)+(ay-zy)*(ay-zy)), 6) AS length FROM e JOIN n a ON a.x = ax AND a.y = ay JOIN n b ON b.x = bx AND b.y = zy",
-    "GEO-20": f"""{_R}, {_P}, {_E} SELECT ring_name AS line_id, 'rail' AS name, round(ax + (20000.5-ay)/(zy-ay)*(bx-ax), 4) AS x, 20000.5::DOUBLE AS y FROM e WHERE zy <> ay AND (20000.5-ay)/(zy-ay) BETWEEN 0 AND 1
-      UNION ALL SELECT ring_name, 'toll', 30000.5::DOUBLE, round(ay + (30000.5-ax)/(bx-ax)*(zy-ay), 4) FROM e WHERE bx <> ax AND (30000.5-ax)/(bx-ax) BETWEEN 0 AND 1""",
+    "GEO-20": f"""{_R}, {_P}, {_E} SELECT DISTINCT ring_name AS line_id, 'rail' AS name, round(ax + (20000.5-ay)/(zy-ay)*(bx-ax), 4) AS x, 20000.5::DOUBLE AS y FROM e WHERE zy <> ay AND (20000.5-ay)/(zy-ay) BETWEEN 0 AND 1
+      UNION ALL SELECT DISTINCT ring_name, 'toll', 30000.5::DOUBLE, round(ay + (30000.5-ax)/(bx-ax)*(zy-ay), 4) FROM e WHERE bx <> ax AND (30000.5-ax)/(bx-ax) BETWEEN 0 AND 1""",
     "GEO-22": f"""{with_views("road_edges", "road_nodes", "fiber_lines")}, f AS (SELECT ax, ay FROM fiber_lines UNION SELECT bx, "by" FROM fiber_lines), q AS (SELECT node_id FROM road_nodes JOIN f ON x = ax AND y = ay)
       SELECT CASE WHEN node_start IN (SELECT node_id FROM q) AND node_end IN (SELECT node_id FROM q) THEN 'Existing' ELSE 'New' END AS fo_note, sum(length) AS length FROM road_edges GROUP BY 1""",
-    "GEO-25": f"""{_R}, {_P}, t AS (SELECT ring_name, max(CASE WHEN k = 1 THEN x END) AS x1, max(CASE WHEN k = 1 THEN y END) AS y1, max(CASE WHEN k = 2 THEN x END) AS x2, max(CASE WHEN k = 2 THEN y END) AS y2, max(CASE WHEN k = 3 THEN x END) AS x3, max(CASE WHEN k = 3 THEN y END) AS y3 FROM r GROUP BY 1 HAVING count(*) >= 3),
-      a AS (SELECT *, (x1*y2-x2*y1+x2*y3-x3*y2+x3*y1-x1*y3)/2 AS area FROM t) SELECT ring_name, round(abs(area), 4) AS area, round(CASE WHEN area <> 0 THEN (x1+x2+x3)/3 END, 4) AS cx, round(CASE WHEN area <> 0 THEN (y1+y2+y3)/3 END, 4) AS cy FROM a""",
+    "GEO-25": f"""{_R}, {_P}, t AS (SELECT ring_name, x, y, coalesce(lead(x) OVER w, first_value(x) OVER w) AS u, coalesce(lead(y) OVER w, first_value(y) OVER w) AS z FROM r WINDOW w AS (PARTITION BY ring_name ORDER BY k)),
+      a AS (SELECT ring_name, sum(x*z-u*y)/2 AS area, sum((x+u)*(x*z-u*y)) AS sx, sum((y+z)*(x*z-u*y)) AS sy FROM t GROUP BY 1 HAVING count(*) >= 3) SELECT ring_name, round(abs(area), 4) AS area, round(CASE WHEN area <> 0 THEN sx/(6*area) END, 4) AS cx, round(CASE WHEN area <> 0 THEN sy/(6*area) END, 4) AS cy FROM a""",
     "BOQ-02": f"{_R} SELECT ring_name, site_id AS fiber, site_type AS value FROM site_rings",
     "BOQ-04": f"{_R}, s AS ({_SEG.format('site_rings')}), l AS (SELECT ring_name, round(sum(length), 4) AS route_length FROM s WHERE site_id_b IS NOT NULL GROUP BY 1) SELECT ring_name, count(*) AS sites, coalesce(any_value(route_length), 0) AS route_length, CAST(sum((seq % 4 = 0)::INT) AS BIGINT) AS obstacles FROM site_rings LEFT JOIN l USING (ring_name) GROUP BY 1",
 }

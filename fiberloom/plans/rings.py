@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fiberloom.functions import geo
-from fiberloom.operators import fwa, network, rings, spatial, tables
+from fiberloom.operators import boq, fwa, network, rings, spatial, tables
 from fiberloom.plans.fixtures import view, with_views
 from fiberloom.runtime import durable
 
@@ -57,7 +57,8 @@ def jn_01(s, d):
 
 
 def jn_23(s, d):
-    inside = _squares(s, d).where("polygon_id <= 10")
+    p = view(s, d, "polygons")  # areas with gaps between them
+    inside = p.select("polygon_id", _ring(F.col("minx"), F.col("miny"), F.col("minx") + 6000, F.col("miny") + 6000).alias("ring"))
     return spatial.in_polygon(view(s, d, "sites"), inside, how="left").select("site_id", "polygon_id")
 
 
@@ -113,10 +114,16 @@ def agg_05(s, d):
 
 
 def agg_06(s, d):
+    """Four pivots by ring: sites and devices by type, route length by note, obstacles by kind."""
     p = _noted(s, d)
-    count = p.groupBy("ring_name").pivot("note", ["existing", "insert"]).count().fillna(0)
-    length = rings.segments(p).groupBy("ring_name").agg(F.round(F.sum("length"), 4).alias("route_length"))
-    return count.join(length, "ring_name", "left").fillna(0)
+    segs = rings.segments(p).select("ring_name", F.when(F.col("sequence") % 3 == 0, "Backbone").otherwise("Access").alias("type"), "length", "sequence")
+    crossed = boq.exploded(_lines(s, d), "ring_name").select(F.col("ring_name").alias("line_id"), "ax", "ay", "bx", "by")
+    barriers = s.createDataFrame([("Obstacle Railway", 0.0, 20000.5, 50000.0, 20000.5), ("Obstacle Toll", 30000.5, 0.0, 30000.5, 50000.0)], "name string, ax double, ay double, bx double, by double")
+    hit = boq.obstacles(crossed, barriers, 0.01).select(F.col("line_id").alias("ring_name"), F.col("name").alias("type"))
+    sites = p.select("ring_name", F.when(rings.is_hub(F.col("site_type")), "FO Hub").otherwise("Site List").alias("type"))
+    devices = p.select("ring_name", F.when(F.col("note") == "insert", "ODP").otherwise("OTB").alias("type"))
+    out = boq.pivots(sites, devices, segs, hit, {"sites": ["FO Hub", "Site List"], "devices": ["ODP", "OTB"], "routes": ["Access", "Backbone"], "obstacles": ["Obstacle Railway", "Obstacle Toll"]})
+    return out.withColumns({c: F.round(c, 4) for c in ("Access", "Backbone")})
 
 
 def agg_08(s, d):
@@ -206,7 +213,7 @@ def prj_15(s, d):
 
 def gr_12(s, d):
     """Shared road of the hops of a ring: each hop runs along ten nodes of a row of the road grid."""
-    hop = view(s, d, "site_rings").where("seq < 4").select("ring_name", F.col("seq"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"))
+    hop = view(s, d, "site_rings").select("ring_name", F.col("seq"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("i"))
     start = F.substring("ring_name", 2, 6).cast("long")
     paths = hop.select("ring_name", "seq", (start * 3 % 30 + F.col("seq") * 2 + F.col("i")).cast("long").alias("node"))
     return rings.shared_road(paths, _edges(s, d), 3000.0).select("ring_name", "seq_a", "seq_b", "shared")
@@ -268,7 +275,7 @@ def pol_01(s, d):
     code = F.regexp_extract("polygon_name", r"\b(\d{2})([A-Z]{3})(\d+)\b", 2)
     no = F.dense_rank().over(Window.partitionBy("code").orderBy("polygon_id"))
     out = p.withColumn("flag", flag).where("flag is not null").withColumn("code", code)
-    return out.withColumn("ring", F.concat(F.lit("TBG-"), "code", F.lit("-P-DF"), F.lpad(no.cast("string"), 4, "0"))).select("site_id", "polygon_id", "flag", "ring")
+    return out.withColumn("ring", rings.ring_code("code", no)).select("site_id", "polygon_id", "flag", "ring")
 
 
 QUERIES = {
@@ -297,7 +304,7 @@ costs AS (SELECT c.node_start, c.node_end, r.length AS length, a.ref_fo = 1 AND
 
 ORACLE = {
     "JN-01": f"{with_views('sites', 'polygons')} SELECT site_id, polygon_id FROM sites JOIN polygons ON {_IN}",
-    "JN-23": f"{with_views('sites', 'polygons')} SELECT site_id, polygon_id FROM sites LEFT JOIN (SELECT * FROM polygons WHERE polygon_id <= 10) ON {_IN}",
+    "JN-23": f"{with_views('sites', 'polygons')} SELECT site_id, polygon_id FROM sites LEFT JOIN polygons ON x >= minx AND x < minx + 6000 AND y >= miny AND y < miny + 6000",
     "JN-22": f"{with_views('site_rings', 'polygons')}, c AS (SELECT ring_name, polygon_id, count(*) AS n FROM site_rings JOIN polygons ON {_IN} GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY ring_name ORDER BY n DESC, polygon_id) AS k FROM c) SELECT ring_name, polygon_id FROM r WHERE k = 1",
     "JN-03": f"{with_views('sites', 'fiber_lines')}, {_NEAR.format('sites', *[100] * 4)} SELECT site_id, name, round(d2, 3) AS d2 FROM m WHERE d2 <= 10000",
     "GEO-24": f"{with_views('road_nodes', 'fiber_lines')}, {_NEAR.format('road_nodes', *[30] * 4)} SELECT DISTINCT node_id FROM m WHERE d2 <= 900",
@@ -310,8 +317,12 @@ ORACLE = {
       k AS (SELECT word, name, jaro_winkler_similarity(word, name) AS s, row_number() OVER (PARTITION BY word ORDER BY jaro_winkler_similarity(word, name) DESC, ord) AS n FROM w, c)
       SELECT word, CASE WHEN s >= 0.6 THEN name ELSE word END AS match, round(CASE WHEN s >= 0.6 THEN s ELSE 0 END, 9) AS score FROM k WHERE n = 1""",
     "AGG-05": f"{_R}, s AS ({_SEG.format('site_rings')}), z AS (SELECT * FROM s WHERE site_id_b IS NOT NULL) SELECT ring_name, round(coalesce(sum(CASE WHEN sequence % 2 = 1 THEN length END), 0), 4) AS existing, round(coalesce(sum(CASE WHEN sequence % 2 = 0 THEN length END), 0), 4) AS new FROM z GROUP BY 1",
-    "AGG-06": f"""{_R}{_NOTED}, s AS ({_SEG.format('noted')}), l AS (SELECT ring_name, round(sum(length), 4) AS route_length FROM s WHERE site_id_b IS NOT NULL GROUP BY 1)
-      SELECT ring_name, sum((note = 'existing')::INT)::BIGINT AS existing, sum((note = 'insert')::INT)::BIGINT AS "insert", coalesce(any_value(route_length), 0) AS route_length FROM noted LEFT JOIN l USING (ring_name) GROUP BY 1""",
+    "AGG-06": f"""{_R}{_NOTED}, s AS ({_SEG.format('noted')}), l AS (SELECT ring_name, sum(CASE WHEN sequence % 3 <> 0 THEN length END) AS access, sum(CASE WHEN sequence % 3 = 0 THEN length END) AS backbone FROM s WHERE site_id_b IS NOT NULL GROUP BY 1),
+      g AS (SELECT ring_name, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS zy FROM site_rings WINDOW w AS (PARTITION BY ring_name ORDER BY seq)),
+      o AS (SELECT DISTINCT ring_name, 'rail' AS kind, ax + (20000.5-ay)/(zy-ay)*(bx-ax) AS at FROM g WHERE zy <> ay AND (20000.5-ay)/(zy-ay) BETWEEN 0 AND 1 UNION ALL SELECT DISTINCT ring_name, 'toll', ay + (30000.5-ax)/(bx-ax)*(zy-ay) FROM g WHERE bx <> ax AND (30000.5-ax)/(bx-ax) BETWEEN 0 AND 1),
+      q AS (SELECT ring_name, count(*) FILTER (kind = 'rail') AS rail, count(*) FILTER (kind = 'toll') AS toll FROM o GROUP BY 1)
+      SELECT ring_name, CAST(sum((lower(site_type) LIKE '%hub%')::INT) AS BIGINT) AS "FO Hub", CAST(sum((NOT lower(site_type) LIKE '%hub%')::INT) AS BIGINT) AS "Site List", CAST(sum((note = 'insert')::INT) AS BIGINT) AS "ODP", CAST(sum((note <> 'insert')::INT) AS BIGINT) AS "OTB",
+      round(coalesce(any_value(access), 0), 4) AS "Access", round(coalesce(any_value(backbone), 0), 4) AS "Backbone", coalesce(any_value(rail), 0) AS "Obstacle Railway", coalesce(any_value(toll), 0) AS "Obstacle Toll" FROM noted LEFT JOIN l USING (ring_name) LEFT JOIN q USING (ring_name) GROUP BY 1""",
     "AGG-08": f"{_R}, c AS (SELECT ring_name, site_type, count(*) AS n FROM site_rings GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY ring_name ORDER BY n DESC, site_type) AS k FROM c) SELECT ring_name, site_type FROM r WHERE k = 1",
     "AGG-09": f'{_S} SELECT site_type, count(*) AS "count" FROM sites GROUP BY 1',
     "AGG-10": f"{_R}, c AS (SELECT *, count(*) OVER (PARTITION BY ring_name, region) AS n FROM site_rings) SELECT site_id, ring_name, region, n FROM c WHERE n > 3",
@@ -335,10 +346,10 @@ ORACLE = {
     "PRJ-11": f"{with_views('folders')} SELECT site_id, trim(split_part(folders, ';', 1)) AS region, trim(split_part(folders, ';', 2)) AS ring, trim(split_part(folders, ';', -1)) AS site_type, trim(split_part(folders, ';', -2)) AS ring_last, nullif(regexp_extract(folders, '([A-Z]{{3,6}})\\s*;', 1), '') AS code FROM folders",
     "STR-08": f"{_R} SELECT site_id, CASE WHEN seq = 0 THEN 'v1' ELSE concat('v', CAST(seq % 4 + 1 AS VARCHAR)) END AS version, CAST(weekofyear(DATE '2024-01-01' + CAST(seq * 41 AS INT)) AS INT) AS week FROM site_rings",
     "PRJ-15": f"{_COST} SELECT * FROM costs",
-    "GR-12": f"""{_COST}, rr AS ({with_views("site_rings")} SELECT ring_name, seq FROM site_rings WHERE seq < 4), p AS (SELECT DISTINCT ring_name, seq, CAST(CAST(substring(ring_name, 2, 6) AS BIGINT) * 3 % 30 + seq * 2 + i AS BIGINT) AS node FROM rr, (SELECT unnest(range(10)) AS i)),
+    "GR-12": f"""{_COST}, rr AS ({with_views("site_rings")} SELECT ring_name, seq FROM site_rings), p AS (SELECT DISTINCT ring_name, seq, CAST(CAST(substring(ring_name, 2, 6) AS BIGINT) * 3 % 30 + seq * 2 + i AS BIGINT) AS node FROM rr, (SELECT unnest(range(10)) AS i)),
       b AS (SELECT a.ring_name, a.seq AS seq_a, c.seq AS seq_b, a.node FROM p a JOIN p c ON a.ring_name = c.ring_name AND a.node = c.node AND a.seq < c.seq)
       SELECT x.ring_name, x.seq_a, x.seq_b, sum(length) AS shared FROM b x JOIN costs ON x.node = node_start JOIN b y ON y.node = node_end AND y.ring_name = x.ring_name AND y.seq_a = x.seq_a AND y.seq_b = x.seq_b GROUP BY 1, 2, 3 HAVING sum(length) > 3000""",
     "POL-01": f"""{with_views("sites", "hubs", "polygons")}, a AS (SELECT * FROM sites UNION ALL SELECT * FROM hubs), z AS (SELECT site_id, polygon_id, name, lower(site_type) LIKE '%hub%' AS hub, row_number() OVER (PARTITION BY polygon_id, lower(site_type) LIKE '%hub%' ORDER BY site_id) AS n FROM a JOIN polygons ON {_IN}),
       f AS (SELECT *, CASE WHEN hub AND n = 1 THEN 'Start' WHEN hub AND n = 2 THEN 'End' WHEN NOT hub THEN '' END AS flag, regexp_extract(name, '\\b(\\d{{2}})([A-Z]{{3}})(\\d+)\\b', 2) AS code FROM z)
-      SELECT site_id, polygon_id, flag, concat('TBG-', code, '-P-DF', lpad(CAST(dense_rank() OVER (PARTITION BY code ORDER BY polygon_id) AS VARCHAR), 4, '0')) AS ring FROM f WHERE flag IS NOT NULL""",
+      SELECT site_id, polygon_id, flag, concat('RING-', code, '-P-', lpad(CAST(dense_rank() OVER (PARTITION BY code ORDER BY polygon_id) AS VARCHAR), 4, '0')) AS ring FROM f WHERE flag IS NOT NULL""",
 }

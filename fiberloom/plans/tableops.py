@@ -24,8 +24,8 @@ def jn_12(s, d):
 
 
 def jn_13(s, d):
-    program = _r(s, d).where("seq % 2 = 0").select("ring_name", F.concat(F.lit("P"), F.col("seq").cast("string")).alias("program")).distinct()
-    return view(s, d, "site_rings").where("seq < 2").select("site_id", "ring_name").join(program, "ring_name", "left").select("site_id", "program")
+    program = _r(s, d).select("ring_name", F.concat(F.lit("P"), F.col("seq").cast("string")).alias("program")).distinct()
+    return view(s, d, "site_rings").select("site_id", "ring_name").join(program, "ring_name", "left").select("site_id", "program")
 
 
 def jn_14(s, d):
@@ -51,17 +51,20 @@ def agg_07(s, d):
 
 
 def agg_13(s, d):
-    return view(s, d, "buildings").where("building_id % 100 < 50").groupBy(F.col("one_unit"), F.floor(F.col("x") / 10000).alias("zone")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.col("area_in_meters").cast("int"))), lambda v: v.cast("string")), ",").alias("areas"))
+    return view(s, d, "buildings").groupBy(F.col("one_unit"), F.floor(F.col("x") / 10000).alias("zone")).agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.col("area_in_meters").cast("int"))), lambda v: v.cast("string")), ",").alias("areas"))
 
 
 def agg_16(s, d):
-    on = view(s, d, "road_nodes").where("node_id % 3 <> 1").select("node_id")
+    """Used fiber: roads with both ends on the fiber nodes, by the class of the road."""
+    on = view(s, d, "road_nodes").where("ref_fo = 1").select("node_id")
     e = view(s, d, "road_edges").join(on.withColumnRenamed("node_id", "node_start"), "node_start", "left_semi").join(on.withColumnRenamed("node_id", "node_end"), "node_end", "left_semi")
-    return e.groupBy("ref_fo").agg(F.sum("length").alias("used"))
+    return e.groupBy("highway").agg(F.sum("length").alias("used"))
 
 
 def agg_19(s, d):
-    return view(s, d, "sites").groupBy("region").agg(F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"))
+    """Bounds and convex hull of each region's sites, a row for each corner of the hull."""
+    bounds = view(s, d, "sites").groupBy("region").agg(F.min("x").alias("minx"), F.min("y").alias("miny"), F.max("x").alias("maxx"), F.max("y").alias("maxy"))
+    return spatial.hulls(view(s, d, "sites"), "region").drop("vertex").join(bounds, "region")
 
 
 def agg_21(s, d):
@@ -91,7 +94,7 @@ def win_12(s, d):
 
 
 def win_13(s, d):
-    return _r(s, d).select("site_id", F.row_number().over(Window.partitionBy("region").orderBy("ring_name", "seq")).alias("no"))
+    return tables.numbered(_r(s, d).select("site_id", "ring_name", "seq"), ["ring_name", "seq"]).select("site_id", "no")
 
 
 def set_01(s, d):
@@ -116,7 +119,7 @@ def srt_01(s, d):
 
 
 def geo_01(s, d):
-    return files.cells_of(view(s, d, "hubs").where("ord <= 5"), 5000.0, 2500.0)
+    return files.cells_of(view(s, d, "hubs"), 5000.0, 2500.0)
 
 
 def geo_04(s, d):
@@ -207,26 +210,28 @@ _T = f"{_R}{_NOTED}, t AS (SELECT ring_name, seq, site_id AS near_end, lead(site
 
 ORACLE = {
     "JN-12": f"{_R}, s AS ({_SEG.format('site_rings')}) SELECT s.ring_name, a.site_name AS name_a, b.site_name AS name_b FROM s JOIN sites a ON a.site_id = site_id_a JOIN sites b ON b.site_id = site_id_b",
-    "JN-13": f"{_R}, p AS (SELECT DISTINCT ring_name, concat('P', CAST(seq AS VARCHAR)) AS program FROM site_rings WHERE seq % 2 = 0) SELECT site_id, program FROM site_rings LEFT JOIN p USING (ring_name) WHERE seq < 2",
+    "JN-13": f"{_R}, p AS (SELECT DISTINCT ring_name, concat('P', CAST(seq AS VARCHAR)) AS program FROM site_rings) SELECT site_id, program FROM site_rings LEFT JOIN p USING (ring_name)",
     "JN-14": f"{with_views('sites', 'buildings')} SELECT site_id, count(*) AS homes FROM sites p JOIN buildings q ON q.x BETWEEN p.x - 700 AND p.x + 700 AND {_D2} <= 490000 WHERE asp_ratio > 0.25 AND area_in_meters > 25 AND area_in_meters < 500 GROUP BY 1",
     "JN-18": f"{_S} SELECT site_id, CASE site_type WHEN 'New Site' THEN 1 WHEN 'Green Field' THEN 2 WHEN 'Rooftop' THEN 3 ELSE 0 END AS grade FROM sites",
     "JN-19": f"""{with_views("hubs", "fiber_lines")}, n AS (SELECT p.site_id, p.x, p.y, f.ax, f.ay, f.bx AS zx, f."by" AS zy, greatest(0.0, least(1.0, ((p.x-f.ax)*(f.bx-f.ax)+(p.y-f.ay)*(f."by"-f.ay))/((f.bx-f.ax)*(f.bx-f.ax)+(f."by"-f.ay)*(f."by"-f.ay)))) AS t FROM hubs p, fiber_lines f)
       SELECT DISTINCT site_id FROM n WHERE (x-(ax+t*(zx-ax)))*(x-(ax+t*(zx-ax)))+(y-(ay+t*(zy-ay)))*(y-(ay+t*(zy-ay))) <= 4000000""",
     "AGG-07": f"{_R} SELECT ring_name, max(CASE WHEN seq = 0 THEN site_id END) AS s0, max(CASE WHEN seq = 1 THEN site_id END) AS s1, max(CASE WHEN seq = 2 THEN site_id END) AS s2 FROM site_rings GROUP BY 1",
-    "AGG-13": f"{with_views('buildings')} SELECT one_unit, CAST(floor(x/10000) AS BIGINT) AS zone, string_agg(CAST(CAST(area_in_meters AS INT) AS VARCHAR), ',' ORDER BY area_in_meters) AS areas FROM buildings WHERE building_id % 100 < 50 GROUP BY 1, 2",
-    "AGG-16": f"{with_views('road_edges')} SELECT ref_fo, sum(length) AS used FROM road_edges WHERE node_start % 3 <> 1 AND node_end % 3 <> 1 GROUP BY 1",
-    "AGG-19": f"{_S} SELECT region, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy FROM sites GROUP BY 1",
+    "AGG-13": f"{with_views('buildings')} SELECT one_unit, CAST(floor(x/10000) AS BIGINT) AS zone, string_agg(CAST(CAST(area_in_meters AS INT) AS VARCHAR), ',' ORDER BY area_in_meters) AS areas FROM buildings GROUP BY 1, 2",
+    "AGG-16": f"{with_views('road_edges', 'road_nodes')}, o AS (SELECT node_id FROM road_nodes WHERE ref_fo = 1) SELECT highway, sum(length) AS used FROM road_edges WHERE node_start IN (SELECT * FROM o) AND node_end IN (SELECT * FROM o) GROUP BY 1",
+    "AGG-19": f"""{_S}, b AS (SELECT region, min(x) AS minx, min(y) AS miny, max(x) AS maxx, max(y) AS maxy FROM sites GROUP BY 1), p AS (SELECT DISTINCT region, x, y FROM sites),
+      t AS (SELECT a.region, a.x, a.y, e.x AS ex, e.y AS ey, (e.x-a.x)*(q.y-a.y)-(e.y-a.y)*(q.x-a.x) AS side, (e.x-a.x)*(q.x-a.x)+(e.y-a.y)*(q.y-a.y) AS ahead FROM p a JOIN p e ON a.region = e.region AND (a.x, a.y) <> (e.x, e.y) JOIN p q ON q.region = a.region AND (q.x, q.y) <> (a.x, a.y)),
+      h AS (SELECT region, x, y FROM t GROUP BY region, x, y, ex, ey HAVING bool_and(side > 0 OR side = 0 AND ahead > 0)) SELECT DISTINCT region, x, y, minx, miny, maxx, maxy FROM h JOIN b USING (region)""",
     "AGG-21": f"{_R}, e AS (SELECT arg_min(x, seq) AS x, arg_min(y, seq) AS y FROM site_rings GROUP BY ring_name UNION ALL SELECT arg_max(x, seq), arg_max(y, seq) FROM site_rings GROUP BY ring_name) SELECT x, y FROM e GROUP BY 1, 2 HAVING count(*) = 1",
     "WIN-04": f"{_H}, r AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY x*x+y*y, site_id) AS n FROM hubs) SELECT region, site_id, CASE n WHEN 1 THEN 'start' ELSE 'end' END AS flag FROM r WHERE n <= 2",
     "WIN-06": f"{_R}, s AS ({_SEG.format('site_rings')}), z AS (SELECT *, row_number() OVER (PARTITION BY ring_name ORDER BY length, sequence) AS n FROM s WHERE site_id_b IS NOT NULL) SELECT ring_name, site_id_a, CAST(n AS INT) AS route_no FROM z WHERE n <= 3",
     "WIN-08": f"{_S} SELECT site_id, concat(upper(substring(site_type, 1, 3)), '-DF', lpad(CAST(row_number() OVER (PARTITION BY substring(site_type, 1, 3) ORDER BY site_id) AS VARCHAR), 4, '0')) AS name FROM sites",
     "WIN-12": f"{with_views('sites', 'hubs')}, k AS (SELECT p.site_id, q.site_id AS member, row_number() OVER (PARTITION BY p.site_id ORDER BY {_D2}, q.site_id) AS n FROM hubs p JOIN sites q ON {_D2} <= 64000000) SELECT site_id, member, CAST(n AS INT) AS nth FROM k WHERE n <= 4",
-    "WIN-13": f"{_R} SELECT site_id, CAST(row_number() OVER (PARTITION BY region ORDER BY ring_name, seq) AS INT) AS no FROM site_rings",
+    "WIN-13": f"{_R} SELECT site_id, CAST(row_number() OVER (ORDER BY ring_name, seq) AS BIGINT) AS no FROM site_rings",
     "SET-01": f"{with_views('sites', 'hubs')} SELECT site_id, site_type, region, CAST(NULL AS DOUBLE) AS place FROM sites UNION ALL SELECT site_id, site_type, NULL, x FROM hubs",
     "SET-02": f"{_S} SELECT DISTINCT region, site_type FROM sites",
     "SET-03": f"{_R}, u AS (SELECT DISTINCT ring_name, site_type FROM site_rings) SELECT ring_name, coalesce(string_agg(CASE WHEN site_type IN ('New Site', 'Rooftop') THEN site_type END, ',' ORDER BY site_type), '') AS both, coalesce(string_agg(CASE WHEN site_type NOT IN ('New Site', 'Rooftop') THEN site_type END, ',' ORDER BY site_type), '') AS rest FROM u GROUP BY 1",
     "SRT-01": f"{_R} SELECT site_id, CAST(row_number() OVER (PARTITION BY ring_name ORDER BY CASE WHEN seq % 2 = 0 THEN region END ASC NULLS LAST, seq DESC) AS INT) AS place FROM site_rings",
-    "GEO-01": f"""{_H}, o AS (SELECT ord, unnest(range(CAST(floor((x-2500)/5000.0) AS BIGINT), CAST(floor((x+2500)/5000.0) AS BIGINT)+1)) AS i, y FROM hubs WHERE ord <= 5), q AS (SELECT i, unnest(range(CAST(floor((y-2500)/5000.0) AS BIGINT), CAST(floor((y+2500)/5000.0) AS BIGINT)+1)) AS j FROM o) SELECT DISTINCT concat(CAST(i AS VARCHAR), '_', CAST(j AS VARCHAR)) AS cell FROM q""",
+    "GEO-01": f"""{_H}, o AS (SELECT ord, unnest(range(CAST(floor((x-2500)/5000.0) AS BIGINT), CAST(floor((x+2500)/5000.0) AS BIGINT)+1)) AS i, y FROM hubs), q AS (SELECT i, unnest(range(CAST(floor((y-2500)/5000.0) AS BIGINT), CAST(floor((y+2500)/5000.0) AS BIGINT)+1)) AS j FROM o) SELECT DISTINCT concat(CAST(i AS VARCHAR), '_', CAST(j AS VARCHAR)) AS cell FROM q""",
     "GEO-04": f"{_R} SELECT ring_name, CAST(row_number() OVER (PARTITION BY ring_name ORDER BY seq) - 1 AS INT) AS vertex, x, y FROM site_rings",
     "GEO-23": f"{with_views('sites', 'road_nodes')}, k AS (SELECT site_id, ref_fo, row_number() OVER (PARTITION BY site_id ORDER BY {_D2}, node_id) AS n FROM sites p, road_nodes q) SELECT site_id, CASE ref_fo WHEN 1 THEN 'Existing' ELSE 'New' END AS fo_note FROM k WHERE n = 1",
     "RPT-01": f"{_T} SELECT r.site_id, a.far_end AS next, b.near_end AS previous FROM site_rings r LEFT JOIN o a ON a.near_end = r.site_id LEFT JOIN o b ON b.far_end = r.site_id",
