@@ -216,3 +216,120 @@ def pivots(sites: DataFrame, devices: DataFrame, routes: DataFrame, obstacle: Da
 def flattened(rows: DataFrame, keys: list[str], column: str) -> DataFrame:
     """One row for each entry of a map column."""
     return rows.select(*keys, F.explode(column).alias("fiber", "value"))
+
+
+def fiber_pairs(lines: DataFrame, fiber: DataFrame, reach: float, keys: list[str]) -> DataFrame:
+    """Pairs of a line (``keys``, ``line``) and a fiber (``fiber``, ``ref``) that may come within reach of each other.
+
+    Segment against segment: both are dealt to the cells of their boxes, the fiber's grown by the reach.
+    """
+    cell = max(reach * 8, 1000.0)
+    span = lambda a, b, grow: F.explode(F.sequence(F.floor((F.least(a, b) - grow) / cell), F.floor((F.greatest(a, b) + grow) / cell)))
+
+    def cells(rows: DataFrame, names: list[str], line: str, grow: float) -> DataFrame:
+        s = rows.select(*names, F.explode(geo.segments(F.col(line))).alias("s"))
+        s = s.withColumn("cx", span(F.col("s.a.x"), F.col("s.b.x"), grow)).withColumn("cy", span(F.col("s.a.y"), F.col("s.b.y"), grow))
+        return s.select(*names, "cx", "cy").distinct()
+
+    met = cells(lines, keys, "line", 0.0).join(cells(fiber, ["fiber"], "ref", reach), ["cx", "cy"]).select(*keys, "fiber").distinct()
+    return met.join(lines, keys).join(fiber, "fiber")
+
+
+def stretches(lines: DataFrame, fiber: DataFrame, reach: float = 30.0, tolerance: float = 5.0) -> DataFrame:
+    """``line_id, fiber, first, last, length, class``: where lines run along existing fiber, a row for each fiber.
+
+    A stretch that a longer one of the line covers within the tolerance goes. Beyond 1000 m it is
+    ``fo_exist``, beyond 100 m ``pole_exist``; shorter ones don't count.
+    """
+    pairs = fiber_pairs(lines.select("line_id", "line"), fiber, reach, ["line_id"]).withColumnRenamed("ref", "other")
+    o = fiber_overlap(pairs.select("line_id", "fiber", "line", "other"), reach).where("existing > 0")
+    o = o.select("line_id", "fiber", "first", "last", F.col("existing").alias("length")).withColumn("class", overlap_class(F.col("length"))).where("class <> 'none'")
+    # Longest first: covered by one that begins no later, ends no earlier, and is longer (or the earlier name).
+    other = o.select("line_id", F.col("fiber").alias("f2"), F.col("first").alias("a2"), F.col("last").alias("b2"), F.col("length").alias("n2"))
+    longer = (F.col("n2") > F.col("length")) | (F.col("n2") == F.col("length")) & (F.col("f2") < F.col("fiber"))
+    covered = o.join(other, "line_id").where((F.col("a2") <= F.col("first") + tolerance) & (F.col("b2") >= F.col("last") - tolerance) & longer).select("line_id", "fiber").distinct()
+    return o.join(covered, ["line_id", "fiber"], "left_anti")
+
+
+def parts(lines: DataFrame) -> DataFrame:
+    """Lines with ``length``, ``access_ne`` and ``access_fe``: how far the near and the far end's device is along the line from that end.
+
+    ``lines`` has ``line_id, line`` and the devices at ``nx, ny`` and ``fx, fy``; one that is nearer
+    to the other end gives no access part. What lies between is ``backbone``.
+    """
+
+    @F.pandas_udf("length double, near double, far double")
+    def split(line: pd.Series, nx: pd.Series, ny: pd.Series, fx: pd.Series, fy: pd.Series) -> pd.DataFrame:
+        rows = []
+        for raw, a, b, c, d in zip(line, nx, ny, fx, fy, strict=True):
+            pts = _points(raw)
+            rows.append((kernel.length(pts), kernel.measure(pts, a, b)[0], kernel.measure(pts, c, d)[0]))
+        return pd.DataFrame(rows, columns=["length", "near", "far"])
+
+    out = lines.withColumn("s", split("line", "nx", "ny", "fx", "fy"))
+    n, near, far = F.col("s.length"), F.col("s.near"), F.col("s.far")
+    ne, fe = F.when(near <= n - near, near).otherwise(0.0), F.when(n - far <= far, n - far).otherwise(0.0)
+    return out.select(*lines.columns, n.alias("length"), ne.alias("access_ne"), fe.alias("access_fe"), F.greatest(F.lit(0.0), n - ne - fe).alias("backbone"))
+
+
+def bill(points: DataFrame, lines: DataFrame, fiber: DataFrame, barriers: DataFrame, reach: float = 30.0) -> dict[str, DataFrame]:
+    """Bill of quantity of all rings at once: ``points``, ``lines``, ``stretches``, ``closures`` and ``obstacles``.
+
+    ``points`` has ``ring_name, site_id, x, y``; ``lines`` ``ring_name, line_id, near_end, far_end,
+    line`` with a unique ``line_id``; ``fiber`` ``fiber, ref``; ``barriers`` as in :func:`obstacles`.
+    Devices come from the nodes and turns of the lines; closures are the ends of an existing
+    stretch that lie on the backbone.
+    """
+    from fiberloom.runtime import durable
+
+    nodes, edges = graph_tables(lines, "line_id")
+    nodes, edges = durable(nodes), durable(edges)
+    at = nodes.select("node_id", "x", "y")
+    placed = devices(points, nodes, turns(nodes, edges))
+    placed = durable(points.join(placed, "site_id").join(at.toDF("otb", "otb_x", "otb_y"), "otb").join(at.toDF("odp", "odp_x", "odp_y"), "odp"))
+    end = lambda side, x, y: placed.select(F.col("site_id").alias(f"{side}_end"), F.col("odp_x").alias(x), F.col("odp_y").alias(y)).dropDuplicates([f"{side}_end"])
+    cut = durable(parts(lines.join(end("near", "nx", "ny"), "near_end").join(end("far", "fx", "fy"), "far_end")))
+    runs = durable(stretches(lines, fiber, reach))
+    on = runs.where("class = 'fo_exist'").join(cut.select("line_id", "line", "access_ne", "access_fe", F.col("length").alias("whole")), "line_id")
+    ends = on.withColumn("m", F.explode(F.array("first", "last"))).where("m > access_ne + 1e-6 and m < whole - access_fe - 1e-6")
+
+    @F.pandas_udf("x double, y double")
+    def place(line: pd.Series, m: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([(kernel.substring(_points(raw), at_, at_) or [_points(raw)[-1]])[0] for raw, at_ in zip(line, m, strict=True)], columns=["x", "y"])
+
+    closures = ends.withColumn("p", place("line", "m")).select("line_id", "fiber", "p.x", "p.y")
+    crossed = exploded(lines, "line_id").drop("part")
+    return {"points": placed, "lines": cut, "stretches": runs, "closures": closures, "obstacles": obstacles(crossed, barriers)}
+
+
+def compiled(found: dict[str, DataFrame]) -> DataFrame:
+    """The ten layers of a bill as rows ``layer, ring_name, name, length, x, y``; lines have a length, points a place."""
+    of = found["lines"].select("line_id", "ring_name", F.concat_ws("-", "near_end", "far_end").alias("ends"))
+    none = F.lit(None).cast("double")
+
+    def line(layer: str, rows: DataFrame, name, length) -> DataFrame:
+        return rows.select(F.lit(layer).alias("layer"), "ring_name", name.alias("name"), length.alias("length"), none.alias("x"), none.alias("y"))
+
+    def point(layer: str, rows: DataFrame, name, x: str = "x", y: str = "y") -> DataFrame:
+        return rows.select(F.lit(layer).alias("layer"), "ring_name", name.alias("name"), none.alias("length"), F.col(x).alias("x"), F.col(y).alias("y"))
+
+    ends, points = F.col("ends"), found["points"]
+    cut = found["lines"].withColumn("ends", F.concat_ws("-", "near_end", "far_end"))
+    runs = found["stretches"].join(of, "line_id")
+    crossed = found["obstacles"].join(of, "line_id")
+    layers = [
+        point("odp", points, F.concat_ws(" ", F.lit("ODP"), "site_id"), "odp_x", "odp_y"),
+        point("otb", points, F.concat_ws(" ", F.lit("OTB"), "site_id"), "otb_x", "otb_y"),
+        point("closure", found["closures"].join(of, "line_id"), F.concat_ws(" ", F.lit("Closure"), ends)),
+        line("backbone", cut.where("backbone > 0"), F.concat_ws(" ", F.lit("BB"), ends), F.col("backbone")),
+        line("access_ne", cut.where("access_ne > 0"), F.concat_ws(" ", F.lit("Access"), ends), F.col("access_ne")),
+        line("access_fe", cut.where("access_fe > 0"), F.concat_ws(" ", F.lit("Access"), ends), F.col("access_fe")),
+        line("fo_exist", runs.where("class = 'fo_exist'"), F.concat_ws("/", ends, "fiber"), F.col("length")),
+        line("pole_exist", runs.where("class = 'pole_exist'"), F.concat_ws("/", ends, F.lit("POLE EXT")), F.col("length")),
+        point("obstacle_railway", crossed.where("lower(name) like '%rail%'"), F.concat_ws(" ", F.lit("Obstacle Rail"), ends)),
+        point("obstacle_toll", crossed.where("lower(name) like '%toll%'"), F.concat_ws(" ", F.lit("Obstacle Toll"), ends)),
+    ]
+    out = layers[0]
+    for rows in layers[1:]:
+        out = out.unionByName(rows)
+    return out

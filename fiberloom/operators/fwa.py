@@ -195,3 +195,117 @@ def regions(sites: DataFrame, distance: float = 1000.0) -> DataFrame:
     """Sites with ``group``: the least ``ord`` of the blob of buffered sites they belong to."""
     links = self_pairs(sites, "ord", 2 * distance).select("a", "b")
     return sites.join(connected(links, sites.select(F.col("ord").alias("id"))).withColumnsRenamed({"id": "ord", "component": "group"}), "ord")
+
+
+def balanced_rotations(sites: DataFrame, buildings: DataFrame, distance: float = 500.0, angle: int = 120, threshold: int = 300) -> DataFrame:
+    """Homes of each sector under a site's best rotation by 1000 * valid sectors - the largest surplus of a valid one.
+
+    Every degree is tried, the least of equal ones wins; a sector is valid from the threshold on.
+    Sites without a valid sector under any rotation have no row. Homes are counted by degree of
+    azimuth first, so a rotation adds up 360 numbers of a site at most.
+    """
+    pairs = within_radius(sites.select("site_id", "x", "y"), _homes(buildings), distance)
+    fan = F.floor(geo.azimuth(F.col("bx") - F.col("x"), F.col("by") - F.col("y"))).cast("int")
+    bins = pairs.groupBy("site_id", fan.alias("fan")).agg(F.count(F.lit(1)).alias("n"))
+    tried = bins.withColumn("rotation", F.explode(F.sequence(F.lit(0), F.lit(angle - 1))))
+    sector = F.floor(F.pmod(F.col("fan") - F.col("rotation"), F.lit(360)) / angle).cast("int") + 1
+    sums = tried.where(sector <= 360 // angle).groupBy("site_id", "rotation", sector.alias("sector")).agg(F.sum("n").cast("long").alias("total_homepass"))
+    valid = F.col("total_homepass") >= threshold
+    score = sums.where(valid).groupBy("site_id", "rotation").agg((F.count(F.lit(1)) * 1000 - F.max(F.col("total_homepass") - threshold)).alias("score"))
+    best = score.groupBy("site_id").agg(F.max_by("rotation", F.struct("score", -F.col("rotation"))).alias("rotation"))
+    return sums.join(best, ["site_id", "rotation"]).withColumn("valid", valid)
+
+
+def clean_protected(sites: DataFrame, protected: DataFrame, max_distance: float = 300.0, tolerance: float = 10.0) -> DataFrame:
+    """As :func:`clean_overlaps` with circles of ``max_distance``, where sites of the list ``protected`` (``site_id``) win first.
+
+    Two protected sites keep each other.
+    """
+    mark = sites.join(protected.select("site_id").distinct().withColumn("__in", F.lit(1)), "site_id", "left").withColumn("__in", F.coalesce("__in", F.lit(0)).cast("long"))
+    scores = mark.select("ord", F.array(F.col("__in"), is_greenfield(F.col("site_type")).cast("long"), F.col("total_homepass").cast("long")).alias("score"))
+    pairs = overlaps(sites, max_distance, tolerance, 1.0)
+    for k in ("a", "b"):
+        pairs = pairs.join(mark.select(F.col("ord").alias(k), F.col("__in").alias(f"__{k}")), k)
+    lost = eliminate(pairs.where((F.col("__a") == 0) | (F.col("__b") == 0)), scores).withColumn("__lost", F.lit(True))
+    return sites.join(lost, "ord", "left").withColumn("kept", F.col("__lost").isNull()).drop("__lost")
+
+
+def best_coverage(sites: DataFrame, radius: float, overlap: float = 0.1, connected_only: bool = False, corners: int = 32) -> DataFrame:
+    """Sites with ``kept``: circles chosen one after the other by the area they add, up to ``overlap`` with what is chosen.
+
+    Of equal areas the better ``site_score``, then ``tower_score``, then more ``homes`` goes first, then the
+    first ``ord``. What overlaps a chosen circle too much and has fewer homes goes at once. With
+    ``connected_only`` a circle that touches the chosen ones goes first. Circles that never meet
+    don't bear on each other, so each component of overlapping ones runs alone. The first choice
+    goes by the area that no other circle covers.
+    """
+    links = self_pairs(sites, "ord", 2 * radius).select("a", "b")
+    comp = connected(links, sites.select(F.col("ord").alias("id"))).withColumnsRenamed({"id": "ord", "component": "group"})
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("ord")
+        rings = {o: kernel.polygon(x, y, radius, corners) for o, x, y in rows[["ord", "x", "y"]].itertuples(index=False)}
+        whole = kernel.area(next(iter(rings.values())))
+        score = {r.ord: (r.site_score, r.tower_score, r.homes, -r.ord) for r in rows.itertuples(index=False)}
+        at = {o: (x, y) for o, x, y in rows[["ord", "x", "y"]].itertuples(index=False)}
+        near = {o: [p for p in rings if p != o and (at[o][0] - at[p][0]) ** 2 + (at[o][1] - at[p][1]) ** 2 < 4 * radius * radius] for o in rings}
+        free = {o: kernel.area_outside(rings[o], [rings[p] for p in near[o]]) for o in rings}  # at first: what no other covers
+        left, kept, met = dict.fromkeys(rings), [], set()
+        while left:
+            allowed = [o for o in left if not kept or free[o] > 1e-9 and 1 - free[o] / whole <= overlap]
+            if not allowed:
+                break
+            if connected_only and any(o in met for o in allowed):
+                allowed = [o for o in allowed if o in met]
+            best = max(allowed, key=lambda o: (round(free[o], 6), score[o]))
+            kept.append(best)
+            met.update(near[best])
+            left.pop(best)
+            for o in near[best]:
+                if o in left and kernel.area(kernel.clip_convex(rings[o], rings[best])) / whole > overlap and score[o][2] < score[best][2]:
+                    left.pop(o)
+            for o in left if len(kept) == 1 else [p for p in near[best] if p in left]:
+                free[o] = kernel.area_outside(rings[o], [rings[p] for p in near[o] if p in kept])
+        return pd.DataFrame({"ord": rows["ord"], "kept": rows["ord"].isin(kept)})
+
+    done = sites.join(comp, "ord").groupBy("group").applyInPandas(run, "ord long, kept boolean")
+    return sites.join(done, "ord")
+
+
+def accept_sectors(sites: DataFrame, buildings: DataFrame, protected: DataFrame, distance: float = 500.0, angle: int = 120, group: int = 120, threshold: int = 100, tolerance: float = 10.0) -> DataFrame:
+    """Sectors accepted round by round: all of the protected sites', then what still fits of the others', by homes not yet served.
+
+    Each round sectorizes the sites without an accepted sector over the buildings that no accepted
+    sector serves, drops sectors without homes or with more than ``tolerance`` percent in common with
+    accepted ones, and settles overlaps among the new ones by homes. There are as many rounds as a
+    site has sectors but one. ``sites`` has ``ord, site_id, site_type, x, y``. Returns the sectors with ``round`` (0 for protected).
+    """
+    total = 360 // angle
+
+    def placed(some: DataFrame, homes: DataFrame) -> DataFrame:
+        rows = sectors(rotations(some, homes, distance, angle, threshold), angle, group).join(some, "site_id")
+        return durable(rows.withColumn("ord", F.col("ord") * 1000 + F.col("sector")).withColumn("angle", F.lit(angle)))
+
+    def served(rows: DataFrame) -> DataFrame:
+        pairs = within_radius(rows.select("site_id", "x", "y", "rotation", "sector"), buildings.select("building_id", F.col("x").alias("bx"), F.col("y").alias("by")), distance)
+        fan = F.floor(F.pmod(geo.azimuth(F.col("bx") - F.col("x"), F.col("by") - F.col("y")) - F.col("rotation"), F.lit(360.0)) / angle).cast("int") + 1
+        return pairs.where(fan == F.col("sector")).select("building_id").distinct()
+
+    own = sites.join(protected.select("site_id").distinct(), "site_id", "left_semi")
+    accepted = placed(own, buildings).withColumn("round", F.lit(0))
+    for n in range(1, total):
+        homes = durable(buildings.join(served(accepted), "building_id", "left_anti"))
+        rest = sites.join(accepted.select("site_id").distinct(), "site_id", "left_anti")
+        new = placed(rest, homes).where("total_homepass > 0")
+        if new.isEmpty():
+            break
+        both = new.withColumn("old", F.lit(False)).unionByName(accepted.drop("round").withColumn("old", F.lit(True)))
+        pairs = durable(sector_overlaps(both, distance))
+        old = both.select(F.col("ord").alias("other"), "old")
+        sides = pairs.select(F.col("a").alias("ord"), F.col("b").alias("other"), "percent").unionByName(pairs.select(F.col("b").alias("ord"), F.col("a").alias("other"), "percent"))
+        taken = sides.join(old.where("old"), "other").groupBy("ord").agg(F.sum("percent").alias("p")).where(F.col("p") > tolerance).select("ord")
+        fit = durable(new.join(taken, "ord", "left_anti"))
+        among = pairs.where(F.col("percent") > tolerance).join(fit.select(F.col("ord").alias("a")), "a", "left_semi").join(fit.select(F.col("ord").alias("b")), "b", "left_semi")
+        lost = eliminate(among, fit.select("ord", F.array(F.col("total_homepass").cast("long")).alias("score")))
+        accepted = durable(accepted.unionByName(fit.join(lost, "ord", "left_anti").withColumn("round", F.lit(n))))
+    return accepted

@@ -348,3 +348,146 @@ def reroute(paths: DataFrame, edges: DataFrame, threshold: float = 3000.0, perce
         return pd.DataFrame(rows, columns=["ring_name", "seq", "start", "end", "nodes", "route_type", "length"])
 
     return paths.groupBy("ring_name").cogroup(edges.groupBy("ring_name")).applyInPandas(run, "ring_name string, seq long, start long, end long, nodes array<long>, route_type string, length double")
+
+
+def _fresh(rows: DataFrame) -> DataFrame:
+    """The rows with columns of their own, as both sides of a cogroup may come from one table."""
+    return rows.select(*[F.col(c).alias(c) for c in rows.columns])
+
+
+def nearest_hubs(points: DataFrame, hubs: DataFrame, edges: DataFrame, group: str, max_distance: float = 10_000.0, k: int = 2) -> DataFrame:
+    """``group, hub_id, dist, flag``: the k hubs nearest to any of a group's points by road, at most ``max_distance`` away.
+
+    ``points`` has ``group, node``, ``hubs`` ``group, hub_id, node`` (the candidates of each group,
+    one for each place), ``edges`` as in :func:`distances`. One search starts from all points at
+    once, up to twice the distance. The nearest is the start, the last one kept the end.
+    """
+
+    def run(key, p: pd.DataFrame, h: pd.DataFrame) -> pd.DataFrame:
+        # Roads and hubs come in one frame, told apart by ``kind``.
+        e, h = h[h["kind"] == "road"], h[h["kind"] == "hub"]
+        graph = adjacency(e[["a", "b", "weight"]].itertuples(index=False))
+        cost, _ = dijkstra(graph, sorted(set(p["node"])), 2 * max_distance)
+        found = sorted((cost[n], i) for i, n in h[["hub_id", "a"]].drop_duplicates("a").itertuples(index=False) if cost.get(n, UNREACHABLE) <= max_distance)[:k]
+        flags = ["start"] + ["end"] * (len(found) - 1)
+        return pd.DataFrame([(key[0], i, float(c), f) for (c, i), f in zip(found, flags, strict=False)], columns=[group, "hub_id", "dist", "flag"])
+
+    roads = edges.select(group, F.lit("road").alias("kind"), F.lit(None).cast("string").alias("hub_id"), F.col("node_start").cast("long").alias("a"), F.col("node_end").cast("long").alias("b"), "weight")
+    ends = hubs.orderBy("hub_id").select(group, F.lit("hub").alias("kind"), "hub_id", F.col("node").cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("weight"))
+    kind = points.schema[group].dataType.simpleString()
+    both = _fresh(roads.unionByName(ends))
+    return points.select(group, F.col("node").cast("long").alias("node")).groupBy(group).cogroup(both.groupBy(group)).applyInPandas(run, f"{group} {kind}, hub_id string, dist double, flag string")
+
+
+def nearest_fiber(points: DataFrame, nodes: DataFrame, edges: DataFrame, group: str, cutoff: float) -> DataFrame:
+    """``group, site_id, fiber_node, dist``: the nearest fiber node of each point by road, null beyond the cutoff.
+
+    ``points`` has ``group, site_id, node``; ``nodes`` the fiber nodes (``group, node``). One search
+    from all fiber nodes of a group at once gives every node its nearest.
+    """
+
+    def run(key, p: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        graph = adjacency(e.loc[e["kind"] == "road", ["a", "b", "weight"]].itertuples(index=False))
+        fiber = sorted(set(e.loc[e["kind"] == "fiber", "a"]))
+        cost, came = dijkstra(graph, fiber, cutoff)
+        first: dict = {}
+        for n in sorted(cost, key=lambda v: cost[v]):  # predecessors come before what they lead to
+            first[n] = first[came[n]] if n in came and cost[n] > 0 else n
+        rows = [(key[0], s, first.get(n), cost.get(n)) for s, n in p[["site_id", "node"]].itertuples(index=False)]
+        return pd.DataFrame(rows, columns=[group, "site_id", "fiber_node", "dist"]).astype({"fiber_node": "Int64"})
+
+    roads = edges.select(group, F.lit("road").alias("kind"), F.col("node_start").cast("long").alias("a"), F.col("node_end").cast("long").alias("b"), "weight")
+    lit = nodes.select(group, F.lit("fiber").alias("kind"), F.col("node").cast("long").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("weight"))
+    kind = points.schema[group].dataType.simpleString()
+    return points.select(group, "site_id", F.col("node").cast("long").alias("node")).groupBy(group).cogroup(_fresh(roads.unionByName(lit)).groupBy(group)).applyInPandas(run, f"{group} {kind}, site_id string, fiber_node long, dist double")
+
+
+def follow(pairs, start, stops: set) -> tuple[list, str]:
+    """Walk from ``start`` along near/far pairs up to the first of ``stops``, and how it ended: hub, loop or dead end."""
+    nxt = {}
+    for a, b in pairs:
+        nxt.setdefault(a, b)
+    out, seen = [start], {start}
+    while True:
+        if out[-1] not in nxt:
+            return out, "dead end"
+        to = nxt[out[-1]]
+        if to in seen:
+            return out, "hub" if to == start and to in stops else "loop"
+        out.append(to)
+        seen.add(to)
+        if to in stops:
+            return out, "hub"
+
+
+def linear_walk(segments: DataFrame, points: DataFrame) -> DataFrame:
+    """``ring_name, place, site_id, ended``: points from a ring's first hub along near to far ends up to the next hub.
+
+    ``ended`` is ``hub`` where the walk comes to one (or closes on its start), ``loop`` where it
+    meets itself before, ``dead end`` where a point has no successor. Rings without a hub give
+    nothing. ``segments`` has ``ring_name, seq, near_end, far_end``, ``points`` ``ring_name, seq, site_id, site_type``.
+    """
+
+    def run(key, s: pd.DataFrame, p: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("seq")
+        hubs = p.loc[p["site_type"].fillna("").str.lower().str.contains("hub"), "site_id"].tolist()
+        if not hubs:
+            return pd.DataFrame([], columns=["ring_name", "place", "site_id", "ended"])
+        order, ended = follow(s.sort_values("seq")[["near_end", "far_end"]].itertuples(index=False), hubs[0], set(hubs))
+        return pd.DataFrame({"ring_name": key[0], "place": range(len(order)), "site_id": order, "ended": ended})
+
+    return segments.groupBy("ring_name").cogroup(points.groupBy("ring_name")).applyInPandas(run, "ring_name string, place int, site_id string, ended string")
+
+
+def insertion_routes(order: DataFrame, edges: DataFrame, places: DataFrame, previous: DataFrame, reach: float = 50.0) -> DataFrame:
+    """``ring_name, seq, near_end, far_end, existing_length, new_length, length, route_type`` of a ring after insertion.
+
+    ``order`` has ``ring_name, place, site_id, note, node, x, y``; ``edges`` as in :func:`routes`;
+    ``places`` ``ring_name, node, x, y``; ``previous`` ``ring_name, near_end, far_end, line``. A hop
+    is new if either end is an insert: it is routed over the roads with a drop wire at both ends,
+    and what runs along the segment it replaces is existing, from the first such place to the
+    last. Two inserts in a row are held against all earlier routes of the ring and the hop before.
+    Other hops keep their earlier line, drawn in either direction. Hops without a path, or
+    without an earlier line, are left out.
+    """
+    from fiberloom.functions import kernel
+
+    def run(key, o: pd.DataFrame, e: pd.DataFrame) -> pd.DataFrame:
+        roads, at, prev = e[e["kind"] == "road"], e[e["kind"] == "place"], e[e["kind"] == "line"]
+        graph = adjacency(roads[["a", "b", "weight"]].itertuples(index=False))
+        xy = {n: (x, y) for n, x, y in at[["a", "x", "y"]].itertuples(index=False)}
+        drawn: dict = {}
+        for a, b, line in prev[["near", "far", "line"]].itertuples(index=False):
+            drawn.setdefault((a, b), [(p["x"], p["y"]) for p in line])
+        o = o.sort_values("place")
+        rows = list(o[["site_id", "note", "node", "x", "y"]].itertuples(index=False))
+        out, before = [], None
+        for i, (s, t) in enumerate(zip(rows, rows[1:], strict=False)):
+            if "insert" not in (s.note, t.note):
+                line = drawn.get((s.site_id, t.site_id)) or drawn.get((t.site_id, s.site_id))
+                if line:
+                    n = kernel.length(line)
+                    out.append((key[0], i, s.site_id, t.site_id, round(n, 2), 0.0, round(n, 2), "Existing Route"))
+                continue
+            if s.note == t.note == "insert":
+                refs = [*drawn.values(), *([before] if before else [])]
+            else:
+                a, b = (s.site_id, rows[i + 2].site_id if i + 2 < len(rows) else t.site_id) if t.note == "insert" else (rows[i - 1].site_id if i else s.site_id, t.site_id)
+                refs = [drawn[a, b]] if (a, b) in drawn else []
+            nodes = path(graph, s.node, t.node)
+            if nodes is None:
+                continue
+            line = [(s.x, s.y), *(xy[n] for n in nodes if n in xy), (t.x, t.y)]
+            spans = [x for r in refs for x in kernel.near_spans(line, r, reach)]
+            n = kernel.length(line)
+            on = max(x[1] for x in spans) - min(x[0] for x in spans) if spans else 0.0
+            out.append((key[0], i, s.site_id, t.site_id, round(on, 2), round(n - on, 2), round(n, 2), "New Route"))
+            before = line
+        return pd.DataFrame(out, columns=["ring_name", "seq", "near_end", "far_end", "existing_length", "new_length", "length", "route_type"])
+
+    none = lambda kind: F.lit(None).cast(kind)
+    line = previous.schema["line"].dataType
+    rows = edges.select("ring_name", F.lit("road").alias("kind"), F.col("node_start").cast("long").alias("a"), F.col("node_end").cast("long").alias("b"), "weight", none("double").alias("x"), none("double").alias("y"), none("string").alias("near"), none("string").alias("far"), none(line).alias("line"))
+    rows = rows.unionByName(places.select("ring_name", F.lit("place").alias("kind"), F.col("node").cast("long").alias("a"), "x", "y"), allowMissingColumns=True)
+    rows = rows.unionByName(previous.select("ring_name", F.lit("line").alias("kind"), F.col("near_end").alias("near"), F.col("far_end").alias("far"), "line"), allowMissingColumns=True)
+    return order.groupBy("ring_name").cogroup(_fresh(rows).groupBy("ring_name")).applyInPandas(run, "ring_name string, seq int, near_end string, far_end string, existing_length double, new_length double, length double, route_type string")

@@ -148,3 +148,23 @@ def edge_costs(edges: DataFrame, nodes: DataFrame, kind: str = "full_weighted",
         "full_weighted": F.when(fiber, fiber_cost).otherwise(cable_cost) * F.col("length") * road + F.col("charge"),
     }.get(kind, F.col("length"))
     return one.withColumn("fiber", fiber).withColumn("weight", cost.cast("double")).drop("__node_start", "__node_end", "charge")
+
+
+def hub_assignment(points: DataFrame, hubs: DataFrame, max_distance: float = 10_000.0, use_centroid: bool = False, ring: str = "ring_name") -> DataFrame:
+    """``ring, outcome, hub_id, flag``: what becomes of each ring of sites (``ring, site_id, x, y``).
+
+    ``hubs`` within reach in a straight line: ``assigned``, a row for the start and one for the end
+    (the nearest two). None in reach: ``standalone`` if the ring is one site; else, with
+    ``use_centroid``, ``centroid``: the site nearest to the mean of the ring's places is its hub;
+    else ``dropped``.
+    """
+    near = ring_hubs(points, hubs, max_distance, ring).select(ring, F.lit("assigned").alias("outcome"), "hub_id", "flag")
+    lone = points.join(near.select(ring).distinct(), ring, "left_anti")
+    size = lone.groupBy(ring).agg(F.count(F.lit(1)).alias("n"))
+    middle = ring_centroids(lone, ring).withColumnsRenamed({"x": "mx", "y": "my"})
+    far = geo.distance2(F.col("x"), F.col("y"), F.col("mx"), F.col("my"))
+    closest = lone.join(middle, ring).groupBy(ring).agg(F.min_by("site_id", F.struct(far, F.col("site_id"))).alias("hub_id"))
+    outcome = F.when(F.col("n") < 2, "standalone").otherwise("centroid" if use_centroid else "dropped")
+    rest = size.join(closest, ring).withColumn("outcome", outcome)
+    own = F.col("outcome") == "centroid"
+    return near.unionByName(rest.select(ring, "outcome", F.when(own, F.col("hub_id")).alias("hub_id"), F.when(own, "start").alias("flag")))

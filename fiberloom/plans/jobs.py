@@ -126,12 +126,26 @@ def fixroute(pairs: DataFrame, road_edges: DataFrame, road_nodes: DataFrame) ->
     return network.routes(hops, roads, "ring_name", feedback=4.0)
 
 
-def insert_ring(members: DataFrame, segments: DataFrame, sites: DataFrame, max_member: int = 12, max_distance: float = 3000.0) -> dict[str, DataFrame]:
-    """New sites into the rings they can reach; what reaches none comes back apart."""
-    near, far = insert.reachable(sites, segments, max_distance)
-    new = near.select("ring_name", "site_id", "near_end", F.sqrt("d2").alias("dist"))
-    out = insert.inserted(members, new, max_member)
-    return {"rings": rings.gained(out), "not_inserted": far}
+def insert_ring(members: DataFrame, segments: DataFrame, sites: DataFrame, road_edges: DataFrame, road_nodes: DataFrame, max_member: int = 12, max_distance: float = 3000.0) -> dict[str, DataFrame]:
+    """New sites into the rings they can reach, in order of road distance from their near end, and the rings' routes.
+
+    Rings without one or two hubs take no site. What reaches no ring, or has no road to its near
+    end, comes back apart.
+    """
+    topo = rings.topology(members)
+    sound = topo.where("not rejected").select("ring_name").distinct()
+    near, far = insert.reachable(sites, segments.join(sound, "ring_name", "left_semi"), max_distance)
+    both = near.select("ring_name", "site_id", "x", "y").unionByName(members.select("ring_name", "site_id", "x", "y").join(near.select("ring_name").distinct(), "ring_name", "left_semi"))
+    pts = durable(snapped(both, road_nodes))
+    roads = durable(roads_of(pts, rings.edge_costs(road_edges, road_nodes, "route"), road_nodes, "ring_name"))
+    dist = network.distances(pts.select("ring_name", "site_id", "node"), roads, "ring_name")
+    new = near.join(dist.select("ring_name", F.col("site_i").alias("site_id"), F.col("site_j").alias("near_end"), "dist"), ["ring_name", "site_id", "near_end"])
+    new = durable(new.select("ring_name", "site_id", "near_end", "dist"))
+    out = durable(rings.gained(insert.inserted(members, new, max_member)))
+    at = members.select("site_id", "x", "y").unionByName(sites.select("site_id", "x", "y"))
+    placed = out.withColumnRenamed("place", "seq").join(at, "site_id")
+    lost = far.select("site_id").unionByName(near.join(out.select("site_id"), "site_id", "left_anti").select("site_id")).distinct()
+    return {"rings": out, "distances": new, "paths": routed_insertion(placed, road_edges, road_nodes), "not_inserted": lost}
 
 
 def topology_ring(lines: DataFrame, sites: DataFrame) -> DataFrame:
@@ -183,6 +197,44 @@ def identify_centerline(lines: DataFrame, tolerance: float = 1.0, reach: float =
     return lines.join(kept, "ord", "left_semi")
 
 
+def hubs_by_road(points: DataFrame, hubs: DataFrame, road_edges: DataFrame, road_nodes: DataFrame, max_distance: float = 10_000.0) -> DataFrame:
+    """The two hubs nearest to each ring by road. Candidates are hubs within reach of a site in a straight line, one for each place."""
+    pts = durable(snapped(points, road_nodes))
+    one = hubs.groupBy("x", "y").agg(F.min("site_id").alias("hub_id"))
+    near = spatial.within_radius(pts.select("ring_name", "site_id", "x", "y"), one.select("hub_id", F.col("x").alias("bx"), F.col("y").alias("by")), max_distance)
+    at = snapped(one.withColumnRenamed("hub_id", "site_id"), road_nodes).select(F.col("site_id").alias("hub_id"), "node")
+    candidates = durable(near.select("ring_name", "hub_id").distinct().join(at, "hub_id"))
+    roads = durable(roads_of(pts, rings.edge_costs(road_edges, road_nodes, "route"), road_nodes, "ring_name", 2 * max_distance))
+    return network.nearest_hubs(pts, candidates, roads, "ring_name", max_distance)
+
+
+def routed_insertion(points: DataFrame, road_edges: DataFrame, road_nodes: DataFrame, previous: DataFrame | None = None) -> DataFrame:
+    """Routes of rings after insertion; ``points`` has ``ring_name, seq, site_id, note, x, y`` in the new order.
+
+    ``previous`` (``ring_name, near_end, far_end, line``) are the earlier routes; without it they are
+    straight between the sites that were there before.
+    """
+    pts = durable(snapped(points, road_nodes))
+    if previous is None:
+        old = rings.segments(points.where("note <> 'insert'")).select("ring_name", F.col("site_id_a").alias("near_end"), F.col("site_id_b").alias("far_end"))
+        at = lambda e, k: points.select(F.col("site_id").alias(e), F.struct("x", "y").alias(k))
+        previous = old.join(at("near_end", "a"), "near_end").join(at("far_end", "b"), "far_end").select("ring_name", "near_end", "far_end", F.array("a", "b").alias("line"))
+    roads = durable(roads_of(pts, rings.edge_costs(road_edges, road_nodes, "fiber"), road_nodes, "ring_name"))
+    ends = roads.select("ring_name", F.col("node_start").alias("node")).unionByName(roads.select("ring_name", F.col("node_end").alias("node"))).distinct()
+    places = ends.join(road_nodes.select(F.col("node_id").alias("node"), "x", "y"), "node")
+    order = pts.select("ring_name", F.col("seq").alias("place"), "site_id", "note", F.col("node").cast("long").alias("node"), "x", "y")
+    return network.insertion_routes(order, roads, places, previous)
+
+
+def bill_of_quantity(points: DataFrame, lines: DataFrame, fiber: DataFrame, barriers: DataFrame) -> dict[str, DataFrame]:
+    """The bill of all rings: its parts, the ten ``layers`` and a ``summary`` by ring."""
+    found = boq.bill(points, lines, fiber, barriers)
+    layers = durable(boq.compiled(found))
+    lengths = [F.round(F.sum(F.when(F.col("layer") == k, F.col("length")).otherwise(0.0)), 3).alias(k) for k in ("backbone", "access_ne", "access_fe", "fo_exist", "pole_exist")]
+    counts = [F.sum(F.when(F.col("layer") == k, 1).otherwise(0)).cast("long").alias(k) for k in ("odp", "otb", "closure", "obstacle_railway", "obstacle_toll")]
+    return found | {"layers": layers, "summary": layers.groupBy("ring_name").agg(*counts, *lengths)}
+
+
 # queries ----------------------------------------------------------------------------------------
 
 def _ringed(s, d):
@@ -215,7 +267,20 @@ def job_insert(s, d):
     at = lambda e, k: view(s, d, "sites").select(F.col("site_id").alias(e), F.col("x").alias(f"{k}x"), F.col("y").alias(f"{k}y"))
     segs = p.join(at("near_end", "a"), "near_end").join(at("far_end", "b"), "far_end")
     new = view(s, d, "hubs").select(F.concat(F.lit("N"), "site_id").alias("site_id"), "x", "y")
-    return insert_ring(_members(s, d), segs, new, 12, 1500.0)["rings"].select("ring_name", "place", "site_id", "note")
+    return insert_ring(_members(s, d), segs, new, view(s, d, "road_edges"), view(s, d, "road_nodes"), 12, 1500.0)
+
+
+def ins_02(s, d):
+    return job_insert(s, d)["rings"].select("ring_name", "place", "site_id", "note")
+
+
+def gr_15(s, d):
+    """Road distance of each new site from its near end."""
+    return job_insert(s, d)["distances"]
+
+
+def ins_02_paths(s, d):
+    return job_insert(s, d)["paths"].select("ring_name", "near_end", "far_end", "existing_length", "new_length", "length", "route_type")
 
 
 def job_topology(s, d):
@@ -249,7 +314,7 @@ def job_utilization(s, d):
 
 
 QUERIES = {
-    "JOB-supervised": job_supervised, "JOB-unsupervised": job_unsupervised, "FIX-01": job_fixroute, "INS-02": job_insert, "TOP-01": job_topology, "UPD-01": job_update,
+    "JOB-supervised": job_supervised, "JOB-unsupervised": job_unsupervised, "FIX-01": job_fixroute, "INS-02": ins_02, "INS-02-paths": ins_02_paths, "GR-15": gr_15, "TOP-01": job_topology, "UPD-01": job_update,
     "GR-08": gr_08, "FWA-07": job_fwa, "UTL-01": job_centerline, "UTL-02": job_utilization,
 }
 

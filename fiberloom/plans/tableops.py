@@ -168,14 +168,6 @@ def gr_04(s, d):
     return network.distances(pts, e, "ring_name", 5e8).where("site_i < site_j").select("ring_name", "site_i", "site_j", "dist")
 
 
-def gr_05(s, d):
-    """The two nearest of a ring's other sites by road from its first site."""
-    pts, e = _ring_nodes(s, d)
-    first = pts.groupBy("ring_name").agg(F.min("site_id").alias("site_i"))
-    n = F.row_number().over(Window.partitionBy("ring_name").orderBy("dist", "site_j"))
-    return network.distances(pts, e, "ring_name").join(first, ["ring_name", "site_i"]).withColumn("n", n).where("n <= 2").select("ring_name", "site_j", F.when(F.col("n") == 1, "start").otherwise("end").alias("flag"))
-
-
 def gr_17(s, d):
     segs = rings.segments(_r(s, d)).select(F.col("site_id_a").alias("near_end"), F.col("site_id_b").alias("far_end"), "length", "sequence")
     drawn = segs.where("sequence % 2 = 0").select(F.col("far_end").alias("near_end"), F.col("near_end").alias("far_end"), "length")
@@ -201,7 +193,7 @@ def rpt_02(s, d):
 QUERIES = {
     "JN-12": jn_12, "JN-13": jn_13, "JN-14": jn_14, "JN-18": jn_18, "JN-19": jn_19, "AGG-07": agg_07, "AGG-13": agg_13, "AGG-16": agg_16, "AGG-19": agg_19, "AGG-21": agg_21,
     "WIN-04": win_04, "WIN-06": win_06, "WIN-08": win_08, "WIN-12": win_12, "WIN-13": win_13, "SET-01": set_01, "SET-02": set_02, "SET-03": set_03, "SRT-01": srt_01,
-    "GEO-01": geo_01, "GEO-04": geo_04, "GEO-06": geo_06, "GEO-23": geo_23, "INS-01": ins_01, "FWA-08": fwa_08, "RPT-01": rpt_01, "RPT-02": rpt_02, "GR-04": gr_04, "GR-05": gr_05, "GR-17": gr_17, "CL-05": cl_05,
+    "GEO-01": geo_01, "GEO-04": geo_04, "GEO-06": geo_06, "GEO-23": geo_23, "INS-01": ins_01, "FWA-08": fwa_08, "RPT-01": rpt_01, "RPT-02": rpt_02, "GR-04": gr_04, "GR-17": gr_17, "CL-05": cl_05,
 }
 
 _R, _S, _H = with_views("site_rings"), with_views("sites"), with_views("hubs")

@@ -54,10 +54,12 @@ HOT_KEY = 10_000
 def skewed_join(rows: DataFrame, table: DataFrame, key: str, weight: str) -> DataFrame:
     """Inner join of ``rows`` with a ``table`` of one row for each key, where a key may hold most of the rows.
 
-    ``weight`` is the number of rows of a key. Keys beyond the greater of ``HOT_KEY`` and a
+    A table of at most ``BROADCAST_ROWS`` is broadcast. Beyond that, by ``weight``, the number of rows of a key: keys beyond the greater of ``HOT_KEY`` and a
     hundred-thousandth of all weights are broadcast, and can't be more than a hundred thousand; the rest is shuffled.
     """
-    total = table.agg(F.sum(weight)).first()[0] or 0
+    count, total = table.agg(F.count(F.lit(1)), F.sum(weight)).first()
+    if count <= BROADCAST_ROWS:
+        return rows.join(F.broadcast(table), key)
     bound = max(HOT_KEY, total // 100_000)
     hot = table.where(F.col(weight) > bound)
     if hot.isEmpty():

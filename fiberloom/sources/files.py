@@ -7,10 +7,11 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from fiberloom.functions import geo, kernel
 from fiberloom.operators.tables import clean_names, first_per
-from fiberloom.sources import kml, xlsx
+from fiberloom.sources import kml, vector, xlsx
 
 LON, LAT = ("longitude", "long", "lon", "lng"), ("latitude", "lat")
 
@@ -31,7 +32,7 @@ def with_places(df: DataFrame, threshold: float = 0.85) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """A table by its extension: parquet, csv, xlsx (first sheet unless named), geojson, kml or kmz."""
+    """A table by its extension: parquet, csv, xlsx (first sheet unless named), geojson, kml, kmz, gpkg or shp."""
     kind = path.rsplit(".", 1)[-1].lower()
     if kind == "parquet":
         return spark.read.parquet(path)
@@ -47,6 +48,10 @@ def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> Data
         return f.select("f.properties.*", F.col("f.geometry.type").alias("kind"), F.to_json("f.geometry.coordinates").alias("coordinates"))
     if kind in ("kml", "kmz"):
         return kml.read_kml(spark, path)
+    if kind == "gpkg":
+        return vector.read_gpkg(spark, path)
+    if kind == "shp":
+        return vector.read_shp(spark, f"{path[:-3]}{{shp,dbf}}")
     raise ValueError(f"unsupported file: {path}")
 
 
@@ -58,6 +63,11 @@ def cells_of(points: DataFrame, size: float = 10_000.0, buffer: float = 10_000.0
     return points.select(span("x").alias("i"), F.col("y")).select("i", span("y").alias("j")).select(F.concat_ws("_", "i", "j").alias("cell")).distinct()
 
 
+def cells_of_island(cells: DataFrame, island: str) -> DataFrame:
+    """Distinct cells of an island, from a table of ``cell`` and ``Island``."""
+    return cells.where(F.col("Island") == island).select("cell").distinct()
+
+
 def in_cells(data: DataFrame, cells: DataFrame) -> DataFrame:
     """Rows of a data set partitioned by ``cell``; the list prunes its partitions at run time."""
     return data.join(cells, "cell", "left_semi")
@@ -97,3 +107,60 @@ def zipped(folder: str, target: str) -> str:
             if p.is_file() and p.resolve() != Path(target).resolve():
                 z.write(p, p.relative_to(folder))
     return target
+
+
+def write_bytes(spark: SparkSession, path: str, content: bytes) -> None:
+    """A small file through the file system that Spark uses for the path."""
+    jvm = spark._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        out.write(bytearray(content))
+    finally:
+        out.close()
+
+
+def read_part(spark: SparkSession, path: str, **values) -> DataFrame:
+    """Rows of a data set whose partition columns have the given values; other partitions are not read."""
+    rows = spark.read.parquet(path)
+    for column, value in values.items():
+        rows = rows.where(F.col(column) == value)
+    return rows
+
+
+def city_buildings(spark: SparkSession, path: str, city: str, **limits) -> DataFrame:
+    """Usable buildings of a city, those without a place left out."""
+    from fiberloom.operators.fwa import usable_buildings
+
+    return usable_buildings(read_part(spark, path, city=city).where("x is not null and y is not null"), **limits)
+
+
+def lookup(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    """Some columns of a table; the scan reads no others."""
+    return spark.read.parquet(path).select(*columns)
+
+
+def renamed(df: DataFrame, names: dict[str, str]) -> DataFrame:
+    """Columns by their first name that is there; the others keep theirs."""
+    return df.withColumnsRenamed({a: b for a, b in names.items() if a in df.columns and b not in df.columns})
+
+
+def workbooks(spark: SparkSession, pattern: str, names: dict[str, str], sheet: str | None = None) -> DataFrame:
+    """First (or named) sheet of all workbooks of a pattern as one table; a column that one lacks is null there.
+
+    Workbooks are grouped by their header, so there is a read for each different header, not for each file.
+    """
+    cells = xlsx.read_cells(spark, pattern)
+    first = cells.where(F.col("sheet") == sheet) if sheet else cells.withColumn("__f", F.min("sheet").over(Window.partitionBy("file"))).where("sheet = __f").drop("__f")
+    heads = first.where("row = 0").select("file", F.col("cells").alias("head"))
+    body = first.where("row > 0").join(heads, "file")
+    # Cells by the name of their column, whatever its place.
+    named = body.select("file", F.map_from_entries(F.transform(F.map_entries("cells"), lambda c: F.struct(F.coalesce(F.get(F.map_values(F.map_filter("head", lambda k, _: k == c["key"])), F.lit(0)), c["key"].cast("string")).alias("k"), c["value"].alias("v")))).alias("m"))
+    columns = [r[0] for r in heads.select(F.explode(F.map_values("head")).alias("c")).distinct().orderBy("c").collect()]
+    wide = named.select(*[F.col("m")[c].alias(c) for c in columns])
+    return renamed(wide, names)
+
+
+def routing_template(spark: SparkSession, path: str, sheets: tuple[str, str] = ("Origin", "Destination")) -> tuple[DataFrame, DataFrame]:
+    """Two sheets of places of a routing request; ``ValueError`` where one or its coordinates are missing."""
+    return tuple(with_places(renamed(xlsx.read_sheet(spark, path, s), {}), 0.6) for s in sheets)

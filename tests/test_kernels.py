@@ -35,7 +35,7 @@ def test_linear_referencing():
     assert kernel.length(line) == 20
     assert kernel.measure(line, 12, 5) == pytest.approx((15, 2))
     assert kernel.substring(line, 5, 15) == [(5, 0), (10, 0), (10, 5)]
-    (a, b), = kernel.near_spans([(0, 0), (100, 0)], [(30, 5), (60, 5)], 5.0001, 1.0)
+    (a, b), = kernel.near_spans([(0, 0), (100, 0)], [(30, 5), (60, 5)], 5.0001)
     assert (a, b) == pytest.approx((30, 60), abs=0.1)
 
 
