@@ -4,6 +4,9 @@ All distinct pretokens of an Arrow batch are laid out as one symbol sequence. An
 adjacent pair to all its positions; the active ranks are applied in ascending order, each to every
 position of its pair, and the lists of the neighbouring pairs are updated as symbols merge. Merges
 only create pairs of higher rank, so ascending order over the batch equals pretoken by pretoken.
+
+Texts are cut into pretokens by the format's pattern; one with a character that the Unicode tables
+of ``regex`` and of the tokenizers library class differently is cut by that library's pretokenizer.
 """
 
 from __future__ import annotations
@@ -18,15 +21,19 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Fixed by the byte-level format: the pretoken pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pretokens remembered by one worker; beyond it the memory is emptied, which changes no result.
-CACHE_ENTRIES = 300_000
+CACHE_ENTRIES = 150_000
+#: Bytes of text that are encoded at a time, about.
+CHUNK = 1_000_000
 #: Below this code point the Unicode tables of ``regex`` and of the tokenizers library agree.
 AGREED_BELOW = 0x530
 
@@ -233,51 +240,63 @@ def shared(path: str) -> PairIndexBPE:
     return PairIndexBPE(path)
 
 
-def _chunks(texts: pd.Series, chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``chars`` characters, so that long texts don't pile up in one index."""
+def _chunks(lengths: list[int]) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``CHUNK`` bytes of text, so that neither the index nor the results pile up."""
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t)
-        if size >= chars:
+    for i, n in enumerate(lengths):
+        size += n
+        if size >= CHUNK:
             yield start, i + 1
             start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
-
-
-def encoder_udf(tokenizer: str, with_ids: bool = False):
-    """Pandas UDF from text to the digests (and the ids, where asked for)."""
-
-    @F.pandas_udf(RESULT + (", ids array<int>" if with_ids else ""))
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        model = shared(tokenizer)
-        for texts in batches:
-            texts = texts.fillna("")
-            rows = []
-            for a, b in _chunks(texts):
-                gc.disable()  # millions of short lists and strings, none of them in a cycle
-                parts = [model.parts(t) for t in texts.iloc[a:b]]
-                model._learn({p for ps in parts for p in ps})
-                for ps in parts:
-                    counts, strings, pieces = zip(*map(model.cache.__getitem__, ps), strict=True) if ps else ((), (), ())
-                    ids, back = ",".join(strings), b"".join(pieces).decode("utf-8", "replace")
-                    row = (sum(counts), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back.encode()).hexdigest())
-                    rows.append((*row, np.fromstring(ids, dtype=np.int32, sep=",")) if with_ids else row)
-                gc.enable()
-            yield pd.DataFrame(rows, columns=["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids)
-
-    return encode
-
-
-def encode(docs: DataFrame, tokenizer: str, *, text: str = "text", with_ids: bool = False) -> DataFrame:
-    """Append ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` (and ``ids``) to every row.
+    if start < len(lengths):
+        yield start, len(lengths)
+
+
+def encoded(model: PairIndexBPE, texts: list[str | None], with_ids: bool) -> list[pa.Array]:
+    """Number of ids, digest of the ids and of the decoded text (and the ids) of each text."""
+    gc.disable()  # many short lists and strings, none of them in a cycle
+    try:
+        parts = [model.parts(t) if t else [] for t in texts]
+        model._learn({p for ps in parts for p in ps})
+        counts, digests, back, ids = [], [], [], []
+        for ps in parts:
+            n, strings, pieces = zip(*map(model.cache.__getitem__, ps), strict=True) if ps else ((), (), ())
+            joined = ",".join(strings)
+            counts.append(sum(n))
+            digests.append(hashlib.sha256(joined.encode()).hexdigest())
+            back.append(hashlib.sha256(b"".join(pieces).decode("utf-8", "replace").encode()).hexdigest())
+            if with_ids:
+                ids.append(np.fromstring(joined, dtype=np.int32, sep=",") if joined else np.zeros(0, np.int32))
+    finally:
+        gc.enable()
+    out = [pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(back, pa.string())]
+    if with_ids:
+        offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        out.append(pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)), type=pa.list_(pa.field("element", pa.int32()))))
+    return out
+
+
+def encode(docs: DataFrame, tokenizer: str, *, text: str = "text", with_ids: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """Append ``n_tokens``, ``ids_sha256`` and ``decoded_sha256`` (and ``ids``) to every row, or to its ``keep`` columns.
 
     One narrow stage: nothing is shuffled, and a lost task is simply run again. A null text counts
-    as empty (no ids, the digest of the empty string). Repeated rows each get their result; an
-    empty table gives an empty one. Input columns of the names appended are replaced. Texts of any
-    length are encoded whole; the index covers a bounded chunk of rows at a time.
+    as empty (no ids, the digest of the empty string). Repeated rows and null ids each get their
+    result; an empty table gives an empty one. Input columns of the names appended are replaced.
+    Texts of any length are encoded whole; the index covers a bounded chunk of rows at a time, and
+    what comes back to Spark is as small.
     """
-    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["ids"] * with_ids
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    out = docs.select(*kept, encoder_udf(tokenizer, with_ids)(F.col(text)).alias("__fl_bpe"))
-    return out.select(*kept, *[F.col(f"__fl_bpe.{c}").alias(c) for c in names])
+    new = T._parse_datatype_string(RESULT + (", ids array<int>" if with_ids else ""))
+    kept = [c for c in (docs.columns if keep is None else keep) if c not in new.names]
+    schema = T.StructType([docs.schema[c] for c in kept] + new.fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared(tokenizer)
+        for batch in batches:
+            columns = batch.columns
+            lengths = pc.fill_null(pc.binary_length(columns[-1]), 0).to_pylist()
+            for a, b in _chunks(lengths):
+                found = encoded(model, columns[-1].slice(a, b - a).to_pylist(), with_ids)
+                yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in columns[:-1]] + found, names=schema.names)
+
+    source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__fl_text"))
+    return source.mapInArrow(run, schema)
