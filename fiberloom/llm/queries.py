@@ -73,7 +73,8 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return secrets.scan(docs, words=secrets.learn(docs)).drop("text")
 
 
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,11 +89,12 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).drop("text")
+    return bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path(), keep=["doc_id"])
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.join(table(spark, sf_dir, "documents"), words=4, percent=85)
+    out = jaccard.join(table(spark, sf_dir, "documents"), words=4, percent=85)
+    return out.select("doc_id", "n_shingles", "component_id")
 
 
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,7 +24,8 @@ CONTEXT = re.compile(
     re.IGNORECASE | re.ASCII,
 )
 
-#: Common password words by rank (fixed values), from the head of public frequency lists.
+#: Common password words by rank (fixed values), from the head of public frequency lists. The
+#: dictionary goes on with the most frequent words of the corpus itself.
 COMMON = (
     "password 123456 qwerty letmein admin welcome monkey dragon login princess master hello freedom whatever "
     "trustno1 iloveyou sunshine shadow superman football baseball starwars secret changeme default root test guest "
@@ -31,13 +33,21 @@ COMMON = (
     "hunter love money computer internet server service system database android google january february march april "
     "june july august september october november december the and for you that this with from have not your all"
 ).split()
-RANK = {w: i + 1 for i, w in enumerate(dict.fromkeys(COMMON))}
-LONGEST_WORD = max(map(len, RANK))
+#: Ranked words of the corpus that are kept; their lengths.
+RANKED, SHORTEST, LONGEST = 20_000, 3, 24
 #: Adjacent keys of a US keyboard, row by row (fixed values); walks go along or between rows.
 ROWS = ("`1234567890-=", "qwertyuiop[]\\", "asdfghjkl;'", "zxcvbnm,./")
+#: Keys of a walk, at most; longer ones are several.
+LONGEST_WALK = 24
+#: Characters that repeat, and times they do, at most; longer ones are several.
+LONGEST_PERIOD, MOST_REPEATS = 12, 64
 #: Common substitutions undone before the word lookup (fixed values).
 PLAIN = str.maketrans("013457@$!", "oieastasi")
-DATE = re.compile(r"(?:(?:19|20)\d{2}[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d{2}|(?:19|20)\d{2})")
+DAY, MONTH, YEAR = "(?:0[1-9]|[12][0-9]|3[01])", "(?:0[1-9]|1[0-2])", "(?:(?:19|20)[0-9]{2})"
+#: Each matches in one way only from where it starts; and log10 of how many such dates there are.
+DATES = ((re.compile(f"{YEAR}[-/.]?{MONTH}[-/.]?{DAY}"), math.log10(365 * 120)), (re.compile(f"{DAY}[-/.]?{MONTH}[-/.]?{YEAR}"), math.log10(365 * 120)), (re.compile(YEAR), math.log10(120)))
+#: Each segment costs a factor of 2 for guessing where it starts, and so do capitals and substitutions.
+SPLIT = math.log10(2)
 
 
 def _neighbours() -> dict[str, set[str]]:
@@ -49,48 +59,94 @@ def _neighbours() -> dict[str, set[str]]:
 NEIGHBOURS = _neighbours()
 
 
+def ranks(words: list[str] | None = None) -> dict[str, float]:
+    """log10 of the rank of each known word: the common ones, then those of the corpus."""
+    known = dict.fromkeys([*COMMON, *(words or ())])
+    return {w: math.log10(i + 1) for i, w in enumerate(known)}
+
+
+RANKS = ranks()
+_WORD = re.compile(f"[a-z]{{{SHORTEST},}}")
+
+
+def learn(docs: DataFrame, *, text: str = "text", keep: int = RANKED) -> list[str]:
+    """The ``keep`` most frequent words of all whole texts, most frequent first, ties in code point order.
+
+    Runs of ``SHORTEST`` to ``LONGEST`` ASCII letters, cases folded. Every text counts; the list is
+    the dictionary's documented bound, and all that reaches the driver.
+    """
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for t in batch["text"]:
+                counts.update(_WORD.findall(t.lower()))
+                if len(counts) > 100_000:
+                    yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+                    counts.clear()
+        if counts:
+            yield pd.DataFrame({"word": list(counts), "n": list(counts.values())})
+
+    rows = docs.select(F.col(f"`{text}`").alias("text")).where("text is not null").mapInPandas(count, "word string, n long")
+    counts = rows.where(F.length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
+    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(keep).collect()]
+
+
 def _brute(c: str) -> float:
     """log10 of the guesses for one character that fits no pattern."""
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() and c.isascii() else math.log10(33)
 
 
-def guess_cost(value: str, floor: float = math.inf) -> float:
+def guess_cost(value: str, floor: float = math.inf, known: dict[str, float] = RANKS) -> float:
     """log10 of the guesses of the cheapest segmentation of ``value``.
 
     ``best[i]`` is the least cost of the first i characters; a segment ending at i is a known word
-    (rank, capitals and substitutions), a date, a repeated character, a keyboard walk, or one
-    brute-force character. Each new segment costs a factor of 2 for guessing where it starts.
-    Linear in the length: words and dates are bounded, and runs extend the run before them. Once
-    every open state costs ``floor`` or more, no continuation is cheaper and it returns early.
+    (rank, capitals and substitutions), a date, some characters repeated, a keyboard walk, or one
+    brute-force character. Linear in the length, as every segment is bounded. Once every open
+    state costs ``floor`` or more, no continuation is cheaper and it returns early.
     """
-    n, split = len(value), math.log10(2)
+    n = len(value)
     best = [0.0] + [math.inf] * n
     low = value.lower()
+    if len(low) != n:  # a character whose lower case is longer
+        low = "".join(c if len(x := c.lower()) != 1 else x for c in value)
     plain = low.translate(PLAIN)
-    dates: dict[int, list[int]] = {}
+    brute = [0.0]
+    for c in value:
+        brute.append(brute[-1] + _brute(c))
+    dates: dict[int, list[tuple[int, float]]] = {}
     for i in range(n):
-        if value[i].isdigit() and (m := DATE.match(value, i)):
-            dates.setdefault(m.end(), []).append(i)
-    repeat_from = walk_from = 0
+        if "0" <= value[i] <= "9":
+            for date, cost in DATES:
+                if m := date.match(value, i):
+                    dates.setdefault(m.end(), []).append((i, cost))
+    runs = [0] * (LONGEST_PERIOD + 1)  # of characters that equal the one a period before
+    walk, below = 0, 0
     for i in range(1, n + 1):
-        cost = best[i - 1] + _brute(value[i - 1])
-        for k in range(2, min(LONGEST_WORD, i) + 1):
-            for form, extra in ((low, 0.0), (plain, split)):
-                if rank := RANK.get(form[i - k : i]):
-                    cost = min(cost, best[i - k] + split + math.log10(rank) + extra + (0.0 if value[i - k : i] == low[i - k : i] else split))
-        for start in dates.get(i, ()):
-            cost = min(cost, best[start] + split + (math.log10(120) if i - start == 4 else math.log10(365 * 120)))
-        if i >= 2 and value[i - 1] == value[i - 2]:
-            cost = min(cost, best[repeat_from] + split + _brute(value[i - 1]) + math.log10(i - repeat_from))
-        else:
-            repeat_from = i - 1
-        if i >= 2 and low[i - 1] in NEIGHBOURS.get(low[i - 2], ()):
-            if i - walk_from >= 3:
-                cost = min(cost, best[walk_from] + split + math.log10(len(NEIGHBOURS)) + 0.5 * (i - walk_from - 1))
-        else:
-            walk_from = i - 1
+        cost = best[i - 1] + brute[i] - brute[i - 1]
+        for k in range(SHORTEST, min(LONGEST, i) + 1):
+            if (rank := known.get(low[i - k : i])) is not None:
+                cost = min(cost, best[i - k] + SPLIT + rank + (0.0 if value[i - k : i] == low[i - k : i] else SPLIT))
+            elif (rank := known.get(plain[i - k : i])) is not None:
+                cost = min(cost, best[i - k] + 2 * SPLIT + rank + (0.0 if value[i - k : i] == low[i - k : i] else SPLIT))
+        for start, guesses in dates.get(i, ()):
+            cost = min(cost, best[start] + SPLIT + guesses)
+        for p in range(1, min(LONGEST_PERIOD, i - 1) + 1):
+            if value[i - 1] != value[i - 1 - p]:
+                runs[p] = 0
+                continue
+            runs[p] += 1
+            if runs[p] >= p:
+                block = min(brute[i] - brute[i - p], known.get(value[i - p : i], math.inf))
+                for times in range(2, min(runs[p] // p + 1, MOST_REPEATS) + 1):
+                    cost = min(cost, best[i - times * p] + SPLIT + block + math.log10(times))
+        walk = walk + 1 if i >= 2 and low[i - 1] in NEIGHBOURS.get(low[i - 2], ()) else 1
+        for k in range(3, min(walk, LONGEST_WALK) + 1):
+            cost = min(cost, best[i - k] + SPLIT + math.log10(len(NEIGHBOURS)) + 0.5 * (k - 1))
         best[i] = cost
-        if i > LONGEST_WORD and min(best[i - LONGEST_WORD : i + 1]) >= floor and best[repeat_from] >= floor and best[walk_from] >= floor:
+        if cost < floor:
+            below = i
+        elif i - below > LONGEST_PERIOD * MOST_REPEATS:
             return floor
     return best[n]
 
@@ -102,11 +158,11 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(spans, key=lambda s: (s[0], KINDS.index(s[2])))
 
 
-def guess_spans(text: str, min_log10: float) -> list[tuple[int, int, str]]:
+def guess_spans(text: str, min_log10: float, known: dict[str, float] = RANKS) -> list[tuple[int, int, str]]:
     out = []
     for m in CONTEXT.finditer(text):
         k = m.lastindex
-        if guess_cost(m[k], min_log10) >= min_log10:
+        if guess_cost(m[k], min_log10, known) >= min_log10:
             out.append((m.start(k), m.end(k), "guess"))
     return out
 
@@ -128,14 +184,15 @@ def redacted(text: str, spans) -> str:
 RESULT = "n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_guess long"
 
 
-def scanner_udf(min_log10: float, redact: bool = False):
+def scanner_udf(min_log10: float, sent, redact: bool = False):
     @F.pandas_udf(RESULT + (", redacted string" if redact else ""))
     def scan(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = ranks(sent.value)
         for texts in batches:
             rows = []
             for null, text in zip(texts.isna(), texts.fillna(""), strict=True):
                 base = base_spans(text)
-                more = guess_spans(text, min_log10)
+                more = guess_spans(text, min_log10, known)
                 spans = sorted(base + more, key=lambda s: (s[0], KINDS.index(s[2]))) if more else base
                 count = [sum(s[2] == k for s in base) for k in KINDS[:3]]
                 row = (*count, hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), len(more))
@@ -145,15 +202,19 @@ def scanner_udf(min_log10: float, redact: bool = False):
     return scan
 
 
-def scan(docs: DataFrame, *, text: str = "text", min_log10: float = 10.0, redact: bool = False) -> DataFrame:
+def scan(docs: DataFrame, *, text: str = "text", min_log10: float = 10.0, words: list[str] | None = None, redact: bool = False) -> DataFrame:
     """Append the counts, digest and spans of the secrets in every whole text; ``redacted`` where asked for.
 
     ``assign``, ``access`` and ``hex`` are fixed patterns; ``guess`` is a value in a credential
-    context that takes 10**``min_log10`` guesses or more. Positions are code points, ends exclusive.
-    One narrow stage without a shuffle. A null text counts as empty (and stays null when redacted);
-    repeated rows each get their result; input columns of the names appended are replaced.
+    context that takes 10**``min_log10`` guesses or more, given the ranked ``words`` (see
+    ``learn``). Positions are code points, ends exclusive. One narrow stage without a shuffle, so
+    an empty table gives an empty one. Texts are scanned whole, whatever their length. A null text
+    counts as empty (and stays null when redacted); repeated rows and null ids each get their
+    result; spans of equal start come in the order of ``KINDS``; input columns of the names
+    appended are replaced.
     """
+    sent = docs.sparkSession.sparkContext.broadcast(words or [])
     names = [c.split()[0] for c in RESULT.split(", ")] + ["redacted"] * redact
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in names]
-    out = docs.select(*kept, scanner_udf(min_log10, redact)(F.col(text)).alias("__fl_scan"))
+    out = docs.select(*kept, scanner_udf(min_log10, sent, redact)(F.col(f"`{text}`")).alias("__fl_scan"))
     return out.select(*kept, *[F.col(f"__fl_scan.{c}").alias(c) for c in names])
