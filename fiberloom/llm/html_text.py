@@ -12,6 +12,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -23,59 +24,88 @@ RAW = frozenset("script style textarea title xmp noembed noframes".split())
 #: Tags whose subtree is never article text.
 CUT = frozenset("script style noscript template head title nav footer aside form button select option textarea input label fieldset iframe object embed svg canvas audio video map menu dialog xmp noembed noframes".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
-#: Words of a class, id or role that mark subtrees beside the article.
+#: Words of a class, id or role that mark menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
 BESIDE = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored sponsors promo promoted promotion banner banners "
-    "cookie cookies consent gdpr notice notices alert alerts newsletter subscribe subscription signup popup modal overlay paywall dialog "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager sidebar aside complementary rail "
-    "comment comments disqus reply replies respond discussion footer contentinfo masthead topbar toolbar search searchbox login "
-    "share sharing social related recommended recommendations widget widgets tags toc".split()
+    "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager masthead topbar toolbar footer contentinfo sidebar aside complementary "
+    "cookie cookies consent gdpr notice notices newsletter popup modal paywall ad ads adv advert adverts advertisement advertising adsense "
+    "sponsor sponsors sponsored promo promoted banner banners searchbox login signup comment comments disqus replies".split()
 )
-#: Class words that show a container of the article itself, however it is decorated otherwise.
+#: Words that show a container of the article itself, unless one of its words is in ``SURELY``.
 ARTICLE = frozenset("article articlebody content main post entry story body".split())
+SURELY = frozenset("comment comments ad ads advert adverts sponsored sidebar footer nav menu cookie newsletter banner promo notice".split())
 #: Start tags that end an open element of the same group (fixed by the HTML standard).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": set(), "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tbody": {"table"}, "tfoot": {"table"}}
 ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dt dd center".split())
 
+#: Elements that an implied end does not cross.
+SCOPES = frozenset("body html article section div td th blockquote main".split())
+
 TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>""")
 PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
-ATTRIBUTE = re.compile(r"""(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""", re.IGNORECASE)
-SPLIT = re.compile(r"[^a-z0-9]+|(?<=[a-z0-9])(?=[A-Z])")
+#: One attribute after the other, so that what stands within a value is never taken for a name.
+ATTRIBUTE = re.compile(r"""([^\s"'>/=][^\s"'>/=]*+)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>][^\s>]*+)))?+|"[^"]*+"|'[^']*+'|\S""")
+SPLIT = re.compile(r"[^a-z0-9]+")
+CAMEL = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
+HIDING = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "cut", "chars", "tags", "link_chars", "link_tags", "density", "total", "order")
+    __slots__ = ("tag", "parent", "items", "cut", "within", "chars", "tags", "link_chars", "link_tags", "density", "total", "order", "linked", "chosen", "own_chosen")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool = False):
         self.tag, self.parent, self.items, self.cut = tag, parent, [], cut
+        self.within = parent is not None and (parent.within or parent.tag in ("article", "main"))  # an article or main
         self.chars = self.tags = self.link_chars = self.link_tags = self.order = 0
         self.density = self.total = 0.0
+        self.linked = self.chosen = self.own_chosen = False  # in a link; the subtree is article text, or the node's own text
+
+
+def attributes(source: str) -> dict[str, str]:
+    """Attributes of a start tag; the first of equal names counts."""
+    out: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(source):
+        if m[1]:
+            out.setdefault(m[1].lower(), html.unescape(m[2] or m[3] or m[4] or ""))
+    return out
 
 
-def _beside(tag: str, attributes: str) -> bool:
+def _beside(tag: str, source: str) -> bool:
     """Whether a start tag opens a subtree that lies beside the article."""
     if tag in CUT:
         return True
-    if not attributes or tag in ("html", "body"):
+    if not source or tag in ("html", "body"):
         return False
+    named = attributes(source)
+    if "hidden" in named or named.get("aria-hidden", "").lower() == "true" or HIDING.search(named.get("style", "")):
+        return True
     words: set[str] = set()
-    for m in ATTRIBUTE.finditer(attributes):
-        name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.IGNORECASE):
-            return True
-        if name in ("class", "id", "role"):
-            words.update(x for token in value.split() for x in (*SPLIT.split(re.sub(r"(?<=[a-z0-9])(?=[A-Z])", "-", token).lower()), token.lower()))
-    if tag in ("article", "main"):
-        return bool(words & {"comment", "comments", "reply", "ad", "ads", "advert", "sponsored", "promo", "related"})
-    return bool(words & BESIDE) and not (words & ARTICLE and not words & {"comment", "comments", "ad", "ads", "advert", "sponsored", "sidebar", "footer", "nav", "menu", "related", "cookie", "newsletter", "banner", "promo", "notice", "share", "social"})
+    for name in ("class", "id", "role"):
+        for token in named.get(name, "").split():
+            words.update(SPLIT.split(CAMEL.sub("-", token).lower()), (token.lower(),))
+    if tag in ("article", "main") or words & ARTICLE:
+        return bool(words & SURELY)
+    return bool(words & BESIDE)
 
 
 def parse(page: str) -> Node:
-    """DOM of a page: implied ends, void and raw-text elements; a tag cut off by the end of the page is dropped."""
+    """DOM of a page: implied ends, void and raw-text elements; a tag cut off by the end of the page is dropped.
+
+    Linear in the page: ``open_`` counts the open elements of each tag, so that no end tag or
+    implied end looks for an element that is not there, and one that is found is closed.
+    """
     root = at = Node("#root", None)
+    open_: Counter = Counter()
     pos, n, low = 0, len(page), None
-    open_comment = True
+
+    def close(node: Node) -> Node:
+        """The parent, after the elements down to ``at`` have been closed."""
+        x = at
+        while x is not node.parent:
+            open_[x.tag] -= 1
+            x = x.parent
+        return node.parent
+
     while pos < n:
         lt = page.find("<", pos)
         if lt < 0:
@@ -86,7 +116,7 @@ def parse(page: str) -> Node:
         c = page[lt + 1 : lt + 2]
         if c in ("!", "?"):
             if page.startswith("<!--", lt):
-                end = page.find("-->", lt + 4) if open_comment else -1
+                end = page.find("-->", lt + 4)
                 if end < 0:  # never closed: the rest of the page is the comment
                     break
                 pos = end + 3
@@ -105,33 +135,37 @@ def parse(page: str) -> Node:
             continue
         pos, tag = m.end(), m[2].lower()
         if m[1]:
-            node = at
-            while node is not root and node.tag != tag:
-                node = node.parent
-            if node is not root and tag not in ("body", "html"):
-                at = node.parent
+            if open_[tag] and tag not in ("body", "html"):
+                node = at
+                while node.tag != tag:
+                    node = node.parent
+                at = close(node)
             elif tag == "p":
                 at.items.append(Node("p", at))
             continue
-        if tag in ENDS_P or tag in CLOSES:
-            stops = SCOPE.get(tag, ())
-            group = CLOSES.get(tag, frozenset())
-            node, last = at, None
-            while node is not root and node.tag not in ("body", "html", "article", "section", "div", "td", "th", "blockquote", "main") and node.tag not in stops:
-                if node.tag in group or node.tag == "p" and tag in ENDS_P:
+        if tag in ENDS_P and open_["p"] or any(open_[x] for x in CLOSES.get(tag, ())):
+            stops, group = SCOPE.get(tag, ()), CLOSES.get(tag, frozenset())
+            ends_p = tag in ENDS_P
+            last, node = None, at
+            while node is not root and node.tag not in SCOPES and node.tag not in stops:
+                if node.tag in group or ends_p and node.tag == "p":
                     last = node
+                    if node.tag != "td" and node.tag != "th" or tag in ("td", "th"):
+                        break
                 node = node.parent
-            if node.tag in group and node is not root and not stops:
+            if last is None and node.tag in group and node is not root:  # a cell, which bounds what is in it
                 last = node
-            if node.tag in ("td", "th") and tag in ("td", "th", "tr", "tbody", "tfoot"):
-                last = node if tag in ("td", "th") else next((x for x in _up(node) if x.tag == "tr"), node)
+                if tag not in ("td", "th"):
+                    while node is not root and node.tag not in stops and node.tag != "tr":
+                        node = node.parent
+                    last = node if node.tag == "tr" else last
             if last is not None:
-                at = last.parent
-        if tag in ("html", "body") and any(x.tag == tag for x in _up(at)):
+                at = close(last)
+        if tag in ("html", "body") and open_[tag]:
             continue
         if tag == "body" and at.tag == "head":
-            at = at.parent
-        node = Node(tag, at, at.cut or _beside(tag, m[3]) or tag == "header" and not any(x.tag in ("article", "main") for x in _up(at)))
+            at = close(at)
+        node = Node(tag, at, at.cut or _beside(tag, m[3]) or tag == "header" and not (at.within or at.tag in ("article", "main")))
         at.items.append(node)
         if tag in RAW and not m[3].endswith("/"):
             if low is None:
@@ -144,15 +178,10 @@ def parse(page: str) -> Node:
             pos = stop + 1 if stop >= 0 else n
         elif tag not in VOID and not m[3].endswith("/"):
             at = node
+            open_[tag] += 1
     return root
 
 
-def _up(node: Node | None):
-    while node is not None:
-        yield node
-        node = node.parent
-
-
 def _nodes(root: Node) -> list[Node]:
     """All uncut nodes, parents before children, in page order; no recursion, as pages may nest deeply."""
     out, stack = [], [root]
@@ -164,17 +193,28 @@ def _nodes(root: Node) -> list[Node]:
     return out
 
 
+def density(chars: int, tags: int, link_chars: int, link_tags: int, share: float) -> float:
+    """Composite text density: characters a tag, by the logarithm of how few of them are links.
+
+    C / T * log_b(C / LC * T / LT) with b = ln(C / NLC * LC + share * C + e), where NLC are the
+    characters outside links and ``share`` is the body's LC / C; counts of none are taken as 1.
+    """
+    if not chars:
+        return 0.0
+    tags, outside, link_chars, link_tags = max(tags, 1), max(chars - link_chars, 1), max(link_chars, 1), max(link_tags, 1)
+    base = math.log(chars / outside * link_chars + share * chars + math.e)
+    return chars / tags * max(0.0, math.log(chars / link_chars * tags / link_tags)) / math.log(base)
+
+
 def _measure(nodes: list[Node], body: Node) -> None:
-    inside: set[int] = set()
     for node in nodes:
-        if node.tag == "a" or node.parent is not None and id(node.parent) in inside:
-            inside.add(id(node))
+        node.linked = node.tag == "a" or node.parent is not None and node.parent.linked
     for node in reversed(nodes):
         own = sum(len(" ".join(x.split())) for x in node.items if isinstance(x, str))
         node.chars += own
-        if id(node) in inside:
+        if node.linked:
             node.link_chars += own
-        if node.parent is not None:
+        if node is not body:
             p = node.parent
             p.chars += node.chars
             p.link_chars += node.link_chars
@@ -182,16 +222,22 @@ def _measure(nodes: list[Node], body: Node) -> None:
             p.link_tags += node.link_tags + (node.tag == "a")
     share = body.link_chars / max(body.chars, 1)
     for node in nodes:
-        c, t, lc, lt = node.chars, max(node.tags, 1), max(node.link_chars, 1), max(node.link_tags, 1)
-        if c:
-            base = math.log(c / max(c - node.link_chars, 1) * node.link_chars + share * c + math.e)
-            node.density = max(0.0, c / t * math.log(max(c / lc * t / lt, 1.0)) / base if base else 0.0)
-            node.density = node.density or (0.0 if node.link_chars >= c else c / t / base)
+        node.density = density(node.chars, node.tags, node.link_chars, node.link_tags, share)
     for node in nodes:
-        if node.parent is not None and node.tag not in INLINE:
+        if node is not body:
             node.parent.total += node.density
 
 
+def core_of(nodes: list[Node], body: Node) -> Node:
+    """The node of the largest sum of its children's densities; of equal ones the longer, then the first."""
+    core = max(nodes, key=lambda x: (x.total, x.chars, -x.order))
+    if not core.total:
+        return body
+    while core is not body and core.tag in INLINE:  # the block that an inline node is part of
+        core = core.parent
+    return core
+
+
 def main_text(page: str | None) -> str:
     """The article's text: blocks in page order, one space between them, white space folded."""
     if not page:
@@ -201,37 +247,35 @@ def main_text(page: str | None) -> str:
     body = next((x for x in nodes if x.tag == "body"), root)
     if body is not root:
         nodes = _nodes(body)
-        body.parent = None
     _measure(nodes, body)
-    core = max(nodes, key=lambda x: (x.total, x.chars, -x.order))
-    if not core.total:
-        core = body
-    chosen = {id(core)}
-    path = [x for x in _up(core)]
+    core = core_of(nodes, body)
+    core.chosen = True
+    path = [core]
+    while path[-1] is not body:
+        path.append(path[-1].parent)
     threshold = min((x.density for x in path if x.density > 0), default=0.0)
     for child, parent in zip(path, path[1:], strict=False):  # neighbours of the path that are as dense
+        parent.own_chosen = True
+        inside = parent.within or parent.tag in ("article", "main")
         for x in parent.items:
-            if x is not child and isinstance(x, Node) and not x.cut and x.chars and (x.density >= threshold or parent.tag in ("article", "main") or any(y.tag in ("article", "main") for y in _up(parent))):
-                chosen.add(id(x))
-            elif isinstance(x, str) and x.strip():
-                chosen.add(id(x))
+            if x is not child and isinstance(x, Node) and not x.cut and x.chars and (inside or x.density >= threshold):
+                x.chosen = True
     out: list[str] = []
-    stack: list = [(body, False)]
+    stack: list = [(body, False, False)]
     while stack:
-        x, taken = stack.pop()
+        x, taken, own = stack.pop()
         if isinstance(x, str):
-            if taken or id(x) in chosen:
+            if taken or own:
                 out.append(x)
             continue
-        if x == " " or x.cut:
+        if x is None or x.cut:
             out.append(" ")
             continue
-        taken = taken or id(x) in chosen
-        edge = x.tag not in INLINE
-        if edge:
+        taken = taken or x.chosen
+        if x.tag not in INLINE:
             out.append(" ")
-            stack.append((" ", True))
-        stack += [(y, taken) for y in reversed(x.items)]
+            stack.append((None, True, True))
+        stack += [(y, taken, x.own_chosen) for y in reversed(x.items)]
     return " ".join("".join(out).split())
 
 
@@ -248,9 +292,12 @@ def extractor_udf():
 def extract(pages: DataFrame, *, source: str = "html") -> DataFrame:
     """Append ``text`` and ``n_chars`` (code points) of the article in each page's whole HTML.
 
-    One narrow stage without a shuffle. A null or empty page gives an empty text; repeated rows
-    each get their result; input columns named ``text`` or ``n_chars`` are replaced.
+    One narrow stage without a shuffle, so an empty table gives an empty one. A null or empty page
+    gives an empty text; pages are read whole, in time linear in their length and with no limit to
+    how deep they nest. Of subtrees of equal density sums the longer is the article, then the
+    first. Repeated rows and null ids each get their result; input columns named ``text`` or
+    ``n_chars`` are replaced.
     """
     kept = [F.col(f"`{c}`") for c in pages.columns if c not in ("text", "n_chars")]
-    out = pages.select(*kept, extractor_udf()(F.col(source)).alias("__fl_page"))
+    out = pages.select(*kept, extractor_udf()(F.col(f"`{source}`")).alias("__fl_page"))
     return out.select(*kept, "__fl_page.text", "__fl_page.n_chars")
