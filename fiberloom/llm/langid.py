@@ -2,7 +2,8 @@
 
 A known word scores by its log frequency in each language. A word that no language knows backs off
 to its character n-grams, from ``MAX_GRAM`` down to 1, and takes the longest order of which any
-gram is known. Counts cover every learning row; only the model's tables are bounded.
+gram is known. Counts cover every learning row; a word or n-gram is known to a language if it makes
+up ``SHARE`` of what the language has, a rule that is the same at every size and bounds the model.
 """
 
 from __future__ import annotations
@@ -15,143 +16,159 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fiberloom.llm.common import durable
 
 LETTERS = re.compile(r"[^\W\d_]+")
+#: The same by Unicode category; ``LETTERS`` also takes characters such as fractions.
+STRICT = regex.compile(r"\p{L}+")
 MAX_GRAM = 4
-#: Longer words are no words of a language; they are scored by their grams, and not learnt as words.
-LONGEST_WORD = 40
-#: Frequency of what a language lacks though another one has it.
+#: Least share of a language's words, or n-grams of an order, that is known; a language knows 1 / SHARE of each at most.
+SHARE = 1e-6
+#: Log frequency of what a language lacks though another one has it.
 FLOOR = math.log(1e-7)
 UNKNOWN = "und"
-#: Steps of the frequency histogram for each unit of log frequency.
-STEPS = 200
 
 
 @dataclass
 class Model:
-    """Bounded tables: log frequency by language, for known words and for n-grams of each order."""
+    """What is known, words in ``place[0]`` and n-grams of order n in ``place[n]``.
+
+    Entry i has the languages ``lang[start[i]:start[i + 1]]``, and in ``gain`` how much more
+    frequent than ``FLOOR`` it is in each.
+    """
 
     langs: list[str]
-    words: dict[str, np.ndarray]
-    grams: list[dict[str, np.ndarray]]  # [n - 1]
+    place: list[dict[str, int]]
+    start: np.ndarray
+    lang: np.ndarray
+    gain: np.ndarray
+
+    def row(self, i: int) -> np.ndarray:
+        out = np.zeros(len(self.langs))
+        at = slice(self.start[i], self.start[i + 1])
+        out[self.lang[at]] = self.gain[at]
+        return out
 
     def vector(self, word: str) -> np.ndarray:
-        known = self.words.get(word)
+        known = self.place[0].get(word)
         if known is not None:
-            return known
+            return self.row(known)
         marked = f"<{word}>"
         for n in range(min(MAX_GRAM, len(marked)), 0, -1):
-            table = self.grams[n - 1]
-            found = [v for i in range(len(marked) - n + 1) if (v := table.get(marked[i : i + n])) is not None]
+            get = self.place[n].get
+            found = [self.row(k) for i in range(len(marked) - n + 1) if (k := get(marked[i : i + n])) is not None]
             if found:
                 return np.mean(found, axis=0)
         return np.zeros(len(self.langs))
 
 
-def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Word counts of a partition, emptied whenever they grow large."""
+def words_of(text: str) -> list[str]:
+    """Runs of letters, in lower case."""
+    words = LETTERS.findall(text.lower())
+    return words if all(map(str.isalpha, words)) else STRICT.findall(text.lower())
+
+
+def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of words (order 0) and n-grams in a partition, emptied whenever they grow large."""
     counts: dict[str, Counter] = {}
 
-    def flush() -> pd.DataFrame:
-        rows = [(lang, w, c) for lang, words in counts.items() for w, c in words.items()]
+    def flush() -> Iterator[pd.DataFrame]:
+        for lang, words in counts.items():
+            for w in [w for w in words if not w.isalpha()]:
+                n = words.pop(w)
+                for part in STRICT.findall(w):
+                    words[part] += n
+            grams = [Counter() for _ in range(MAX_GRAM + 1)]
+            for w, n in words.items():
+                marked = f"<{w}>"
+                for k in range(1, MAX_GRAM + 1):
+                    of = grams[k]
+                    for i in range(len(marked) - k + 1):
+                        of[marked[i : i + k]] += n
+            grams[0] = words
+            for k, found in enumerate(grams):
+                if found:
+                    yield pd.DataFrame({"lang": [lang] * len(found), "k": k, "key": list(found), "n": list(found.values())})
         counts.clear()
-        return pd.DataFrame(rows, columns=["lang", "word", "n"])
 
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
             counts.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
         if sum(map(len, counts.values())) > 300_000:
-            yield flush()
-    yield flush()
+            yield from flush()
+    yield from flush()
 
 
-def _top(table: DataFrame, totals: DataFrame, key: str, limit: int) -> list:
-    """The most frequent keys, at most ``limit``, by share of their language's total so that small languages get theirs.
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", share: float = SHARE) -> Model:
+    """Learn from every row with a text and a language, whole texts of any length.
 
-    A histogram of the log frequencies gives the cut, so no task sends more than what is kept; a
-    step of the histogram that no longer fits in whole is left out. ``totals`` has a row for each
-    language, which are few.
-    """
-    lf = F.log(F.col("n") / F.col("total"))
-    rows = table.join(F.broadcast(totals), "lang").select("lang", key, lf.alias("lf"), F.floor(lf * STEPS).alias("step"))
-    cut, kept = None, 0
-    for r in sorted(rows.groupBy("step").count().collect(), key=lambda r: -r["step"]):
-        kept += r["count"]
-        if kept > limit:
-            break
-        cut = r["step"]
-    return [] if cut is None else rows.where(F.col("step") >= cut).collect()
-
-
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", max_words: int = 60_000, max_grams: int = 25_000) -> Model:
-    """Learn from every row with a text and a language.
-
-    The counts are aggregated over all rows, combined on the map side. ``max_words`` entries of
-    (language, word) and ``max_grams`` of (language, n-gram) for each order bound the model that
-    is sent to the executors: about 15 MB with the defaults, whatever the input.
+    The counts are aggregated over all rows, combined on the map side. Languages are those of all
+    learning rows, also where nothing of one is known; without rows there are none. What reaches
+    the driver, and is sent to the executors, is what is known: for each language 1 / ``share``
+    words and as many n-grams of each order at most. Repeated rows count each time.
     """
-    rows = docs.select(F.col(lang).cast("string").alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    words = rows.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    words = words.persist()
-    try:
-        known = _top(words.where(F.length("word") <= LONGEST_WORD), words.groupBy("lang").agg(F.sum("n").alias("total")), "word", max_words)
-        langs = sorted({r["lang"] for r in known})
-        place = {x: i for i, x in enumerate(langs)}
-
-        def tables(found, key: str) -> dict[str, np.ndarray]:
-            out: dict[str, np.ndarray] = {}
-            for r in found:
-                out.setdefault(r[key], np.full(len(langs), FLOOR))[place[r["lang"]]] = r["lf"]
-            return out
-
-        marked = F.concat(F.lit("<"), "word", F.lit(">"))
-        grams = []
-        for n in range(1, MAX_GRAM + 1):
-            cut = F.transform(F.sequence(F.lit(1), F.length(marked) - n + 1), lambda i, n=n: F.substring(marked, i, F.lit(n)))
-            each = words.where(F.length(marked) >= n).select("lang", "n", F.explode(cut).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-            each = durable(each)  # distinct n-grams, read for the cut and again for the rows
-            # How many there are follows from the words' lengths, without counting the grams again.
-            totals = words.where(F.length(marked) >= n).groupBy("lang").agg(F.sum(F.col("n") * (F.length(marked) - n + 1)).alias("total"))
-            grams.append(tables(_top(each, totals, "gram", max_grams), "gram"))
-        return Model(langs, tables(known, "word"), grams)
-    finally:
-        words.unpersist()
+    rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
+    counts = durable(rows.mapInPandas(_count, "lang string, k int, key string, n long").groupBy("lang", "k", "key").agg(F.sum("n").alias("n")))
+    totals = counts.groupBy("lang", "k").agg(F.sum("n").alias("total"))
+    known = counts.join(totals, ["lang", "k"]).where(F.col("n") >= F.col("total") * share)
+    found = known.select("k", "key", "lang", (F.log(F.col("n") / F.col("total")) - FLOOR).alias("gain")).toPandas()
+    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
+    found["lang"] = found["lang"].map({x: i for i, x in enumerate(langs)}).astype(np.int32)
+    found = found.sort_values(["k", "key", "lang"], ignore_index=True)
+    new = np.ones(len(found), bool)
+    new[1:] = (found["k"].to_numpy()[1:] != found["k"].to_numpy()[:-1]) | (found["key"].to_numpy()[1:] != found["key"].to_numpy()[:-1])
+    start = np.flatnonzero(new)
+    place: list[dict[str, int]] = [{} for _ in range(MAX_GRAM + 1)]
+    for i, (k, key) in enumerate(zip(found["k"].to_numpy()[start].tolist(), found["key"].to_numpy()[start].tolist(), strict=True)):
+        place[k][key] = i
+    return Model(langs, place, np.append(start, len(found)), found["lang"].to_numpy(np.int32), found["gain"].to_numpy(np.float64))
 
 
 class Scorer:
     """Scores texts; keeps the vectors of the words it has met, up to a bound."""
 
-    def __init__(self, model: Model, bound: int = 300_000):
-        self.model, self.bound = model, bound
+    def __init__(self, model: Model, bound: int = 200_000):
+        self.model = model
+        self.bound = max(1000, min(bound, 8_000_000 // max(1, len(model.langs))))
         self._clear()
 
     def _clear(self) -> None:
         self.ids: dict[str, int] = {}
         self.table = np.zeros((4096, len(self.model.langs)))
 
-    def _id(self, word: str) -> int:
-        i = self.ids.get(word)
-        if i is None:
-            i = self.ids[word] = len(self.ids)
-            if i >= len(self.table):
-                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[i] = self.model.vector(word)
-        return i
+    def _add(self, words: list[str]) -> None:
+        for w in words:
+            if w not in self.ids:
+                i = self.ids[w] = len(self.ids)
+                if i >= len(self.table):
+                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                self.table[i] = self.model.vector(w)
 
     def predict(self, text: str | None) -> tuple[str, float]:
         words = LETTERS.findall(text.lower()) if text else []
         if not words or not self.model.langs:
             return UNKNOWN, 0.0
-        if len(self.ids) > self.bound:
-            self._clear()
         total = np.zeros(len(self.model.langs))
-        for a in range(0, len(words), 100_000):
-            part = [self._id(w) for w in words[a : a + 100_000]]
-            total += self.table[part].sum(axis=0)
+        for a in range(0, len(words), 50_000):
+            if len(self.ids) > self.bound:
+                self._clear()
+            part = words[a : a + 50_000]
+            at = list(map(self.ids.get, part))
+            if None in at:
+                missing = [w for w, i in zip(part, at, strict=True) if i is None]
+                if not all(map(str.isalpha, missing)):
+                    part = [x for w in part for x in ([w] if w.isalpha() else STRICT.findall(w))]
+                    missing = part
+                self._add(missing)
+                at = list(map(self.ids.__getitem__, part))
+            if at:
+                total += self.table[at].sum(axis=0)
+        if not total.any() and not any(map(STRICT.search, words)):
+            return UNKNOWN, 0.0
         best = int(total.argmax())  # the first of equals: languages are in order
         return self.model.langs[best], float(1.0 / np.exp(np.minimum(total - total[best], 0.0)).sum())
 
@@ -159,9 +176,11 @@ class Scorer:
 def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """Append ``lang_pred`` and ``score``, the share of the best language in the posterior.
 
-    ``und`` with score 0 where the text is null or has no letter. One narrow stage; the model goes
-    out once as a broadcast variable of bounded size. Ties go to the language first in code point
-    order; repeated rows each get their result; input columns of these names are replaced.
+    ``und`` with score 0 where the text is null or has no letter (by Unicode category), or the
+    model no language. One narrow stage, so an empty table gives an empty one; texts are scored
+    whole, whatever their length. The model goes out once as a broadcast variable of bounded size.
+    Ties go to the language first in code point order; repeated rows and null ids each get their
+    result; input columns of these names are replaced.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -172,7 +191,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
             yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang_pred", "score"])
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    out = docs.select(*kept, score(F.col(text)).alias("__fl_lang"))
+    out = docs.select(*kept, score(F.col(f"`{text}`")).alias("__fl_lang"))
     return out.select(*kept, "__fl_lang.lang_pred", "__fl_lang.score")
 
 
