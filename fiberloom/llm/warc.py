@@ -7,9 +7,6 @@ with those that a 304 may change, and the body is the response's.
 
 from __future__ import annotations
 
-import gzip
-import io
-import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from fiberloom.llm.common import durable
+
 #: Headers of a stored response that a 304 must not change (fixed by the HTTP caching standard).
 FIXED_HEADERS = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
 
@@ -24,17 +23,25 @@ RECORD = "record_id string, url string, ts timestamp, kind string, status int, h
 
 
 def canonical(url: Column) -> Column:
-    """Scheme and host in lower case, default port and fragment dropped, an empty path as ``/``."""
-    bare = F.regexp_replace(url, r"#.*$", "")
+    """Scheme and host in lower case; default port, fragment and empty query dropped; an empty path as ``/``.
+
+    Dot segments of the path are removed, and the digits of percent-escapes are in upper case.
+    """
+    bare = F.regexp_replace(F.regexp_replace(url, r"#.*$", ""), r"\?$", "")
     head = F.lower(F.regexp_extract(bare, r"^([A-Za-z][A-Za-z0-9+.-]*://[^/?]*)", 1))
     rest = F.substring(bare, F.length(head) + 1, F.length(bare))
     host = F.regexp_replace(head, r"^(http://[^/?]*):80$|^(https://[^/?]*):443$", "$1$2")
-    return F.when(head == "", bare).otherwise(F.concat(host, F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))))
-
-
-def day(ts: Column) -> Column:
-    """The span of time that is ordered in one task at a time: a URL has few captures within one."""
-    return F.to_date(ts)
+    rest = F.when(rest.startswith("/"), rest).otherwise(F.concat(F.lit("/"), rest))
+    path, query = F.regexp_extract(rest, r"^[^?]*", 0), F.regexp_extract(rest, r"\?.*$", 0)
+    # A segment of two dots takes the one before it away; one at the end leaves its slash.
+    step = lambda acc, x: F.when(x == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc).otherwise(F.concat(acc, F.array(x)))
+    parts = F.split(F.regexp_replace(path, r"(/\.\.?)$", "$1/"), "/")
+    clean = F.concat(F.lit("/"), F.array_join(F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), step), "/"))
+    path = F.when(path.rlike(r"/\.\.?(/|$)"), clean).otherwise(path)
+    joined = F.concat(host, path, query)
+    pieces = F.split(joined, "%")
+    raised = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, 2, F.size(pieces)), lambda x: F.concat(F.lit("%"), F.upper(F.substring(x, 1, 2)), F.substring(x, 3, F.length(x)))), ""))
+    return F.when(head == "", bare).when(joined.contains("%"), raised).otherwise(joined)
 
 
 def resolve(records: DataFrame, *, permitted_except=FIXED_HEADERS) -> DataFrame:
@@ -43,32 +50,39 @@ def resolve(records: DataFrame, *, permitted_except=FIXED_HEADERS) -> DataFrame:
     ``records`` has the columns of ``RECORD`` without the body, which is found by ``response_id``.
     ``status`` is ``resolved``; ``mismatch`` where a validator that both hold differs (ETag, weak
     or strong; Last-Modified if no ETag is on both; the payload digest if neither is), or none is
-    on both; ``orphan`` where no earlier full response exists. Only resolved rows have a response,
+    on both; ``orphan`` where no earlier full response exists; ``other`` for a revisit that is no
+    304 answer (one of an identical digest has headers of its own). Only resolved rows have a response,
     a digest and merged headers. Of responses at one time the greatest record id counts as latest;
     a response at the revisit's own time is not earlier. Rows without a URL or time are orphans.
     Repeated rows each give a row. Extra columns don't matter; an empty table gives an empty one.
 
-    The as-of join is cut by (URL, day): the last response of each day is pre-aggregated, carried
-    forward over the days of a URL, and only captures of one URL and day are ordered together.
+    The as-of join is cut by ranges of (URL, time), so that the captures of one URL, however many
+    and however close in time, are dealt over many tasks: the last response of each range is
+    carried forward over the ranges of its URL, and only captures of one range are ordered together.
     """
     lower = F.transform_keys(F.coalesce("headers", F.create_map().cast("map<string,string>")), lambda k, _: F.lower(k))
-    spark = records.sparkSession
-    rows = records.select("record_id", canonical(F.col("url")).alias("key"), "url", "ts", "kind", "status", lower.alias("headers"), "digest").withColumn("day", day(F.col("ts")))
-    full = (F.col("kind") == "response") & F.col("status").between(200, 299) & F.col("key").isNotNull() & F.col("ts").isNotNull()
+    rows = records.select("record_id", canonical(F.col("url")).alias("key"), "url", "ts", "kind", "status", lower.alias("headers"), "digest")
+    known = F.col("key").isNotNull() & F.col("ts").isNotNull()
+    full = (F.col("kind") == "response") & F.col("status").between(200, 299) & known
+    revisit = F.col("kind") == "revisit"
+    not_modified = F.coalesce(F.col("status") == 304, F.lit(False))
     what = F.struct("ts", "record_id", "digest", "headers")
+    own = F.struct("url", "headers", "digest")
+    cut = rows.where(full | revisit & known & not_modified).select("key", "ts", full.alias("full"), "record_id", F.when(full, what).alias("here"), F.when(~full, own).alias("ask"))
+    # Equal rows are told apart, so that they can lie in several ranges.
+    dealt = cut.withColumn("__fl_n", F.monotonically_increasing_id()).repartitionByRange("key", "ts", "full", "record_id", "__fl_n")
+    dealt = durable(dealt.drop("__fl_n").withColumn("range", F.spark_partition_id()))
+
     # max_by compares (ts, record_id); maps have no order.
-    latest = rows.where(full).groupBy("key", "day").agg(F.max_by(what, F.struct("ts", "record_id")).alias("last"))
-    by_day = Window.partitionBy("key").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    asked = rows.where("kind = 'revisit'")
-    days = latest.select("key", "day", "last").unionByName(asked.where("key is not null and day is not null").select("key", "day").distinct().withColumn("last", F.lit(None).cast(latest.schema["last"].dataType)))
-    carried = days.groupBy("key", "day").agg(F.first("last", ignorenulls=True).alias("last")).withColumn("before", F.last("last", ignorenulls=True).over(by_day)).select("key", "day", "before")
-    same_day = rows.where(full).select("key", "day", "ts", F.lit(None).cast("string").alias("record_id"), what.alias("here"), F.lit(None).cast("struct<url:string,headers:map<string,string>,digest:string>").alias("ask"))
-    asks = asked.select("key", "day", "ts", "record_id", F.lit(None).cast(same_day.schema["here"].dataType).alias("here"), F.struct("url", "headers", "digest").alias("ask"))
-    within = Window.partitionBy("key", "day").orderBy("ts", F.col("here").isNotNull(), "here.record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    seen = asks.where("key is not null and ts is not null").unionByName(same_day).withColumn("here", F.last("here", ignorenulls=True).over(within)).where("ask is not null")
-    found = seen.join(carried, ["key", "day"], "left").withColumn("r", F.coalesce("here", "before"))
-    lost = asks.where("key is null or ts is null").withColumn("r", F.lit(None).cast(found.schema["r"].dataType))
-    found = found.select("ts", "record_id", "ask", "r").unionByName(lost.select("ts", "record_id", "ask", "r"))
+    last = dealt.groupBy("key", "range").agg(F.max_by("here", F.when(F.col("full"), F.struct("ts", "record_id"))).alias("last"))
+    by_range = Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last.withColumn("before", F.last("last", ignorenulls=True).over(by_range)).where("before is not null").select("key", "range", "before")
+    # A URL lies in as many ranges as it fills, so few rows meet a range that is not its first.
+    within = Window.partitionBy("key", "range").orderBy("ts", "full", "record_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = dealt.withColumn("here", F.last("here", ignorenulls=True).over(within)).where("not full")
+    found = seen.join(carried, ["key", "range"], "left").select("ts", "record_id", "ask", F.coalesce("here", "before").alias("r"), F.lit(True).alias("asked"))
+    lost = rows.where(revisit & ~(known & not_modified)).select("ts", "record_id", own.alias("ask"), F.lit(None).cast(found.schema["r"].dataType).alias("r"), not_modified.alias("asked"))
+    found = found.unionByName(lost)
     weak = lambda tag: F.regexp_replace(tag, r"^W/", "")
     same = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), a == b)
     agrees = F.coalesce(
@@ -77,7 +91,7 @@ def resolve(records: DataFrame, *, permitted_except=FIXED_HEADERS) -> DataFrame:
         same(F.col("ask.digest"), F.col("r.digest")),
         F.lit(False),
     )
-    status = F.when(F.col("r").isNull(), "orphan").when(agrees, "resolved").otherwise("mismatch")
+    status = F.when(~F.col("asked"), "other").when(F.col("r").isNull(), "orphan").when(agrees, "resolved").otherwise("mismatch")
     changes = F.map_filter("ask.headers", lambda k, v: ~k.isin(*permitted_except) & v.isNotNull())
     kept = F.map_filter("r.headers", lambda k, _: ~F.map_contains_key(changes, k))
     ok = F.col("status") == "resolved"
@@ -105,48 +119,48 @@ def _headers(block: bytes) -> dict[str, str]:
     return out
 
 
-def parse_warc(stream) -> Iterator[tuple]:
-    """Records of one (decompressed) WARC file, as rows of ``RECORD``; other record types are passed over."""
-    while True:
-        line = stream.readline()
-        if not line:
-            return
-        if not line.startswith(b"WARC/"):
-            continue
-        lines = [line]
-        while (line := stream.readline()) not in (b"\r\n", b"\n", b""):
-            lines.append(line.rstrip(b"\r\n") + b"\r\n")
-        head = _headers(b"".join(lines))
-        content = stream.read(int(head.get("content-length") or 0))
-        kind = head.get("warc-type", "")
-        if kind not in ("response", "revisit"):
-            continue
-        http, _, body = content.partition(b"\r\n\r\n")
-        status = http.split(b"\r\n", 1)[0].split()
-        code = int(status[1]) if len(status) > 1 and status[1].isdigit() else None
-        ts = pd.to_datetime(head.get("warc-date"), utc=True, errors="coerce")
-        yield (head.get("warc-record-id"), head.get("warc-target-uri"), None if pd.isna(ts) else ts.tz_localize(None), kind, code, _headers(http), head.get("warc-payload-digest"), head.get("warc-refers-to"), body if kind == "response" else None)
+#: Between two records: the end of one, and what all versions of the next begin with.
+BETWEEN = "\r\n\r\nWARC/1."
+
+
+def parse_record(record: bytes) -> tuple | None:
+    """A row of ``RECORD`` and ``fault``, from a record without the start of its version line.
+
+    None for other types of record. ``fault`` says what is wrong with one that is cut off or
+    malformed; such a record has no body and no HTTP status.
+    """
+    head, blank, content = record.partition(b"\r\n\r\n")
+    named = _headers(head)
+    kind = named.get("warc-type", "")
+    if kind not in ("response", "revisit"):
+        return None if kind or not head.strip() else (None, None, None, None, None, None, None, None, None, "no type")
+    ts = pd.to_datetime(named.get("warc-date"), utc=True, errors="coerce")
+    length = named.get("content-length", "")
+    fault = None if length.isascii() and length.isdigit() else "bad length"
+    if not fault and len(content) < int(length):
+        fault = "cut off"
+    content = b"" if fault else content[: int(length)]
+    http, _, body = content.partition(b"\r\n\r\n")
+    status = http.split(b"\r\n", 1)[0].split()
+    code = int(status[1]) if len(status) > 1 and status[1].isdigit() and len(status[1]) < 5 else None
+    return (named.get("warc-record-id"), named.get("warc-target-uri"), None if pd.isna(ts) else ts.tz_localize(None), kind, code, _headers(http), named.get("warc-payload-digest"), named.get("warc-refers-to"), body if kind == "response" and not fault else None, fault)
 
 
 def read_warc(spark, path: str) -> DataFrame:
-    """Response and revisit records of the WARC files at ``path`` (plain or gzip), by Spark's own file reader."""
+    """Response and revisit records of the WARC files at ``path`` (plain or gzip, by their names), with a ``fault``.
+
+    Spark's text reader streams a file record by record, and splits plain ones, so no archive is
+    ever held whole. Records of other types are passed over. A malformed or cut-off record keeps its row, its ``fault``
+    tells what is wrong (null in sound records), and ``resolve`` finds no full response in it.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = [c.split()[0] for c in RECORD.split(", ")]
+        names = [c.split()[0] for c in RECORD.split(", ")] + ["fault"]
         for batch in batches:
-            for content in batch["content"]:
-                stream = gzip.GzipFile(fileobj=io.BytesIO(content)) if content[:2] == b"\x1f\x8b" else io.BytesIO(content)
-                rows = []
-                try:
-                    for row in parse_warc(stream):
-                        rows.append(row)
-                        if len(rows) == 1000:
-                            yield pd.DataFrame(rows, columns=names)
-                            rows = []
-                except (EOFError, zlib.error):  # a file cut off: what came before counts
-                    pass
+            for a in range(0, len(batch), 100):
+                rows = [row for record in batch["value"].iloc[a : a + 100] if (row := parse_record(bytes(record))) is not None]
                 if rows:
                     yield pd.DataFrame(rows, columns=names)
 
-    files = spark.read.format("binaryFile").load(path).select("content")
-    return files.repartition(max(1, spark.sparkContext.defaultParallelism)).mapInPandas(run, RECORD)
+    records = spark.read.option("lineSep", BETWEEN).text(path).select(F.col("value").cast("binary").alias("value"))
+    return records.mapInPandas(run, RECORD + ", fault string")

@@ -1,5 +1,6 @@
 """Small cases of each corpus operator: nulls, empties, ties, repeats, clashing columns, brute force."""
 
+import gzip
 import hashlib
 import random
 import re
@@ -75,7 +76,50 @@ def test_guess_cost_orders_values():
     assert cost("password") < cost("P@ssw0rd1999") < cost("x7Kp!9vQz")
     assert cost("aaaaaaaaaaaa") < cost("qwertyuiop") < cost("gk3vqzt81m")
     assert cost("20240131") < cost("83920147")
-    assert cost("x7Kp!9vQ" * 5000, 10.0) >= 10.0
+    assert cost("x7Kp!9vQ" * 5000 + "".join(map(chr, range(200, 5000))), 10.0) >= 10.0
+    known = secrets.ranks(["correct", "horse", "battery", "staple"])
+    assert cost("correcthorsebatterystaple", known=known) < 10 < cost("correcthorsebatterystaple")
+    assert cost("abcabcabcabcabcabc") < 6
+
+
+def _plain_cost(value, a, b, known):
+    """Cost of one segment by its definition."""
+    part, low, n = value[a:b], value[a:b].lower(), b - a
+    costs = [secrets._brute(part)] if n == 1 else []
+    plain = low.translate(secrets.PLAIN)
+    form = low if low in known else plain
+    if 3 <= n <= 24 and form in known:
+        costs.append(secrets.SPLIT * (1 + (form != low) + (part != low)) + known[form])
+    costs += [secrets.SPLIT + c for date, c in secrets.DATES if date.fullmatch(part)]
+    for p in range(1, 13):
+        if n % p == 0 and 2 <= n // p <= 64 and part == part[:p] * (n // p):
+            costs.append(secrets.SPLIT + min(sum(map(secrets._brute, part[:p])), known.get(part[:p], np.inf)) + np.log10(n // p))
+    if 3 <= n <= 24 and all(y in secrets.NEIGHBOURS.get(x, ()) for x, y in zip(low, low[1:], strict=False)):
+        costs.append(secrets.SPLIT + np.log10(len(secrets.NEIGHBOURS)) + 0.5 * (n - 1))
+    return min(costs, default=np.inf)
+
+
+def test_guess_cost_equals_brute_force():
+    rng, known = random.Random(8), secrets.ranks(["alpha", "beta", "stone", "one"])
+    pieces = ["password", "Alpha", "bet@", "st0ne", "one", "2024", "20240131", "31-12-1999", "qwert", "zxc", "aaaa", "abab", "oneone", "x", "7", "!", "É", "K9", "19"]
+    for _ in range(300):
+        value = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 6)))
+        best = [0.0]
+        for b in range(1, len(value) + 1):
+            best.append(min(best[a] + _plain_cost(value, a, b, known) for a in range(b)))
+        assert abs(secrets.guess_cost(value, known=known) - best[-1]) < 1e-9, value
+
+
+def test_ranked_words(spark):
+    rows = [(1, "Stone stone bird a the 12three"), (1, "Stone stone bird a the 12three"), (2, None), (3, ""), (4, "bird x" + "y" * 40), (None, "apple ärger")]
+    table = docs(spark, rows).withColumn("word", F.lit("clash"))
+    assert secrets.learn(table) == ["stone", "bird", "the", "three", "apple", "rger"]
+    assert secrets.learn(table, keep=2) == ["stone", "bird"]
+    assert secrets.learn(table.limit(0)) == []
+    long = "pad " * 50_000 + "password = Zk38xQp0Lm72"
+    got = secrets.scan(docs(spark, [(None, long), (None, long)]), words=["pad"]).collect()
+    assert [r["spans"] for r in got] == [f"assign:200000:{len(long)},guess:200011:{len(long)}"] * 2
+    assert secrets.scan(table.limit(0)).count() == 0
 
 
 # op10 -------------------------------------------------------------------------------------------
@@ -120,6 +164,55 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.predict(asked, empty).collect()} == {"und"}
 
 
+def test_language_equals_brute_force(spark):
+    rng = random.Random(6)
+    vocab = {k: ["".join(rng.choice("aeionrstßé" if k == "de" else "aeionrstwh") for _ in range(rng.randrange(2, 7))) for _ in range(60)] for k in ("de", "en", "zz")}
+    rows = [(i, " ".join(rng.choice(vocab[k]).title() for _ in range(rng.randrange(1, 40))) + " 1/2 ½x²y!", k) for i, k in enumerate(["de", "en", "zz"] * 15)]
+    rows += [(90, "x" * 50, "long"), (91, "123 ½", "none"), rows[0], rows[0]]
+    share, marked = 0.01, lambda w: f"<{w}>"
+    words = lambda t: re.findall(r"[^\W\d_½²³]+", t.lower())
+    grams = lambda w, n: [marked(w)[i : i + n] for i in range(len(w) + 3 - n)]
+    langs, count = sorted({r[2] for r in rows}), {}
+    for _, t, k in rows:
+        for w in words(t):
+            for n in range(5):
+                for g in [w] if n == 0 else grams(w, n):
+                    count[n, g, k] = count.get((n, g, k), 0) + 1
+    total = {(n, k): sum(c for (m, _, x), c in count.items() if (m, x) == (n, k)) for n in range(5) for k in langs}
+    gain = {(n, g, k): np.log(c / total[n, k]) - langid.FLOOR for (n, g, k), c in count.items() if c >= share * total[n, k]}
+    of = lambda n, g: np.array([gain.get((n, g, k), 0.0) for k in langs])
+
+    def vector(w):
+        if of(0, w).any():
+            return of(0, w)
+        for n in range(4, 0, -1):
+            found = [of(n, g) for g in grams(w, n) if of(n, g).any()]
+            if found:
+                return np.mean(found, axis=0)
+        return np.zeros(len(langs))
+
+    asked = rows + [(200 + i, t, None) for i, t in enumerate(["½ ²³", "qqq", "Thon haßt", "x" * 50 + " on", " ".join(vocab["zz"] * 3000), "漢字"])]
+    model = langid.fit(docs(spark, rows, "doc_id long, text string, lang string"), share=share)
+    got = langid.predict(docs(spark, asked, "doc_id long, text string, lang string"), model).collect()
+    assert model.langs == langs and len(got) == len(asked)
+    for r in got:
+        totals = sum((vector(w) for w in words(r["text"])), np.zeros(len(langs)))
+        if not words(r["text"]):
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0), r
+            continue
+        assert abs(r["score"] - 1 / np.exp(totals - totals.max()).sum()) < 1e-6, r
+        assert totals[langs.index(r["lang_pred"])] > totals.max() - 1e-6
+
+
+def test_language_of_rare_words_and_ties(spark):
+    rare = docs(spark, [(i, f"word{'abcdefghijklmnop'[i % 16]}{'abcdefghijklmnopqrs'[i // 16]}", "en") for i in range(300)], "doc_id long, text string, lang string")
+    assert langid.fit(rare, share=0.5).langs == ["en"]
+    even = docs(spark, [(1, "same", "b"), (2, "same", "a")], "doc_id long, text string, lang string")
+    got = langid.predict(even.limit(0).unionByName(even), langid.fit(even)).collect()
+    assert [(r["lang_pred"], r["score"]) for r in got] == [("a", 0.5)] * 2
+    assert langid.predict(even.limit(0), langid.fit(even)).count() == 0
+
+
 # op3 --------------------------------------------------------------------------------------------
 
 
@@ -149,11 +242,35 @@ def test_mix_meets_targets(spark):
         mine = [r for r in got if r["source"] == s]
         assert all(abs(r["target"] - goal[s]) < 1e-6 * goal[s] and r["source_size"] == size[s] for r in mine)
         assert abs(sum(r["taken"] for r in mine) - goal[s]) <= 0.01 * goal[s] + 2
+        # Rates are those of the one tilt that takes the target: bisection finds the same one.
+        sizes = np.array([r["size"] for r in mine], float)
+        taken = lambda lam: (sizes * np.minimum(3.0, np.exp(np.minimum(lam * sizes, 5)))).sum()  # noqa: B023, E731
+        lo, hi = -50.0, 50.0
+        for _ in range(200):
+            lo, hi = ((lo + hi) / 2, hi) if taken((lo + hi) / 2) < goal[s] else (lo, (lo + hi) / 2)
+        full = goal[s] >= 3 * size[s] * (1 - 1e-12)
+        want = np.where(sizes == 0, 0.0, 3.0 if full else np.minimum(3.0, np.exp(np.minimum(lo * sizes, 5))))
+        assert np.allclose([r["rate"] for r in mine], want, rtol=1e-6)
+        assert all(abs(r["copies"] - r["rate"]) <= 3 for r in mine)
     assert all(0 <= r["taken"] <= 3 * r["size"] for r in got)
-    assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix(table).collect())) if None not in order else True
+    key = lambda r: tuple(map(str, r))
+    again = mixing.mix(table.repartition(7, "text")).collect()
+    assert sorted(got, key=key) == sorted(again, key=key)
     assert mixing.mix(table.limit(0)).count() == 0
 
 
+def test_mix_of_equal_ids(spark):
+    text = "one two three four"
+    rows = [(None, text, "a")] * 700 + [(7, text, "a")] * 300 + [(None, prose(random.Random(i), 4), "a") for i in range(200)] + [(1, text, "b")] * 40
+    got = mixing.mix(docs(spark, rows, "doc_id long, text string, source string")).collect()
+    assert len(got) == len(rows) and sum(r["doc_id"] is None for r in got) == 900
+    for s in "ab":
+        mine = [r for r in got if r["source"] == s]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= 4
+    equal = [r["copies"] for r in got if r["doc_id"] == 7]
+    assert max(equal) - min(equal) <= 1
+
+
 # op6 --------------------------------------------------------------------------------------------
 
 
@@ -202,8 +319,15 @@ def test_linked_sets_share_a_signature(percent):
             x = int(rng.integers(0, d + 1))
             b = np.unique(np.concatenate([rng.permutation(a)[: max(1, len(a) - x)], fresh(d - x)]))
             same = len(np.intersect1d(a, b))
-            if jaccard.linked(np.array([same]), len(a), np.array([len(b)]), percent)[0] and same < max(len(a), len(b)):
-                assert len(np.intersect1d(jaccard.signatures(a, percent, 10**6), jaccard.signatures(b, percent, 10**6)))
+            if not jaccard.linked(np.array([same]), len(a), np.array([len(b)]), percent)[0] or same == max(len(a), len(b)):
+                continue
+            either = np.union1d(a, b)
+            either = either[rng.random(len(either)) < 0.5]
+            own = jaccard.band_of(len(a), percent)
+            for choice in (None, int(rng.integers(6))):  # any allocation, any tokens that are frequent
+                plans = choice and {k: (jaccard.choices(k, percent) * 6)[choice] for k in range(max(0, own - 2), own + 3)}
+                for frequent in (jaccard.NONE_FREQUENT, jaccard.Frequent(either, rng.integers(3, 90, len(either)), 50)):
+                    assert len(np.intersect1d(jaccard.signatures(a, percent, plans, frequent), jaccard.signatures(b, percent, plans, frequent)))
 
 
 def brute_components(rows, words, percent):
@@ -224,8 +348,10 @@ def brute_components(rows, words, percent):
     return {i: (len(s), comp[i]) for i, s in sets}
 
 
-def test_join_equals_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize(("words", "percent", "hot"), [(4, 85, 20_000), (5, 80, 20_000), (5, 80, 4)])
+def test_join_equals_brute_force(spark, monkeypatch, words, percent, hot):
     monkeypatch.setattr(jaccard, "BLOCK", 8)  # many blocks a cluster
+    monkeypatch.setattr(jaccard, "HOT", hot)  # buckets that are chained
     rng = random.Random(9)
     rows = []
     for base in range(6):
@@ -235,10 +361,20 @@ def test_join_equals_brute_force(spark, monkeypatch):
             for _ in range(rng.randrange(0, 5)):
                 t[rng.randrange(len(t))] = "new" + str(rng.randrange(999))
             rows.append((len(rows) * 7 % 1009, " ".join(t)))
+    passage = prose(rng, 40)
+    rows += [(3000 + i, f"{prose(rng, 8)} {passage}") for i in range(12)] + [(3100 + i, rows[i][1]) for i in range(0, 40, 3)]
     rows += [(2000, None), (2001, ""), (2002, "Same Short"), (2003, "same\tshort"), (2004, "one"), (2005, rows[0][1].upper()), (2006, prose(rng, 4000))]
-    got = jaccard.join(docs(spark, rows).withColumn("n", F.lit(1)).repartition(3), words=4, percent=85).collect()
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, 4, 85)
-    assert len(got) == len(rows)
+    got = jaccard.join(docs(spark, rows).withColumn("n", F.lit(1)).withColumn("a.b", F.lit(1)).repartition(3), words=words, percent=percent).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows, words, percent)
+    assert len(got) == len(rows) and all(r["head"] == (r["doc_id"] == r["component_id"]) for r in got)
+
+
+def test_join_of_repeated_and_null_ids(spark):
+    rng = random.Random(2)
+    a, b, c = prose(rng, 50), prose(rng, 50), prose(rng, 50)
+    rows = [(1, a), (1, a), (1, b), (2, b + " x"), (None, a), (None, c), (None, c), (None, None), (2, None)]
+    got = sorted(((r["doc_id"], r["n_shingles"], r["component_id"], r["head"]) for r in jaccard.join(docs(spark, rows)).collect()), key=str)
+    assert got == sorted([(1, 46, 1, True), (1, 46, 1, False), (1, 46, 1, True), (2, 47, 1, False), (None, 46, 1, False), (None, 46, None, True), (None, 46, None, False), (None, 0, None, True), (2, 0, 2, True)], key=str)
     assert jaccard.join(docs(spark, []), words=4, percent=85).count() == 0
 
 
@@ -266,6 +402,26 @@ def test_nearest_equals_brute_force(spark):
     assert ann.search(table.limit(0), table.limit(0)).count() == 0
 
 
+def test_nearest_at_its_defaults(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((20_000, 64))
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(4)
+    got = ann.search(table, table.where("vec_id % 50 = 0")).collect()
+    scaled = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near, hit = scaled[::50] @ scaled.T, 0
+    near[np.arange(400), np.arange(0, 20_000, 50)] = -2
+    for q, best in zip(range(0, 20_000, 50), np.argsort(-near, axis=1)[:, :5], strict=True):
+        hit += len({r["vec_id"] for r in got if r["query_id"] == q} & set(best.tolist()))
+    assert len(got) == 2000 and hit >= 0.9 * 2000
+
+
+def test_nearest_of_odd_vectors(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e-200, 1e-200]), (2, [1.0, 0.0]), (3, [1.0, 2.0, 3.0]), (50, [2.0, 4.0, 6.0]), (4, [3.0, 2.0, 1.0]), (50, [9.0, 9.0]), (5, [1.0, 0.0]), (None, [1.0, 0.0]), (100, [0.0, 0.0]), (6, [])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("a.b", F.lit(1))
+    got = [(r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in ann.search(table, table.where("vec_id % 50 = 0")).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 1, 1.0), (0, 2, 50, 1.0), (0, 3, 2, 0.707107), (0, 4, 5, 0.707107), (50, 1, 3, 1.0), (50, 2, 4, 0.714286)]
+
+
 # op1 --------------------------------------------------------------------------------------------
 
 
@@ -287,10 +443,41 @@ def test_revisits(spark, tmp_path):
     assert {k: (r["status"], r["response_id"]) for k, r in got.items()} == {"v1": ("orphan", None), "v2": ("resolved", "r1"), "v3": ("mismatch", None), "v4": ("resolved", "r2"), "v5": ("orphan", None), "v6": ("orphan", None)}
     assert got["v2"]["headers"] == {"etag": 'W/"1"', "content-type": "text/html", "age": "9", "cache-control": "max-age=1"}
     assert warc.resolve(table.limit(0)).count() == 0
+    again = table.unionByName(table)
+    assert warc.resolve(again).count() == 12 and {(r["record_id"], r["status"]) for r in warc.resolve(again).collect()} == {(k, r["status"]) for k, r in got.items()}
     record = lambda kind, http: (f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Target-URI: http://a.com/\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nWARC-Record-ID: <{kind}>\r\nContent-Length: {len(http)}\r\n\r\n".encode() + http + b"\r\n\r\n")
-    (tmp_path / "a.warc").write_bytes(record("response", b"HTTP/1.1 200 OK\r\nETag: x\r\n\r\nbody") + record("request", b"GET /") + record("revisit", b"HTTP/1.1 304 Not Modified\r\nETag: x\r\n\r\n"))
-    read = {r["kind"]: r for r in warc.read_warc(spark, str(tmp_path)).collect()}
-    assert set(read) == {"response", "revisit"} and bytes(read["response"]["body"]) == b"body" and read["revisit"]["status"] == 304 and read["revisit"]["headers"] == {"etag": "x"}
+    content = record("response", b"HTTP/1.1 200 OK\r\nETag: x\r\n\r\nbody\xff\r\n\r\n") + record("request", b"GET /") + record("revisit", b"HTTP/1.1 304 Not Modified\r\nETag: x\r\n\r\n")
+    broken = record("response", b"HTTP/1.1 200 OK\r\n\r\nx").replace(b"Length: 20", b"Length: many") + record("response", b"HTTP/1.1 200 OK\r\n\r\nwhole")[:-9]
+    (tmp_path / "a.warc").write_bytes(content + broken)
+    (tmp_path / "b.warc.gz").write_bytes(gzip.compress(content[:300]) + gzip.compress(content[300:]))
+    read = warc.read_warc(spark, str(tmp_path)).collect()
+    sound = [r for r in read if r["fault"] is None]
+    assert sorted(r["kind"] for r in sound) == ["response"] * 2 + ["revisit"] * 2
+    assert {bytes(r["body"]) for r in sound if r["kind"] == "response"} == {b"body\xff\r\n\r\n"}
+    assert {(r["status"], tuple(r["headers"].items())) for r in sound if r["kind"] == "revisit"} == {(304, (("etag", "x"),))}
+    assert sorted(r["fault"] for r in read if r["fault"]) == ["bad length", "cut off"]
+    assert warc.resolve(warc.read_warc(spark, str(tmp_path))).count() == 2
+
+
+def test_revisits_equal_brute_force(spark):
+    rng = random.Random(12)
+    rows = [(f"{rng.choice('rv')}{i}", rng.choice(["http://hot/", "http://b/"]), 1_700_000_000 + rng.randrange(40), None, rng.choice([200, 200, 404]), {"etag": str(rng.randrange(2))}, None) for i in range(400)]
+    rows = [(*r[:3], "response" if r[0][0] == "r" else "revisit", r[4] if r[0][0] == "r" else rng.choice([304, 304, 200]), *r[5:]) for r in rows]
+    table = spark.createDataFrame(rows, "record_id string, url string, ts long, kind string, status int, headers map<string,string>, digest string").withColumn("ts", F.timestamp_seconds("ts"))
+    got = {r["record_id"]: (r["status"], r["response_id"]) for r in warc.resolve(table.repartition(5)).collect()}
+    for v in rows:
+        if v[3] == "revisit":
+            before = [r for r in rows if r[3] == "response" and r[4] == 200 and r[1] == v[1] and r[2] < v[2]]
+            last = max(before, key=lambda r: (r[2], r[0]), default=None)
+            want = ("other", None) if v[4] != 304 else ("orphan", None) if last is None else ("resolved", last[0]) if last[5] == v[5] else ("mismatch", None)
+            assert got.pop(v[0]) == want
+    assert not got
+
+
+def test_canonical_urls(spark):
+    urls = {"HTTP://A.com:80": "http://a.com/", "https://a.com:443/x?": "https://a.com/x", "http://a.com/a/./b/../c/..": "http://a.com/a/", "http://a.com/%c3%a9?q=%2f": "http://a.com/%C3%A9?q=%2F", "http://a.com/../x": "http://a.com/x", "http://a.com/x?a=/../b": "http://a.com/x?a=/../b", "mailto:x#y": "mailto:x", "http://a.com/a//b": "http://a.com/a//b"}
+    got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", warc.canonical(F.col("u")).alias("c")).collect()
+    assert {r["u"]: r["c"] for r in got} == urls
 
 
 # op4 --------------------------------------------------------------------------------------------
