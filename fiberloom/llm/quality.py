@@ -71,7 +71,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     The raw counts take every n-gram of every document, combined before the shuffle to at most
     ``BUCKETS`` rows a task. The target counts come from up to ``trusted`` labelled documents of
     quality 1 that are not toxic, the first in order of a hash of their id; that list is the only
-    thing broadcast, and its size is that bound. Without any trusted document all ratios are 0.
+    thing broadcast, and its size is that bound. Without any trusted document, or any document, all
+    ratios are 0. Rows that repeat an id count each time; a null id is never trusted.
     """
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("__fl_trusted")).distinct()
     good = good.orderBy(F.xxhash64("__fl_trusted"), "__fl_trusted").limit(trusted)
@@ -92,9 +93,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
 def judge(docs: DataFrame, model: DataFrame, *, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """Append the counts of the base rules, ``base_failed``, the score ``llr`` and ``kept``.
 
-    The model is read once as a scalar subquery, a single array. Nothing is shuffled. A null or
-    empty text has no words, fails the base rules and scores 0. Repeated rows each get their
-    verdict; input columns of the names appended are replaced.
+    The model is read once as a scalar subquery, a single array. Nothing is shuffled, so an empty
+    table gives an empty one. A null or empty text has no words, fails the base rules and scores 0.
+    Texts are judged whole, whatever their length; a score at the threshold is kept. Repeated rows
+    and null ids each get their verdict; input columns of the names appended are replaced.
     """
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in COLUMNS]
     whole = F.coalesce(F.col(text), F.lit(""))

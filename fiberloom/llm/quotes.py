@@ -42,7 +42,8 @@ def link(messages: DataFrame, *, thread: str = "conv_id", pos: str = "turn", bod
     thread that an outermost passage (level 1; the least level there is) quotes, whole or by a
     line; ``source_*`` is the earliest message of any other thread where the thread has none.
     ``depth`` counts the replies from ``root``; sorting by root, depth, pos puts every message after
-    the one it answers. A null body is empty. Positions that repeat within a thread are one
+    the one it answers. Bodies of any length are split whole. An empty table gives an empty one;
+    other columns, also of these names, don't matter. A null body is empty. Positions that repeat within a thread are one
     message with its bodies in order of text; a null thread or position forms no link and keeps its row.
     """
     # One row for each position: repeated rows collapse before any join.

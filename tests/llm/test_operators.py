@@ -147,6 +147,70 @@ def test_extract_replaces_clashing_columns(spark):
     assert [(r["text"], r["n_chars"]) for r in got] == [("ä b", 3), ("ä b", 3), ("", 0)]
 
 
+def test_core_equals_brute_force():
+    """The formula by its definition, over every node of random small pages."""
+    import math
+
+    rng = random.Random(5)
+
+    def tree(depth):
+        kids = [tree(depth - 1) if depth and rng.random() < 0.6 else " ".join("x" * rng.randrange(1, 9) for _ in range(rng.randrange(1, 30))) for _ in range(rng.randrange(1, 4))]
+        leaf = all(isinstance(k, str) for k in kids)  # a parser closes p and a around others
+        return (rng.choice(["p", "a", "a", "div", "span"] if leaf else ["div", "section", "span"]), kids)
+
+    def page(t):
+        return t if isinstance(t, str) else f"<{t[0]}>" + "<!-- -->".join(map(page, t[1])) + f"</{t[0]}>"
+
+    def counts(t, linked=False):
+        """Characters, tags below, characters and tags of links."""
+        if isinstance(t, str):
+            return len(t), 0, len(t) * linked, 0
+        below = [(counts(k, linked or t[0] == "a"), k) for k in t[1]]
+        return sum(c[0] for c, _ in below), sum(c[1] + (not isinstance(k, str)) for c, k in below), sum(c[2] for c, _ in below), sum(c[3] + (not isinstance(k, str) and k[0] == "a") for c, k in below)
+
+    def flat(t, linked=False):
+        yield t, counts(t, linked or t[0] == "a")
+        for k in t[1]:
+            if not isinstance(k, str):
+                yield from flat(k, linked or t[0] == "a")
+
+    for _ in range(200):
+        body = ("body", [tree(3) for _ in range(3)])
+        whole = counts(body)
+        share = whole[2] / max(whole[0], 1)
+
+        def density(c):
+            n, t, ln, lt = c
+            base = math.log(n / max(n - ln, 1) * max(ln, 1) + share * n + math.e)  # noqa: B023
+            return 0.0 if not n else n / max(t, 1) * max(0.0, math.log(n / max(ln, 1) * max(t, 1) / max(lt, 1), base))
+
+        want = {}
+        for t, c in flat(body):
+            sums = sum(density(cc) for k in t[1] if not isinstance(k, str) for kk, cc in [next(x for x in flat(k, t[0] == "a"))])
+            want.setdefault(round(sums, 6), []).append((c[0], t[0]))
+        root = html_text.parse(page(body))
+        nodes = html_text._nodes(next(x for x in html_text._nodes(root) if x.tag == "body"))
+        html_text._measure(nodes, nodes[0])
+        best = max(nodes, key=lambda x: (x.total, x.chars, -x.order))
+        assert best.total == pytest.approx(max(want), abs=1e-5)
+        assert (best.chars, best.tag) in [x for s, xs in want.items() if abs(s - max(want)) < 1e-5 for x in xs]
+
+
+def test_pages_that_are_odd(spark):
+    text = html_text.main_text
+    assert text('<p title="the hidden truth">seen</p>') == "seen"
+    assert text('<p data-id="footer">seen</p>') == "seen"
+    assert text('<p>a <a href="/x?id=ad">link</a> b</p>') == "a link b"
+    assert text("<p class=footer>gone</p><p>seen text here</p>") == "seen text here"
+    assert text("<nav>| a | b</nav>|<div><p>Long enough paragraph text here</p></div>") == "| Long enough paragraph text here"
+    assert text("<div>" * 50_000 + "</x>" * 50_000 + "deep") == "deep"
+    assert len(text("<p>" + "word " * 200_000 + "</p>")) == 5 * 200_000 - 1
+    assert text("<p>one two</p><p>one two</p>") == "one two one two"  # a tie
+    pages = spark.createDataFrame([(None, "u", "<p>a</p>"), (None, "u", "<p>a</p>")], "page_id long, url string, html string").withColumn("a.b", F.lit(1))
+    assert [(r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()] == [("a", 1)] * 2
+    assert html_text.extract(pages.limit(0)).count() == 0
+
+
 # op2 --------------------------------------------------------------------------------------------
 
 
@@ -305,6 +369,39 @@ def test_quality_rules_and_ratio(spark):
     assert all(r["llr"] == 0 for r in unlabelled)
 
 
+def test_quality_ratio_equals_plain_version(spark):
+    import math
+    from collections import Counter
+
+    import xxhash
+
+    word = lambda w: xxhash.xxh64_intdigest(w.encode(), seed=42)
+    pair = lambda a, b: xxhash.xxh64_intdigest(b.to_bytes(8, "little"), seed=xxhash.xxh64_intdigest(a.to_bytes(8, "little"), seed=42))
+
+    def buckets(t):
+        h = [word(w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+        return [g % quality.BUCKETS for g in (*h, *map(pair, h, h[1:]))]  # a power of two, so signs don't matter
+
+    rng = random.Random(7)
+    rows = [(i, " ".join(rng.choice(["Alpha", "béta", "γ", "d.", "##"][: 3 + i % 3]) for _ in range(rng.randrange(0, 60)))) for i in range(40)]
+    rows += [(None, "Alpha " * 5000), (None, None), rows[1], rows[1]]
+    trusted = {i for i in range(40) if i % 3 == 0}
+    raw, good = Counter(), Counter()
+    for i, t in rows:
+        raw.update(buckets(t))
+        good.update(buckets(t) if i in trusted else ())
+    share = sum(good.values()) / sum(raw.values())
+    ratio = {g: math.log((good[g] + quality.PRIOR) / (c * share + quality.PRIOR)) for g, c in raw.items()}
+    labels = spark.createDataFrame([(i, int(i in trusted), 0) for i in range(40)] + [(3, 1, 0), (99, 1, 0), (1, 1, 1)], "doc_id long, quality int, toxic int")
+    table = docs(spark, rows)
+    for r in quality.judge(table.withColumn("a.b", F.lit(1)), quality.fit(table, labels)).collect():
+        found = buckets(r["text"])
+        llr = sum(ratio[g] for g in found) / max(1, len(found))
+        assert abs(r["llr"] - llr) < 1e-9
+        assert r["kept"] == (not r["base_failed"] and r["llr"] >= quality.THRESHOLD)
+    assert quality.judge(table.limit(0), quality.fit(table.limit(0), labels)).count() == 0
+
+
 # op9 --------------------------------------------------------------------------------------------
 
 
