@@ -226,6 +226,11 @@ ORACLE = {
     "GEO-01": f"""{_H}, o AS (SELECT ord, unnest(range(CAST(floor((x-2500)/5000.0) AS BIGINT), CAST(floor((x+2500)/5000.0) AS BIGINT)+1)) AS i, y FROM hubs), q AS (SELECT i, unnest(range(CAST(floor((y-2500)/5000.0) AS BIGINT), CAST(floor((y+2500)/5000.0) AS BIGINT)+1)) AS j FROM o) SELECT DISTINCT concat(CAST(i AS VARCHAR), '_', CAST(j AS VARCHAR)) AS cell FROM q""",
     "GEO-04": f"{_R} SELECT ring_name, CAST(row_number() OVER (PARTITION BY ring_name ORDER BY seq) - 1 AS INT) AS vertex, x, y FROM site_rings",
     "GEO-23": f"{with_views('sites', 'road_nodes')}, k AS (SELECT site_id, ref_fo, row_number() OVER (PARTITION BY site_id ORDER BY {_D2}, node_id) AS n FROM sites p, road_nodes q) SELECT site_id, CASE ref_fo WHEN 1 THEN 'Existing' ELSE 'New' END AS fo_note FROM k WHERE n = 1",
+    "INS-01": f"""{_T.replace("WITH ", "WITH " + _H.removeprefix("WITH ") + ", ", 1)}, g AS (SELECT a.x AS ax, a.y AS ay, b.x AS zx, b.y AS zy FROM o JOIN sites a ON a.site_id = near_end JOIN sites b ON b.site_id = far_end),
+      n AS (SELECT site_id, x, y, ax, ay, zx, zy, CASE WHEN ax = zx AND ay = zy THEN 0.0 ELSE greatest(0.0, least(1.0, ((x-ax)*(zx-ax)+(y-ay)*(zy-ay))/((zx-ax)*(zx-ax)+(zy-ay)*(zy-ay)))) END AS t FROM hubs, g)
+      SELECT site_id, min((x-(ax+t*(zx-ax)))*(x-(ax+t*(zx-ax)))+(y-(ay+t*(zy-ay)))*(y-(ay+t*(zy-ay)))) <= 90000 AS reached FROM n GROUP BY 1""",
+    "GEO-06": f"""WITH RECURSIVE {with_views("fiber_lines").removeprefix("WITH ")}, p AS (SELECT name, ax AS x, ay AS y FROM fiber_lines UNION ALL SELECT name, bx, "by" FROM fiber_lines),
+      l AS (SELECT DISTINCT p.name AS a, q.name AS b FROM p JOIN p q ON {_D2} <= 10000), c AS (SELECT a, b FROM l UNION SELECT c.a, l.b FROM c JOIN l ON l.a = c.b) SELECT a AS name, min(b) AS "group" FROM c GROUP BY 1""",
     "RPT-01": f"{_T} SELECT r.site_id, a.far_end AS next, b.near_end AS previous FROM site_rings r LEFT JOIN o a ON a.near_end = r.site_id LEFT JOIN o b ON b.far_end = r.site_id",
     "RPT-02": f"{_H} SELECT site_id, trim(region) AS region, 'Not Defined' AS vendor, 'Not Defined' AS program FROM hubs",
     "GR-17": f"{_R}, s AS ({_SEG.format('site_rings')}) SELECT site_id_a AS near_end, site_id_b AS far_end, CASE WHEN sequence % 2 = 0 THEN round(length, 4) END AS length FROM s WHERE site_id_b IS NOT NULL",
