@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from fiberloom.functions import geo, kernel
 from fiberloom.operators.components import connected
-from fiberloom.operators.spatial import self_pairs, within_radius
+from fiberloom.operators.spatial import nearest, self_pairs, within_radius
 from fiberloom.runtime import durable
 
 CLASSES = ("high", "medium", "low", "very low")
@@ -191,6 +191,12 @@ def extend_sectors(dropped: DataFrame, accepted: DataFrame, distance: float = 50
     return own.join(sums, "ord", "left").where((F.coalesce("worst", F.lit(0.0)) < hard_limit) & (F.coalesce("all", F.lit(0.0)) < tolerance)).drop("worst", "all")
 
 
+def matched(sites: DataFrame, listed: DataFrame, reach: float = 50.0) -> DataFrame:
+    """Sites with ``dash_id``, the nearest of a list (``dash_id, bx, by``) in reach, and whether it is the ``same`` id."""
+    near = nearest(sites.select("site_id", "x", "y"), listed, "site_id", "dash_id", max_distance=reach)
+    return sites.join(near.select("site_id", "dash_id"), "site_id", "left").withColumn("same", F.coalesce(F.col("dash_id") == F.col("site_id"), F.lit(False)))
+
+
 def regions(sites: DataFrame, distance: float = 1000.0) -> DataFrame:
     """Sites with ``group``: the least ``ord`` of the blob of buffered sites they belong to."""
     links = self_pairs(sites, "ord", 2 * distance).select("a", "b")

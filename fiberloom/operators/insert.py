@@ -23,11 +23,11 @@ def reachable(sites: DataFrame, segments: DataFrame, max_distance: float = 3000.
     return hit, sites.join(hit.select("site_id"), "site_id", "left_anti")
 
 
-def inserted(members: DataFrame, new: DataFrame, max_member: int = 12) -> DataFrame:
+def inserted(members: DataFrame, new: DataFrame, max_member: int = 12, count_all: bool = False) -> DataFrame:
     """``ring_name, place, site_id, note``: new sites follow their near end in order of distance, up to the limit.
 
     ``members`` has ``ring_name, seq, site_id, site_type``, ``new`` ``ring_name, site_id, near_end,
-    dist``. The limit counts what is no hub, and holds exactly.
+    dist``. The limit counts what is no hub (or every point, with ``count_all``), and holds exactly.
     """
     if max_member < 4:
         raise ValueError("a ring takes four members at least")
@@ -36,7 +36,7 @@ def inserted(members: DataFrame, new: DataFrame, max_member: int = 12) -> DataFr
         order = m.sort_values("seq")["site_id"].tolist()
         hubs = set(m.loc[m["site_type"].str.lower().str.contains("hub", na=False), "site_id"])
         near, rank = dict(zip(n["site_id"], n["near_end"], strict=True)), dict(zip(n["site_id"], n["dist"], strict=True))
-        out = network.insert_members(order, near, rank, max_member, lambda ids: sum(i not in hubs for i in ids))
+        out = network.insert_members(order, near, rank, max_member, lambda ids: len(ids) if count_all else sum(i not in hubs for i in ids))
         return pd.DataFrame({"ring_name": key[0], "place": range(len(out)), "site_id": out, "note": ["insert" if i in near else "existing" for i in out]})
 
     return members.groupBy("ring_name").cogroup(new.groupBy("ring_name")).applyInPandas(run, "ring_name string, place int, site_id string, note string")

@@ -350,6 +350,18 @@ def reroute(paths: DataFrame, edges: DataFrame, threshold: float = 3000.0, perce
     return paths.groupBy("ring_name").cogroup(edges.groupBy("ring_name")).applyInPandas(run, "ring_name string, seq long, start long, end long, nodes array<long>, route_type string, length double")
 
 
+def hop_lengths(paths: DataFrame, edges: DataFrame) -> DataFrame:
+    """``ring_name, seq, fo_note, length``: metres of each hop's own steps on fiber (Existing) and off it (New).
+
+    ``paths`` has ``ring_name, seq, nodes``, ``edges`` ``ring_name, node_start, node_end, length, fiber``.
+    """
+    n = F.greatest(F.size("nodes") - 1, F.lit(0))
+    steps = F.zip_with(F.slice("nodes", F.lit(1), n), F.slice("nodes", F.lit(2), n), lambda a, b: F.struct(F.least(a, b).alias("node_start"), F.greatest(a, b).alias("node_end")))
+    each = paths.select("ring_name", "seq", F.explode(steps).alias("s")).select("ring_name", "seq", "s.*")
+    note = F.when(F.col("fiber"), "Existing").otherwise("New")
+    return each.join(edges.select("ring_name", "node_start", "node_end", "length", note.alias("fo_note")), ["ring_name", "node_start", "node_end"]).groupBy("ring_name", "seq", "fo_note").agg(F.sum("length").alias("length"))
+
+
 def _fresh(rows: DataFrame) -> DataFrame:
     """The rows with columns of their own, as both sides of a cogroup may come from one table."""
     return rows.select(*[F.col(c).alias(c) for c in rows.columns])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fiberloom.functions import geo
-from fiberloom.operators.spatial import nearest
+from fiberloom.operators.spatial import near_line, nearest
 
 
 def is_hub(site_type: Column) -> Column:
@@ -114,6 +114,28 @@ def shared_road(paths: DataFrame, edges: DataFrame, threshold: float = 3000.0, p
     return roads.groupBy("ring_name", "seq_a", "seq_b").agg(F.sum("length").alias("shared")).where(F.col("shared") > threshold)
 
 
+def endpoints_once(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Places that are an end of exactly one line."""
+    ends = lines.select(F.explode(F.array(F.element_at(line, 1), F.element_at(line, -1))).alias("p"))
+    return ends.groupBy(F.col("p.x").alias("x"), F.col("p.y").alias("y")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("x", "y")
+
+
+def neighbours(points: DataFrame, topo: DataFrame) -> DataFrame:
+    """Points with the ``next`` and the ``previous`` site of their ring, null at its ends."""
+    after = topo.select(F.col("near_end").alias("site_id"), F.col("far_end").alias("next"))
+    before = topo.select(F.col("far_end").alias("site_id"), F.col("near_end").alias("previous"))
+    return points.join(after, "site_id", "left").join(before, "site_id", "left")
+
+
+def lighter(edges: DataFrame, nodes: DataFrame, fiber: DataFrame, reach: float = 20.0, divisor: float = 3.0) -> DataFrame:
+    """Costed roads whose ends are both within reach of earlier fiber (``ax, ay, bx, by``), made cheaper by the divisor."""
+    near = near_line(nodes.select("node_id", "x", "y"), fiber, reach).select("node_id").distinct()
+    side = lambda end: near.select(F.col("node_id").alias(end), F.lit(True).alias(f"__{end}"))
+    out = edges.join(side("node_start"), "node_start", "left").join(side("node_end"), "node_end", "left")
+    along = F.col("__node_start").isNotNull() & F.col("__node_end").isNotNull()
+    return out.withColumn("weight", F.when(along, F.col("weight") / divisor).otherwise(F.col("weight"))).drop("__node_start", "__node_end")
+
+
 def coordinate_counts(lines: DataFrame, key: str, line: str = "line") -> DataFrame:
     return lines.select(key, F.explode(line).alias("p")).groupBy(key, "p.x", "p.y").agg(F.count(F.lit(1)).alias("n"))
 

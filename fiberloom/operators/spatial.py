@@ -70,8 +70,8 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str, right_id: str, *, k
         reach *= 2
 
 
-def near_line(points: DataFrame, lines: DataFrame, distance: float, *, at=("x", "y"), ends=("ax", "ay", "bx", "by")) -> DataFrame:
-    """Pairs of a point and a two-point segment at most ``distance`` apart, with ``d2``.
+def near_line(points: DataFrame, lines: DataFrame, distance: float, *, at=("x", "y"), ends=("ax", "ay", "bx", "by"), within: bool = False) -> DataFrame:
+    """Pairs of a point and a two-point segment at most ``distance`` apart (less, if it must be ``within``), with ``d2``.
 
     A segment is dealt to the cells of its bounding box, grown by the distance; cells are a few
     times as wide as the distance, so that long segments stay affordable.
@@ -83,7 +83,16 @@ def near_line(points: DataFrame, lines: DataFrame, distance: float, *, at=("x",
     l = lines.withColumn("__cx", span(ax, bx)).withColumn("__cy", span(ay, by))  # noqa: E741
     p = points.withColumn("__cx", _cell(px, size)).withColumn("__cy", _cell(py, size))
     d2 = geo.segment_distance2(px, py, ax, ay, bx, by)
-    return p.join(l, ["__cx", "__cy"]).withColumn("d2", d2).where(F.col("d2") <= distance * distance).drop("__cx", "__cy")
+    near = F.col("d2") < distance * distance if within else F.col("d2") <= distance * distance
+    return p.join(l, ["__cx", "__cy"]).withColumn("d2", d2).where(near).drop("__cx", "__cy")
+
+
+def sparse(points: DataFrame, key: str, cluster: str, reach: float, least: int) -> DataFrame:
+    """Points with ``noise``: fewer than ``least`` other members of their own cluster are in reach."""
+    of = points.select(key, cluster)
+    pairs = self_pairs(points, key, reach).select("a", "b").join(of.toDF("a", "__ca"), "a").join(of.toDF("b", "__cb"), "b").where("__ca = __cb")
+    n = pairs.select(F.explode(F.array("a", "b")).alias(key)).groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    return points.join(n, key, "left").withColumn("noise", F.coalesce("__n", F.lit(0)) < least).drop("__n")
 
 
 def in_polygon(points: DataFrame, polygons: DataFrame, *, ring: str = "ring", at=("x", "y"), cell: float = 2500.0, how: str = "inner") -> DataFrame:

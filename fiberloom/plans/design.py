@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fiberloom.functions import geo
-from fiberloom.operators import boq, fwa, intake, network, overlay, rings, spatial
+from fiberloom.operators import boq, fwa, intake, network, overlay, rings, spatial, tables
 from fiberloom.plans import jobs
 from fiberloom.plans.fixtures import view, with_views
 from fiberloom.plans.fwa import PAIRS, RADIUS, _homes
@@ -71,6 +71,28 @@ def cl_10(s, d):
     return rings.hub_assignment(view(s, d, "site_rings"), view(s, d, "hubs"), 900.0, use_centroid=True).select("ring_name", "outcome", "hub_id", "flag")
 
 
+def prj_01(s, d):
+    """Hubs under a header that stands in the second row, as a workbook without one has them."""
+    body = view(s, d, "hubs").select((F.col("ord") + 5).cast("long").alias("row"), F.col("site_id").alias("Unnamed: 0"), F.col("region").alias("Unnamed: 1"), F.lit(None).cast("string").alias("Unnamed: 2"))
+    head = s.createDataFrame([(0, None, None, None), (1, "Site\n ID*", "Region.x", "nan")], "row long, `Unnamed: 0` string, `Unnamed: 1` string, `Unnamed: 2` string")
+    return tables.sanitize_header(head.unionByName(body), "row", lowercase=True).select("site_id", "region")
+
+
+def _given(s, d):
+    """Sites as a user writes them: text, blanks, coordinates that are none."""
+    p = view(s, d, "site_rings")
+    lat = F.when(F.col("seq") == 3, "bad").when(F.col("seq") == 5, "95.0").otherwise((F.col("y") / 1000).cast("string"))
+    name = F.when(F.col("seq") == 2, F.lit(None)).otherwise(F.concat(F.lit("  "), "site_name", F.lit(" ")))
+    return p.select("site_id", name.alias("site_name"), "site_type", lat.alias("lat"), (F.col("x") / 1000).alias("long"), "ring_name", F.lit(" x ").alias("flag"))
+
+
+def _checked(kind: str):
+    def run(s, d):
+        return tables.validate(_given(s, d), kind).select("site_id", "site_name", F.round("lat", 6).alias("lat"), F.round("long", 6).alias("long"))
+
+    return run
+
+
 # graph ------------------------------------------------------------------------------------------
 
 
@@ -119,6 +141,25 @@ def jn_10(s, d):
     return out.groupBy("ring_name").agg(F.round(F.sum("length"), 3).alias("length")).where("length > 0")
 
 
+def jn_04(s, d):
+    """Sites within the buffer of a fiber line, its edge left out."""
+    f = view(s, d, "fiber_lines").select("name", "ax", "ay", "bx", "by")
+    return spatial.near_line(view(s, d, "road_nodes"), f, 1000.0, within=True).select("node_id", "name").distinct()
+
+
+def prj_16(s, d):
+    """Road costs without classes, for the kinds that don't weigh them."""
+    e = lambda k: rings.edge_costs(view(s, d, "road_edges"), view(s, d, "road_nodes"), k).select("node_start", "node_end", F.col("weight").alias(k))
+    return e("route").join(e("fiber"), ["node_start", "node_end"]).join(e("full_fiber"), ["node_start", "node_end"])
+
+
+def twin_weights(s, d):
+    """Roads along earlier fiber cost a third."""
+    f = view(s, d, "fiber_lines").select("ax", "ay", "bx", "by")
+    plain = rings.edge_costs(view(s, d, "road_edges"), view(s, d, "road_nodes"), "route")
+    return rings.lighter(plain, view(s, d, "road_nodes"), f).select("node_start", "node_end", F.round("weight", 6).alias("weight"))
+
+
 def jn_21(s, d):
     """Sites in and out of the zone of 2000 m around fiber."""
     f = view(s, d, "fiber_lines").select("ax", "ay", "bx", "by")
@@ -240,6 +281,47 @@ def src_09(s, d):
     return files.workbooks(s, f"{folder}/hubs_*.xlsx", {"Prov": "prov2"}).select("site_id", F.coalesce("province", "prov2").alias("province"))
 
 
+def src_01(s, d):
+    """Hubs written as CSV and as GeoJSON in degrees and read by their extension."""
+    folder = scratch(s)
+    lon, lat = geo.degrees_of(F.col("x"), F.col("y"))
+    view(s, d, "hubs").select("site_id", lon.alias("Longitude"), lat.alias("Latitude")).write.option("header", True).csv(f"{folder}/hubs.csv")
+    feature = F.struct(F.lit("Feature").alias("type"), F.struct("site_id").alias("properties"), F.struct(F.lit("Point").alias("type"), F.array("x", "y").alias("coordinates")).alias("geometry"))
+    whole = view(s, d, "hubs").agg(F.collect_list(feature).alias("features")).withColumn("type", F.lit("FeatureCollection"))  # a small fixture, as one document
+    whole.write.json(f"{folder}/hubs.geojson")
+    a = files.read_table(s, f"{folder}/hubs.csv").select("site_id", F.round("x", 3).alias("x"), F.round("y", 3).alias("y"))
+    b = files.read_table(s, f"{folder}/hubs.geojson").select("site_id", F.from_json("coordinates", "array<double>").alias("c"))
+    return a.join(b.select("site_id", F.col("c")[0].alias("gx"), F.col("c")[1].alias("gy")), "site_id")
+
+
+def src_06(s, d):
+    folder = scratch(s)
+    sheet = view(s, d, "hubs").select("site_id", "region").toPandas()
+    files.write_bytes(s, f"{folder}/p.xlsx", xlsx.workbook({"sitelist": sheet, "hubs": sheet}))
+    found = files.read_sheets(s, f"{folder}/p.xlsx", ("sitelist", "hubs"))
+    return found["sitelist"].unionByName(found["hubs"])
+
+
+def src_10(s, d):
+    """Points of all regions written apart and compiled."""
+    folder = scratch(s)
+    for region in sorted(r[0] for r in view(s, d, "hubs").select("region").distinct().collect()):
+        view(s, d, "sites").where(F.col("region") == region).write.parquet(f"{folder}/Points_{region.replace(' ', '_')}.parquet")
+    return files.compiled(s, folder, "Points").select("site_id", "region")
+
+
+def snk_06(s, d):
+    """Layers that have rows, written under their names and read back."""
+    folder = scratch(s)
+    sites = view(s, d, "sites").select("site_id", "site_type")
+    done = files.write_layers({"odp": sites.where("site_type = 'Rooftop'"), "otb": sites, "closure": sites.limit(0)}, folder)
+    out = None
+    for name in done:
+        rows = s.read.parquet(f"{folder}/{name}").groupBy(F.lit(name).alias("layer")).agg(F.count(F.lit(1)).alias("rows"))
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def src_11(s, d):
     path = f"{scratch(s)}/sites"
     view(s, d, "sites").write.parquet(path)
@@ -301,6 +383,7 @@ def snk_13(s, d):
 
 
 QUERIES = {
+    "PRJ-01": prj_01, "PRJ-02": _checked("supervised"), "PRJ-03": _checked("unsupervised"), "PRJ-06": _checked("fwa"), "PRJ-07": _checked("topology"), "JN-04": jn_04, "PRJ-16": prj_16, "TWIN-insert-weights": twin_weights, "SRC-01": src_01, "SRC-06": src_06, "SRC-10": src_10, "SNK-06": snk_06,
     "PRJ-05": prj_05, "PRJ-08": prj_08, "PRJ-19": prj_19, "PRJ-20": prj_20, "CL-06": cl_06, "CL-10": cl_10, "GR-05": gr_05, "GR-09": gr_09, "GR-14": gr_14, "GR-18": gr_18, "GR-19": gr_19,
     "JN-09": jn_09, "JN-10": jn_10, "JN-21": jn_21, "GEO-02": geo_02, "GEO-13": geo_13, "GEO-15": geo_15, "GEO-16": geo_16, "GEO-26": geo_26,
     "FWA-09": fwa_09, "FWA-10": fwa_10, "FWA-11": fwa_11, "FWA-12": fwa_12, "BOQ-03": boq_03, "BOQ-05": boq_05,
@@ -323,7 +406,17 @@ _WALK = """h AS (SELECT ring_name, arg_min(site_id, seq) AS start FROM noted WHE
  f AS (SELECT z.ring_name, CASE WHEN places > 0 AND lower(n.site_type) LIKE '%hub%' THEN 'hub' WHEN o.far_end IS NULL THEN 'dead end' WHEN o.far_end = h.start THEN 'hub' ELSE 'loop' END AS ended FROM z JOIN h USING (ring_name) JOIN noted n ON n.site_id = z.last LEFT JOIN o ON o.near_end = z.last)"""
 _RNOTED = "WITH RECURSIVE " + _R.removeprefix("WITH ") + _NOTED + ", " + _TOPO
 
+_VALID = f"{_R} SELECT site_id, CASE WHEN seq = 2 THEN '' ELSE trim(site_name) END AS site_name, round(y / 1000, 6) AS lat, round(x / 1000, 6) AS long FROM site_rings WHERE seq NOT IN (3, 5)"
+_ONE = "c AS (SELECT least(node_start, node_end) AS node_start, greatest(node_start, node_end) AS node_end, max(struct_pack(length := length, highway := highway)) AS r FROM road_edges GROUP BY 1, 2)"
+
 ORACLE = {
+    "PRJ-01": f"{_H} SELECT site_id, region FROM hubs", "PRJ-02": _VALID, "PRJ-03": _VALID, "PRJ-06": _VALID, "PRJ-07": _VALID,
+    "JN-04": f"""{with_views("road_nodes", "fiber_lines")} SELECT DISTINCT p.node_id, f.name FROM road_nodes p JOIN fiber_lines f ON p.x BETWEEN f.ax - 1000 AND f.bx + 1000 AND p.y BETWEEN f.ay - 1000 AND f."by" + 1000
+      WHERE (p.x - greatest(f.ax, least(f.bx, p.x))) * (p.x - greatest(f.ax, least(f.bx, p.x))) + (p.y - greatest(f.ay, least(f."by", p.y))) * (p.y - greatest(f.ay, least(f."by", p.y))) < 1000000""",
+    "PRJ-16": f"{with_views('road_edges', 'road_nodes')}, {_ONE} SELECT c.node_start, c.node_end, r.length AS route, r.length * CASE WHEN a.ref_fo = 1 AND b.ref_fo = 1 THEN 10000.0::DOUBLE ELSE 35000.0::DOUBLE END AS fiber, r.length * CASE WHEN a.ref_fo = 1 AND b.ref_fo = 1 THEN 100.0::DOUBLE ELSE 35000.0::DOUBLE END AS full_fiber FROM c JOIN road_nodes a ON a.node_id = c.node_start JOIN road_nodes b ON b.node_id = c.node_end",
+    "TWIN-insert-weights": f"""{with_views("road_edges", "road_nodes", "fiber_lines")}, {_ONE}, f AS (SELECT ax, ay FROM fiber_lines UNION SELECT bx, "by" FROM fiber_lines), q AS (SELECT node_id FROM road_nodes JOIN f ON x = ax AND y = ay) SELECT node_start, node_end, round(CASE WHEN node_start IN (SELECT * FROM q) AND node_end IN (SELECT * FROM q) THEN r.length / 3 ELSE r.length END, 6) AS weight FROM c""",
+    "SRC-01": f"{_H} SELECT site_id, x, y, x AS gx, y AS gy FROM hubs", "SRC-06": f"{_H} SELECT site_id, region FROM hubs UNION ALL SELECT site_id, region FROM hubs", "SRC-10": f"{_S} SELECT site_id, region FROM sites",
+    "SNK-06": f"{_S} SELECT 'odp' AS layer, count(*) AS rows FROM sites WHERE site_type = 'Rooftop' UNION ALL SELECT 'otb', count(*) FROM sites",
     "PRJ-05": f"""{with_views("sites", "folders")}, s AS ({_SEG.format('site_rings')}), v AS (SELECT site_id, split_part(folders, ';', -2) AS ring_name, trim(split_part(folders, ';', -3)) AS program, nullif(regexp_extract(folders, '([A-Z]{{3,6}})\\s*;', 1), '') AS region, CASE WHEN lower(split_part(folders, ';', -1)) LIKE '%hub%' THEN 'FO Hub' ELSE 'Site List' END AS what FROM folders)
       SELECT 'site' AS kind, site_id AS name, what, ring_name, program, region FROM v UNION ALL SELECT 'route', site_id_a, site_id_b, v.ring_name, program, region FROM s JOIN v ON v.site_id = site_id_a WHERE site_id_b IS NOT NULL AND sequence % 2 = 0""",
     "PRJ-08": f"{_S} SELECT site_id FROM sites",

@@ -7,11 +7,12 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiberloom.operators import boq, fwa, insert, network, rings, spatial
+from fiberloom.operators import boq, fwa, insert, network, rings, spatial, tables
 from fiberloom.operators.components import connected
 from fiberloom.plans.fixtures import view, with_views
 from fiberloom.plans.rings import _SEG, _lines
 from fiberloom.runtime import durable
+from fiberloom.sources import reports
 
 
 def snapped(points: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -52,7 +53,7 @@ def supervised(points: DataFrame, road_edges: DataFrame, road_nodes: DataFrame)
     order = durable(network.ring_order(pts.select("ring_name", "site_id", "ord", rings.is_hub(F.col("site_type")).alias("hub")), dist))
     hops = _realized(pts, roads, order.where("not rejected"))
     paths = network.reroute(network.routes(hops, roads, "ring_name").where("cost is not null"), roads)
-    return {"points": order.where("not rejected").drop("rejected"), "paths": paths, "rejects": order.where("rejected").select("ring_name", "site_id")}
+    return {"points": order.where("not rejected").drop("rejected"), "paths": paths, "roads": roads, "rejects": order.where("rejected").select("ring_name", "site_id")}
 
 
 def blobs(sites: DataFrame, reach: float) -> DataFrame:
@@ -235,6 +236,42 @@ def bill_of_quantity(points: DataFrame, lines: DataFrame, fiber: DataFrame, barr
     return found | {"layers": layers, "summary": layers.groupBy("ring_name").agg(*counts, *lengths)}
 
 
+def nearest_by_road(sites: DataFrame, hubs: DataFrame, road_edges: DataFrame, road_nodes: DataFrame, k: int = 3) -> DataFrame:
+    """``site_id, hub_id, nth, dist``: of the 2k hubs nearest to a site in a straight line the k nearest by road.
+
+    Candidates without a road are left out.
+    """
+    near = spatial.nearest(sites.select("site_id", "x", "y"), hubs.select(F.col("site_id").alias("hub_id"), F.col("x").alias("bx"), F.col("y").alias("by")), "site_id", "hub_id", k=2 * k)
+    near = durable(near.select("site_id", "hub_id", "x", "y", "bx", "by"))
+    # A group is a site, its candidates, and the roads around them.
+    own = near.select(F.col("site_id").alias("g"), "site_id", "x", "y").distinct().withColumn("asked", F.lit(True))
+    ends = near.select(F.col("site_id").alias("g"), F.col("hub_id").alias("site_id"), F.col("bx").alias("x"), F.col("by").alias("y")).withColumn("asked", F.lit(False))
+    places = own.unionByName(ends)
+    at = snapped(places.select("site_id", "x", "y").distinct(), road_nodes).select("site_id", "node")
+    pts = durable(places.join(at, "site_id"))
+    roads = durable(roads_of(pts, rings.edge_costs(road_edges, road_nodes, "route"), road_nodes, "g", 2000.0))
+    dist = network.distances(pts.select("g", "site_id", "node", "asked"), roads, "g")
+    from pyspark.sql.window import Window
+
+    nth = F.row_number().over(Window.partitionBy("site_i").orderBy("dist", "site_j"))
+    return dist.withColumn("nth", nth).where(F.col("nth") <= k).select(F.col("site_i").alias("site_id"), F.col("site_j").alias("hub_id"), "nth", "dist")
+
+
+def update_rings(segments: DataFrame, points: DataFrame, routes: DataFrame) -> dict[str, DataFrame]:
+    """Edited rings: the order of their points, and the report of their routes.
+
+    ``segments`` has ``ring_name, seq, name``, whose ends are the ids that the name contains;
+    ``routes`` the drawn ``near_end, far_end, length``. A segment without a drawn route is new and has no length yet.
+    """
+    ends = tables.near_far(segments.select("name"), points.select("site_id")).distinct()
+    named = segments.join(ends, "name")
+    order = insert.fuzzy_walk(named.where("near_end is not null and far_end is not null"), points)
+    pieces = insert.route_pieces(named.select("ring_name", "name", "near_end", "far_end"), routes)
+    noted = pieces.withColumn("fo_note", F.when(F.col("length").isNull(), "New").otherwise("Existing")).withColumn("length", F.coalesce("length", F.lit(0.0)))
+    region = points.groupBy("ring_name").agg(F.min("region").alias("region"))
+    return {"points": order, "report": reports.update_report(noted.join(region, "ring_name"))}
+
+
 # queries ----------------------------------------------------------------------------------------
 
 def _ringed(s, d):
@@ -292,6 +329,22 @@ def job_update(s, d):
     return insert.fuzzy_walk(segs, _members(s, d))
 
 
+def upd_report(s, d):
+    segs = rings.segments(_members(s, d)).select("ring_name", F.col("sequence").alias("seq"), F.concat("site_id_a", F.lit("/x-"), "site_id_b", F.lit(" route")).alias("name"), "site_id_a", "site_id_b", "length")
+    drawn = segs.where("seq % 2 = 0").select(F.col("site_id_b").alias("near_end"), F.col("site_id_a").alias("far_end"), F.floor("length").cast("double").alias("length"))
+    return update_rings(segs.select("ring_name", "seq", "name"), _members(s, d), drawn)["report"]
+
+
+def job_classified(s, d):
+    """Metres of each hop of the supervised rings on fiber and off it."""
+    p = supervised(_ringed(s, d), view(s, d, "road_edges"), view(s, d, "road_nodes"))
+    return network.hop_lengths(p["paths"], p["roads"])
+
+
+def jn_08_routed(s, d):
+    return nearest_by_road(view(s, d, "hubs"), view(s, d, "sites"), view(s, d, "road_edges"), view(s, d, "road_nodes"))
+
+
 def gr_08(s, d):
     segs = rings.segments(_members(s, d)).select("ring_name", F.col("sequence").alias("seq"), F.col("site_id_a").alias("near_end"), F.col("site_id_b").alias("far_end"))
     return insert.walk_order(segs, _members(s, d).where("seq = 0")).select("ring_name", "site_id", "place")
@@ -314,7 +367,7 @@ def job_utilization(s, d):
 
 
 QUERIES = {
-    "JOB-supervised": job_supervised, "JOB-unsupervised": job_unsupervised, "FIX-01": job_fixroute, "INS-02": ins_02, "INS-02-paths": ins_02_paths, "GR-15": gr_15, "TOP-01": job_topology, "UPD-01": job_update,
+    "JOB-supervised": job_supervised, "JOB-unsupervised": job_unsupervised, "FIX-01": job_fixroute, "INS-02": ins_02, "INS-02-paths": ins_02_paths, "GR-15": gr_15, "TOP-01": job_topology, "UPD-01": job_update, "UPD-01-report": upd_report, "JN-08-routed": jn_08_routed, "JOB-supervised-classified": job_classified,
     "GR-08": gr_08, "FWA-07": job_fwa, "UTL-01": job_centerline, "UTL-02": job_utilization,
 }
 
@@ -325,5 +378,6 @@ ORACLE = {
     "UTL-02": f"""{with_views("fiber_lines")}, p AS (SELECT a.name AS mine, b.name AS fiber, CASE WHEN a.name = b.name THEN abs(a.ax-a.bx) + abs(a.ay-a."by") ELSE 20.0 END AS n FROM fiber_lines a JOIN fiber_lines b ON a.name = b.name OR (a.ax = b.ax AND a.ay = b.ay) OR (a.ax = b.bx AND a.ay = b."by") OR (a.bx = b.ax AND a."by" = b.ay) OR (a.bx = b.bx AND a."by" = b."by"))
       SELECT substring(mine, 1, 3) AS ring_name, fiber, round(sum(n), 1) AS existing FROM p GROUP BY 1, 2""",
     "GR-08": f"{_R} SELECT ring_name, site_id, CAST(row_number() OVER (PARTITION BY ring_name ORDER BY seq) - 1 AS INT) AS place FROM site_rings WHERE ring_name IN (SELECT ring_name FROM site_rings WHERE seq = 0) AND ring_name IN (SELECT ring_name FROM site_rings GROUP BY 1 HAVING count(*) > 1)",
+    "UPD-01-report": f"{_R}, s AS ({_SEG.format('site_rings')}), g AS (SELECT ring_name, min(region) AS region FROM site_rings GROUP BY 1) SELECT concat(site_id_a, '/x-', site_id_b, ' route') AS name, site_id_a AS near_end, site_id_b AS far_end, ring_name, region, CASE WHEN sequence % 2 = 0 THEN floor(length) ELSE 0.0 END AS existing, 0.0::DOUBLE AS new, CASE WHEN sequence % 2 = 0 THEN floor(length) ELSE 0.0 END AS total_length FROM s JOIN g USING (ring_name) WHERE site_id_b IS NOT NULL",
     "TOP-01": f"{_R}, s AS ({_SEG.format('site_rings')}) SELECT ring_name, site_id_a, site_id_b, CAST(sequence AS INT) AS sequence, round(length, 4) AS length FROM s WHERE site_id_b IS NOT NULL",
 }

@@ -68,8 +68,7 @@ def agg_19(s, d):
 
 
 def agg_21(s, d):
-    ends = _lines(s, d).select(F.explode(F.array(F.element_at("line", 1), F.element_at("line", -1))).alias("p"))
-    return ends.groupBy(F.col("p.x").alias("x"), F.col("p.y").alias("y")).agg(F.count(F.lit(1)).alias("n")).where("n = 1").select("x", "y")
+    return rings.endpoints_once(_lines(s, d))
 
 
 def win_04(s, d):
@@ -150,16 +149,12 @@ def ins_01(s, d):
 
 
 def fwa_08(s, d):
-    b = view(s, d, "sites").select(F.col("site_id").alias("dash_id"), (F.col("x") + F.col("ord") % 80).alias("bx"), F.col("y").alias("by"))
-    near = spatial.nearest(view(s, d, "sites").select("site_id", "x", "y"), b, "site_id", "dash_id", max_distance=50.0)
-    return view(s, d, "sites").select("site_id").join(near.select("site_id", "dash_id"), "site_id", "left").select("site_id", F.coalesce(F.col("dash_id") == F.col("site_id"), F.lit(False)).alias("same"))
+    listed = view(s, d, "sites").select(F.col("site_id").alias("dash_id"), (F.col("x") + F.col("ord") % 80).alias("bx"), F.col("y").alias("by"))
+    return fwa.matched(view(s, d, "sites"), listed).select("site_id", "same")
 
 
 def rpt_01(s, d):
-    topo = rings.topology(_noted(s, d)).select("near_end", "far_end")
-    after = topo.select(F.col("near_end").alias("site_id"), F.col("far_end").alias("next"))
-    before = topo.select(F.col("far_end").alias("site_id"), F.col("near_end").alias("previous"))
-    return _r(s, d).select("site_id").join(after, "site_id", "left").join(before, "site_id", "left")
+    return rings.neighbours(_r(s, d).select("site_id"), rings.topology(_noted(s, d)).select("near_end", "far_end"))
 
 
 def gr_04(s, d):
@@ -176,11 +171,7 @@ def gr_17(s, d):
 
 def cl_05(s, d):
     """Sites with fewer than two members of their own region in reach."""
-    p = spatial.self_pairs(view(s, d, "sites"), "ord", 3000.0)
-    reg = view(s, d, "sites").select("ord", "region")
-    same = p.join(reg.toDF("a", "ra"), "a").join(reg.toDF("b", "rb"), "b").where("ra = rb")
-    n = same.select(F.col("a").alias("ord")).unionByName(same.select(F.col("b").alias("ord"))).groupBy("ord").agg(F.count(F.lit(1)).alias("n"))
-    return view(s, d, "sites").join(n, "ord", "left").select("site_id", (F.coalesce("n", F.lit(0)) < 2).alias("noise"))
+    return spatial.sparse(view(s, d, "sites"), "ord", "region", 3000.0, 2).select("site_id", "noise")
 
 
 def rpt_02(s, d):
@@ -191,7 +182,7 @@ def rpt_02(s, d):
 
 
 QUERIES = {
-    "JN-12": jn_12, "JN-13": jn_13, "JN-14": jn_14, "JN-18": jn_18, "JN-19": jn_19, "AGG-07": agg_07, "AGG-13": agg_13, "AGG-16": agg_16, "AGG-19": agg_19, "AGG-21": agg_21,
+    "JN-12": jn_12, "JN-13": jn_13, "JN-14": jn_14, "JN-18": jn_18, "JN-19": jn_19, "AGG-07": agg_07, "AGG-13": agg_13, "AGG-16": agg_16, "AGG-19": agg_19, "AGG-21": agg_21, "GEO-05": agg_21,
     "WIN-04": win_04, "WIN-06": win_06, "WIN-08": win_08, "WIN-12": win_12, "WIN-13": win_13, "SET-01": set_01, "SET-02": set_02, "SET-03": set_03, "SRT-01": srt_01,
     "GEO-01": geo_01, "GEO-04": geo_04, "GEO-06": geo_06, "GEO-23": geo_23, "INS-01": ins_01, "FWA-08": fwa_08, "RPT-01": rpt_01, "RPT-02": rpt_02, "GR-04": gr_04, "GR-17": gr_17, "CL-05": cl_05,
 }
@@ -201,6 +192,7 @@ _D2 = "(p.x-q.x)*(p.x-q.x)+(p.y-q.y)*(p.y-q.y)"
 _T = f"{_R}{_NOTED}, t AS (SELECT ring_name, seq, site_id AS near_end, lead(site_id) OVER w AS nx, first_value(site_id) OVER w AS fx, sum(CASE WHEN lower(site_type) LIKE '%hub%' THEN 1 ELSE 0 END) OVER (PARTITION BY ring_name) AS hubs FROM noted WINDOW w AS (PARTITION BY ring_name ORDER BY seq)), o AS (SELECT * FROM (SELECT ring_name, near_end, coalesce(nx, CASE WHEN hubs = 1 THEN fx END) AS far_end FROM t) WHERE far_end IS NOT NULL AND far_end <> near_end)"
 
 ORACLE = {
+    "GEO-05": f"{_R}, e AS (SELECT arg_min(x, seq) AS x, arg_min(y, seq) AS y FROM site_rings GROUP BY ring_name UNION ALL SELECT arg_max(x, seq), arg_max(y, seq) FROM site_rings GROUP BY ring_name) SELECT x, y FROM e GROUP BY 1, 2 HAVING count(*) = 1",
     "JN-12": f"{_R}, s AS ({_SEG.format('site_rings')}) SELECT s.ring_name, a.site_name AS name_a, b.site_name AS name_b FROM s JOIN sites a ON a.site_id = site_id_a JOIN sites b ON b.site_id = site_id_b",
     "JN-13": f"{_R}, p AS (SELECT DISTINCT ring_name, concat('P', CAST(seq AS VARCHAR)) AS program FROM site_rings) SELECT site_id, program FROM site_rings LEFT JOIN p USING (ring_name)",
     "JN-14": f"{with_views('sites', 'buildings')} SELECT site_id, count(*) AS homes FROM sites p JOIN buildings q ON q.x BETWEEN p.x - 700 AND p.x + 700 AND {_D2} <= 490000 WHERE asp_ratio > 0.25 AND area_in_meters > 25 AND area_in_meters < 500 GROUP BY 1",

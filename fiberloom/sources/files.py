@@ -55,6 +55,25 @@ def read_table(spark: SparkSession, path: str, sheet: str | None = None) -> Data
     raise ValueError(f"unsupported file: {path}")
 
 
+def read_upload(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
+    """A table that a user sends in: workbook or CSV only, without places; ``ValueError`` for any other file."""
+    kind = path.rsplit(".", 1)[-1].lower()
+    if kind == "csv":
+        return spark.read.option("header", True).csv(path)
+    if kind == "xlsx":
+        return xlsx.read_sheet(spark, path, sheet or xlsx.read_cells(spark, path).select("sheet").first()["sheet"])
+    raise ValueError(f"only xlsx and csv can be sent in, not {path}")
+
+
+def read_sheets(spark: SparkSession, path: str, names: tuple[str, ...]) -> dict[str, DataFrame]:
+    """Sheets of a workbook by name; ``ValueError`` that lists the missing ones."""
+    there = {r["sheet"] for r in xlsx.read_cells(spark, path).select("sheet").distinct().collect()}
+    missing = [n for n in names if n not in there]
+    if missing:
+        raise ValueError(f"missing sheets {missing} in {path}")
+    return {n: xlsx.read_sheet(spark, path, n) for n in names}
+
+
 def cells_of(points: DataFrame, size: float = 10_000.0, buffer: float = 10_000.0) -> DataFrame:
     """Distinct grid cells (``cell``) that the points' surroundings touch; ``ValueError`` where there are no points."""
     if points.isEmpty():

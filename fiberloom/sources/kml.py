@@ -86,24 +86,33 @@ def kml_color(color: str, alpha: str = "ff") -> str:
     return f"{alpha}{c[4:6]}{c[2:4]}{c[0:2]}"
 
 
-def document(rows: Iterator[tuple], color: str = "#ff0000") -> str:
-    """One document from rows ``folders, name, kind, line, data`` sorted by folders; nested folders come from ``;``."""
-    out = ['<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>', f'<Style id="s"><LineStyle><color>{kml_color(color)}</color><width>3</width></LineStyle></Style>']
+def pieces(rows: Iterator[tuple], color: str = "#ff0000") -> Iterator[str]:
+    """A document piece by piece, from rows ``folders, name, kind, line, data`` sorted by folders; nested folders come from ``;``.
+
+    A row whose data has a ``color`` is drawn in it, the others in the layer's.
+    """
+    yield '<?xml version="1.0" encoding="UTF-8"?><kml xmlns="http://www.opengis.net/kml/2.2"><Document>'
+    yield f'<Style id="s"><LineStyle><color>{kml_color(color)}</color><width>3</width></LineStyle><IconStyle><color>{kml_color(color)}</color></IconStyle></Style>'
     open_: list[str] = []
     for folders, name, kind, line, data in rows:
         path = folders.split(";")
         same = 0
         while same < min(len(path), len(open_)) and path[same] == open_[same]:
             same += 1
-        out.append("</Folder>" * (len(open_) - same))
-        out += [f"<Folder><name>{escape(p)}</name>" for p in path[same:]]
+        yield "</Folder>" * (len(open_) - same) + "".join(f"<Folder><name>{escape(p)}</name>" for p in path[same:])
         open_ = path
         at = " ".join(f"{p['x']!r},{p['y']!r},0" for p in line)
         shape = {"point": "<Point><coordinates>{}</coordinates></Point>", "line": "<LineString><coordinates>{}</coordinates></LineString>"}.get(kind, "<Polygon><outerBoundaryIs><LinearRing><coordinates>{}</coordinates></LinearRing></outerBoundaryIs></Polygon>").format(at)
         extra = "".join(f'<Data name="{escape(k)}"><value>{escape(str(v))}</value></Data>' for k, v in (data or {}).items())
-        out.append(f'<Placemark><name>{escape(name or "")}</name><styleUrl>#s</styleUrl><ExtendedData>{extra}</ExtendedData>{shape}</Placemark>')
-    out.append("</Folder>" * len(open_) + "</Document></kml>")
-    return "".join(out)
+        own = (data or {}).get("color")
+        style = f"<Style><LineStyle><color>{kml_color(own)}</color><width>3</width></LineStyle><IconStyle><color>{kml_color(own)}</color></IconStyle></Style>" if own else "<styleUrl>#s</styleUrl>"
+        yield f'<Placemark><name>{escape(name or "")}</name>{style}<ExtendedData>{extra}</ExtendedData>{shape}</Placemark>'
+    yield "</Folder>" * len(open_) + "</Document></kml>"
+
+
+def document(rows: Iterator[tuple], color: str = "#ff0000") -> str:
+    """One document as a text."""
+    return "".join(pieces(rows, color))
 
 
 def documents(rows: DataFrame, group: str) -> DataFrame:
@@ -120,7 +129,8 @@ def documents(rows: DataFrame, group: str) -> DataFrame:
 
 
 def write_kmz(rows: DataFrame, path: str, color: str = "#ff0000") -> None:
-    """One KMZ of a layer, streamed through the driver in order of folders."""
+    """One KMZ of a layer, streamed through the driver in order of folders; no more than a partition is held."""
     ordered = rows.select("folders", "name", "kind", "line", F.coalesce("data", F.create_map().cast("map<string,string>"))).orderBy("folders", "name")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("doc.kml", document(tuple(r) for r in ordered.toLocalIterator()))
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z, z.open("doc.kml", "w", force_zip64=True) as f:
+        for piece in pieces((tuple(r) for r in ordered.toLocalIterator()), color):
+            f.write(piece.encode())
