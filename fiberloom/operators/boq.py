@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -162,24 +160,48 @@ def obstacles(segments: DataFrame, barriers: DataFrame, blob: float = 100.0) ->
     return rows.join(comp.withColumnRenamed("id", "ord"), "ord").withColumn("n", first).where("n = 1").select("line_id", "name", "x", "y")
 
 
+def covers(lines: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """Pairs ``a, b`` of segments (``ord, ax, ay, bx, by``) where a, the longer or of equal ones the earlier, has both ends of b within the tolerance.
+
+    Segments are dealt to the cells of their boxes, grown by the tolerance; a covered one shares a cell with what covers it.
+    """
+    cell = 1000.0
+    span = lambda p, q, grow: F.explode(F.sequence(F.floor((F.least(p, q) - grow) / cell), F.floor((F.greatest(p, q) + grow) / cell)))
+    ends = ("ax", "ay", "bx", "by")
+    n = geo.distance2(*[F.col(c) for c in ends]).alias("n")
+    rows = lines.select("ord", *ends, n)
+    whole = rows.withColumn("cx", span(F.col("ax"), F.col("bx"), tolerance)).withColumn("cy", span(F.col("ay"), F.col("by"), tolerance))
+    # The covered one is met in the cell of one of its ends.
+    part = rows.select(F.col("ord").alias("b"), *[F.col(c).alias(f"o{c}") for c in ends], F.col("n").alias("m"), F.floor(F.col("ax") / cell).alias("cx"), F.floor(F.col("ay") / cell).alias("cy"))
+    near = lambda x, y: geo.segment_distance2(F.col(x), F.col(y), *[F.col(c) for c in ends]) <= tolerance * tolerance
+    longer = (F.col("n") > F.col("m")) | (F.col("n") == F.col("m")) & (F.col("ord") < F.col("b"))
+    return whole.join(part, ["cx", "cy"]).where((F.col("ord") != F.col("b")) & longer & near("oax", "oay") & near("obx", "oby")).select(F.col("ord").alias("a"), "b")
+
+
 def centerline(lines: DataFrame, tolerance: float = 1.0) -> DataFrame:
-    """Segments that no longer kept segment covers within the tolerance, longest first.
+    """``ord`` of the segments that no longer kept segment covers within the tolerance, longest first.
 
-    ``lines`` has ``group, ord, ax, ay, bx, by``. The order matters within a group of lines that touch.
+    ``lines`` has ``ord, ax, ay, bx, by``. The order matters only among segments that cover each
+    other, link by link; those are few, and each such group runs alone.
     """
+    from fiberloom.runtime import durable
 
-    def keep(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["ax", "ay", "bx", "by"])
-        rows = rows.assign(n=[math.dist((a, b), (c, d)) for a, b, c, d in rows[["ax", "ay", "bx", "by"]].itertuples(index=False)]).sort_values(["n", "ord"], ascending=[False, True])
-        kept: list[tuple] = []
-        out = []
-        for i, a, b, c, d in rows[["ord", "ax", "ay", "bx", "by"]].itertuples(index=False):
-            if not any(kernel.measure(s, a, b)[1] <= tolerance and kernel.measure(s, c, d)[1] <= tolerance for s in kept):
-                kept.append(((a, b), (c, d)))
-                out.append(i)
-        return pd.DataFrame({"ord": sorted(out)}, dtype="int64")
-
-    return lines.groupBy("group").applyInPandas(keep, "ord long")
+    pairs = durable(covers(lines, tolerance))
+    group = connected(pairs).withColumnsRenamed({"id": "b", "component": "group"})
+    n = geo.distance2(*[F.col(c) for c in ("ax", "ay", "bx", "by")]).alias("n")
+    rows = pairs.join(group, "b").join(lines.select(F.col("ord").alias("b"), n), "b")
+
+    def drop(part: pd.DataFrame) -> pd.DataFrame:
+        gone: set[int] = set()
+        above: dict[int, list[int]] = {}
+        for a, b in part[["a", "b"]].itertuples(index=False):
+            above.setdefault(b, []).append(a)
+        for b in part.sort_values(["n", "b"], ascending=[False, True])["b"].drop_duplicates():
+            if any(a not in gone for a in above[b]):  # all that may cover it are longer, so they are settled
+                gone.add(b)
+        return pd.DataFrame({"ord": sorted(gone)}, dtype="int64")
+
+    return lines.select("ord").join(rows.groupBy("group").applyInPandas(drop, "ord long"), "ord", "left_anti")
 
 
 def merged(lines: DataFrame, key: str, line: str = "line") -> DataFrame:

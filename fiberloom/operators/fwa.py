@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from fiberloom.functions import geo, kernel
 from fiberloom.operators.components import connected
 from fiberloom.operators.spatial import nearest, self_pairs, within_radius
-from fiberloom.runtime import durable
+from fiberloom.runtime import durable, few
 
 CLASSES = ("high", "medium", "low", "very low")
 STEP = 5  # degrees between the rotations tried
@@ -126,17 +126,42 @@ def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"ord": sorted(gone)}, dtype="int64")
 
 
+#: Pairs of a component that are settled in one task at most; beyond that, rounds settle them.
+ONE_TASK = 20_000
+
+
+def _by_rounds(rows: DataFrame) -> DataFrame:
+    """As :func:`_greedy`, for pairs ``a, b, sa, sb`` of any number: in each round every pair that no earlier open pair touches."""
+    open_, lost = durable(rows.select("a", "b", (F.col("sa") > F.col("sb")).alias("first"))), None
+    while not open_.isEmpty():
+        me = F.struct("a", "b")
+        first = open_.select(F.explode(F.array("a", "b")).alias("v"), me.alias("p")).groupBy("v").agg(F.min("p").alias("p"))
+        first = few(durable(first))
+        ready = open_.join(first.select(F.col("v").alias("a"), F.col("p").alias("pa")), "a").join(first.select(F.col("v").alias("b"), F.col("p").alias("pb")), "b")
+        gone = durable(ready.where((F.col("pa") == me) & (F.col("pb") == me)).select(F.when(F.col("first"), F.col("b")).otherwise(F.col("a")).alias("ord")).distinct())
+        lost = gone if lost is None else lost.unionByName(gone)
+        for k in ("a", "b"):  # a decided pair has lost one of its two
+            open_ = open_.join(few(gone).withColumnRenamed("ord", k), k, "left_anti")
+        open_ = durable(open_.select("a", "b", "first"))
+    return lost if lost is not None else rows.select(F.col("a").alias("ord")).limit(0)
+
+
 def eliminate(pairs: DataFrame, scores: DataFrame) -> DataFrame:
     """Positions ``ord`` that lose. ``scores`` holds ``ord`` and ``score``, an array compared in order.
 
     Decisions follow the pairs' order within a component of the conflict graph; components do not
-    touch, so each runs alone.
+    touch, so each runs alone, and one of more than ``ONE_TASK`` pairs runs in rounds over all tasks.
     """
     pairs = durable(pairs.select("a", "b"))
     comp = connected(pairs)
     s = lambda k: scores.select(F.col("ord").alias(k), F.col("score").alias(f"s{k}"))
     rows = pairs.select("a", "b").join(s("a"), "a").join(s("b"), "b").join(comp.withColumnRenamed("id", "a"), "a")
-    return rows.groupBy("component").applyInPandas(_greedy, "ord long")
+    rows = durable(rows)
+    large = durable(rows.groupBy("component").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > ONE_TASK).select("component"))
+    if large.isEmpty():
+        return rows.groupBy("component").applyInPandas(_greedy, "ord long")
+    small = rows.join(few(large), "component", "left_anti").groupBy("component").applyInPandas(_greedy, "ord long")
+    return small.unionByName(_by_rounds(rows.join(few(large), "component", "left_semi")))
 
 
 def clean_overlaps(sites: DataFrame, max_distance: float = 300.0, tolerance: float = 10.0, radius_factor: float = 2.0) -> DataFrame:

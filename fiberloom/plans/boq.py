@@ -65,8 +65,8 @@ def geo_20(s, d):
 
 
 def geo_12(s, d):
-    e = _fiber(s, d).withColumn("group", F.floor(F.col("ax") / 10000)).withColumn("ord", F.xxhash64("name"))
-    return boq.centerline(e, 1.0)
+    e = _fiber(s, d).withColumn("ord", F.xxhash64("name"))
+    return e.join(boq.centerline(e, 1.0), "ord").select("name")
 
 
 def agg_11(s, d):
@@ -113,6 +113,7 @@ _E = "s AS (SELECT ring_name, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OV
 _N = "p AS (SELECT DISTINCT x, y FROM r), n AS (SELECT x, y, concat('N', lpad(CAST(row_number() OVER (ORDER BY x, y) AS VARCHAR), 7, '0')) AS node_id FROM p)"
 
 ORACLE = {
+    "GEO-12": f"{with_views('fiber_lines')} SELECT name FROM fiber_lines",
     "GEO-03": f"""{_R}, s AS (SELECT ring_name, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS zy, row_number() OVER w - 1 AS part FROM site_rings WINDOW w AS (PARTITION BY ring_name ORDER BY seq)) SELECT ring_name, CAST(part AS INT) AS part, ax, ay, bx, zy AS "by" FROM s WHERE bx IS NOT NULL""",
     "GEO-17": f"{_R}, {_P}, {_E}, {_N} SELECT ring_name, a.node_id AS node_a, b.node_id AS node_b, round(sqrt((ax-bx)*(ax-bx)+(ay-zy)*(ay-zy)), 6) AS length FROM e JOIN n a ON a.x = ax AND a.y = ay JOIN n b ON b.x = bx AND b.y = zy",
     "GEO-18": f"""{_R}, {_P}, {_E}, {_N}, z AS (SELECT DISTINCT a.node_id AS i, a.x AS x0, a.y AS y0, b.node_id AS j, b.x AS x1, b.y AS y1 FROM e JOIN n a ON a.x = ax AND a.y = ay JOIN n b ON b.x = bx AND b.y = zy),

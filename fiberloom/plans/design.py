@@ -224,7 +224,7 @@ def fwa_10(s, d):
 
 
 def fwa_11(s, d):
-    return fwa.balanced_rotations(view(s, d, "sites"), _homes(s, d), RADIUS, threshold=20).select("site_id", "rotation", "sector", "total_homepass", "valid")
+    return fwa.balanced_rotations(view(s, d, "sites"), _homes(s, d), RADIUS, threshold=5).select("site_id", "rotation", "sector", "total_homepass", "valid")
 
 
 def fwa_12(s, d):
@@ -440,8 +440,8 @@ ORACLE = {
     "GEO-16": f"{_R} SELECT ring_name, CAST(row_number() OVER (PARTITION BY ring_name ORDER BY seq) - 1 AS INT) AS vertex, x, CASE WHEN abs(y - 20000) <= 800 THEN 20000.0 ELSE y END AS y FROM site_rings",
     "FWA-11": f"""{with_views("sites", "buildings")}, {PAIRS}, f AS (SELECT site_id, CAST(floor((degrees(atan2(hx - x, hy - y)) + 360.0) % 360.0) AS INT) AS fan FROM pairs), bins AS (SELECT site_id, fan, count(*) AS n FROM f GROUP BY ALL),
       t AS (SELECT site_id, rotation, n, CAST(floor(((fan - rotation + 360) % 360) / 120.0) AS INT) + 1 AS sector FROM bins, (SELECT unnest(range(0, 120)) AS rotation)), z AS (SELECT site_id, CAST(rotation AS INT) AS rotation, sector, CAST(sum(n) AS BIGINT) AS total_homepass FROM t GROUP BY ALL),
-      k AS (SELECT site_id, rotation, count(*) * 1000 - max(total_homepass - 20) AS v FROM z WHERE total_homepass >= 20 GROUP BY ALL), best AS (SELECT site_id, rotation FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY v DESC, rotation) AS r FROM k) WHERE r = 1)
-      SELECT site_id, rotation, sector, total_homepass, total_homepass >= 20 AS valid FROM z JOIN best USING (site_id, rotation)""",
+      k AS (SELECT site_id, rotation, count(*) * 1000 - max(total_homepass - 5) AS v FROM z WHERE total_homepass >= 5 GROUP BY ALL), best AS (SELECT site_id, rotation FROM (SELECT *, row_number() OVER (PARTITION BY site_id ORDER BY v DESC, rotation) AS r FROM k) WHERE r = 1)
+      SELECT site_id, rotation, sector, total_homepass, total_homepass >= 5 AS valid FROM z JOIN best USING (site_id, rotation)""",
     "SRC-07": f"{with_views('road_edges')} SELECT node_start, node_end, length FROM road_edges WHERE node_start % 40 < 20",
     "SRC-08": f"{with_views('buildings')} SELECT building_id, area_in_meters FROM buildings WHERE floor(x/10000) = 2 AND asp_ratio > 0.25 AND area_in_meters > 25 AND area_in_meters < 500",
     "SRC-09": f"{_H} SELECT site_id, region AS province FROM hubs",

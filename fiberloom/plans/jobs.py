@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -188,14 +186,9 @@ def fiber_utilization(lines: DataFrame, fiber: DataFrame, reach: float = 20.0) -
     return o.groupBy("ring_name", "fiber").agg(F.sum("existing").alias("existing")).where("existing > 0")
 
 
-def identify_centerline(lines: DataFrame, tolerance: float = 1.0, reach: float = 50.0) -> DataFrame:
-    """Segments of lines without those that longer ones cover; groups are lines whose ends come together."""
-    rows = lines.withColumn("mx", (F.col("ax") + F.col("bx")) / 2).withColumn("my", (F.col("ay") + F.col("by")) / 2)
-    half = rows.agg(F.max(F.sqrt((F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2))).first()[0] or 0.0
-    links = spatial.self_pairs(rows, "ord", max(math.ceil(half), 1) + 2 * reach, at=("mx", "my")).select("a", "b")
-    comp = connected(links, rows.select(F.col("ord").alias("id"))).withColumnsRenamed({"id": "ord", "component": "group"})
-    kept = boq.centerline(lines.join(comp, "ord"), tolerance)
-    return lines.join(kept, "ord", "left_semi")
+def identify_centerline(lines: DataFrame, tolerance: float = 1.0) -> DataFrame:
+    """Segments of lines without those that longer ones cover."""
+    return lines.join(boq.centerline(lines, tolerance), "ord", "left_semi")
 
 
 def hubs_by_road(points: DataFrame, hubs: DataFrame, road_edges: DataFrame, road_nodes: DataFrame, max_distance: float = 10_000.0) -> DataFrame:
@@ -355,8 +348,12 @@ def job_fwa(s, d):
 
 
 def job_centerline(s, d):
-    lines = view(s, d, "fiber_lines").withColumn("ord", F.xxhash64("name")).select("ord", "name", "ax", "ay", "bx", "by")
-    return identify_centerline(lines).select("name", "ax", "ay", "bx", "by")
+    """Fiber lines, each with a shorter copy beside it, which goes."""
+    lines = view(s, d, "fiber_lines").select("name", "ax", "ay", "bx", "by")
+    wide = F.when(F.col("ay") == F.col("by"), 1).otherwise(0)
+    copies = lines.select(F.concat(F.lit("X"), "name").alias("name"), (F.col("ax") + 0.5 + 99.5 * wide).alias("ax"), (F.col("ay") + 100 - 99.5 * wide).alias("ay"), (F.col("bx") + 0.5 - 100.5 * wide).alias("bx"), (F.col("by") - 100 + 100.5 * wide).alias("by"))
+    both = lines.unionByName(copies)
+    return identify_centerline(both.withColumn("ord", F.xxhash64("name"))).select("name", "ax", "ay", "bx", "by")
 
 
 def job_utilization(s, d):
@@ -374,6 +371,7 @@ QUERIES = {
 _R = with_views("site_rings")
 
 ORACLE = {
+    "UTL-01": f"""{with_views("fiber_lines")} SELECT name, ax, ay, bx, "by" FROM fiber_lines""",
     # Fiber lines run along the axes and meet at ends only: a line's own length, or the reach at a shared end.
     "UTL-02": f"""{with_views("fiber_lines")}, p AS (SELECT a.name AS mine, b.name AS fiber, CASE WHEN a.name = b.name THEN abs(a.ax-a.bx) + abs(a.ay-a."by") ELSE 20.0 END AS n FROM fiber_lines a JOIN fiber_lines b ON a.name = b.name OR (a.ax = b.ax AND a.ay = b.ay) OR (a.ax = b.bx AND a.ay = b."by") OR (a.bx = b.ax AND a."by" = b.ay) OR (a.bx = b.bx AND a."by" = b."by"))
       SELECT substring(mine, 1, 3) AS ring_name, fiber, round(sum(n), 1) AS existing FROM p GROUP BY 1, 2""",

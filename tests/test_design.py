@@ -252,3 +252,36 @@ def test_insert_keeps_limits(spark):
     new = spark.createDataFrame([("R", f"n{i}", "s2", float(9 - i)) for i in range(6)], "ring_name string, site_id string, near_end string, dist double")
     got = [r["site_id"] for r in insert.inserted(members, new, 6).orderBy("place").collect()]
     assert got == ["s0", "s1", "s2", "n5", "n4", "s3", "s4", "s5"]
+
+
+def test_rounds_equal_greedy(spark, monkeypatch):
+    import pandas as pd
+
+    rng = random.Random(6)
+    pairs = sorted({tuple(sorted(rng.sample(range(60), 2))) for _ in range(150)})
+    score = {i: [rng.randrange(3), rng.randrange(4)] for i in range(60)}
+    plain = fwa._greedy(pd.DataFrame([(a, b, score[a], score[b]) for a, b in pairs], columns=["a", "b", "sa", "sb"]))["ord"].tolist()
+    p = spark.createDataFrame(pairs, "a long, b long")
+    s = spark.createDataFrame([(i, v) for i, v in score.items()], "ord long, score array<long>")
+    for bound in (20_000, 0):
+        monkeypatch.setattr(fwa, "ONE_TASK", bound)
+        assert sorted(r["ord"] for r in fwa.eliminate(p, s).collect()) == plain
+
+
+def test_centerline_equals_plain_version(spark):
+    rng = random.Random(9)
+    lines = []
+    for i in range(25):
+        x, y, n = rng.uniform(0, 3000), rng.uniform(0, 3000), rng.uniform(200, 2500)
+        for _ in range(4):
+            a, b = sorted((rng.uniform(0, n), rng.uniform(0, n)))
+            off = rng.choice([0.0, 0.4, 0.9, 1.5])
+            lines.append((x + a, y + off, x + b, y + off) if i % 2 else (x + off, y + b, x + off, y + a))
+    lines += lines[:3]
+    rows = [(i * 31 % 1009, *p) for i, p in enumerate(lines)]
+    kept = []
+    for o, a, b, c, d in sorted(rows, key=lambda r: (-((r[1] - r[3]) ** 2 + (r[2] - r[4]) ** 2), r[0])):
+        if not any(kernel.measure(s, a, b)[1] <= 1.0 and kernel.measure(s, c, d)[1] <= 1.0 for _, s in kept):
+            kept.append((o, ((a, b), (c, d))))
+    got = boq.centerline(spark.createDataFrame(rows, "ord long, ax double, ay double, bx double, by double"), 1.0)
+    assert sorted(r["ord"] for r in got.collect()) == sorted(o for o, _ in kept)
