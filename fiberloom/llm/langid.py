@@ -8,6 +8,7 @@ up ``SHARE`` of what the language has, a rule that is the same at every size and
 
 from __future__ import annotations
 
+import itertools
 import math
 import re
 from collections import Counter
@@ -33,47 +34,99 @@ FLOOR = math.log(1e-7)
 UNKNOWN = "und"
 
 
+MULTIPLIER = 0x9E3779B97F4A7C15
+
+
+def _mixed(h: np.ndarray, order: int) -> np.ndarray:
+    """Finalizer of splitmix64, apart for words (0) and each order of n-grams."""
+    with np.errstate(over="ignore"):
+        h = h + np.uint64((order + 1) * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)
+        h = (h ^ h >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ h >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return h ^ h >> np.uint64(31)
+
+
+class Marked:
+    """Words between marks, as one array of code points; 64-bit hashes stand for words and n-grams."""
+
+    def __init__(self, words: list[str]):
+        text = "".join([f"<{w}>" for w in words])
+        self.codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.place = np.arange(len(self.codes)) - np.repeat(self.starts, self.sizes)
+
+    def words(self) -> np.ndarray:
+        if not len(self.sizes):
+            return np.zeros(0, np.uint64)
+        with np.errstate(over="ignore"):
+            power = np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(int(self.sizes.max()) - 1, MULTIPLIER, np.uint64)]))
+            return _mixed(np.add.reduceat(self.codes * power[self.place], self.starts), 0)
+
+    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Hash of each n-gram, and the number of its word, in order."""
+        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        at = np.flatnonzero(self.place + n <= self.sizes[owner])
+        with np.errstate(over="ignore"):
+            h, power = np.zeros(len(at), np.uint64), np.uint64(1)
+            for j in range(n):
+                h += self.codes[at + j] * power
+                power *= np.uint64(MULTIPLIER)
+        return _mixed(h, n), owner[at]
+
+
 @dataclass
 class Model:
-    """What is known, words in ``place[0]`` and n-grams of order n in ``place[n]``.
+    """What is known, by hash, in order.
 
     Entry i has the languages ``lang[start[i]:start[i + 1]]``, and in ``gain`` how much more
     frequent than ``FLOOR`` it is in each.
     """
 
     langs: list[str]
-    place: list[dict[str, int]]
+    keys: np.ndarray
     start: np.ndarray
     lang: np.ndarray
     gain: np.ndarray
 
-    def row(self, i: int) -> np.ndarray:
-        out = np.zeros(len(self.langs))
-        at = slice(self.start[i], self.start[i + 1])
-        out[self.lang[at]] = self.gain[at]
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Entry of each hash, -1 where there is none."""
+        if not len(self.keys):
+            return np.full(len(hashes), -1)
+        at = np.searchsorted(self.keys, hashes)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == hashes, at, -1)
+
+    def rows(self, entries: np.ndarray) -> np.ndarray:
+        """Gains of some entries, a column for each language."""
+        out = np.zeros((len(entries), len(self.langs)))
+        n = self.start[entries + 1] - self.start[entries]
+        at = np.repeat(self.start[entries] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        out[np.repeat(np.arange(len(entries)), n), self.lang[at]] = self.gain[at]
         return out
 
-    def vector(self, word: str) -> np.ndarray:
-        known = self.place[0].get(word)
-        if known is not None:
-            return self.row(known)
-        marked = f"<{word}>"
-        for n in range(min(MAX_GRAM, len(marked)), 0, -1):
-            get = self.place[n].get
-            found = [self.row(k) for i in range(len(marked) - n + 1) if (k := get(marked[i : i + n])) is not None]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.langs))
-
-
-def words_of(text: str) -> list[str]:
-    """Runs of letters, in lower case."""
-    words = LETTERS.findall(text.lower())
-    return words if all(map(str.isalpha, words)) else STRICT.findall(text.lower())
+    def vectors(self, words: list[str]) -> np.ndarray:
+        """Vector of each word: its own where it is known, else the mean of its longest n-grams that any is known of."""
+        out = np.zeros((len(words), len(self.langs)))
+        at = self.find(Marked(words).words())
+        out[at >= 0] = self.rows(at[at >= 0])
+        left = np.flatnonzero(at < 0)
+        for n in range(MAX_GRAM, 0, -1):
+            if not len(left):
+                break
+            hashes, owner = Marked([words[i] for i in left]).grams(n)
+            at = self.find(hashes)
+            at, owner = at[at >= 0], owner[at >= 0]
+            if len(at):
+                firsts = np.flatnonzero(np.diff(owner, prepend=-1))
+                count = np.diff(np.append(firsts, len(owner)))
+                out[left[owner[firsts]]] = np.add.reduceat(self.rows(at), firsts, axis=0) / count[:, None]
+                left = np.delete(left, owner[firsts])
+        return out
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of words (order 0) and n-grams in a partition, emptied whenever they grow large."""
+def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Word counts of a partition, emptied whenever they grow large."""
     counts: dict[str, Counter] = {}
 
     def flush() -> Iterator[pd.DataFrame]:
@@ -82,23 +135,37 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 n = words.pop(w)
                 for part in STRICT.findall(w):
                     words[part] += n
-            grams = [Counter() for _ in range(MAX_GRAM + 1)]
-            for w, n in words.items():
-                marked = f"<{w}>"
-                for k in range(1, MAX_GRAM + 1):
-                    of = grams[k]
-                    for i in range(len(marked) - k + 1):
-                        of[marked[i : i + k]] += n
-            grams[0] = words
-            for k, found in enumerate(grams):
-                if found:
-                    yield pd.DataFrame({"lang": [lang] * len(found), "k": k, "key": list(found), "n": list(found.values())})
+            if words:
+                yield pd.DataFrame({"lang": [lang] * len(words), "word": list(words), "n": list(words.values())})
         counts.clear()
 
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
             counts.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
-        if sum(map(len, counts.values())) > 300_000:
+        if sum(map(len, counts.values())) > 200_000:
+            yield from flush()
+    yield from flush()
+
+
+def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of the n-grams of distinct words, by order, emptied whenever they grow large."""
+    counts: dict[tuple[str, int], Counter] = {}
+
+    def flush() -> Iterator[pd.DataFrame]:
+        for (lang, k), found in counts.items():
+            yield pd.DataFrame({"lang": [lang] * len(found), "k": k, "key": list(found), "n": list(found.values())})
+        counts.clear()
+
+    for batch in batches:
+        for lang, word, n in zip(batch["lang"].tolist(), batch["word"].tolist(), batch["n"].tolist(), strict=True):
+            marked = f"<{word}>"
+            for k in range(1, min(MAX_GRAM, len(marked)) + 1):
+                of = counts.get((lang, k))
+                if of is None:
+                    of = counts[lang, k] = Counter()
+                for i in range(len(marked) - k + 1):
+                    of[marked[i : i + k]] += n
+        if sum(map(len, counts.values())) > 200_000:
             yield from flush()
     yield from flush()
 
@@ -108,70 +175,79 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", share: float
 
     The counts are aggregated over all rows, combined on the map side. Languages are those of all
     learning rows, also where nothing of one is known; without rows there are none. What reaches
-    the driver, and is sent to the executors, is what is known: for each language 1 / ``share``
-    words and as many n-grams of each order at most. Repeated rows count each time.
+    the driver, and is sent to the executors, are the hashes and frequencies of what is known: for
+    each language 1 / ``share`` words and as many n-grams of each order at most. Repeated rows count each time.
     """
     rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
-    counts = durable(rows.mapInPandas(_count, "lang string, k int, key string, n long").groupBy("lang", "k", "key").agg(F.sum("n").alias("n")))
+    words = durable(rows.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
+    grams = words.mapInPandas(_count_grams, "lang string, k int, key string, n long").groupBy("lang", "k", "key").agg(F.sum("n").alias("n"))
+    counts = durable(words.select("lang", F.lit(0).alias("k"), F.col("word").alias("key"), "n").unionByName(grams))
     totals = counts.groupBy("lang", "k").agg(F.sum("n").alias("total"))
     known = counts.join(totals, ["lang", "k"]).where(F.col("n") >= F.col("total") * share)
-    found = known.select("k", "key", "lang", (F.log(F.col("n") / F.col("total")) - FLOOR).alias("gain")).toPandas()
     langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
-    found["lang"] = found["lang"].map({x: i for i, x in enumerate(langs)}).astype(np.int32)
-    found = found.sort_values(["k", "key", "lang"], ignore_index=True)
-    new = np.ones(len(found), bool)
-    new[1:] = (found["k"].to_numpy()[1:] != found["k"].to_numpy()[:-1]) | (found["key"].to_numpy()[1:] != found["key"].to_numpy()[:-1])
-    start = np.flatnonzero(new)
-    place: list[dict[str, int]] = [{} for _ in range(MAX_GRAM + 1)]
-    for i, (k, key) in enumerate(zip(found["k"].to_numpy()[start].tolist(), found["key"].to_numpy()[start].tolist(), strict=True)):
-        place[k][key] = i
-    return Model(langs, place, np.append(start, len(found)), found["lang"].to_numpy(np.int32), found["gain"].to_numpy(np.float64))
+    place = {x: i for i, x in enumerate(langs)}
+
+    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, part in batch.groupby("k"):
+                words = part["key"].tolist()
+                if k:  # an n-gram is what it is, marks included: cut the ones that are added off again
+                    h, owner = Marked(words).grams(int(k))
+                    inner = np.flatnonzero(np.diff(owner, prepend=-1)) + 1
+                    h = h[inner]
+                else:
+                    h = Marked(words).words()
+                yield pd.DataFrame({"h": h.view(np.int64), "lang": part["lang"].map(place).to_numpy(np.int32), "gain": part["gain"].to_numpy()})
+
+    gain = F.log(F.col("n") / F.col("total")) - FLOOR
+    found = known.select("k", "key", "lang", gain.alias("gain")).mapInPandas(hashed, "h long, lang int, gain double").toPandas()
+    keys = found["h"].to_numpy(np.int64).view(np.uint64)
+    order = np.lexsort((found["lang"].to_numpy(), keys))
+    keys = keys[order]
+    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return Model(langs, keys[start], np.append(start, len(keys)), found["lang"].to_numpy(np.int32)[order], found["gain"].to_numpy(np.float64)[order])
 
 
 class Scorer:
-    """Scores texts; keeps the vectors of the words it has met, up to a bound."""
+    """Scores texts; keeps the vectors of the words it has met, up to a bound; beyond it the later half is forgotten."""
 
-    def __init__(self, model: Model, bound: int = 200_000):
-        self.model = model
+    def __init__(self, model: Model, bound: int = 120_000):
+        self.model, self.ids = model, {}
         self.bound = max(1000, min(bound, 8_000_000 // max(1, len(model.langs))))
-        self._clear()
-
-    def _clear(self) -> None:
-        self.ids: dict[str, int] = {}
-        self.table = np.zeros((4096, len(self.model.langs)))
-
-    def _add(self, words: list[str]) -> None:
-        for w in words:
-            if w not in self.ids:
-                i = self.ids[w] = len(self.ids)
-                if i >= len(self.table):
-                    self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-                self.table[i] = self.model.vector(w)
-
-    def predict(self, text: str | None) -> tuple[str, float]:
-        words = LETTERS.findall(text.lower()) if text else []
+        self.table = np.zeros((4096, len(model.langs)))
+
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self.ids]
+        if len(self.ids) + len(new) > self.bound:
+            self.ids = dict(itertools.islice(self.ids.items(), self.bound // 2))
+            new = [w for w in words if w not in self.ids]
+        for a in range(0, len(new), 20_000):
+            part = new[a : a + 20_000]
+            n = len(self.ids)
+            while n + len(part) > len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[n : n + len(part)] = self.model.vectors(part)
+            self.ids.update(zip(part, range(n, n + len(part)), strict=True))
+
+    def score(self, words: list[str]) -> tuple[str, float]:
         if not words or not self.model.langs:
             return UNKNOWN, 0.0
         total = np.zeros(len(self.model.langs))
         for a in range(0, len(words), 50_000):
-            if len(self.ids) > self.bound:
-                self._clear()
-            part = words[a : a + 50_000]
-            at = list(map(self.ids.get, part))
-            if None in at:
-                missing = [w for w, i in zip(part, at, strict=True) if i is None]
-                if not all(map(str.isalpha, missing)):
-                    part = [x for w in part for x in ([w] if w.isalpha() else STRICT.findall(w))]
-                    missing = part
-                self._add(missing)
-                at = list(map(self.ids.__getitem__, part))
-            if at:
-                total += self.table[at].sum(axis=0)
-        if not total.any() and not any(map(STRICT.search, words)):
-            return UNKNOWN, 0.0
+            total += self.table[list(map(self.ids.__getitem__, words[a : a + 50_000]))].sum(axis=0)
         best = int(total.argmax())  # the first of equals: languages are in order
         return self.model.langs[best], float(1.0 / np.exp(np.minimum(total - total[best], 0.0)).sum())
 
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+        met = set(itertools.chain.from_iterable(found))
+        odd = {w for w in met if w not in self.ids and not w.isalpha()}
+        if odd:
+            found = [[x for w in ws for x in (STRICT.findall(w) if w in odd else (w,))] if not odd.isdisjoint(ws) else ws for ws in found]
+            met = set(itertools.chain.from_iterable(found))
+        self.learn(met)
+        return [self.score(ws) for ws in found]
+
 
 def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """Append ``lang_pred`` and ``score``, the share of the best language in the posterior.
@@ -188,7 +264,9 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(sent.value)
         for texts in batches:
-            yield pd.DataFrame([scorer.predict(t) for t in texts], columns=["lang_pred", "score"])
+            texts = texts.where(texts.notna(), None).tolist()
+            rows = [row for a in range(0, len(texts), 200) for row in scorer.predict(texts[a : a + 200])]
+            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
 
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
     out = docs.select(*kept, score(F.col(f"`{text}`")).alias("__fl_lang"))
