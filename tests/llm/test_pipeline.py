@@ -48,3 +48,59 @@ def test_stages(spark, corpus):
     want = sorted((i, library.encode(clean[i]["text"], add_special_tokens=False).ids) for i, n in copies.items() for _ in range(n))
     out = corpus_pipeline.STAGES[-1][1](spark, seen["source mix"], corpus).collect()
     assert sorted((r["doc_id"], r["ids"]) for r in out) == want
+
+
+ODD = ["doc_id long", "text string", "lang string", "source string", "n_chars long", "`a.b` int", "size string", "kept string", "text_hash string", "rows int", "copies int"]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Rows whose ids are null or repeat, texts null, empty or equal, and columns that clash."""
+    rng = random.Random(3)
+    prose = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    a, b = prose(60), prose(60)
+    rows = [(1, a), (1, a), (1, b), (None, b + " tail"), (None, prose(70)), (None, prose(70)), (2, None), (None, None), (3, ""), (4, prose(20_000)), (5, prose(50) + " password = Xk29dLw0qpZ8 end")]
+    return spark.createDataFrame([(i, t, None if i == 2 else "en", None if i is None else f"s{i}", len(t or ""), 7, "x", "y", "z", 1, 1) for i, t in rows], ", ".join(ODD))
+
+
+def test_stages_on_odd_rows(spark, corpus, odd):
+    stage = dict(corpus_pipeline.STAGES)
+    names = odd.columns
+    pairs = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    for name, run in corpus_pipeline.STAGES:
+        empty = run(spark, odd.limit(0), corpus)
+        assert empty.count() == 0
+        assert name == "byte-pair encoding" or empty.columns == names
+    given = pairs(odd)
+
+    kept = stage["quality rules"](spark, odd, corpus)
+    assert kept.columns == names and set(pairs(kept)) <= {p for p in given if p[1]}
+
+    kept = pairs(stage["n-gram Jaccard join"](spark, odd, corpus))
+    want = [p for p in given if p != (1, given[0][1])]
+    texts = [t for _, t in kept]
+    assert sum(i is None for i, _ in kept) == 3  # the near copy of 1's second text goes
+    assert sum(i == 1 for i, _ in kept) == 2  # both of its texts, the first of them once
+    assert len(kept) == len(given) - 2 and len(want) >= len(kept)
+    assert texts.count(None) == 2
+
+    clean = stage["secret scan"](spark, odd, corpus)
+    assert clean.columns == names
+    found = {r["doc_id"]: r for r in clean.where("doc_id in (4, 5)").collect()}
+    assert "Xk29" not in found[5]["text"] and found[5]["n_chars"] == len(found[5]["text"])
+    assert [p for p in pairs(clean) if p[0] != 5] == [p for p in given if p[0] != 5]
+
+    mixed = stage["source mix"](spark, odd, corpus)
+    assert mixed.columns == names
+    taken = {}
+    for r in mixing.items(odd).collect():
+        taken[r["doc_id"], r["text_hash"]] = taken.get((r["doc_id"], r["text_hash"]), 0) + r["copies"]
+    got = {}
+    for r in mixed.select("doc_id", F.xxhash64("text").alias("h")).collect():
+        got[r["doc_id"], r["h"]] = got.get((r["doc_id"], r["h"]), 0) + 1
+    assert got == {k: n for k, n in taken.items() if n}
+    assert None in {k[0] for k in got}
+
+    ids = stage["byte-pair encoding"](spark, odd, corpus)
+    assert ids.count() == odd.count()
+    assert {r["n_tokens"] for r in ids.where("doc_id in (2, 3)").collect()} == {0}
