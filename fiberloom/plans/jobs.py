@@ -376,6 +376,7 @@ ORACLE = {
     "UTL-02": f"""{with_views("fiber_lines")}, p AS (SELECT a.name AS mine, b.name AS fiber, CASE WHEN a.name = b.name THEN abs(a.ax-a.bx) + abs(a.ay-a."by") ELSE 20.0 END AS n FROM fiber_lines a JOIN fiber_lines b ON a.name = b.name OR (a.ax = b.ax AND a.ay = b.ay) OR (a.ax = b.bx AND a.ay = b."by") OR (a.bx = b.ax AND a."by" = b.ay) OR (a.bx = b.bx AND a."by" = b."by"))
       SELECT substring(mine, 1, 3) AS ring_name, fiber, round(sum(n), 1) AS existing FROM p GROUP BY 1, 2""",
     "GR-08": f"{_R} SELECT ring_name, site_id, CAST(row_number() OVER (PARTITION BY ring_name ORDER BY seq) - 1 AS INT) AS place FROM site_rings WHERE ring_name IN (SELECT ring_name FROM site_rings WHERE seq = 0) AND ring_name IN (SELECT ring_name FROM site_rings GROUP BY 1 HAVING count(*) > 1)",
+    "UPD-01": f"{_R} SELECT ring_name, site_id, CAST(row_number() OVER (PARTITION BY ring_name ORDER BY seq) - 1 AS INT) AS place FROM site_rings",
     "UPD-01-report": f"{_R}, s AS ({_SEG.format('site_rings')}), g AS (SELECT ring_name, min(region) AS region FROM site_rings GROUP BY 1) SELECT concat(site_id_a, '/x-', site_id_b, ' route') AS name, site_id_a AS near_end, site_id_b AS far_end, ring_name, region, CASE WHEN sequence % 2 = 0 THEN floor(length) ELSE 0.0 END AS existing, 0.0::DOUBLE AS new, CASE WHEN sequence % 2 = 0 THEN floor(length) ELSE 0.0 END AS total_length FROM s JOIN g USING (ring_name) WHERE site_id_b IS NOT NULL",
     "TOP-01": f"{_R}, s AS ({_SEG.format('site_rings')}) SELECT ring_name, site_id_a, site_id_b, CAST(sequence AS INT) AS sequence, round(length, 4) AS length FROM s WHERE site_id_b IS NOT NULL",
 }
