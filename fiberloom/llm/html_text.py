@@ -30,6 +30,8 @@ BESIDE = frozenset(
     "cookie cookies consent gdpr notice notices newsletter popup modal paywall ad ads adv advert adverts advertisement advertising adsense "
     "sponsor sponsors sponsored promo promoted banner banners searchbox login signup comment comments disqus replies".split()
 )
+#: Words of what is article text only if it is as dense as the article.
+DOUBTFUL = frozenset("share sharing social related recommended recommendations widget widgets tags toc subscribe subscription alert alerts overlay dialog search respond reply discussion rail".split())
 #: Words that show a container of the article itself, unless one of its words is in ``SURELY``.
 ARTICLE = frozenset("article articlebody content main post entry story body".split())
 SURELY = frozenset("comment comments ad ads advert adverts sponsored sidebar footer nav menu cookie newsletter banner promo notice".split())
@@ -51,13 +53,14 @@ HIDING = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "cut", "within", "chars", "tags", "link_chars", "link_tags", "density", "total", "order", "linked", "chosen", "own_chosen")
+    __slots__ = ("tag", "parent", "items", "cut", "within", "chars", "tags", "link_chars", "link_tags", "density", "total", "order", "linked", "chosen", "own_chosen", "doubtful")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool = False):
         self.tag, self.parent, self.items, self.cut = tag, parent, [], cut
         self.within = parent is not None and (parent.within or parent.tag in ("article", "main"))  # an article or main
         self.chars = self.tags = self.link_chars = self.link_tags = self.order = 0
         self.density = self.total = 0.0
+        self.doubtful = False
         self.linked = self.chosen = self.own_chosen = False  # in a link; the subtree is article text, or the node's own text
 
 
@@ -70,22 +73,22 @@ def attributes(source: str) -> dict[str, str]:
     return out
 
 
-def _beside(tag: str, source: str) -> bool:
-    """Whether a start tag opens a subtree that lies beside the article."""
-    if tag in CUT:
-        return True
+def _judged(tag: str, source: str, within: bool) -> tuple[bool, bool]:
+    """Whether a start tag opens a subtree that lies beside the article, or may do so; ``within`` an article a header is its own."""
+    if tag in CUT or tag == "header" and not within:
+        return True, False
     if not source or tag in ("html", "body"):
-        return False
+        return False, False
     named = attributes(source)
     if "hidden" in named or named.get("aria-hidden", "").lower() == "true" or HIDING.search(named.get("style", "")):
-        return True
+        return True, False
     words: set[str] = set()
     for name in ("class", "id", "role"):
         for token in named.get(name, "").split():
             words.update(SPLIT.split(CAMEL.sub("-", token).lower()), (token.lower(),))
     if tag in ("article", "main") or words & ARTICLE:
-        return bool(words & SURELY)
-    return bool(words & BESIDE)
+        return bool(words & SURELY), False
+    return bool(words & BESIDE) or "header" in words and not within, bool(words & DOUBTFUL)
 
 
 def parse(page: str) -> Node:
@@ -165,7 +168,9 @@ def parse(page: str) -> Node:
             continue
         if tag == "body" and at.tag == "head":
             at = close(at)
-        node = Node(tag, at, at.cut or _beside(tag, m[3]) or tag == "header" and not (at.within or at.tag in ("article", "main")))
+        beside, doubtful = _judged(tag, m[3], at.within or at.tag in ("article", "main"))
+        node = Node(tag, at, at.cut or beside)
+        node.doubtful = doubtful
         at.items.append(node)
         if tag in RAW and not m[3].endswith("/"):
             if low is None:
@@ -268,7 +273,7 @@ def main_text(page: str | None) -> str:
             if taken or own:
                 out.append(x)
             continue
-        if x is None or x.cut:
+        if x is None or x.cut or x.doubtful and x.density < threshold:
             out.append(" ")
             continue
         taken = taken or x.chosen

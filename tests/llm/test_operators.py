@@ -206,6 +206,10 @@ def test_pages_that_are_odd(spark):
     assert text("<div>" * 50_000 + "</x>" * 50_000 + "deep") == "deep"
     assert len(text("<p>" + "word " * 200_000 + "</p>")) == 5 * 200_000 - 1
     assert text("<p>one two</p><p>one two</p>") == "one two one two"  # a tie
+    body = "A paragraph with a good many words in it, and no link at all. " * 5
+    shared = '<div class="share"><a href=a>Mail</a> <a href=b>Print</a> <a href=c>More</a></div>'
+    assert text(f'<article><div class="header"><h1>Title</h1></div><p>{body}</p>{shared}<div class="related-note"><p>{body}</p></div></article>') == f"Title {body.strip()} {body.strip()}"
+    assert text(f'<div class="site-header">Site</div><div><p>{body}</p></div>') == body.strip()
     pages = spark.createDataFrame([(None, "u", "<p>a</p>"), (None, "u", "<p>a</p>")], "page_id long, url string, html string").withColumn("a.b", F.lit(1))
     assert [(r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()] == [("a", 1)] * 2
     assert html_text.extract(pages.limit(0)).count() == 0
