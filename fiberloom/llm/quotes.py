@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fiberloom.llm.common import durable
+from fiberloom.llm.common import durable, let
+from fiberloom.runtime import few, skewed_join
 
 MARKS = r"^\s{0,3}((?:>\s?)+)"
 
@@ -23,16 +24,35 @@ def normal(text: Column) -> Column:
 
 def _key(text: Column) -> Column:
     n = normal(text)
-    return F.when(n != "", F.md5(n))
+    return F.when(n != "", F.unhex(F.md5(n)))
 
 
-def lines_of(messages: DataFrame) -> DataFrame:
-    """``thread, pos, at, level, line``: every line with its quote level, marks taken off."""
-    split = F.split(F.coalesce("body", F.lit("")), r"\r?\n")
-    rows = messages.select("thread", "pos", F.posexplode(split).alias("at", "raw"))
-    marks = F.regexp_extract("raw", MARKS, 0)
-    level = F.length(marks) - F.length(F.replace(marks, F.lit(">"), F.lit("")))
-    return rows.select("thread", "pos", "at", level.alias("level"), F.substring("raw", F.length(marks) + 1, F.length("raw")).alias("line"))
+def _keys(text: Column) -> Column:
+    """Hash of the whole text, then of its lines, each once; what is empty has none."""
+    return F.array_distinct(F.filter(F.concat(F.array(_key(text)), F.transform(F.split(text, r"\n"), _key)), lambda k: k.isNotNull()))
+
+
+def runs_of(body: Column) -> Column:
+    """Runs of lines of one quote level, in order: ``run, level, lines``, marks taken off."""
+
+    def parsed(raw: Column) -> Column:
+        return let(F.regexp_extract(raw, MARKS, 0), lambda m: F.struct((F.length(m) - F.length(F.replace(m, F.lit(">"), F.lit("")))).alias("level"), F.substring(raw, F.length(m) + 1, F.length(raw)).alias("line")))
+
+    def cut(rows: Column) -> Column:
+        level = lambda i: F.get(rows, i - 1)["level"]
+        starts = F.filter(F.sequence(F.lit(1), F.size(rows)), lambda i: (i == 1) | (level(i) != level(F.greatest(i - 1, F.lit(1)))))
+
+        def runs(at: Column) -> Column:
+            end = lambda k: F.coalesce(F.get(at, k + 1), F.size(rows) + 1)
+            return F.transform(at, lambda i, k: F.struct(k.alias("run"), level(i).alias("level"), F.transform(F.slice(rows, i, end(k) - i), lambda x: x["line"]).alias("lines")))
+
+        return let(starts, runs)
+
+    return let(F.transform(F.split(body, r"\r?\n"), parsed), cut)
+
+
+#: Positions of a thread that are ordered in one task at a time.
+SPAN = 1_000
 
 
 def link(messages: DataFrame, *, thread: str = "conv_id", pos: str = "turn", body: str = "text", author: str = "role", rounds: int = 40) -> DataFrame:
@@ -50,44 +70,47 @@ def link(messages: DataFrame, *, thread: str = "conv_id", pos: str = "turn", bod
     named = messages.select(F.col(thread).alias("thread"), F.col(pos).cast("long").alias("pos"), F.col(author).alias("author"), F.coalesce(F.col(body), F.lit("")).alias("body"))
     keyless = named.where("thread is null or pos is null")
     whole = named.where("thread is not null and pos is not null").groupBy("thread", "pos").agg(F.min("author").alias("author"), F.array_join(F.array_sort(F.collect_set("body")), "\n").alias("body"))
-    whole = durable(whole)
-    lines = lines_of(whole)
-    by_message = Window.partitionBy("thread", "pos").orderBy("at")
-    edge = F.coalesce((F.col("level") != F.lag("level").over(by_message)).cast("int"), F.lit(0))
-    runs = lines.withColumn("edge", edge).withColumn("run", F.sum("edge").over(by_message))
-    passages = runs.groupBy("thread", "pos", "run", "level").agg(F.sort_array(F.collect_list(F.struct("at", "line"))).alias("l"))
-    passages = durable(passages.withColumn("lines", F.transform("l", lambda x: x["line"])).drop("l"))
-
-    own_run = passages.where("level = 0").groupBy("thread", "pos").agg(F.transform(F.sort_array(F.collect_list(F.struct("run", "lines"))), lambda x: F.array_join(x["lines"], "\n")).alias("parts"))
-    own = own_run.select("thread", "pos", F.btrim(F.array_join("parts", "\n"), F.lit(" \t\r\n")).alias("text"))
-    keys_of = lambda text: F.array_distinct(F.filter(F.concat(F.array(_key(text)), F.transform(F.split(text, r"\n"), _key)), lambda k: k.isNotNull()))
-    originals = own.select("thread", "pos", F.explode(keys_of(F.col("text"))).alias("key"))
-    text = F.array_join("lines", "\n")
-    quoted = passages.where("level > 0").select("thread", "pos", "run", "level", F.posexplode(keys_of(text)).alias("nth", "key"))
-
-    # As-of within (thread, key): the latest earlier holder, without pairing holders and quotations.
-    both = originals.select("thread", "key", "pos", F.lit(None).cast("int").alias("run"), F.lit(None).cast("int").alias("level"), F.lit(None).cast("int").alias("nth"), F.col("pos").alias("holder")).unionByName(quoted.withColumn("holder", F.lit(None).cast("long")))
-    before = Window.partitionBy("thread", "key").orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
+    # Quoted and own lines of each message, without an exchange.
+    runs = whole.select("thread", "pos", "author", runs_of(F.col("body")).alias("runs"))
+    text = F.btrim(F.array_join(F.transform(F.filter("runs", lambda r: r["level"] == 0), lambda r: F.array_join(r["lines"], "\n")), "\n"), F.lit(" \t\r\n"))
+    whole = durable(runs.select("thread", "pos", "author", text.alias("text"), F.filter("runs", lambda r: r["level"] > 0).alias("quoted")))
+    originals = whole.select("thread", "pos", F.explode(_keys(F.col("text"))).alias("key"))
+    quoted = whole.select("thread", "pos", F.explode("quoted").alias("q")).select("thread", "pos", F.col("q.run").alias("run"), F.col("q.level").alias("level"), F.posexplode(_keys(F.array_join("q.lines", "\n"))).alias("nth", "key"))
+
+    # As-of within (thread, key), a span of positions at a time: the latest earlier holder, without pairing holders and quotations.
+    span = F.floor(F.col("pos") / SPAN).alias("span")
+    none = lambda kind: F.lit(None).cast(kind)
+    both = originals.select("thread", "key", span, "pos", none("int").alias("run"), none("int").alias("level"), none("int").alias("nth"), F.col("pos").alias("holder")).unionByName(quoted.withColumn("span", span).withColumn("holder", none("long")))
+    before = Window.partitionBy("thread", "key", "span").orderBy("pos").rangeBetween(Window.unboundedPreceding, -1)
     found = both.withColumn("parent", F.last("holder", ignorenulls=True).over(before)).where("level is not null")
-    found = durable(found.select("thread", "pos", "run", "level", "nth", "key", "parent"))
+    long = whole.where((F.col("pos") >= SPAN) | (F.col("pos") < 0)).select("thread").distinct()
+    if not long.isEmpty():  # threads of several spans: the last holder of each is carried over the later ones
+        ends = both.join(few(durable(long)), "thread", "left_semi").groupBy("thread", "key", "span").agg(F.max("holder").alias("last"))
+        by_span = Window.partitionBy("thread", "key").orderBy("span").rowsBetween(Window.unboundedPreceding, -1)
+        carried = ends.withColumn("carried", F.last("last", ignorenulls=True).over(by_span)).where("carried is not null").select("thread", "key", "span", "carried")
+        found = found.join(few(durable(carried)), ["thread", "key", "span"], "left").withColumn("parent", F.coalesce("parent", "carried"))
+    linked = found.groupBy("thread", "pos", "run", "level").agg(F.min_by("parent", F.when(F.col("parent").isNotNull(), F.col("nth"))).alias("parent"), F.collect_list(F.struct("nth", "key")).alias("keys"))
+    per_run = durable(linked.withColumn("keys", F.when(F.col("parent").isNull(), F.col("keys"))))
 
     # Elsewhere: two rows at most for each key, its earliest holder and the earliest of a different thread.
-    lost = found.withColumn("p", F.max("parent").over(Window.partitionBy("thread", "pos", "run", "level"))).where("p is null").select("thread", "pos", "run", "level", "nth", "key")
-    by_thread = originals.groupBy("key", "thread").agg(F.min("pos").alias("at")).select("key", F.struct("thread", F.col("at").alias("pos")).alias("source"))
-    first = by_thread.groupBy("key").agg(F.min("source").alias("first"))
-    second = by_thread.join(first, "key").where("source.thread <> first.thread").groupBy("key").agg(F.min("source").alias("second"))
-    holders = first.join(second, "key", "left")
-    held = lost.join(holders, "key").withColumn("source", F.when(F.col("first.thread") != F.col("thread"), F.col("first")).otherwise(F.col("second"))).where("source is not null")
+    lost = durable(per_run.where("parent is null").select("thread", "pos", "run", "level", F.explode("keys").alias("k")).select("thread", "pos", "run", "level", "k.nth", "k.key"))
+    asked = durable(lost.groupBy("key").agg(F.count(F.lit(1)).alias("asks")))
+    by_thread = originals.join(few(asked.select("key")), "key", "left_semi").groupBy("key", "thread").agg(F.min("pos").alias("at")).select("key", F.struct("thread", F.col("at").alias("pos")).alias("source"))
+    by_thread = durable(by_thread)
+    first = by_thread.groupBy("key").agg(F.min("source").alias("first"), F.count(F.lit(1)).alias("threads"))
+    others = skewed_join(by_thread, first, "key", "threads").where("source.thread <> first.thread")
+    second = others.groupBy("key").agg(F.min("source").alias("second"))
+    holders = durable(first.drop("threads").join(second, "key", "left").join(asked, "key"))
+    held = skewed_join(lost, holders, "key", "asks").withColumn("source", F.when(F.col("first.thread") != F.col("thread"), F.col("first")).otherwise(F.col("second"))).where("source is not null")
     runs_away = held.groupBy("thread", "pos", "run", "level").agg(F.min_by("source", "nth").alias("source"))
     away = runs_away.groupBy("thread", "pos").agg(F.min(F.struct("level", "source")).alias("s"), F.count_distinct("run").alias("n_away"))
 
-    per_run = found.groupBy("thread", "pos", "run", "level").agg(F.min_by("parent", F.when(F.col("parent").isNotNull(), F.col("nth"))).alias("parent"))
     near = per_run.groupBy("thread", "pos").agg(
         F.count(F.lit(1)).alias("n_passages"),
         F.count("parent").alias("n_near"),
         F.min(F.when(F.col("parent").isNotNull(), F.struct("level", (-F.col("parent")).alias("less")))).alias("best"),
     )
-    rows = whole.join(own, ["thread", "pos"], "left").join(near, ["thread", "pos"], "left").join(away, ["thread", "pos"], "left")
+    rows = whole.select("thread", "pos", "author", "text").join(near, ["thread", "pos"], "left").join(away, ["thread", "pos"], "left")
     rows = durable(rows.select("thread", "pos", "author", (-F.col("best.less")).alias("parent"), F.col("s.source.thread").alias("source_thread"), F.col("s.source.pos").alias("source_pos"), F.coalesce("n_passages", F.lit(0)).cast("long").alias("n_passages"), (F.coalesce("n_near", F.lit(0)) + F.coalesce("n_away", F.lit(0))).cast("long").alias("n_linked"), F.coalesce("text", F.lit("")).alias("text")))
 
     # Pointer doubling to the root, of those messages only that have not reached theirs.

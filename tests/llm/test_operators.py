@@ -630,3 +630,25 @@ def test_quotations_across_threads(spark):
     assert got[5, 0] == (None, 4, 0, 1)
     assert got[3, 1] == (None, 6, 0, 1)
     assert got[4, 1] == got[4, 2] == (None, None, None, 0)
+
+
+def test_quotations_of_long_threads(spark, monkeypatch):
+    """As-of over several spans of positions equals one span; quoted by a plain version."""
+    rng = random.Random(10)
+    words = ["Yes.", "No.", "See you there", "Fine by me", "Line\nand line"]
+    rows, said = [], {}
+    for thread in (1, 2):
+        for pos in sorted(rng.sample(range(-20, 300), 120)):
+            own = rng.choice(words)
+            quote = rng.choice(words)
+            rows.append((thread, pos, "u", "> " + quote.replace("\n", "\n> ") + "\n" + own))
+            said.setdefault((thread, own), []).append(pos)
+    table = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    for span in (1_000, 7):
+        monkeypatch.setattr(quotes, "SPAN", span)
+        got = {(r["thread"], r["pos"]): r["parent"] for r in quotes.link(table).collect()}
+        for thread, pos, _, text in rows:
+            quote = text.rpartition("\n")[0] if not text.endswith("and line") else text[: -len("\nLine\nand line")]
+            quote = quote.replace("> ", "")
+            before = [p for p in said.get((thread, quote), []) if p < pos]
+            assert got[thread, pos] == max(before, default=None)
