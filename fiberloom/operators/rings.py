@@ -172,6 +172,16 @@ def edge_costs(edges: DataFrame, nodes: DataFrame, kind: str = "full_weighted",
     return one.withColumn("fiber", fiber).withColumn("weight", cost.cast("double")).drop("__node_start", "__node_end", "charge")
 
 
+def kmeans(points: DataFrame, k: int, seed: int = 7) -> DataFrame:
+    """Points with ``label``, their cluster by straight distance where no road network is at hand."""
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.functions import array_to_vector
+
+    rows = points.withColumn("__at", array_to_vector(F.array(F.col("x").cast("double"), F.col("y").cast("double"))))
+    model = KMeans(k=k, seed=seed, featuresCol="__at", predictionCol="label").fit(rows.where("x is not null and y is not null"))
+    return model.transform(rows.where("x is not null and y is not null")).drop("__at")
+
+
 def hub_assignment(points: DataFrame, hubs: DataFrame, max_distance: float = 10_000.0, use_centroid: bool = False, ring: str = "ring_name") -> DataFrame:
     """``ring, outcome, hub_id, flag``: what becomes of each ring of sites (``ring, site_id, x, y``).
 

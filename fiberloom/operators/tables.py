@@ -197,10 +197,10 @@ def contained(texts: DataFrame, text: str, ids: DataFrame) -> DataFrame:
 def near_far(segments: DataFrame, ids: DataFrame) -> DataFrame:
     """Near and far end of a segment name ``A-B``: the ids that its two parts contain.
 
-    The words connection and route don't count. A part with several ids takes the least of those
+    The words connection and route don't count, nor do dashes around the name. A part with several ids takes the least of those
     that are not the other side's; one without any has null. Every row of ``segments`` stays.
     """
-    parts = F.split(F.regexp_replace("name", r"(?i)\b(connection|route)\b", ""), "-")
+    parts = F.split(F.btrim(F.regexp_replace("name", r"(?i)\b(connection|route)\b", ""), F.lit("- ")), "-")
     rows = segments.select("name").distinct().select("name", F.trim(F.get(parts, F.lit(0))).alias("p0"), F.trim(F.try_element_at(parts, F.lit(-1))).alias("p1"))
 
     def side(p: str) -> DataFrame:

@@ -168,6 +168,14 @@ def jn_21(s, d):
     return view(s, d, "sites").join(mark, "site_id", "left").select("site_id", F.when(F.col("near"), "fiber zone").otherwise("no fiber").alias("zone"))
 
 
+def geo_01_box(s, d):
+    return files.cells_over(view(s, d, "hubs").where("region = 'ASIA'"), "box", 5000.0, 2500.0)
+
+
+def geo_01_hull(s, d):
+    return files.cells_over(view(s, d, "hubs"), "hull", 2500.0, 1000.0)
+
+
 def geo_02(s, d):
     cells = view(s, d, "sites").select(F.concat_ws("_", F.floor(F.col("x") / 10000), F.floor(F.col("y") / 10000)).alias("cell"), F.col("region").alias("Island"))
     return files.cells_of_island(cells, "ASIA")
@@ -360,6 +368,15 @@ def snk_08(s, d):
     return sheet("Regions").select("region", F.col("sites").cast("long").alias("sites")).join(table, "region").join(sheet("Sites").groupBy("region").agg(F.count(F.lit(1)).alias("in_sheet")), "region")
 
 
+def snk_10(s, d):
+    """Hubs as CSV and as GeoPackage, read back side by side."""
+    folder = scratch(s)
+    reports.csv_and_package(view(s, d, "hubs").select("site_id", "x", "y"), "site_id", folder)
+    a = s.read.option("header", True).csv(f"{folder}/points.csv").select("site_id", F.col("x").cast("double").alias("x"))
+    b = files.read_table(s, f"{folder}/points.gpkg").select(F.col("data")["site_id"].alias("site_id"), F.col("line")[0]["y"].alias("y"))
+    return a.join(b, "site_id")
+
+
 def snk_11(s, d):
     """A GeoPackage layer for each region of hubs, read back."""
     folder = scratch(s)
@@ -385,9 +402,9 @@ def snk_13(s, d):
 QUERIES = {
     "PRJ-01": prj_01, "PRJ-02": _checked("supervised"), "PRJ-03": _checked("unsupervised"), "PRJ-06": _checked("fwa"), "PRJ-07": _checked("topology"), "JN-04": jn_04, "PRJ-16": prj_16, "TWIN-insert-weights": twin_weights, "SRC-01": src_01, "SRC-06": src_06, "SRC-10": src_10, "SNK-06": snk_06,
     "PRJ-05": prj_05, "PRJ-08": prj_08, "PRJ-19": prj_19, "PRJ-20": prj_20, "CL-06": cl_06, "CL-10": cl_10, "GR-05": gr_05, "GR-09": gr_09, "GR-14": gr_14, "GR-18": gr_18, "GR-19": gr_19,
-    "JN-09": jn_09, "JN-10": jn_10, "JN-21": jn_21, "GEO-02": geo_02, "GEO-13": geo_13, "GEO-15": geo_15, "GEO-16": geo_16, "GEO-26": geo_26,
+    "JN-09": jn_09, "JN-10": jn_10, "JN-21": jn_21, "GEO-02": geo_02, "GEO-01-box": geo_01_box, "GEO-01-hull": geo_01_hull, "GEO-13": geo_13, "GEO-15": geo_15, "GEO-16": geo_16, "GEO-26": geo_26,
     "FWA-09": fwa_09, "FWA-10": fwa_10, "FWA-11": fwa_11, "FWA-12": fwa_12, "BOQ-03": boq_03, "BOQ-05": boq_05,
-    "SRC-07": src_07, "SRC-08": src_08, "SRC-09": src_09, "SRC-11": src_11, "SNK-04": snk_04, "SNK-05": snk_05, "SNK-07": snk_07, "SNK-08": snk_08, "SNK-11": snk_11, "SNK-12": snk_12, "SNK-13": snk_13,
+    "SRC-07": src_07, "SRC-08": src_08, "SRC-09": src_09, "SRC-11": src_11, "SNK-04": snk_04, "SNK-05": snk_05, "SNK-07": snk_07, "SNK-08": snk_08, "SNK-10": snk_10, "SNK-11": snk_11, "SNK-12": snk_12, "SNK-13": snk_13,
 }
 
 _R, _S, _H = with_views("site_rings"), with_views("sites"), with_views("hubs")
@@ -434,6 +451,7 @@ ORACLE = {
     "JN-10": f"{with_views('site_rings', 'polygons')}, {_G}, {_CLIP}, u AS (SELECT ring_name, sum(len*(t1-t0)) AS inside FROM i GROUP BY 1), a AS (SELECT ring_name, sum(sqrt((ax-bx)*(ax-bx)+(ay-zy)*(ay-zy))) AS whole FROM e GROUP BY 1) SELECT * FROM (SELECT ring_name, round(whole - coalesce(inside, 0), 3) AS length FROM a LEFT JOIN u USING (ring_name)) WHERE length > 0",
     "JN-21": f"""{with_views("sites", "fiber_lines")}, n AS (SELECT p.site_id, p.x, p.y, f.ax, f.ay, f.bx AS zx, f."by" AS zy, greatest(0.0, least(1.0, ((p.x-f.ax)*(f.bx-f.ax)+(p.y-f.ay)*(f."by"-f.ay))/((f.bx-f.ax)*(f.bx-f.ax)+(f."by"-f.ay)*(f."by"-f.ay)))) AS t FROM sites p JOIN fiber_lines f ON p.x BETWEEN f.ax - 2000 AND f.bx + 2000 AND p.y BETWEEN f.ay - 2000 AND f."by" + 2000),
       k AS (SELECT DISTINCT site_id FROM n WHERE (x-(ax+t*(zx-ax)))*(x-(ax+t*(zx-ax)))+(y-(ay+t*(zy-ay)))*(y-(ay+t*(zy-ay))) <= 4000000) SELECT site_id, CASE WHEN site_id IN (SELECT site_id FROM k) THEN 'fiber zone' ELSE 'no fiber' END AS zone FROM sites""",
+    "GEO-01-box": f"""{_H}, b AS (SELECT min(x) - 2500 AS x0, max(x) + 2500 AS x1, min(y) - 2500 AS y0, max(y) + 2500 AS y1 FROM hubs WHERE region = 'ASIA'), i AS (SELECT unnest(range(CAST(floor(x0/5000) AS BIGINT), CAST(floor(x1/5000) AS BIGINT) + 1)) AS i FROM b), j AS (SELECT unnest(range(CAST(floor(y0/5000) AS BIGINT), CAST(floor(y1/5000) AS BIGINT) + 1)) AS j FROM b) SELECT concat(CAST(i AS VARCHAR), '_', CAST(j AS VARCHAR)) AS cell FROM i, j""",
     "GEO-02": f"{_S} SELECT DISTINCT concat(CAST(CAST(floor(x/10000) AS BIGINT) AS VARCHAR), '_', CAST(CAST(floor(y/10000) AS BIGINT) AS VARCHAR)) AS cell FROM sites WHERE region = 'ASIA'",
     "GEO-13": f"""{with_views("site_rings", "road_nodes")}, s AS ({_SEG.format('site_rings')}), k AS (SELECT site_id, p.x, p.y, q.x AS nx, q.y AS ny, row_number() OVER (PARTITION BY site_id ORDER BY {_D2}, node_id) AS n FROM sites p, road_nodes q), m AS (SELECT * FROM k WHERE n = 1)
       SELECT ring_name, site_id_a, round(sqrt((a.x-a.nx)*(a.x-a.nx)+(a.y-a.ny)*(a.y-a.ny)) + sqrt((a.nx-b.nx)*(a.nx-b.nx)+(a.ny-b.ny)*(a.ny-b.ny)) + sqrt((b.x-b.nx)*(b.x-b.nx)+(b.y-b.ny)*(b.y-b.ny)), 4) AS length FROM s JOIN m a ON a.site_id = site_id_a JOIN m b ON b.site_id = site_id_b""",
@@ -453,6 +471,7 @@ ORACLE = {
       SELECT concat(region, ';', ring_name, ';', f) AS folders, site_id AS name, 'point' AS kind, CASE f WHEN 'FO Hub' THEN '#0000ff' WHEN 'Insert Site' THEN '#ffff00' ELSE '#00aa00' END AS color FROM k UNION ALL SELECT concat(region, ';', ring_name, ';Route'), ring_name, 'line', '#ff0000' FROM g""",
     "SNK-07": f"{_R}, s AS ({_SEG.format('site_rings')}) SELECT concat(ring_name, ';01 otb') AS folders, concat('OTB ', site_id_a) AS name, CAST(CASE WHEN site_id_b IS NULL THEN 2147483647 ELSE sequence END AS INT) AS place FROM s",
     "SNK-08": f"{_H} SELECT region, count(*) AS sites, count(*) AS in_table, count(*) AS in_sheet FROM hubs GROUP BY 1",
+    "SNK-10": f"{_H} SELECT site_id, x, y FROM hubs",
     "SNK-11": f"{_H} SELECT region, site_id, x, y FROM hubs",
     "SNK-12": f"""{_R}{_NOTED}, {_TOPO}, j AS (SELECT o.ring_name, near_end, far_end, CASE WHEN a.note = 'existing' AND lower(b.site_type) LIKE '%hub%' THEN 'P0' WHEN a.note = 'existing' THEN 'Access' WHEN a.note = 'insert' AND NOT lower(b.site_type) LIKE '%hub%' THEN 'Insert Site' ELSE 'Access' END AS near_priority,
       CASE WHEN lower(b.site_type) LIKE '%hub%' THEN 'P0' ELSE 'Insert Site' END AS far_priority, CASE WHEN a.note = 'insert' OR b.note = 'insert' THEN 12.5 ELSE 0.0 END::DOUBLE AS new_length FROM topo o JOIN noted a ON a.site_id = near_end JOIN noted b ON b.site_id = far_end WHERE far_end IS NOT NULL AND far_end <> near_end)

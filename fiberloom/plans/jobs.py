@@ -85,10 +85,12 @@ def blobs(sites: DataFrame, reach: float) -> DataFrame:
     return held.join(of_cell, "cell").select(F.col("ord").alias("id"), "component")
 
 
-def unsupervised(sites: DataFrame, hubs: DataFrame, road_edges: DataFrame, road_nodes: DataFrame, member_expectation: int = 10, max_distance: float = 10_000.0, drop_existings: bool = False) -> DataFrame:
-    """Rings found by road distance: components within reach, complete linkage inside, numbered by region, two nearest hubs.
+def unsupervised(sites: DataFrame, hubs: DataFrame, road_edges: DataFrame, road_nodes: DataFrame, member_expectation: int = 10, max_distance: float = 10_000.0, drop_existings: bool = False, least: int = 1, use_centroid: bool = False) -> dict[str, DataFrame]:
+    """Rings found by road distance: ``points`` of the rings with a hub, ``standalone`` sites and ``dropped`` ones.
 
-    Weights are plain lengths here; a pair farther apart than the reach is no pair.
+    Components within reach, complete linkage inside, clusters below ``least`` members dropped, rings
+    numbered by region, and hubs by :func:`rings.hub_assignment`. Weights are plain lengths here; a
+    pair farther apart than the reach is no pair.
     """
     pts = durable(snapped(sites.join(blobs(sites, max_distance).withColumnRenamed("id", "ord"), "ord"), road_nodes))
     plain = rings.edge_costs(road_edges, road_nodes, "route")
@@ -105,13 +107,22 @@ def unsupervised(sites: DataFrame, hubs: DataFrame, road_edges: DataFrame, road_
     of = heads.select(F.col("site_id").alias("site_i"), F.col("component").alias("of"))
     dist = durable(dist).join(of, "site_i").select(F.col("of").alias("component"), "site_i", "site_j", "dist")
     labels = network.cluster(pts.select("component", "site_id", "node"), dist, "component", max_distance, max(1, member_expectation - 2), 2)
-    named = rings.numbered(labels.join(sites, "site_id"), "label").drop("label", "component", "cluster_no")
+    from pyspark.sql.window import Window
+
+    labels = labels.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("component", "label")))
+    small = labels.where(F.col("__n") < least).select("site_id")
+    named = rings.numbered(labels.where(F.col("__n") >= least).drop("__n").join(sites, "site_id"), "label").drop("label", "component", "cluster_no")
     if drop_existings:
         named = rings.with_new_site(named)
     named = durable(named)
-    ends = rings.ring_hubs(named, hubs, max_distance)
-    h = ends.join(hubs.withColumnRenamed("site_id", "hub_id"), "hub_id").select("ring_name", F.col("hub_id").alias("site_id"), "site_type", "x", "y", (-F.col("ord") - 1).alias("ord"), "flag")
-    return named.select("ring_name", "site_id", "site_type", "x", "y", "ord", F.lit("").alias("flag")).unionByName(h)
+    given = durable(rings.hub_assignment(named, hubs, max_distance, use_centroid))
+    of = lambda *outcomes: named.join(given.where(F.col("outcome").isin(*outcomes)).select("ring_name").distinct(), "ring_name", "left_semi")
+    own = given.where("outcome = 'centroid'").select("ring_name", F.col("hub_id").alias("site_id"), F.col("flag").alias("__flag"))
+    members = of("assigned", "centroid").join(own, ["ring_name", "site_id"], "left")
+    kind = F.when(F.col("__flag").isNotNull(), "FO Hub").otherwise(F.col("site_type"))
+    members = members.select("ring_name", "site_id", kind.alias("site_type"), "x", "y", "ord", F.coalesce("__flag", F.lit("")).alias("flag"))
+    ends = given.where("outcome = 'assigned'").join(hubs.withColumnRenamed("site_id", "hub_id"), "hub_id").select("ring_name", F.col("hub_id").alias("site_id"), "site_type", "x", "y", (-F.col("ord") - 1).alias("ord"), "flag")
+    return {"points": members.unionByName(ends), "standalone": of("standalone"), "dropped": of("dropped").select("site_id").unionByName(small)}
 
 
 def fixroute(pairs: DataFrame, road_edges: DataFrame, road_nodes: DataFrame) -> DataFrame:
@@ -278,7 +289,7 @@ def job_supervised(s, d):
 
 
 def job_unsupervised(s, d):
-    return unsupervised(view(s, d, "sites"), view(s, d, "hubs"), view(s, d, "road_edges"), view(s, d, "road_nodes")).select("ring_name", "site_id", "flag")
+    return unsupervised(view(s, d, "sites"), view(s, d, "hubs"), view(s, d, "road_edges"), view(s, d, "road_nodes"))["points"].select("ring_name", "site_id", "flag")
 
 
 def job_fixroute(s, d):

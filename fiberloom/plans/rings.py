@@ -245,6 +245,12 @@ def gr_02(s, d):
     return network.routes(_hops(s, d), _ring_nodes(s, d)[1], "ring_name")
 
 
+def gr_12_routes(s, d):
+    """Shared road of the hops of each ring, over the routes that they take."""
+    paths = gr_02(s, d).select("ring_name", "seq", F.explode("nodes").alias("node"))
+    return rings.shared_road(paths, _edges(s, d), 3000.0).select("ring_name", "seq_a", "seq_b", "shared")
+
+
 def gr_13(s, d):
     return network.routes(_hops(s, d), _ring_nodes(s, d)[1], "ring_name", feedback=4.0)
 
@@ -282,7 +288,7 @@ QUERIES = {
     "JN-01": jn_01, "JN-03": jn_03, "JN-05": jn_05, "JN-06": jn_06, "JN-07": jn_07, "JN-08": jn_08, "JN-17": jn_17, "JN-20": jn_20, "JN-22": jn_22, "JN-23": jn_23,
     "GEO-24": geo_24, "AGG-05": agg_05, "AGG-06": agg_06, "AGG-08": agg_08, "AGG-09": agg_09, "AGG-10": agg_10, "AGG-14": agg_14, "AGG-15": agg_15, "AGG-17": agg_17, "AGG-20": agg_20,
     "WIN-01": win_01, "WIN-02": win_02, "WIN-03": win_03, "WIN-05": win_05, "WIN-07": win_07, "WIN-11": win_11, "CL-07": cl_07, "PRJ-21": prj_21, "INS-03": ins_03, "PRJ-11": prj_11,
-    "STR-08": str_08, "PRJ-15": prj_15, "GR-12": gr_12, "GR-01": gr_01, "TSP-05": tsp_05, "GR-02": gr_02, "GR-13": gr_13, "GR-12-reroute": gr_12_reroute, "CL-02": cl_02, "AGG-18": agg_18, "POL-01": pol_01,
+    "STR-08": str_08, "PRJ-15": prj_15, "GR-12": gr_12, "GR-01": gr_01, "TSP-05": tsp_05, "GR-02": gr_02, "GR-13": gr_13, "GR-12-reroute": gr_12_reroute, "GR-12-routes": gr_12_routes, "CL-02": cl_02, "AGG-18": agg_18, "POL-01": pol_01,
 }
 
 _S, _R = with_views("sites"), with_views("site_rings")

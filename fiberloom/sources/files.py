@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 import zipfile
 from pathlib import Path
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fiberloom.functions import geo, kernel
+from fiberloom.operators.spatial import hulls
 from fiberloom.operators.tables import clean_names, first_per
 from fiberloom.sources import kml, vector, xlsx
 
@@ -82,6 +85,31 @@ def cells_of(points: DataFrame, size: float = 10_000.0, buffer: float = 10_000.0
     return points.select(span("x").alias("i"), F.col("y")).select("i", span("y").alias("j")).select(F.concat_ws("_", "i", "j").alias("cell")).distinct()
 
 
+def cells_over(points: DataFrame, kind: str = "box", size: float = 10_000.0, buffer: float = 10_000.0) -> DataFrame:
+    """Distinct grid cells (``cell``) that the points' bounding box, or their convex hull, touches when it is grown by the buffer.
+
+    Only the box or the corners of the hull reach the driver; ``ValueError`` where there are no points.
+    """
+    spark, name = points.sparkSession, F.concat_ws("_", "i", "j").alias("cell")
+    box = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
+    if box[0] is None:
+        raise ValueError("no points to find cells for")
+    at = lambda v: math.floor(v / size)
+    columns = spark.range(at(box[0] - buffer), at(box[2] + buffer) + 1).withColumnRenamed("id", "i")
+    every = columns.withColumn("j", F.explode(F.sequence(F.lit(at(box[1] - buffer)), F.lit(at(box[3] + buffer)))))
+    if kind == "box":
+        return every.select(name)
+    if kind != "hull":
+        raise ValueError("kind must be box or hull")
+    ring = [(r["x"], r["y"]) for r in hulls(points.select(F.lit(0).alias("k"), "x", "y"), "k").orderBy("vertex").collect()]
+
+    @F.pandas_udf("boolean")
+    def touches(i: pd.Series, j: pd.Series) -> pd.Series:
+        return pd.Series([kernel.convex_distance(ring, [(a * size, b * size), (a * size + size, b * size), (a * size + size, b * size + size), (a * size, b * size + size)]) <= buffer for a, b in zip(i, j, strict=True)])
+
+    return every.where(touches("i", "j")).select(name)
+
+
 def cells_of_island(cells: DataFrame, island: str) -> DataFrame:
     """Distinct cells of an island, from a table of ``cell`` and ``Island``."""
     return cells.where(F.col("Island") == island).select("cell").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fiberloom.operators.rings import is_hub
-from fiberloom.sources import files, kml, xlsx
+from fiberloom.sources import files, kml, vector, xlsx
 
 #: Colours of drawn layers (fixed values).
 COLORS = {"existing": "#00aa00", "insert": "#ffff00", "hub": "#0000ff", "route": "#ff0000"}
@@ -109,6 +109,16 @@ def export(tables: dict[str, DataFrame], sheets: dict[str, DataFrame], folder: s
     return done
 
 
+def csv_and_package(rows: DataFrame, key: str, folder: str, bound: int = 1_000_000) -> list[str]:
+    """Points as CSV part files and as one GeoPackage layer, which goes through the driver and holds ``bound`` rows at most; what was written."""
+    rows.write.mode("overwrite").option("header", True).csv(f"{folder}/points.csv")
+    if rows.limit(bound + 1).count() > bound:
+        return ["points.csv"]
+    features = [({key: r[key]}, "point", [(r["x"], r["y"])]) for r in rows.select(key, "x", "y").toLocalIterator()]
+    files.write_bytes(rows.sparkSession, f"{folder}/points.gpkg", vector.package({"points": features}))
+    return ["points.csv", "points.gpkg"]
+
+
 def draw(rows: DataFrame, group: str) -> DataFrame:
     """One KML document for each value of ``group``, built where its rows are."""
     return kml.documents(rows, group)

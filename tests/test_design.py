@@ -285,3 +285,29 @@ def test_centerline_equals_plain_version(spark):
             kept.append((o, ((a, b), (c, d))))
     got = boq.centerline(spark.createDataFrame(rows, "ord long, ax double, ay double, bx double, by double"), 1.0)
     assert sorted(r["ord"] for r in got.collect()) == sorted(o for o, _ in kept)
+
+
+def test_cells_of_a_hull(spark):
+    points = spark.createDataFrame([(0.0, 0.0), (95.0, 0.0), (0.0, 95.0)], "x double, y double")
+    got = {r["cell"] for r in files.cells_over(points, "hull", 10.0, 3.0).collect()}
+    inside = lambda x, y: x >= 0 and y >= 0 and x + y <= 95
+    far = lambda x, y: 0.0 if inside(x, y) else kernel.measure([(0, 0), (95, 0), (0, 95), (0, 0)], x, y)[1]
+    want = {f"{i}_{j}" for i in range(-1, 10) for j in range(-1, 10) if min(far(i * 10 + a / 4, j * 10 + b / 4) for a in range(41) for b in range(41)) <= 3.0}
+    assert got == want
+    assert files.cells_over(points, "box", 10.0, 3.0).count() == 11 * 11
+    with pytest.raises(ValueError, match="no points"):
+        files.cells_over(points.limit(0))
+
+
+def test_kmeans(spark):
+    rng = random.Random(1)
+    points = spark.createDataFrame([(i, rng.uniform(0, 9) + 1000 * (i % 2), rng.uniform(0, 9)) for i in range(40)], "ord int, x double, y double")
+    labels = {(r["ord"] % 2, r["label"]) for r in rings.kmeans(points, 2).collect()}
+    assert len(labels) == 2
+
+
+def test_names_between_dashes(spark):
+    names = spark.createDataFrame([("-AB1-xAB2- route",), ("AB2 AB1-AB2",), ("none-AB1",), ("AB1",)], "name string")
+    ids = spark.createDataFrame([("AB1",), ("AB2",)], "site_id string")
+    got = {r["name"]: (r["near_end"], r["far_end"]) for r in tables.near_far(names, ids).collect()}
+    assert got == {"-AB1-xAB2- route": ("AB1", "AB2"), "AB2 AB1-AB2": ("AB1", "AB2"), "none-AB1": (None, "AB1"), "AB1": ("AB1", "AB1")}

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
 from fiberloom.operators import fwa as wireless
-from fiberloom.plans import fwa
+from fiberloom.plans import fwa, jobs
 from fiberloom.plans.fixtures import view
 
 SF = "/root/testdata/sf0.001"
@@ -47,14 +47,18 @@ def test_supervised_rings(spark):
 
 
 def test_unsupervised_rings(spark):
-    found = rows(spark, "JOB-unsupervised")
+    whole = jobs.unsupervised(*[view(spark, SF, n) for n in ("sites", "hubs", "road_edges", "road_nodes")], max_distance=4000.0)
+    found = whole["points"].collect()
+    apart = [r["site_id"] for k in ("standalone", "dropped") for r in whole[k].select("site_id").collect()]
     sites = [r for r in found if not r["flag"]]
-    assert sorted(r["site_id"] for r in sites) == sorted(r["site_id"] for r in view(spark, SF, "sites").select("site_id").collect())
+    assert sorted([*apart, *(r["site_id"] for r in sites)]) == sorted(r["site_id"] for r in view(spark, SF, "sites").select("site_id").collect())
     size, hubs = {}, {}
     for r in found:
         (hubs if r["flag"] else size).setdefault(r["ring_name"], []).append(r["flag"])
     assert max(map(len, size.values())) <= 10  # expectation 8, tolerance 2
-    assert all(sorted(f) in (["end", "start"], ["start"]) for f in hubs.values()) and set(hubs) <= set(size)
+    assert all(sorted(f) in (["end", "start"], ["start"]) for f in hubs.values()) and set(hubs) == set(size)
+    asked = {r["site_id"] for r in rows(spark, "JOB-unsupervised") if not r["flag"]}
+    assert asked <= {r["site_id"] for r in view(spark, SF, "sites").select("site_id").collect()}
 
 
 def test_fixed_routes(spark):
@@ -82,6 +86,22 @@ def test_routes_and_their_feedback(spark):
             assert r["route_type"] == "alternative" or list(r["nodes"]) == list(before[r["seq"]]["nodes"])
 
 
+def test_shared_road(spark):
+    hops = chained(r for r in rows(spark, "GR-02") if r["cost"] is not None)
+    length = {}
+    for r in rows(spark, "PRJ-15"):
+        length[r["node_start"], r["node_end"]] = r["length"]
+    want = {}
+    for ring, found in hops.items():
+        for i, a in enumerate(found):
+            for b in found[i + 1 :]:
+                both = set(a["nodes"]) & set(b["nodes"])
+                shared = sum(n for (u, v), n in length.items() if u in both and v in both)
+                if shared > 3000.0:
+                    want[ring, a["seq"], b["seq"]] = shared
+    assert {(r["ring_name"], r["seq_a"], r["seq_b"]): r["shared"] for r in rows(spark, "GR-12-routes")} == pytest.approx(want)
+
+
 def test_silhouettes(spark):
     found = rows(spark, "AGG-18")
     labels = {r["site_id"]: (r["ring_name"], r["label"]) for r in rows(spark, "CL-02")}
