@@ -129,6 +129,7 @@ def best_match(words: DataFrame, candidates: DataFrame, threshold: float = 0.6,
     """
     blocks = max(1, -(-candidates.count() // block))
     names = candidates.groupBy(F.pmod(F.xxhash64("name", "ord"), F.lit(blocks)).alias("block")).agg(F.sort_array(F.collect_list(F.struct("ord", "name"))).alias("names"))
+    names = F.broadcast(names) if blocks <= 20 else names  # a hundred thousand names at most
     asked = words.select("word").distinct().withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
 
     @F.pandas_udf("name string, score double, ord long")
