@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fiberloom.operators.tables import numbered
+
 KINDS = ("assign", "access", "hex", "guess")
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -89,7 +91,9 @@ def learn(docs: DataFrame, *, text: str = "text", keep: int = RANKED) -> list[st
 
     rows = docs.select(F.col(f"`{text}`").alias("text")).where("text is not null").mapInPandas(count, "word string, n long")
     counts = rows.where(F.length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n"))
-    return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(keep).collect()]
+    # In ranges of a global order, so that the tasks together send what is kept, and not each of them as much.
+    placed = numbered(counts, [F.desc("n"), "word"], "place").where(F.col("place") <= keep)
+    return [r["word"] for r in sorted(placed.select("word", "place").collect(), key=lambda r: r["place"])]
 
 
 def _brute(c: str) -> float:
