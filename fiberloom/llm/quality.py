@@ -75,7 +75,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     ratios are 0. Rows that repeat an id count each time; a null id is never trusted.
     """
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select(F.col("doc_id").alias("__fl_trusted")).distinct()
-    good = good.orderBy(F.xxhash64("__fl_trusted"), "__fl_trusted").limit(trusted)
+    # A hash range that holds them, so that few ids are ordered in one task.
+    share = 2.0 * trusted / max(1, good.count())
+    within = F.xxhash64("__fl_trusted") <= F.lit(int(share * 2**64) - 2**63 if share < 1 else 2**63 - 1)
+    good = good.where(within).orderBy(F.xxhash64("__fl_trusted"), "__fl_trusted").limit(trusted)
     rows = docs.select(F.col(doc_id).alias("__fl_id"), _buckets(F.col(text)).alias("__fl_b"))
     marked = rows.join(F.broadcast(good), F.col("__fl_id") == F.col("__fl_trusted"), "left")
     grams = marked.select(F.explode("__fl_b").alias("b"), F.when(F.col("__fl_trusted").isNotNull(), 1).otherwise(0).alias("t"))
