@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fiberloom.llm import ann, bpe, html_text, jaccard, langid, mixing, oracles, quality, quotes, secrets, warc
+from fiberloom.llm import ann, bpe, html_text, jaccard, langid, linededup, mixing, oracles, quality, quotes, secrets, timeparts, warc, whitening
 from fiberloom.llm.common import table
+from fiberloom.runtime import scratch
 
 
 def tokenizer_path() -> str:
@@ -101,6 +102,36 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html")).drop("html")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    out = whitening.whiten(vectors, whitening.fit(vectors))
+    each = out.select("vec_id", "n", "deviation", "identity_error", F.posexplode(F.arrays_zip("whitened", "explained")).alias("at", "c"))
+    return each.select("vec_id", (F.col("at") + 1).alias("component"), "n", "deviation", F.col("c.whitened").alias("whitened"), F.col("c.explained").alias("explained"), "identity_error")
+
+
+#: When a click counts: k tells old ones and those of which only the week is known.
+MOMENT = """
+CASE WHEN pmod(crc32(CAST(click_id AS STRING)), 128) < 16 THEN ts - make_dt_interval(CAST(power(pmod(crc32(CAST(click_id AS STRING)), 128) + 6, 3) AS INT))
+  WHEN pmod(crc32(CAST(click_id AS STRING)), 128) > 111 THEN CAST(date_sub(CAST(ts AS DATE), weekday(CAST(ts AS DATE))) AS TIMESTAMP_NTZ) ELSE ts END
+"""
+PARTS = 800
+
+
+def op12_time_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clicks = table(spark, sf_dir, "clicks")
+    limit = 1 + clicks.count() // PARTS
+    parts = timeparts.TimeParts(scratch(spark), clicks, F.expr(MOMENT), ["arrived_at", "click_id"], limit)
+    early = F.coalesce(F.col("arrived_at") < F.lit("2024-04-01").cast("timestamp_ntz"), F.lit(False))
+    starting = parts.write(early)
+    parts.rewrite(starting)
+    return parts.report(starting, "click_id", ~early)
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = linededup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 QUERIES = {
     "op1_revisits": op1_revisits,
     "op4_quotations": op4_quotations,
@@ -112,6 +143,9 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_html_text": op10_html_text,
+    "op11_whitening": op11_whitening,
+    "op12_time_partitions": op12_time_partitions,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 #: SQL can't express the others: they hash, train, tokenize, parse HTML or search by score.
