@@ -118,7 +118,7 @@ def filters(hashes: DataFrame, column: str, bits: int) -> DataFrame:
 def gathered(blocks: DataFrame, which: str, bits: int) -> Filter:
     """One of the filters on the driver: ``bits`` / 8 bytes, ``MOST_BITS`` / 8 at most."""
     data = np.zeros(bits // 8, np.uint8)
-    for r in blocks.select("block", which).toLocalIterator():
+    for r in blocks.select("block", which).collect():
         data[r["block"] * BLOCK // 8 : (r["block"] + 1) * BLOCK // 8] = np.frombuffer(zlib.decompress(r[which]), np.uint8)
     return Filter(bits, data)
 

@@ -28,6 +28,9 @@ NODES = 100_000
 #: Buckets whose counts are summed up in one window, and groups of buckets in the next one.
 SUMMED = 1_024
 
+#: Key ranges at least, and rows of one at most, about.
+RANGES, RANGE = 16, 500_000
+
 LEVELS = ("year", "month", "day", "hour")
 NULL = "null"
 
@@ -194,14 +197,11 @@ class TimeParts:
         self.order = ["moment", *[self.own[self.columns.index(c)] for c in order], "tie"]
         place = scratch(self.spark)
         # Where rows are equal in all columns, their place in the scan still deals them over ranges.
-        dealt = plain.withColumn("uid", F.monotonically_increasing_id()).repartitionByRange(self._ranges(), *self.order, "uid")
+        ranges = max(RANGES, -(-rows.count() // RANGE))
+        dealt = plain.withColumn("uid", F.monotonically_increasing_id()).repartitionByRange(ranges, *self.order, "uid")
         dealt.drop("uid").withColumn("bucket", F.spark_partition_id()).write.parquet(place)
         return self.spark.read.parquet(place)
 
-    def _ranges(self) -> int:
-        """As many ranges as the session shuffles into; each is one task's share and spills where it must."""
-        return max(8, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-
     def _own(self, condition: Column | None) -> DataFrame:
         """Rows of the table that meet a condition on its own columns."""
         if condition is None:
