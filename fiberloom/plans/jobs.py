@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fiberloom.operators import boq, fwa, insert, network, rings, spatial, tables
+from fiberloom.operators import boq, fwa, insert, linkage, network, rings, spatial, tables
 from fiberloom.operators.components import connected
 from fiberloom.plans.fixtures import view, with_views
 from fiberloom.plans.rings import _SEG, _lines
@@ -106,7 +106,7 @@ def unsupervised(sites: DataFrame, hubs: DataFrame, road_edges: DataFrame, road_
     dist = network.distances(dealt.select("block", "site_id", "node", "asked"), roads, "block", max_distance)
     of = heads.select(F.col("site_id").alias("site_i"), F.col("component").alias("of"))
     dist = durable(dist).join(of, "site_i").select(F.col("of").alias("component"), "site_i", "site_j", "dist")
-    labels = network.cluster(pts.select("component", "site_id", "node"), dist, "component", max_distance, max(1, member_expectation - 2), 2)
+    labels = linkage.cluster(pts.select("component", "site_id", "node"), dist, "component", max_distance, max(1, member_expectation - 2), 2)
     from pyspark.sql.window import Window
 
     labels = labels.withColumn("__n", F.count(F.lit(1)).over(Window.partitionBy("component", "label")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fiberloom.functions import geo
-from fiberloom.operators import boq, fwa, network, rings, spatial, tables
+from fiberloom.operators import boq, fwa, linkage, network, rings, spatial, tables
 from fiberloom.plans.fixtures import view, with_views
 from fiberloom.runtime import durable
 
@@ -261,7 +261,7 @@ def gr_12_reroute(s, d):
 
 def cl_02(s, d):
     pts, e = _ring_nodes(s, d)
-    return network.cluster(pts, network.distances(pts, e, "ring_name"), "ring_name", 3e8, 4, 1)
+    return linkage.cluster(pts, network.distances(pts, e, "ring_name"), "ring_name", 3e8, 4, 1)
 
 
 def agg_18(s, d):

@@ -38,6 +38,17 @@ def scratch(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The rows, written to the shared folder and read again.
+
+    As :func:`durable`, but what is read has the size of its files: a checkpoint keeps the estimate of
+    the plan it came from, which multiplies with every join, so loops that join their own results need this one.
+    """
+    place = scratch(df.sparkSession)
+    df.write.parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
+
 #: Rows of a few numbers each that may be broadcast; with more, they are shuffled.
 BROADCAST_ROWS = 1_000_000
 
