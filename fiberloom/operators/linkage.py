@@ -17,8 +17,8 @@ from fiberloom.operators import network
 from fiberloom.operators.components import connected
 from fiberloom.runtime import durable, stored
 
-#: Places of a group that are linked as a matrix in one task, 32 MB of it.
-IN_TASK = 2_000
+#: Places of a group that are linked as a matrix in one task, 128 MB of it.
+IN_TASK = 4_000
 #: Mergers of a round that may be broadcast, of three short texts each.
 BROADCAST_MERGERS = 100_000
 

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fiberloom.functions import geo
+from fiberloom.operators import dense
 from fiberloom.runtime import durable
 
 
@@ -25,9 +26,23 @@ def _around(cell: Column) -> Column:
     return F.explode(F.sequence(cell - 1, cell + 1))
 
 
+#: Pairs tested in a task's cell from which on the cells are cut by counts.
+HOT_PAIRS = 100_000_000
+
+
+def _hottest(left: DataFrame, right: DataFrame, radius: float, at: tuple[str, str], to: tuple[str, str]) -> int:
+    """The most pairs that rows of one cell make with each other."""
+    named = lambda rows, x, y, side: rows.select(_cell(F.col(x), radius).alias("i"), _cell(F.col(y), radius).alias("j"), F.lit(side).alias("s"))
+    both = named(left, *at, 0).unionByName(named(right, *to, 1)).where("i is not null and j is not null")
+    cells = both.groupBy("i", "j").agg(F.sum(1 - F.col("s")).alias("l"), F.sum("s").alias("r"))
+    return cells.agg(F.max(F.col("l") * F.col("r"))).first()[0] or 0
+
+
 def within_radius(left: DataFrame, right: DataFrame, radius: float, *, at: tuple[str, str] = ("x", "y"), to: tuple[str, str] = ("bx", "by")) -> DataFrame:
     """All pairs at most ``radius`` apart, with their squared distance ``d2``; the columns of both must differ in name."""
     (lx, ly), (rx, ry) = at, to
+    if _hottest(left, right, radius, at, to) > HOT_PAIRS:
+        return dense.within_radius(left, right, radius, at=at, to=to)
     l = left.withColumn("__cx", _around(_cell(F.col(lx), radius))).withColumn("__cy", _around(_cell(F.col(ly), radius)))  # noqa: E741
     r = right.withColumn("__cx", _cell(F.col(rx), radius)).withColumn("__cy", _cell(F.col(ry), radius))
     d2 = geo.distance2(F.col(lx), F.col(ly), F.col(rx), F.col(ry))
