@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,6 +38,15 @@ def azimuth(dx: Column, dy: Column) -> Column:
     return F.pmod(F.degrees(F.atan2(dx, dy)) + 360.0, F.lit(360.0))
 
 
+def gap_area(gap: Column, radius: float, width: float) -> Column:
+    """What the gap (radians) between two ways out of a disc's centre leaves of it, each way ``width`` wide on either side and longer than the disc."""
+    r, w, start = radius, width, math.asin(width / radius)
+    half = gap / 2
+    narrow = r * r * (half - start) + w * w * (F.cos(half) / F.sin(half) - 1 / math.tan(start))
+    wide = gap * (r * r / 2) - (w * math.sqrt(r * r - w * w) + r * r * start) - (gap - math.pi) * (w * w / 2)
+    return F.when(half <= start, 0.0).when(gap <= math.pi, narrow).otherwise(wide)
+
+
 def lens_area(d: Column, r: Column) -> Column:
     """Overlap of two circles of one radius whose centres are d apart."""
     inside = 2 * r * r * F.acos(F.least(F.lit(1.0), d / (2 * r))) - d / 2 * F.sqrt(F.greatest(F.lit(0.0), 4 * r * r - d * d))

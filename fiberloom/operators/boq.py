@@ -9,9 +9,14 @@ from pyspark.sql.window import Window
 
 from fiberloom.functions import geo, kernel
 from fiberloom.operators.components import connected
-from fiberloom.operators.spatial import nearest, self_pairs
+from fiberloom.operators.spatial import near_line, nearest, self_pairs
+from fiberloom.runtime import durable
 
 PT = "struct<x:double,y:double>"
+#: Radius of the disc around a node and half the width of a cable in it, in metres.
+DISC, CABLE = 2.0, 0.5
+#: Pieces that a long edge is cut into while nodes near it are looked for, in metres.
+PIECE = 500.0
 
 
 def _points(line) -> list[tuple[float, float]]:
@@ -35,8 +40,6 @@ def graph_tables(lines: DataFrame, key: str, line: str = "line", decimals: int =
     counts = vertices.groupBy("x", "y").agg(F.count(F.lit(1)).alias("n"))
     # Numbers follow from the order of places, range by range: no task holds them all.
     ordered = counts.repartitionByRange("x", "y").sortWithinPartitions("x", "y").withColumn("__p", F.spark_partition_id())
-    from fiberloom.runtime import durable
-
     ordered = durable(ordered)
     sizes = {r["__p"]: r["count"] for r in ordered.groupBy("__p").count().collect()}
     before, total = {}, 0
@@ -51,21 +54,62 @@ def graph_tables(lines: DataFrame, key: str, line: str = "line", decimals: int =
     return nodes, edges.select(key, "part", "node_a", "node_b", F.sqrt(geo.distance2(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))).alias("length"))
 
 
-def turns(nodes: DataFrame, edges: DataFrame, min_ratio: float = 0.8) -> DataFrame:
-    """Nodes as ``branch`` (three ways or more), ``turn`` (the gaps between two ways are uneven), ``straight`` or ``end``.
+def _kinds(areas: DataFrame, min_ratio: float) -> DataFrame:
+    """``node_id, parts, ratio, kind`` from ``node_id, parts, low, high``; a node whose disc is left in one part has no ratio."""
+    ratio = F.when(F.col("parts") >= 2, F.col("low") / F.col("high"))
+    kind = F.when(F.col("parts") < 2, "end").when(F.col("parts") >= 3, "branch").when(ratio < min_ratio, "turn").otherwise("straight")
+    return areas.select("node_id", F.col("parts").cast("long").alias("parts"), F.round(ratio, 6).alias("ratio"), kind.alias("kind"))
 
-    The gaps between the azimuths of a node's edges stand for the areas that the edges cut a disc into.
-    """
+
+def own_parts(nodes: DataFrame, edges: DataFrame, radius: float = DISC, width: float = CABLE) -> DataFrame:
+    """``node_id, parts, low, high``: what a node's own edges leave of a disc around it, taken as longer than the disc, in column expressions."""
     xy = lambda k: nodes.select(F.col("node_id").alias(f"node_{k}"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
     e = edges.select("node_a", "node_b").distinct().join(xy("a"), "node_a").join(xy("b"), "node_b")
     both = e.select("node_a", "xa", "ya", "xb", "yb").unionAll(e.select("node_b", "xb", "yb", "xa", "ya")).toDF("node_id", "x0", "y0", "x1", "y1")
     ways = both.select("node_id", F.round(geo.azimuth(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), 6).alias("a")).distinct()
     by = Window.partitionBy("node_id").orderBy("a")
     gap = F.coalesce(F.lead("a").over(by) - F.col("a"), F.first("a").over(by) + 360.0 - F.col("a"))
-    g = ways.withColumn("gap", gap).groupBy("node_id").agg(F.count(F.lit(1)).alias("ways"), F.min("gap").alias("low"), F.max("gap").alias("high"))
-    ratio = F.col("low") / F.col("high")
-    kind = F.when(F.col("ways") >= 3, "branch").when(F.col("ways") == 1, "end").when(ratio < min_ratio, "turn").otherwise("straight")
-    return g.select("node_id", F.col("ways").cast("long").alias("ways"), F.round(ratio, 6).alias("ratio"), kind.alias("kind"))
+    area = ways.withColumn("area", geo.gap_area(F.radians(gap), radius, width)).where(F.col("area") > 1e-9)
+    return area.groupBy("node_id").agg(F.count(F.lit(1)).alias("parts"), F.min("area").alias("low"), F.max("area").alias("high"))
+
+
+def disc_parts(nodes: DataFrame, edges: DataFrame, radius: float = DISC, width: float = CABLE) -> DataFrame:
+    """``node_id, parts, low, high``: what all edges leave of a disc around each node, those passing by included.
+
+    Nodes that only their own edges come near, all longer than the disc, take the closed form; the
+    others a walk over the outlines of what is cut out.
+    """
+    xy = lambda k, x, y: nodes.select(F.col("node_id").alias(f"node_{k}"), F.col("x").alias(x), F.col("y").alias(y))
+    drawn = edges.select("node_a", "node_b").distinct().join(xy("a", "ax", "ay"), "node_a").join(xy("b", "bx", "by"), "node_b")
+    n = F.ceil(F.sqrt(geo.distance2(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by"))) / PIECE)
+    cut = drawn.withColumn("n", F.greatest(n, F.lit(1))).withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    along = lambda c, i: F.col(f"a{c}") + (F.col(f"b{c}") - F.col(f"a{c}")) * (i / F.col("n"))
+    cut = cut.withColumns({f"{k}{c}": along(c, F.col("i") + d) for k, d in (("p", 0), ("q", 1)) for c in "xy"}).drop("n", "i")
+    met = near_line(nodes.select("node_id", "x", "y"), cut, radius + width, ends=("px", "py", "qx", "qy"))
+    met = durable(met.select("node_id", "x", "y", "node_a", "node_b", "ax", "ay", "bx", "by").distinct())
+    other = (F.col("node_id") != F.col("node_a")) & (F.col("node_id") != F.col("node_b"))
+    short = geo.distance2(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) < (radius + width) ** 2
+    odd = durable(met.where(other | short).select("node_id").distinct())
+    plain = own_parts(nodes, edges, radius, width).join(odd, "node_id", "left_anti")
+
+    @F.pandas_udf("array<double>")
+    def left(segments: pd.Series) -> pd.Series:
+        return pd.Series([kernel.disc_parts([(s["ax"], s["ay"], s["bx"], s["by"]) for s in x], radius, width) for x in segments])
+
+    shifted = F.struct(*[(F.col(c) - F.col(c[1])).alias(c) for c in ("ax", "ay", "bx", "by")])
+    areas = met.join(odd, "node_id", "left_semi").groupBy("node_id").agg(F.collect_set(shifted).alias("s")).select("node_id", left("s").alias("areas"))
+    walked = areas.where(F.size("areas") > 0).select("node_id", F.size("areas").cast("long").alias("parts"), F.array_min("areas").alias("low"), F.array_max("areas").alias("high"))
+    return plain.unionByName(walked)
+
+
+def turns(nodes: DataFrame, edges: DataFrame, min_ratio: float = 0.8, *, own: bool = False) -> DataFrame:
+    """``node_id, parts, ratio, kind``: a disc around a node, without its cables, falls in parts.
+
+    Three parts or more make a ``branch``, two of uneven areas (least by most under ``min_ratio``) a
+    ``turn``, two even ones ``straight``, and a disc in one part an ``end``. All edges cut, or only
+    the node's ``own``. A disc that cables cover wholly has no row.
+    """
+    return _kinds((own_parts if own else disc_parts)(nodes, edges), min_ratio)
 
 
 def devices(points: DataFrame, nodes: DataFrame, classes: DataFrame, reach: float = 500.0) -> DataFrame:
@@ -184,8 +228,6 @@ def centerline(lines: DataFrame, tolerance: float = 1.0) -> DataFrame:
     ``lines`` has ``ord, ax, ay, bx, by``. The order matters only among segments that cover each
     other, link by link; those are few, and each such group runs alone.
     """
-    from fiberloom.runtime import durable
-
     pairs = durable(covers(lines, tolerance))
     group = connected(pairs).withColumnsRenamed({"id": "b", "component": "group"})
     n = geo.distance2(*[F.col(c) for c in ("ax", "ay", "bx", "by")]).alias("n")
@@ -302,8 +344,6 @@ def bill(points: DataFrame, lines: DataFrame, fiber: DataFrame, barriers: DataFr
     Devices come from the nodes and turns of the lines; closures are the ends of an existing
     stretch that lie on the backbone.
     """
-    from fiberloom.runtime import durable
-
     nodes, edges = graph_tables(lines, "line_id")
     nodes, edges = durable(nodes), durable(edges)
     at = nodes.select("node_id", "x", "y")

@@ -35,6 +35,14 @@ def geo_18(s, d):
     return boq.turns(nodes, edges).join(nodes.select("node_id", "x", "y"), "node_id")
 
 
+def geo_18_own(s, d):
+    """What a node's own edges leave of the disc around it: parts, least and largest area."""
+    nodes, edges = boq.graph_tables(_routes(s, d), "ring_name")
+    nodes, edges = durable(nodes), durable(edges)
+    areas = boq.own_parts(nodes, edges).select("node_id", F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return boq.turns(nodes, edges, own=True).join(areas, "node_id")
+
+
 def boq_01(s, d):
     nodes, edges = boq.graph_tables(_routes(s, d), "ring_name")
     nodes, edges = durable(nodes), durable(edges)
@@ -103,7 +111,7 @@ def boq_04(s, d):
 
 
 QUERIES = {
-    "GEO-03": geo_03, "GEO-12": geo_12, "GEO-14": geo_14, "GEO-17": geo_17, "GEO-18": geo_18, "GEO-19": geo_19, "GEO-20": geo_20, "GEO-21": geo_21, "GEO-22": geo_22, "GEO-25": geo_25,
+    "GEO-03": geo_03, "GEO-12": geo_12, "GEO-14": geo_14, "GEO-17": geo_17, "GEO-18": geo_18, "GEO-18-own": geo_18_own, "GEO-19": geo_19, "GEO-20": geo_20, "GEO-21": geo_21, "GEO-22": geo_22, "GEO-25": geo_25,
     "AGG-11": agg_11, "BOQ-01": boq_01, "BOQ-02": boq_02, "BOQ-04": boq_04,
 }
 
@@ -116,10 +124,12 @@ ORACLE = {
     "GEO-12": f"{with_views('fiber_lines')} SELECT name FROM fiber_lines",
     "GEO-03": f"""{_R}, s AS (SELECT ring_name, x AS ax, y AS ay, lead(x) OVER w AS bx, lead(y) OVER w AS zy, row_number() OVER w - 1 AS part FROM site_rings WINDOW w AS (PARTITION BY ring_name ORDER BY seq)) SELECT ring_name, CAST(part AS INT) AS part, ax, ay, bx, zy AS "by" FROM s WHERE bx IS NOT NULL""",
     "GEO-17": f"{_R}, {_P}, {_E}, {_N} SELECT ring_name, a.node_id AS node_a, b.node_id AS node_b, round(sqrt((ax-bx)*(ax-bx)+(ay-zy)*(ay-zy)), 6) AS length FROM e JOIN n a ON a.x = ax AND a.y = ay JOIN n b ON b.x = bx AND b.y = zy",
-    "GEO-18": f"""{_R}, {_P}, {_E}, {_N}, z AS (SELECT DISTINCT a.node_id AS i, a.x AS x0, a.y AS y0, b.node_id AS j, b.x AS x1, b.y AS y1 FROM e JOIN n a ON a.x = ax AND a.y = ay JOIN n b ON b.x = bx AND b.y = zy),
+    "GEO-18-own": f"""{_R}, {_P}, {_E}, {_N}, z AS (SELECT DISTINCT a.node_id AS i, a.x AS x0, a.y AS y0, b.node_id AS j, b.x AS x1, b.y AS y1 FROM e JOIN n a ON a.x = ax AND a.y = ay JOIN n b ON b.x = bx AND b.y = zy),
       u AS (SELECT DISTINCT node_id, round((degrees(atan2(dx, dy)) + 360.0) % 360.0, 6) AS a FROM (SELECT i AS node_id, x1-x0 AS dx, y1-y0 AS dy FROM z UNION ALL SELECT j, x0-x1, y0-y1 FROM z)),
-      g AS (SELECT node_id, coalesce(lead(a) OVER w - a, first_value(a) OVER w + 360.0 - a) AS gap FROM u WINDOW w AS (PARTITION BY node_id ORDER BY a)), h AS (SELECT node_id, count(*) AS ways, min(gap) / max(gap) AS ratio FROM g GROUP BY 1)
-      SELECT node_id, ways, round(ratio, 6) AS ratio, CASE WHEN ways >= 3 THEN 'branch' WHEN ways = 1 THEN 'end' WHEN ratio < 0.8 THEN 'turn' ELSE 'straight' END AS kind, x, y FROM h JOIN n USING (node_id)""",
+      g AS (SELECT node_id, radians(coalesce(lead(a) OVER w - a, first_value(a) OVER w + 360.0 - a)) AS t FROM u WINDOW w AS (PARTITION BY node_id ORDER BY a)),
+      m AS (SELECT node_id, CASE WHEN t / 2 <= asin(0.25) THEN 0 WHEN t <= pi() THEN 4 * (t / 2 - asin(0.25)) + 0.25 * (cos(t / 2) / sin(t / 2) - sqrt(15)) ELSE 2 * t - (0.5 * sqrt(3.75) + 4 * asin(0.25)) - (t - pi()) * 0.125 END AS area FROM g),
+      h AS (SELECT node_id, count(*) AS parts, min(area) AS low, max(area) AS high FROM m WHERE area > 1e-9 GROUP BY 1)
+      SELECT node_id, parts, round(CASE WHEN parts >= 2 THEN low / high END, 6) AS ratio, CASE WHEN parts < 2 THEN 'end' WHEN parts >= 3 THEN 'branch' WHEN low / high < 0.8 THEN 'turn' ELSE 'straight' END AS kind, round(low, 6) AS low, round(high, 6) AS high FROM h""",
     "GEO-19": f"{_R}, {_P}, {_E}, l AS (SELECT ring_name, sum(sqrt((ax-bx)*(ax-bx)+(ay-zy)*(ay-zy))) AS n, sum(CASE WHEN k = 1 THEN sqrt((ax-bx)*(ax-bx)+(ay-zy)*(ay-zy)) END) AS m FROM e GROUP BY 1) SELECT ring_name AS line_id, round(least(m, n - m), 4) AS access_length, round(n - least(m, n - m), 4) AS backbone_length FROM l",
     "GEO-20": f"""{_R}, {_P}, {_E} SELECT DISTINCT ring_name AS line_id, 'rail' AS name, round(ax + (20000.5-ay)/(zy-ay)*(bx-ax), 4) AS x, 20000.5::DOUBLE AS y FROM e WHERE zy <> ay AND (20000.5-ay)/(zy-ay) BETWEEN 0 AND 1
       UNION ALL SELECT DISTINCT ring_name, 'toll', 30000.5::DOUBLE, round(ay + (30000.5-ax)/(bx-ax)*(zy-ay), 4) FROM e WHERE bx <> ax AND (30000.5-ax)/(bx-ax) BETWEEN 0 AND 1""",
