@@ -29,7 +29,9 @@ NODES = 100_000
 SUMMED = 1_024
 
 #: Key ranges at least, and rows of one at most, about.
-RANGES, RANGE = 16, 500_000
+RANGES, RANGE = 16, 100_000
+#: Key ranges at most: with more rows each holds more of them, and its task spills.
+MOST_RANGES = 50_000
 
 LEVELS = ("year", "month", "day", "hour")
 NULL = "null"
@@ -168,7 +170,9 @@ def ranked(rows: DataFrame, limit: int, order: list[str]) -> DataFrame:
 def _hash(columns: list[tuple[str, str]], *seed: Column) -> Column:
     """Hash of a whole row, telling nulls apart and taking maps as JSON."""
     values = [F.to_json(F.struct(f"`{c}`")) if "map<" in t else F.col(f"`{c}`") for c, t in columns]
-    return F.xxhash64(*seed, *values, F.concat_ws("", *[F.col(f"`{c}`").isNull().cast("int").cast("string") for c, _ in columns]))
+    nulls = [F.when(F.col(f"`{c}`").isNull(), F.lit(1 << i % 60).cast("long")).otherwise(F.lit(0).cast("long")) for i, (c, _) in enumerate(columns)]
+    masks = [sum(nulls[i + 1 : i + 60], nulls[i]) for i in range(0, len(nulls), 60)]
+    return F.xxhash64(*seed, *values, *masks)
 
 
 class TimeParts:
@@ -197,7 +201,7 @@ class TimeParts:
         self.order = ["moment", *[self.own[self.columns.index(c)] for c in order], "tie"]
         place = scratch(self.spark)
         # Where rows are equal in all columns, their place in the scan still deals them over ranges.
-        ranges = max(RANGES, -(-rows.count() // RANGE))
+        ranges = min(MOST_RANGES, max(RANGES, -(-rows.count() // RANGE)))
         dealt = plain.withColumn("uid", F.monotonically_increasing_id()).repartitionByRange(ranges, *self.order, "uid")
         dealt.drop("uid").withColumn("bucket", F.spark_partition_id()).write.parquet(place)
         return self.spark.read.parquet(place)
