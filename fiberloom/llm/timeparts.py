@@ -196,8 +196,8 @@ class TimeParts:
 
     def _ranged(self, rows: DataFrame, moment: Column, order: list[str]) -> DataFrame:
         """The table in key ranges, written once: plain names ``c0...``, ``moment``, ``tie`` and ``bucket``."""
-        whole = _hash(self.types)
-        plain = rows.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(self.columns, self.own, strict=True)], moment.cast("timestamp_ntz").alias("moment"), whole.alias("tie"))
+        plain = rows.select(*[F.col(f"`{c}`").alias(o) for c, o in zip(self.columns, self.own, strict=True)], moment.cast("timestamp_ntz").alias("moment"))
+        plain = plain.withColumn("tie", _hash(self._typed()))
         self.order = ["moment", *[self.own[self.columns.index(c)] for c in order], "tie"]
         place = scratch(self.spark)
         # Where rows are equal in all columns, their place in the scan still deals them over ranges.
@@ -240,9 +240,11 @@ class TimeParts:
         named = [F.col(f"`{c}`").alias(o) for c, o in zip(self.columns, self.own, strict=True)]
         return read.select(*named, F.translate(F.col(self.leaf_dir), "_", "/").alias("leaf"), F.col(self.part_dir).alias("part"), F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("at"))
 
+    def _typed(self) -> list[tuple[str, str]]:
+        return [(o, t) for o, (_, t) in zip(self.own, self.types, strict=True)]
+
     def _two(self, rows: DataFrame) -> DataFrame:
-        typed = [(o, t) for o, (_, t) in zip(self.own, self.types, strict=True)]
-        return rows.withColumn("tie", _hash(typed)).withColumn("tie2", _hash(typed, F.lit(1)))
+        return rows.withColumn("tie", _hash(self._typed())).withColumn("tie2", _hash(self._typed(), F.lit(1)))
 
     def manifest(self) -> DataFrame:
         """``path, leaf, part, n, p, q``: a row for each file there is, read from the files themselves."""
@@ -262,7 +264,7 @@ class TimeParts:
         place = scratch(self.spark)
         self._placed(self._own(condition)).write.parquet(place)
         placed = self.spark.read.parquet(place)
-        wanted = self._prints(self._two(placed), "leaf", "part")
+        wanted = self._prints(placed.withColumn("tie2", _hash(self._typed(), F.lit(1))), "leaf", "part")
         stays = durable(starting.join(wanted, ["leaf", "part", "n", "p", "q"]).groupBy("leaf", "part").agg(F.min("path").alias("path")))
         self._write(placed.join(stays.select("leaf", "part"), ["leaf", "part"], "left_anti"))
         jvm, conf = self.spark._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
@@ -280,25 +282,26 @@ class TimeParts:
 
         def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             now, state = None, None
-            done = lambda: pd.DataFrame([[now, state.hexdigest()]], columns=["path", "ids_sha256"])
+            done = lambda: pd.DataFrame([[*now, state.hexdigest()]], columns=["leaf", "part", "ids_sha256"])
             for batch in batches:
-                for path, ids in batch.groupby("path", sort=False)["id"]:
+                for file, ids in batch.groupby(["leaf", "part"], sort=False)["id"]:
                     joined = ",".join(ids.fillna("")).encode()
-                    if path == now:
+                    if file == now:
                         state.update(b"," + joined)
                         continue
                     if now is not None:
                         yield done()
-                    now, state = path, sha256(joined)
+                    now, state = file, sha256(joined)
             if now is not None:
                 yield done()
 
         files = self.files()
-        ids = files.select("path", "at", F.col(own).cast("string").alias("id")).repartition("path").sortWithinPartitions("path", "at")
-        digests = ids.mapInPandas(digest, "path string, ids_sha256 string")
+        # A leaf and a part have one file, and are shorter to shuffle and sort than its path.
+        ids = files.select("leaf", "part", "at", F.col(own).cast("string").alias("id")).repartition("leaf", "part").sortWithinPartitions("leaf", "part", "at")
+        digests = ids.mapInPandas(digest, "leaf string, part long, ids_sha256 string")
         named = files.select(*[F.col(o).alias(c) for c, o in zip(self.columns, self.own, strict=True)], *[F.col(c).alias(free(f"__{c}", self.columns)) for c in ("leaf", "part", "path")])
         by = [F.col(free(f"__{c}", self.columns)).alias(c) for c in ("leaf", "part", "path")]
         counts = named.groupBy(*by).agg(F.count(F.lit(1)).alias("n_rows"), F.sum(F.when(new, 1).otherwise(0)).cast("long").alias("n_new"))
         old = starting.select("path", F.lit(False).alias("old"))
-        out = counts.join(digests, "path").join(old, "path", "left")
+        out = counts.join(digests, ["leaf", "part"]).join(old, "path", "left")
         return out.select("leaf", "part", "path", "n_rows", F.lit(",".join(self.columns)).alias("columns"), "ids_sha256", "n_new", F.coalesce("old", F.lit(True)).alias("rewritten"))

