@@ -14,6 +14,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,18 +29,25 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 BESIDE = frozenset(
     "nav navbar navigation menu menus breadcrumb breadcrumbs pagination pager masthead topbar toolbar footer contentinfo sidebar aside complementary "
     "cookie cookies consent gdpr notice notices newsletter popup modal paywall ad ads adv advert adverts advertisement advertising adsense "
-    "sponsor sponsors sponsored promo promoted banner banners searchbox login signup comment comments disqus replies".split()
+    "sponsor sponsors sponsored promo promoted banner banners searchbox login signup comment comments disqus replies reviews feedback disclaimer disclaimers".split()
 )
 #: Words of what is article text only if it is as dense as the article.
 DOUBTFUL = frozenset("share sharing social related recommended recommendations widget widgets tags toc subscribe subscription alert alerts overlay dialog search respond reply discussion rail".split())
 #: Words that show a container of the article itself, unless one of its words is in ``SURELY``.
 ARTICLE = frozenset("article articlebody content main post entry story body".split())
 SURELY = frozenset("comment comments ad ads advert adverts sponsored sidebar footer nav menu cookie newsletter banner promo notice".split())
+#: What else names written as one word are put together of.
+FILLERS = frozenset("area bar block body box by button col column container content feed form global google head holder inner item items left link links list main outer page panel post article entry story primary right row secondary section side site slot sub text thread title top bottom unit wrap wrapper zone".split())
 #: Start tags that end an open element of the same group (fixed by the HTML standard).
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": set(), "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}, "tbody": {"table"}, "tfoot": {"table"}}
 ENDS_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section table ul li dt dd center".split())
 
+#: A bit for each kind of implied end, and one for the row of a cell.
+KINDS = {x: 1 << i for i, x in enumerate(("p", "row", *CLOSES))}
+#: End tags of raw text, in either case.
+RAW_ENDS = {x: re.compile(rf"</{x}(?=[\s/>])", re.IGNORECASE | re.ASCII) for x in RAW}
+
 #: Elements that an implied end does not cross.
 SCOPES = frozenset("body html article section div td th blockquote main".split())
 
@@ -53,7 +61,7 @@ HIDING = re.compile(r"display\s*:\s*none", re.IGNORECASE)
 
 
 class Node:
-    __slots__ = ("tag", "parent", "items", "cut", "within", "chars", "tags", "link_chars", "link_tags", "density", "total", "order", "linked", "chosen", "own_chosen", "doubtful")
+    __slots__ = ("tag", "parent", "items", "cut", "within", "chars", "tags", "link_chars", "link_tags", "density", "total", "order", "linked", "chosen", "own_chosen", "doubtful", "without")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool = False):
         self.tag, self.parent, self.items, self.cut = tag, parent, [], cut
@@ -61,6 +69,7 @@ class Node:
         self.chars = self.tags = self.link_chars = self.link_tags = self.order = 0
         self.density = self.total = 0.0
         self.doubtful = False
+        self.without = 0  # bits of ``KINDS``: no such implied end from here on upwards
         self.linked = self.chosen = self.own_chosen = False  # in a link; the subtree is article text, or the node's own text
 
 
@@ -73,6 +82,36 @@ def attributes(source: str) -> dict[str, str]:
     return out
 
 
+PARTS = BESIDE | DOUBTFUL | FILLERS | {"header"}
+LONGEST = max(map(len, PARTS))
+
+
+def _compound(word: str) -> set[str]:
+    """What a name written as one word says of its block: ``siteheader`` is a header, ``commentary`` nothing.
+
+    The word must be made of ``PARTS`` from end to end, the last part as long as possible; a header of an article is its own.
+    """
+    last = [0] * (len(word) + 1)  # length of the last part of each prefix that is made of parts
+    for end in range(2, len(word) + 1):
+        for a in range(max(0, end - LONGEST), end - 1):
+            if (a == 0 or last[a]) and word[a:end] in PARTS:
+                last[end] = end - a
+                break
+    if not last[-1]:
+        return set()
+    found, end = set(), len(word)
+    while end:
+        found.add(word[end - last[end] : end])
+        end -= last[end]
+    says = found - FILLERS
+    if "header" in found and found & {"site", "global"}:
+        return says | {"masthead"}  # the site's header wherever it stands
+    return says - {"header"} if found & ARTICLE else says
+
+
+_short_compound = lru_cache(100_000)(_compound)
+
+
 def _judged(tag: str, source: str, within: bool) -> tuple[bool, bool]:
     """Whether a start tag opens a subtree that lies beside the article, or may do so; ``within`` an article a header is its own."""
     if tag in CUT or tag == "header" and not within:
@@ -86,6 +125,8 @@ def _judged(tag: str, source: str, within: bool) -> tuple[bool, bool]:
     for name in ("class", "id", "role"):
         for token in named.get(name, "").split():
             words.update(SPLIT.split(CAMEL.sub("-", token).lower()), (token.lower(),))
+    for w in words - BESIDE - DOUBTFUL - ARTICLE:
+        words = words | (_short_compound(w) if len(w) <= 40 else _compound(w))
     if tag in ("article", "main") or words & ARTICLE:
         return bool(words & SURELY), False
     return bool(words & BESIDE) or "header" in words and not within, bool(words & DOUBTFUL)
@@ -94,12 +135,13 @@ def _judged(tag: str, source: str, within: bool) -> tuple[bool, bool]:
 def parse(page: str) -> Node:
     """DOM of a page: implied ends, void and raw-text elements; a tag cut off by the end of the page is dropped.
 
-    Linear in the page: ``open_`` counts the open elements of each tag, so that no end tag or
-    implied end looks for an element that is not there, and one that is found is closed.
+    Linear in the page: ``open_`` counts the open elements of each tag, so that no end tag looks
+    for an element that is not there, and one that is found is closed. A search for an implied end
+    that finds nothing marks the elements it passed, and no later search of its kind passes them again.
     """
     root = at = Node("#root", None)
     open_: Counter = Counter()
-    pos, n, low = 0, len(page), None
+    pos, n = 0, len(page)
 
     def close(node: Node) -> Node:
         """The parent, after the elements down to ``at`` have been closed."""
@@ -149,19 +191,30 @@ def parse(page: str) -> Node:
         if tag in ENDS_P and open_["p"] or any(open_[x] for x in CLOSES.get(tag, ())):
             stops, group = SCOPE.get(tag, ()), CLOSES.get(tag, frozenset())
             ends_p = tag in ENDS_P
+            kind = KINDS[tag if tag in CLOSES else "p"]
             last, node = None, at
-            while node is not root and node.tag not in SCOPES and node.tag not in stops:
+            while node is not root and node.tag not in SCOPES and node.tag not in stops and not node.without & kind:
                 if node.tag in group or ends_p and node.tag == "p":
                     last = node
-                    if node.tag != "td" and node.tag != "th" or tag in ("td", "th"):
-                        break
+                    break
                 node = node.parent
-            if last is None and node.tag in group and node is not root:  # a cell, which bounds what is in it
+            if last is None and node.tag in group and node is not root and not node.without & kind:  # a cell, which bounds what is in it
                 last = node
                 if tag not in ("td", "th"):
-                    while node is not root and node.tag not in stops and node.tag != "tr":
+                    while node is not root and node.tag not in stops and node.tag != "tr" and not node.without & KINDS["row"]:
                         node = node.parent
-                    last = node if node.tag == "tr" else last
+                    if node.tag == "tr":
+                        last = node
+                    else:
+                        x = last
+                        while x is not node:
+                            x.without |= KINDS["row"]
+                            x = x.parent
+            if last is None:
+                x = at
+                while x is not node:
+                    x.without |= kind
+                    x = x.parent
             if last is not None:
                 at = close(last)
         if tag in ("html", "body") and open_[tag]:
@@ -173,10 +226,8 @@ def parse(page: str) -> Node:
         node.doubtful = doubtful
         at.items.append(node)
         if tag in RAW and not m[3].endswith("/"):
-            if low is None:
-                low = page.lower()
-                low = low if len(low) == n else page
-            end = low.find(f"</{tag}", pos)
+            found = RAW_ENDS[tag].search(page, pos)
+            end = found.start() if found else -1
             stop = page.find(">", end) if end >= 0 else -1
             if node.cut is False:
                 node.items.append(html.unescape(page[pos : end if end >= 0 else n]))
@@ -263,8 +314,10 @@ def main_text(page: str | None) -> str:
         parent.own_chosen = True
         inside = parent.within or parent.tag in ("article", "main")
         for x in parent.items:
-            if x is not child and isinstance(x, Node) and not x.cut and x.chars and (inside or x.density >= threshold):
-                x.chosen = True
+            if x is child or not isinstance(x, Node) or x.cut or not x.chars:
+                continue
+            # Within an article or main only what is mostly links has to be as dense.
+            x.chosen = x.density >= threshold or inside and 2 * x.link_chars <= x.chars
     out: list[str] = []
     stack: list = [(body, False, False)]
     while stack:

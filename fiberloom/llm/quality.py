@@ -79,7 +79,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, doc_id: str = "doc_id", text: str
     share = 2.0 * trusted / max(1, good.count())
     within = F.xxhash64("__fl_trusted") <= F.lit(int(share * 2**64) - 2**63 if share < 1 else 2**63 - 1)
     good = good.where(within).orderBy(F.xxhash64("__fl_trusted"), "__fl_trusted").limit(trusted)
-    rows = docs.select(F.col(doc_id).alias("__fl_id"), _buckets(F.col(text)).alias("__fl_b"))
+    rows = docs.select(F.col(f"`{doc_id}`").alias("__fl_id"), _buckets(F.col(f"`{text}`")).alias("__fl_b"))
     marked = rows.join(F.broadcast(good), F.col("__fl_id") == F.col("__fl_trusted"), "left")
     grams = marked.select(F.explode("__fl_b").alias("b"), F.when(F.col("__fl_trusted").isNotNull(), 1).otherwise(0).alias("t"))
     counts = grams.groupBy("b").agg(F.count(F.lit(1)).alias("r"), F.sum("t").alias("t"))
@@ -102,11 +102,11 @@ def judge(docs: DataFrame, model: DataFrame, *, text: str = "text", threshold: f
     and null ids each get their verdict; input columns of the names appended are replaced.
     """
     kept = [F.col(f"`{c}`") for c in docs.columns if c not in COLUMNS]
-    whole = F.coalesce(F.col(text), F.lit(""))
+    whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     lines = F.filter(F.split(whole, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     score = lambda grams: F.aggregate(grams, F.lit(0.0), lambda acc, g: acc + F.get(F.col("__fl_model"), F.pmod(g, F.lit(BUCKETS)).cast("int"))) / F.greatest(F.size(grams), F.lit(1))
     of_words = let(
-        _hashes(F.col(text)),
+        _hashes(F.col(f"`{text}`")),
         lambda h: let(_pairs(h, 1), lambda p: F.struct(F.size(h).cast("long").alias("n_words"), _repeat_words(p).cast("long").alias("n_repeat_words"), score(F.concat(h, p)).alias("llr"))),
     )
     out = docs.withColumn("__fl_model", model.scalar()).select(

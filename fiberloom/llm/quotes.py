@@ -67,7 +67,8 @@ def link(messages: DataFrame, *, thread: str = "conv_id", pos: str = "turn", bod
     message with its bodies in order of text; a null thread or position forms no link and keeps its row.
     """
     # One row for each position: repeated rows collapse before any join.
-    named = messages.select(F.col(thread).alias("thread"), F.col(pos).cast("long").alias("pos"), F.col(author).alias("author"), F.coalesce(F.col(body), F.lit("")).alias("body"))
+    of = lambda c: F.col(f"`{c}`")
+    named = messages.select(of(thread).alias("thread"), of(pos).cast("long").alias("pos"), of(author).alias("author"), F.coalesce(of(body), F.lit("")).alias("body"))
     keyless = named.where("thread is null or pos is null")
     whole = named.where("thread is not null and pos is not null").groupBy("thread", "pos").agg(F.min("author").alias("author"), F.array_join(F.array_sort(F.collect_set("body")), "\n").alias("body"))
     # Quoted and own lines of each message, without an exchange.

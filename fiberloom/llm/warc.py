@@ -7,9 +7,11 @@ with those that a 304 may change, and the body is the response's.
 
 from __future__ import annotations
 
+import gzip
 from collections.abc import Iterator
 
 import pandas as pd
+from pyarrow.fs import FileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,57 +112,151 @@ def resolve(records: DataFrame, *, permitted_except=FIXED_HEADERS) -> DataFrame:
 # files -----------------------------------------------------------------------------------------
 
 
-def _headers(block: bytes) -> dict[str, str]:
+def _headers(block: bytes, joined: bool = True) -> dict[str, str]:
+    """Header fields by lower-cased name; equal names are joined by a comma, cookies by a line feed, or the first counts."""
     out: dict[str, str] = {}
     for line in block.split(b"\r\n")[1:]:
         name, colon, value = line.partition(b":")
-        if colon:
-            out[name.decode("latin-1").strip().lower()] = value.decode("utf-8", "replace").strip()
+        if not colon:
+            continue
+        name, value = name.decode("latin-1").strip().lower(), value.decode("utf-8", "replace").strip()
+        if name not in out:
+            out[name] = value
+        elif joined:
+            out[name] += ("\n" if name == "set-cookie" else ", ") + value
     return out
 
 
-#: Between two records: the end of one, and what all versions of the next begin with.
-BETWEEN = "\r\n\r\nWARC/1."
+#: How a record begins.
+VERSION = b"WARC/1."
+#: Bytes that are read at once, and of a record's own header at most.
+CHUNK, HEAD = 1 << 20, 1 << 20
+#: Longest content that becomes a row.
+LONGEST = 1 << 30
 
 
-def parse_record(record: bytes) -> tuple | None:
-    """A row of ``RECORD`` and ``fault``, from a record without the start of its version line.
+class Source:
+    """A stream with a look ahead."""
 
-    None for other types of record. ``fault`` says what is wrong with one that is cut off or
-    malformed; such a record has no body and no HTTP status.
+    def __init__(self, stream):
+        self.stream, self.left = stream, b""
+
+    def fill(self, n: int) -> bool:
+        """Whether ``n`` bytes are at hand."""
+        while len(self.left) < n:
+            more = self.stream.read(CHUNK)
+            if not more:
+                return False
+            self.left += more
+        return True
+
+    def take(self, n: int) -> bytes:
+        """The next ``n`` bytes, fewer at the end."""
+        got, size = [], 0
+        while size < n:
+            if not self.left:
+                self.left = self.stream.read(min(CHUNK, n - size))
+                if not self.left:
+                    break
+            got.append(self.left[: n - size])
+            self.left = self.left[len(got[-1]) :]
+            size += len(got[-1])
+        return b"".join(got)
+
+    def skip(self, n: int) -> int:
+        """How many of the next ``n`` bytes there are."""
+        size = 0
+        while size < n and (got := len(self.take(min(CHUNK, n - size)))):
+            size += got
+        return size
+
+    def seek_record(self) -> bool:
+        """Pass over everything before the next line that begins a record."""
+        first = True
+        while True:
+            if first and self.fill(len(VERSION)) and self.left.startswith(VERSION):
+                return True
+            at = self.left.find(b"\n" + VERSION)
+            if at >= 0:
+                self.left = self.left[at + 1 :]
+                return True
+            first, self.left = False, self.left[-len(VERSION) :]
+            if not self.fill(len(self.left) + 1):
+                return False
+
+    def head(self) -> bytes | None:
+        """A record's header, its blank line taken as well; None if it has no end within ``HEAD`` bytes."""
+        while (at := self.left.find(b"\r\n\r\n", 0, HEAD)) < 0 and len(self.left) < HEAD:
+            if not self.fill(len(self.left) + 1):
+                break
+        if at < 0:
+            self.left = self.left[1:]
+            return None
+        out, self.left = self.left[:at], self.left[at + 4 :]
+        return out
+
+
+def records_of(stream, longest: int = LONGEST) -> Iterator[tuple]:
+    """Rows of ``RECORD`` and ``fault`` of an archive, by the lengths that its records state.
+
+    Other types of record are passed over. Whatever stands within a content never begins a record;
+    only after a record without a sound length is the next line that begins one looked for.
     """
-    head, blank, content = record.partition(b"\r\n\r\n")
-    named = _headers(head)
-    kind = named.get("warc-type", "")
-    if kind not in ("response", "revisit"):
-        return None if kind or not head.strip() else (None, None, None, None, None, None, None, None, None, "no type")
-    ts = pd.to_datetime(named.get("warc-date"), utc=True, errors="coerce")
-    length = named.get("content-length", "")
-    fault = None if length.isascii() and length.isdigit() else "bad length"
-    if not fault and len(content) < int(length):
-        fault = "cut off"
-    content = b"" if fault else content[: int(length)]
-    http, _, body = content.partition(b"\r\n\r\n")
-    status = http.split(b"\r\n", 1)[0].split()
-    code = int(status[1]) if len(status) > 1 and status[1].isdigit() and len(status[1]) < 5 else None
-    return (named.get("warc-record-id"), named.get("warc-target-uri"), None if pd.isna(ts) else ts.tz_localize(None), kind, code, _headers(http), named.get("warc-payload-digest"), named.get("warc-refers-to"), body if kind == "response" and not fault else None, fault)
-
-
-def read_warc(spark, path: str) -> DataFrame:
+    source = Source(stream)
+    while source.seek_record():
+        head = source.head()
+        if head is None:
+            yield (None,) * 9 + ("no end of header",)
+            continue
+        named = _headers(head, joined=False)
+        kind, length = named.get("warc-type", ""), named.get("content-length", "")
+        sound = length.isascii() and length.isdigit()
+        if kind not in ("response", "revisit"):
+            if sound:
+                source.skip(int(length))
+            if not kind:
+                yield (None,) * 9 + ("no type",)
+            continue
+        ts = pd.to_datetime(named.get("warc-date"), utc=True, errors="coerce")
+        fault, content = None if sound else "bad length", b""
+        if sound and int(length) > longest:
+            fault = "too long" if source.skip(int(length)) == int(length) else "cut off"
+        elif sound:
+            content = source.take(int(length))
+            if len(content) < int(length):
+                fault, content = "cut off", b""
+        http, _, body = content.partition(b"\r\n\r\n")
+        status = http.split(b"\r\n", 1)[0].split()
+        code = int(status[1]) if len(status) > 1 and status[1].isdigit() and len(status[1]) < 5 else None
+        yield (named.get("warc-record-id"), named.get("warc-target-uri"), None if pd.isna(ts) else ts.tz_localize(None), kind, code, _headers(http), named.get("warc-payload-digest"), named.get("warc-refers-to"), body if kind == "response" and not fault else None, fault)
+
+
+def read_warc(spark, path: str, longest: int = LONGEST) -> DataFrame:
     """Response and revisit records of the WARC files at ``path`` (plain or gzip, by their names), with a ``fault``.
 
-    Spark's text reader streams a file record by record, and splits plain ones, so no archive is
-    ever held whole. Records of other types are passed over. A malformed or cut-off record keeps its row, its ``fault``
-    tells what is wrong (null in sound records), and ``resolve`` finds no full response in it.
+    One task streams one file, record by record, each as long as its Content-Length says, so no
+    archive is ever held whole and a body may hold whatever begins a record. Records of other types
+    are passed over. A record that is malformed, cut off or above ``longest`` bytes (a row cannot hold more
+    than 2 GB) keeps its row without a body; its ``fault`` tells what is wrong (null in sound records), and
+    ``resolve`` finds no full response in it. Equal headers of one answer are joined (``_headers``).
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = [c.split()[0] for c in RECORD.split(", ")] + ["fault"]
         for batch in batches:
-            for a in range(0, len(batch), 100):
-                rows = [row for record in batch["value"].iloc[a : a + 100] if (row := parse_record(bytes(record))) is not None]
-                if rows:
-                    yield pd.DataFrame(rows, columns=names)
+            for file in batch["path"]:
+                system, place = FileSystem.from_uri(file)
+                with system.open_input_stream(place, compression=None) as raw:
+                    stream = gzip.GzipFile(fileobj=raw) if place.endswith(".gz") else raw
+                    rows, size = [], 0
+                    for row in records_of(stream, longest):
+                        rows.append(row)
+                        size += len(row[8] or b"")
+                        if size > 16 * CHUNK or len(rows) == 100:
+                            yield pd.DataFrame(rows, columns=names)
+                            rows, size = [], 0
+                    if rows:
+                        yield pd.DataFrame(rows, columns=names)
 
-    records = spark.read.option("lineSep", BETWEEN).text(path).select(F.col("value").cast("binary").alias("value"))
-    return records.mapInPandas(run, RECORD + ", fault string")
+    files = spark.read.format("binaryFile").load(path).select("path")  # the contents are not read here
+    return files.repartition("path").mapInPandas(run, RECORD + ", fault string")

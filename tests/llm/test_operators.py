@@ -4,6 +4,7 @@ import gzip
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -210,11 +211,28 @@ def test_pages_that_are_odd(spark):
     shared = '<div class="share"><a href=a>Mail</a> <a href=b>Print</a> <a href=c>More</a></div>'
     assert text(f'<article><div class="header"><h1>Title</h1></div><p>{body}</p>{shared}<div class="related-note"><p>{body}</p></div></article>') == f"Title {body.strip()} {body.strip()}"
     assert text(f'<div class="site-header">Site</div><div><p>{body}</p></div>') == body.strip()
+    assert text("İ<SCRIPT>x < y</SCRIPT>" + f"<p>{body}</p>") == f"İ {body.strip()}"
+    for beside in ("commentlist", "adsbygoogle", "siteheader", "subnav", "cookiebanner", "disclaimer", "feedback", "reviews"):
+        assert text(f'<main><div class="{beside}"><p>{body}</p></div><div><p>{body}</p><p>{body}</p></div></main>') == f"{body.strip()} {body.strip()}", beside
+    for part in ("commentary", "navy", "postheader", "entrycontent", "adsorption", "socialist"):
+        assert text(f'<main><div class="{part}"><p>{body}</p></div><div><p>{body}</p></div></main>') == f"{body.strip()} {body.strip()}", part
+    links = "".join(f"<li><a href={i}>Go {i}</a></li>" for i in range(9))
+    assert text(f"<body><main><div><p>{body}</p><p>{body}</p></div><ul>{links}</ul></main></body>") == f"{body.strip()} {body.strip()}"
     pages = spark.createDataFrame([(None, "u", "<p>a</p>"), (None, "u", "<p>a</p>")], "page_id long, url string, html string").withColumn("a.b", F.lit(1))
     assert [(r["text"], r["n_chars"]) for r in html_text.extract(pages).collect()] == [("a", 1)] * 2
     assert html_text.extract(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("start, one", [("<p><td>", "<hr>"), ("<tr><div>", "<tbody></tbody>"), ("<p><td>", "<h1>"), ("<div>", "<td><tbody></tbody></tbody>"), ("<li><td>", "<li></li>")])
+def test_searches_for_implied_ends_are_linear(start, one):
+    took = []
+    for n in (5_000, 40_000):
+        began = time.perf_counter()
+        assert html_text.parse(start + "<b>" * n + one * n).items
+        took.append(time.perf_counter() - began)
+    assert took[1] < 30 * max(took[0], 0.01)  # eight times the page; quadratic would be 64 times
+
+
 # op2 --------------------------------------------------------------------------------------------
 
 
@@ -560,6 +578,49 @@ def test_revisits(spark, tmp_path):
     assert warc.resolve(warc.read_warc(spark, str(tmp_path))).count() == 2
 
 
+def test_archives_by_length(spark, tmp_path):
+    def record(kind, http, name):
+        return f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: <{name}>\r\nWARC-Date: 2024-01-01T00:00:00Z\r\nContent-Length: {len(http)}\r\n\r\n".encode() + http + b"\r\n\r\n"
+
+    inner = record("response", b"HTTP/1.1 200 OK\r\n\r\nnot a record", "inner")
+    http = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1, b\r\nVary: x\r\nset-cookie: c=2\r\nvary: y\r\n\r\n"
+    large = b"HTTP/1.1 200 OK\r\n\r\n" + bytes(range(256)) * 20_000
+    content = record("warcinfo", inner, "i") + record("response", http + b"\r\n\r\n" + inner + b"end", "a") + record("response", large, "b") + record("", b"x", "c") + record("revisit", b"HTTP/1.1 304 Not Modified\r\n\r\n", "d")
+    (tmp_path / "x.warc").write_bytes(content)
+    (tmp_path / "y.warc.gz").write_bytes(gzip.compress(content[:700]) + gzip.compress(content[700:]))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    got = warc.read_warc(spark, str(tmp_path)).collect()
+    assert sorted(str(r["record_id"]) for r in got) == ["<a>"] * 2 + ["<b>"] * 2 + ["<d>"] * 2 + ["None"] * 2
+    for r in got:
+        if r["record_id"] == "<a>":
+            assert bytes(r["body"]) == b"\r\n\r\n" + inner + b"end" and r["fault"] is None
+            assert r["headers"] == {"set-cookie": "a=1, b\nc=2", "vary": "x, y"}
+        elif r["record_id"] == "<b>":
+            assert bytes(r["body"]) == bytes(range(256)) * 20_000
+        elif r["record_id"] is None:
+            assert r["fault"] == "no type"
+    short = {r["record_id"]: (r["body"], r["fault"]) for r in warc.read_warc(spark, str(tmp_path / "x.warc"), longest=1_000_000).collect()}
+    assert short["<b>"] == (None, "too long") and short["<a>"][1] is None
+
+
+def test_archive_of_a_record_above_any_row():
+    class Stream:
+        """A response of 3 GB, then a revisit."""
+
+        def __init__(self):
+            head = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3000000000\r\n\r\n"
+            self.parts, self.zeros = [head, b"\r\n\r\nWARC/1.0\r\nWARC-Type: revisit\r\nContent-Length: 0\r\n\r\n"], 3_000_000_000
+
+        def read(self, n):
+            if len(self.parts) == 1 and self.zeros:
+                n = min(n, self.zeros)
+                self.zeros -= n
+                return bytes(n)
+            return self.parts.pop(0) if self.parts else b""
+
+    assert [(r[3], r[9]) for r in warc.records_of(Stream())] == [("response", "too long"), ("revisit", None)]
+
+
 def test_revisits_equal_brute_force(spark):
     rng = random.Random(12)
     rows = [(f"{rng.choice('rv')}{i}", rng.choice(["http://hot/", "http://b/"]), 1_700_000_000 + rng.randrange(40), None, rng.choice([200, 200, 404]), {"etag": str(rng.randrange(2))}, None) for i in range(400)]
