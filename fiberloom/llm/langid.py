@@ -2,8 +2,11 @@
 
 A known word scores by its log frequency in each language. A word that no language knows backs off
 to its character n-grams, from ``MAX_GRAM`` down to 1, and takes the longest order of which any
-gram is known. Counts cover every learning row; a word or n-gram is known to a language if it makes
-up ``SHARE`` of what the language has, a rule that is the same at every size and bounds the model.
+gram is known. Counts cover every learning row, and whatever was counted once is known: the model is a
+table of (order, word or n-gram, language), of any size. If it has few rows, all of it is sent to the
+executors and texts are scored where they lie. Beyond that only the most frequent words are sent; the
+distinct other words of the texts are joined to the table. Gains are whole numbers, so that both ways
+give the same sums in any order.
 """
 
 from __future__ import annotations
@@ -24,13 +27,18 @@ from pyspark.sql import functions as F
 from fiberloom.llm.common import durable
 
 LETTERS = re.compile(r"[^\W\d_]+")
-#: The same by Unicode category; ``LETTERS`` also takes characters such as fractions.
-STRICT = regex.compile(r"\p{L}+")
+#: The same by Unicode category, marks after a letter included; ``LETTERS`` also takes characters such as fractions.
+STRICT = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+MARK = regex.compile(r"\p{M}")
 MAX_GRAM = 4
-#: Least share of a language's words, or n-grams of an order, that is known; a language knows 1 / SHARE of each at most.
-SHARE = 1e-6
-#: Log frequency of what a language lacks though another one has it.
+#: Log frequency of what a language lacks though another one has it, or half a count of the largest language if that is less.
 FLOOR = math.log(1e-7)
+#: Gains are counted in parts of this.
+UNIT = 1 << 32
+#: Rows of the model, of 16 bytes each, that are sent to the executors, and languages that their arrays may have.
+SENT, DENSE = 1_500_000, 1_000
+#: Rows of one key from which on a join deals it over several tasks.
+HOT = 50_000
 UNKNOWN = "und"
 
 
@@ -77,10 +85,11 @@ class Marked:
 
 @dataclass
 class Model:
-    """What is known, by hash, in order.
+    """What is sent of a model, by hash, in order, and the table of all of it.
 
     Entry i has the languages ``lang[start[i]:start[i + 1]]``, and in ``gain`` how much more
-    frequent than ``FLOOR`` it is in each.
+    frequent than the floor it is in each. ``whole`` tells that nothing but these is known;
+    else they are words. ``first`` and ``n_langs`` are of all learned languages.
     """
 
     langs: list[str]
@@ -88,6 +97,9 @@ class Model:
     start: np.ndarray
     lang: np.ndarray
     gain: np.ndarray
+    whole: bool
+    n_langs: int
+    first: str | None
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """Entry of each hash, -1 where there is none."""
@@ -99,17 +111,19 @@ class Model:
 
     def rows(self, entries: np.ndarray) -> np.ndarray:
         """Gains of some entries, a column for each language."""
-        out = np.zeros((len(entries), len(self.langs)))
+        out = np.zeros((len(entries), len(self.langs)), np.int64)
         n = self.start[entries + 1] - self.start[entries]
         at = np.repeat(self.start[entries] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         out[np.repeat(np.arange(len(entries)), n), self.lang[at]] = self.gain[at]
         return out
 
-    def vectors(self, words: list[str]) -> np.ndarray:
-        """Vector of each word: its own where it is known, else the mean of its longest n-grams that any is known of."""
-        out = np.zeros((len(words), len(self.langs)))
+    def vectors(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Vector of each word, its own where it is known, else the mean of its longest n-grams that any is known of; and whether it is not told by what was sent."""
+        out = np.zeros((len(words), len(self.langs)), np.int64)
         at = self.find(Marked(words).words())
         out[at >= 0] = self.rows(at[at >= 0])
+        if not self.whole:
+            return out, at < 0
         left = np.flatnonzero(at < 0)
         for n in range(MAX_GRAM, 0, -1):
             if not len(left):
@@ -120,9 +134,17 @@ class Model:
             if len(at):
                 firsts = np.flatnonzero(np.diff(owner, prepend=-1))
                 count = np.diff(np.append(firsts, len(owner)))
-                out[left[owner[firsts]]] = np.add.reduceat(self.rows(at), firsts, axis=0) / count[:, None]
+                out[left[owner[firsts]]] = np.add.reduceat(self.rows(at), firsts, axis=0) // count[:, None]
                 left = np.delete(left, owner[firsts])
-        return out
+        return out, np.zeros(len(words), bool)
+
+
+def words_of_text(text: str) -> list[str]:
+    """Lower-cased words: a letter and the letters and marks after it."""
+    text = text.lower()
+    if not text.isascii() and MARK.search(text):
+        return STRICT.findall(text)
+    return LETTERS.findall(text)
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -131,7 +153,7 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def flush() -> Iterator[pd.DataFrame]:
         for lang, words in counts.items():
-            for w in [w for w in words if not w.isalpha()]:
+            for w in [w for w in words if not (w.isalpha() or MARK.search(w))]:
                 n = words.pop(w)
                 for part in STRICT.findall(w):
                     words[part] += n
@@ -141,7 +163,7 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for batch in batches:
         for lang, text in zip(batch["lang"], batch["text"], strict=True):
-            counts.setdefault(lang, Counter()).update(LETTERS.findall(text.lower()))
+            counts.setdefault(lang, Counter()).update(words_of_text(text))
         if sum(map(len, counts.values())) > 200_000:
             yield from flush()
     yield from flush()
@@ -170,107 +192,221 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from flush()
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", share: float = SHARE) -> Model:
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for k, part in batch.groupby("k"):
+            words = part["key"].tolist()
+            if k:  # an n-gram is what it is, marks included: cut the ones that are added off again
+                h, owner = Marked(words).grams(int(k))
+                h = h[np.flatnonzero(np.diff(owner, prepend=-1)) + 1]
+            else:
+                h = Marked(words).words()
+            yield pd.DataFrame({"h": h.view(np.int64), "lang": part["lang"], "gain": part["gain"]})
+
+
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sent: int | None = None) -> tuple[DataFrame, Model]:
     """Learn from every row with a text and a language, whole texts of any length.
 
-    The counts are aggregated over all rows, combined on the map side. Languages are those of all
-    learning rows, also where nothing of one is known; without rows there are none. What reaches
-    the driver, and is sent to the executors, are the hashes and frequencies of what is known: for
-    each language 1 / ``share`` words and as many n-grams of each order at most. Repeated rows count each time.
+    Gives the table ``k, key, lang, gain`` of all words (order ``k`` 0) and n-grams, and what is sent
+    of it: all, if it has up to ``sent`` rows (``SENT``) and up to ``DENSE`` languages, else the words
+    of the highest counts that have as many, or none with more languages. What is predicted does not depend on it. The counts are
+    aggregated over all rows, combined on the map side. Languages are those of all learning rows,
+    also where nothing of one is known; without rows there are none. Repeated rows count each time.
     """
+    sent = SENT if sent is None else sent
     rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
     words = durable(rows.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     grams = words.mapInPandas(_count_grams, "lang string, k int, key string, n long").groupBy("lang", "k", "key").agg(F.sum("n").alias("n"))
-    counts = durable(words.select("lang", F.lit(0).alias("k"), F.col("word").alias("key"), "n").unionByName(grams))
-    totals = counts.groupBy("lang", "k").agg(F.sum("n").alias("total"))
-    known = counts.join(totals, ["lang", "k"]).where(F.col("n") >= F.col("total") * share)
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
-    place = {x: i for i, x in enumerate(langs)}
-
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k, part in batch.groupby("k"):
-                words = part["key"].tolist()
-                if k:  # an n-gram is what it is, marks included: cut the ones that are added off again
-                    h, owner = Marked(words).grams(int(k))
-                    inner = np.flatnonzero(np.diff(owner, prepend=-1)) + 1
-                    h = h[inner]
-                else:
-                    h = Marked(words).words()
-                yield pd.DataFrame({"h": h.view(np.int64), "lang": part["lang"].map(place).to_numpy(np.int32), "gain": part["gain"].to_numpy()})
-
-    gain = F.log(F.col("n") / F.col("total")) - FLOOR
-    found = known.select("k", "key", "lang", gain.alias("gain")).mapInPandas(hashed, "h long, lang int, gain double").toPandas()
+    counts = words.select("lang", F.lit(0).alias("k"), F.col("word").alias("key"), "n").unionByName(grams)
+    counts = durable(counts)
+    totals = counts.groupBy("lang", "k").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"))
+    floors = totals.groupBy("k").agg(F.least(F.lit(FLOOR), F.log(0.5 / F.max("total"))).alias("floor"), F.sum("rows").alias("rows"))
+    size = floors.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    n_langs, first = rows.select("lang").distinct().agg(F.count(F.lit(1)), F.min("lang")).first()
+    gain = F.round((F.log(F.col("n") / F.col("total")) - F.col("floor")) * UNIT).cast("long")
+    table = counts.join(totals.drop("rows"), ["lang", "k"]).join(F.broadcast(floors.drop("rows")), "k").select("k", "key", "lang", "n", gain.alias("gain"))
+    whole = size <= sent and n_langs <= DENSE
+    if whole:
+        head = table
+    elif n_langs > DENSE:
+        head = table.limit(0)
+    else:
+        # Words by the logarithm of their count, a few hundred classes: as many of the upper ones as may be sent.
+        per_word = table.where("k = 0").groupBy("key").agg(F.floor(F.log2(F.sum("n")) * 8).alias("class"), F.count(F.lit(1)).alias("rows"))
+        classes = sorted(((r["class"], r["rows"]) for r in per_word.groupBy("class").agg(F.sum("rows").alias("rows")).collect()), reverse=True)
+        fitting = [c for i, (c, _) in enumerate(classes) if sum(x for _, x in classes[: i + 1]) <= sent]
+        chosen = per_word.where(F.col("class") >= (fitting[-1] if fitting else math.inf)).select("key")
+        head = table.where("k = 0").join(chosen, "key", "left_semi")
+    found = head.select("k", "key", "lang", "gain").mapInPandas(_hashed, "h long, lang string, gain long").toPandas()
+    langs = sorted(found["lang"].unique())
     keys = found["h"].to_numpy(np.int64).view(np.uint64)
-    order = np.lexsort((found["lang"].to_numpy(), keys))
+    place = found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int32)
+    order = np.lexsort((place, keys))
     keys = keys[order]
     start = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
-    return Model(langs, keys[start], np.append(start, len(keys)), found["lang"].to_numpy(np.int32)[order], found["gain"].to_numpy(np.float64)[order])
+    return table.drop("n"), Model(langs, keys[start], np.append(start, len(keys)), place[order], found["gain"].to_numpy(np.int64)[order], whole, n_langs, first)
 
 
 class Scorer:
-    """Scores texts; keeps the vectors of the words it has met, up to a bound; beyond it the later half is forgotten."""
+    """Sums up texts; keeps the vectors of the words it has met, up to a bound; beyond it the later half is forgotten."""
 
     def __init__(self, model: Model, bound: int = 120_000):
         self.model, self.ids = model, {}
         self.bound = max(1000, min(bound, 8_000_000 // max(1, len(model.langs))))
-        self.table = np.zeros((4096, len(model.langs)))
+        self.table = np.zeros((4096, len(model.langs)), np.int64)
+        self.untold: set[str] = set()  # words that have to be joined
 
     def learn(self, words: set[str]) -> None:
         new = [w for w in words if w not in self.ids]
         if len(self.ids) + len(new) > self.bound:
             self.ids = dict(itertools.islice(self.ids.items(), self.bound // 2))
+            self.untold.intersection_update(self.ids)
             new = [w for w in words if w not in self.ids]
         for a in range(0, len(new), 20_000):
             part = new[a : a + 20_000]
             n = len(self.ids)
             while n + len(part) > len(self.table):
                 self.table = np.concatenate([self.table, np.zeros_like(self.table)])
-            self.table[n : n + len(part)] = self.model.vectors(part)
+            self.table[n : n + len(part)], untold = self.model.vectors(part)
             self.ids.update(zip(part, range(n, n + len(part)), strict=True))
+            self.untold.update(part[i] for i in np.flatnonzero(untold))
 
-    def score(self, words: list[str]) -> tuple[str, float]:
-        if not words or not self.model.langs:
-            return UNKNOWN, 0.0
-        total = np.zeros(len(self.model.langs))
+    def total(self, words: list[str]) -> np.ndarray:
+        total = np.zeros(len(self.model.langs), np.int64)
         for a in range(0, len(words), 50_000):
             total += self.table[list(map(self.ids.__getitem__, words[a : a + 50_000]))].sum(axis=0)
-        best = int(total.argmax())  # the first of equals: languages are in order
-        return self.model.langs[best], float(1.0 / np.exp(np.minimum(total - total[best], 0.0)).sum())
+        return total
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
-        found = [LETTERS.findall(t.lower()) if t else [] for t in texts]
+    def words(self, texts: list[str | None]) -> list[list[str]]:
+        """Words of each text, all of them learned."""
+        found = [words_of_text(t) if t else [] for t in texts]
         met = set(itertools.chain.from_iterable(found))
-        odd = {w for w in met if w not in self.ids and not w.isalpha()}
+        odd = {w for w in met if w not in self.ids and not (w.isalpha() or MARK.search(w))}
         if odd:
             found = [[x for w in ws for x in (STRICT.findall(w) if w in odd else (w,))] if not odd.isdisjoint(ws) else ws for ws in found]
             met = set(itertools.chain.from_iterable(found))
         self.learn(met)
-        return [self.score(ws) for ws in found]
+        return found
+
+    def score(self, words: list[str]) -> tuple[str, float]:
+        if not words or not self.model.n_langs:
+            return UNKNOWN, 0.0
+        total = self.total(words)
+        if not total.any():
+            return self.model.first, 1.0 / self.model.n_langs
+        best = int(total.argmax())  # the first of equals: languages are in order
+        lacking = self.model.n_langs - len(total)  # nothing was sent of these
+        return self.model.langs[best], float(1.0 / (np.exp((total - total[best]) / UNIT).sum() + lacking * math.exp(-total[best] / UNIT)))
+
+
+def _batches(batches: Iterator[pd.Series]) -> Iterator[list[list[str | None]]]:
+    """Texts of each batch, 200 at a time."""
+    for texts in batches:
+        texts = texts.where(texts.notna(), None).tolist()
+        yield [texts[a : a + 200] for a in range(0, len(texts), 200)]
 
 
-def predict(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
-    """Append ``lang_pred`` and ``score``, the share of the best language in the posterior.
+def _word_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """N-grams of all orders of each word, with how often it has them."""
+    for batch in batches:
+        for a in range(0, len(batch), 2000):
+            out: list[tuple] = []
+            for word in batch["word"].iloc[a : a + 2000]:
+                marked = f"<{word}>"
+                for k in range(1, min(MAX_GRAM, len(marked)) + 1):
+                    out += [(word, k, g, m) for g, m in Counter(marked[i : i + k] for i in range(len(marked) - k + 1)).items()]
+                    if len(out) > 200_000:
+                        yield pd.DataFrame(out, columns=["word", "k", "key", "m"])
+                        out = []
+            yield pd.DataFrame(out, columns=["word", "k", "key", "m"])
+
+
+def _dealt_join(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """Inner join of ``rows`` with a ``table`` that a key has few rows of, where a key may hold most of ``rows``.
+
+    Rows of a hot key are dealt over several parts, and its rows of the table repeated in each; fewer than 100,000 keys can be hot.
+    """
+    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("c"))
+    bound = max(HOT, rows.count() // 100_000)
+    hot = durable(counts.where(F.col("c") > bound).select(*on, F.ceil(F.col("c") / bound).cast("int").alias("parts")))
+    if hot.isEmpty():
+        return rows.join(table, on)
+    hot, parts = F.broadcast(hot), F.coalesce("parts", F.lit(1))
+    left = rows.join(hot, on, "left").withColumn("part", F.pmod(F.xxhash64(*rows.columns), parts).cast("int")).drop("parts")
+    right = table.join(hot, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return left.join(right, [*on, "part"]).drop("part")
+
+
+def _gains(words: DataFrame, table: DataFrame) -> DataFrame:
+    """``word, lang, gain`` of distinct words: their own, or the mean of their longest n-grams that any is known of."""
+    known = table.where("k = 0").select(F.col("key").alias("word"), "lang", "gain")
+    unknown = words.join(known.select("word").distinct(), "word", "left_anti")
+    grams = durable(unknown.mapInPandas(_word_grams, "word string, k int, key string, m long"))
+    # One row an n-gram tells how many of a word's are known of any language.
+    per_gram = table.where("k > 0").groupBy("k", "key").agg(F.collect_list(F.struct("lang", "gain")).alias("of"))
+    met = durable(_dealt_join(grams, per_gram, ["k", "key"]))
+    longest = met.groupBy("word").agg(F.max("k").alias("k"))
+    used = met.join(longest, ["word", "k"])
+    size = used.groupBy("word").agg(F.sum("m").alias("size"))
+    sums = used.select("word", "m", F.explode("of").alias("x")).groupBy("word", F.col("x.lang").alias("lang")).agg(F.sum(F.col("m") * F.col("x.gain")).alias("sum"))
+    means = sums.join(size, "word").select("word", "lang", F.expr("sum div size").alias("gain"))
+    return known.join(words, "word", "left_semi").unionByName(means)
+
+
+def predict(docs: DataFrame, model: tuple[DataFrame, Model], *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """Append ``lang_pred`` and ``score``, the share of the best language in the posterior, to the columns ``keep`` (all).
 
     ``und`` with score 0 where the text is null or has no letter (by Unicode category), or the
-    model no language. One narrow stage, so an empty table gives an empty one; texts are scored
-    whole, whatever their length. The model goes out once as a broadcast variable of bounded size.
-    Ties go to the language first in code point order; repeated rows and null ids each get their
-    result; input columns of these names are replaced.
+    model no language; the first language where nothing of a text is known. A model that was sent whole needs
+    one narrow stage. Else rows are written with their sums over the words that were sent and the counts of the others;
+    the distinct others are joined to the table, and their gains to the rows. An empty table gives an empty one; texts are scored
+    whole, whatever their length. Ties go to the language first in code point order; repeated rows
+    and null ids each get their result; input columns of these names are replaced.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    table, head = model
+    sent = docs.sparkSession.sparkContext.broadcast(head)
+    names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
+    kept = [F.col(f"`{c}`") for c in names]
+
+    if head.whole:
+
+        @F.pandas_udf("lang_pred string, score double")
+        def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            scorer = Scorer(sent.value)
+            for parts in _batches(batches):
+                yield pd.DataFrame([scorer.score(ws) for part in parts for ws in scorer.words(part)], columns=["lang_pred", "score"])
+
+        out = docs.select(*kept, score(F.col(f"`{text}`")).alias("__fl_lang"))
+        return out.select(*kept, "__fl_lang.lang_pred", "__fl_lang.score")
 
-    @F.pandas_udf("lang_pred string, score double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("found boolean, totals array<long>, words array<string>, counts array<long>")
+    def summed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(sent.value)
-        for texts in batches:
-            texts = texts.where(texts.notna(), None).tolist()
-            rows = [row for a in range(0, len(texts), 200) for row in scorer.predict(texts[a : a + 200])]
-            yield pd.DataFrame(rows, columns=["lang_pred", "score"])
-
-    kept = [F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "score")]
-    out = docs.select(*kept, score(F.col(f"`{text}`")).alias("__fl_lang"))
-    return out.select(*kept, "__fl_lang.lang_pred", "__fl_lang.score")
+        for parts in _batches(batches):
+            out = []
+            for part in parts:
+                for ws in scorer.words(part):
+                    others = Counter(w for w in ws if w in scorer.untold)
+                    out.append((bool(ws), scorer.total(ws).tolist(), list(others), list(others.values())))
+            yield pd.DataFrame(out, columns=["found", "totals", "words", "counts"])
+
+    rows = durable(docs.select(*kept, summed(F.col(f"`{text}`")).alias("__fl_s")).withColumn("__fl_row", F.monotonically_increasing_id()))
+    others = rows.select(F.col("__fl_row").alias("row"), F.explode(F.arrays_zip("__fl_s.words", "__fl_s.counts")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
+    gains = durable(_gains(others.select("word").distinct(), table))
+    per_word = gains.groupBy("word").agg(F.collect_list(F.struct("lang", "gain")).alias("of"))
+    joined = _dealt_join(others, per_word, ["word"]).select("row", "n", F.explode("of").alias("x")).select("row", F.col("x.lang").alias("lang"), (F.col("n") * F.col("x.gain")).alias("total"))
+    langs = F.array(*[F.lit(x) for x in head.langs]) if head.langs else F.array().cast("array<string>")
+    first = rows.select(F.col("__fl_row").alias("row"), F.explode(F.arrays_zip(langs.alias("lang"), F.col("__fl_s.totals").alias("total"))).alias("x")).select("row", "x.lang", "x.total")
+    totals = first.unionByName(joined).groupBy("row", "lang").agg(F.sum("total").alias("total"))
+    # As many as there are languages for a row.
+    best = totals.where("total > 0").groupBy("row").agg(F.min(F.struct((-F.col("total")).alias("t"), "lang")).alias("best"), F.collect_list("total").alias("all"))
+    lacking = (F.lit(head.n_langs) - F.size("all")) * F.exp(F.col("best.t") / UNIT)
+    share = 1.0 / (F.aggregate("all", F.lit(0.0), lambda acc, t: acc + F.exp((t + F.col("best.t")) / UNIT)) + lacking)
+    best = best.select(F.col("row").alias("__fl_row"), F.col("best.lang").alias("__fl_best"), share.alias("__fl_share"))
+    known = F.col("__fl_s.found") & F.lit(head.n_langs > 0)
+    pred = F.when(known, F.coalesce("__fl_best", F.lit(head.first))).otherwise(UNKNOWN)
+    score = F.when(known, F.coalesce("__fl_share", F.lit(1.0 / max(1, head.n_langs)))).otherwise(0.0)
+    return rows.join(best, "__fl_row", "left").select(*kept, pred.alias("lang_pred"), score.alias("score"))
 
 
 def held_out(doc_id: str | Column = "doc_id", fold: int = 2, folds: int = 4) -> Column:

@@ -66,7 +66,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = langid.fit(docs.where(~langid.held_out()))
     asked = docs.select("doc_id", langid.held_out().alias("held_out"), "text")
-    return langid.predict(asked, model).drop("text").select("doc_id", "held_out", "lang_pred", "score")
+    return langid.predict(asked, model, keep=["doc_id", "held_out"])
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,7 @@ import time
 
 import numpy as np
 import pytest
+import regex
 from pyspark.sql import functions as F
 
 from fiberloom.llm import ann, bpe, html_text, jaccard, langid, mixing, quality, quotes, secrets, warc
@@ -250,13 +251,16 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.predict(asked, empty).collect()} == {"und"}
 
 
-def test_language_equals_brute_force(spark):
+@pytest.mark.parametrize("sent, hot", [(None, 50_000), (40, 50_000), (0, 3)])
+def test_language_equals_brute_force(spark, monkeypatch, sent, hot):
+    """The model sent whole, in part or not at all; rare words, marks and hot keys included."""
+    monkeypatch.setattr(langid, "HOT", hot)
     rng = random.Random(6)
     vocab = {k: ["".join(rng.choice("aeionrstßé" if k == "de" else "aeionrstwh") for _ in range(rng.randrange(2, 7))) for _ in range(60)] for k in ("de", "en", "zz")}
     rows = [(i, " ".join(rng.choice(vocab[k]).title() for _ in range(rng.randrange(1, 40))) + " 1/2 ½x²y!", k) for i, k in enumerate(["de", "en", "zz"] * 15)]
-    rows += [(90, "x" * 50, "long"), (91, "123 ½", "none"), rows[0], rows[0]]
-    share, marked = 0.01, lambda w: f"<{w}>"
-    words = lambda t: re.findall(r"[^\W\d_½²³]+", t.lower())
+    rows += [(90, "x" * 50, "long"), (91, "123 ½", "none"), (92, "हिन्दी में cafe\u0301", "hi"), rows[0], rows[0]]
+    marked = lambda w: f"<{w}>"
+    words = lambda t: regex.findall(r"\p{L}[\p{L}\p{M}]*", t.lower())
     grams = lambda w, n: [marked(w)[i : i + n] for i in range(len(w) + 3 - n)]
     langs, count = sorted({r[2] for r in rows}), {}
     for _, t, k in rows:
@@ -265,7 +269,7 @@ def test_language_equals_brute_force(spark):
                 for g in [w] if n == 0 else grams(w, n):
                     count[n, g, k] = count.get((n, g, k), 0) + 1
     total = {(n, k): sum(c for (m, _, x), c in count.items() if (m, x) == (n, k)) for n in range(5) for k in langs}
-    gain = {(n, g, k): np.log(c / total[n, k]) - langid.FLOOR for (n, g, k), c in count.items() if c >= share * total[n, k]}
+    gain = {(n, g, k): np.log(c / total[n, k]) - langid.FLOOR for (n, g, k), c in count.items()}
     of = lambda n, g: np.array([gain.get((n, g, k), 0.0) for k in langs])
 
     def vector(w):
@@ -277,10 +281,10 @@ def test_language_equals_brute_force(spark):
                 return np.mean(found, axis=0)
         return np.zeros(len(langs))
 
-    asked = rows + [(200 + i, t, None) for i, t in enumerate(["½ ²³", "qqq", "Thon haßt", "x" * 50 + " on", " ".join(vocab["zz"] * 3000), "漢字"])]
-    model = langid.fit(docs(spark, rows, "doc_id long, text string, lang string"), share=share)
+    asked = rows + [(200 + i, t, None) for i, t in enumerate(["½ ²³", "qqq qqq", "हिन्द cafe\u0301s", "\u0301", "Thon haßt", "x" * 50 + " on", " ".join(vocab["zz"] * 3000), "漢字"])]
+    model = langid.fit(docs(spark, rows, "doc_id long, text string, lang string"), sent=sent)
     got = langid.predict(docs(spark, asked, "doc_id long, text string, lang string"), model).collect()
-    assert model.langs == langs and len(got) == len(asked)
+    assert model[1].n_langs == len(langs) and model[1].whole == (sent is None) and len(got) == len(asked)
     for r in got:
         totals = sum((vector(w) for w in words(r["text"])), np.zeros(len(langs)))
         if not words(r["text"]):
@@ -292,7 +296,10 @@ def test_language_equals_brute_force(spark):
 
 def test_language_of_rare_words_and_ties(spark):
     rare = docs(spark, [(i, f"word{'abcdefghijklmnop'[i % 16]}{'abcdefghijklmnopqrs'[i // 16]}", "en") for i in range(300)], "doc_id long, text string, lang string")
-    assert langid.fit(rare, share=0.5).langs == ["en"]
+    assert langid.fit(rare, sent=0)[1].langs == []
+    many = docs(spark, [(i, "once only", "en" if i < 5_000 else "de") for i in range(10_000)] + [(10_000, "seldom", "de")], "doc_id long, text string, lang string")
+    for sent in (None, 4, 0):  # a word seen once among 20,000 tells the language
+        assert langid.predict(docs(spark, [(1, "seldom once")]), langid.fit(many, sent=sent)).first()["lang_pred"] == "de"
     even = docs(spark, [(1, "same", "b"), (2, "same", "a")], "doc_id long, text string, lang string")
     got = langid.predict(even.limit(0).unionByName(even), langid.fit(even)).collect()
     assert [(r["lang_pred"], r["score"]) for r in got] == [("a", 0.5)] * 2
