@@ -192,16 +192,21 @@ def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from flush()
 
 
-def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for k, part in batch.groupby("k"):
-            words = part["key"].tolist()
-            if k:  # an n-gram is what it is, marks included: cut the ones that are added off again
-                h, owner = Marked(words).grams(int(k))
-                h = h[np.flatnonzero(np.diff(owner, prepend=-1)) + 1]
-            else:
-                h = Marked(words).words()
-            yield pd.DataFrame({"h": h.view(np.int64), "lang": part["lang"], "gain": part["gain"]})
+def _hashed(place: dict[str, int]):
+    """Rows of the table by hash, languages by number."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for k, part in batch.groupby("k"):
+                words = part["key"].tolist()
+                if k:  # an n-gram is what it is, marks included: cut the ones that are added off again
+                    h, owner = Marked(words).grams(int(k))
+                    h = h[np.flatnonzero(np.diff(owner, prepend=-1)) + 1]
+                else:
+                    h = Marked(words).words()
+                yield pd.DataFrame({"h": h.view(np.int64), "lang": part["lang"].map(place).to_numpy(np.int32), "gain": part["gain"].to_numpy()})
+
+    return run
 
 
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sent: int | None = None) -> tuple[DataFrame, Model]:
@@ -237,14 +242,16 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sent: int |
         fitting = [c for i, (c, _) in enumerate(classes) if sum(x for _, x in classes[: i + 1]) <= sent]
         chosen = per_word.where(F.col("class") >= (fitting[-1] if fitting else math.inf)).select("key")
         head = table.where("k = 0").join(chosen, "key", "left_semi")
-    found = head.select("k", "key", "lang", "gain").mapInPandas(_hashed, "h long, lang string, gain long").toPandas()
-    langs = sorted(found["lang"].unique())
-    keys = found["h"].to_numpy(np.int64).view(np.uint64)
-    place = found["lang"].map({x: i for i, x in enumerate(langs)}).to_numpy(np.int32)
+    langs = sorted(r["lang"] for r in head.select("lang").distinct().collect())  # DENSE at most
+    hashed = head.select("k", "key", "lang", "gain").mapInPandas(_hashed({x: i for i, x in enumerate(langs)}), "h long, lang int, gain long")
+    found = hashed.toArrow()
+    keys, place, gains = (found[c].to_numpy() for c in ("h", "lang", "gain"))
+    del found
+    keys = keys.view(np.uint64)
     order = np.lexsort((place, keys))
     keys = keys[order]
     start = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
-    return table.drop("n"), Model(langs, keys[start], np.append(start, len(keys)), place[order], found["gain"].to_numpy(np.int64)[order], whole, n_langs, first)
+    return table.drop("n"), Model(langs, keys[start], np.append(start, len(keys)), place[order], gains[order], whole, n_langs, first)
 
 
 class Scorer:
