@@ -35,8 +35,8 @@ MAX_GRAM = 4
 FLOOR = math.log(1e-7)
 #: Gains are counted in parts of this.
 UNIT = 1 << 32
-#: Rows of the model, of 16 bytes each, that are sent to the executors, and languages that their arrays may have.
-SENT, DENSE = 1_500_000, 1_000
+#: Rows of words, and as many of n-grams, of 20 bytes each, that are sent to the executors, and languages that their arrays may have.
+SENT, DENSE = 1_000_000, 1_000
 #: Rows of one key from which on a join deals it over several tasks.
 HOT = 50_000
 UNKNOWN = "und"
@@ -125,6 +125,12 @@ class Model:
         if not self.whole:
             return out, at < 0
         left = np.flatnonzero(at < 0)
+        out[left] = self.backed_off([words[i] for i in left])
+        return out, np.zeros(len(words), bool)
+
+    def backed_off(self, words: list[str]) -> np.ndarray:
+        """Vector of each unknown word, where all n-grams were sent."""
+        out, left = np.zeros((len(words), len(self.langs)), np.int64), np.arange(len(words))
         for n in range(MAX_GRAM, 0, -1):
             if not len(left):
                 break
@@ -136,7 +142,7 @@ class Model:
                 count = np.diff(np.append(firsts, len(owner)))
                 out[left[owner[firsts]]] = np.add.reduceat(self.rows(at), firsts, axis=0) // count[:, None]
                 left = np.delete(left, owner[firsts])
-        return out, np.zeros(len(words), bool)
+        return out
 
 
 def words_of_text(text: str) -> list[str]:
@@ -209,16 +215,30 @@ def _hashed(place: dict[str, int]):
     return run
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sent: int | None = None) -> tuple[DataFrame, Model]:
+def _sent(part: DataFrame, whole: bool, n_langs: int, first: str | None) -> Model:
+    """A part of the table, of bounded size, as arrays on the driver."""
+    langs = sorted(r["lang"] for r in part.select("lang").distinct().collect())  # DENSE at most
+    found = part.select("k", "key", "lang", "gain").mapInPandas(_hashed({x: i for i, x in enumerate(langs)}), "h long, lang int, gain long").toArrow()
+    keys, place, gains = (found[c].to_numpy() for c in ("h", "lang", "gain"))
+    del found
+    keys = keys.view(np.uint64)
+    order = np.lexsort((place, keys))
+    keys = keys[order]
+    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return Model(langs, keys[start], np.append(start, len(keys)), place[order], gains[order], whole, n_langs, first)
+
+
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sent: int | None = None, sent_grams: int | None = None) -> tuple[DataFrame, Model, Model | None]:
     """Learn from every row with a text and a language, whole texts of any length.
 
     Gives the table ``k, key, lang, gain`` of all words (order ``k`` 0) and n-grams, and what is sent
-    of it: all, if it has up to ``sent`` rows (``SENT``) and up to ``DENSE`` languages, else the words
-    of the highest counts that have as many, or none with more languages. What is predicted does not depend on it. The counts are
+    of it: all, if words have up to ``sent`` rows and n-grams up to ``sent_grams`` (``SENT``), and there are up to
+    ``DENSE`` languages; else the words of the highest counts that have as many, and apart from them the n-grams if all fit. None of
+    either with more languages. What is predicted does not depend on it. The counts are
     aggregated over all rows, combined on the map side. Languages are those of all learning rows,
     also where nothing of one is known; without rows there are none. Repeated rows count each time.
     """
-    sent = SENT if sent is None else sent
+    sent, sent_grams = SENT if sent is None else sent, SENT if sent_grams is None else sent_grams
     rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
     words = durable(rows.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
     grams = words.mapInPandas(_count_grams, "lang string, k int, key string, n long").groupBy("lang", "k", "key").agg(F.sum("n").alias("n"))
@@ -226,11 +246,12 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sent: int |
     counts = durable(counts)
     totals = counts.groupBy("lang", "k").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"))
     floors = totals.groupBy("k").agg(F.least(F.lit(FLOOR), F.log(0.5 / F.max("total"))).alias("floor"), F.sum("rows").alias("rows"))
-    size = floors.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    sizes = {r["k"]: r["rows"] for r in floors.select("k", "rows").collect()}  # one row an order
     n_langs, first = rows.select("lang").distinct().agg(F.count(F.lit(1)), F.min("lang")).first()
     gain = F.round((F.log(F.col("n") / F.col("total")) - F.col("floor")) * UNIT).cast("long")
     table = counts.join(totals.drop("rows"), ["lang", "k"]).join(F.broadcast(floors.drop("rows")), "k").select("k", "key", "lang", "n", gain.alias("gain"))
-    whole = size <= sent and n_langs <= DENSE
+    grams_fit = n_langs <= DENSE and sum(x for k, x in sizes.items() if k) <= sent_grams
+    whole = grams_fit and sizes.get(0, 0) <= sent
     if whole:
         head = table
     elif n_langs > DENSE:
@@ -242,16 +263,8 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sent: int |
         fitting = [c for i, (c, _) in enumerate(classes) if sum(x for _, x in classes[: i + 1]) <= sent]
         chosen = per_word.where(F.col("class") >= (fitting[-1] if fitting else math.inf)).select("key")
         head = table.where("k = 0").join(chosen, "key", "left_semi")
-    langs = sorted(r["lang"] for r in head.select("lang").distinct().collect())  # DENSE at most
-    hashed = head.select("k", "key", "lang", "gain").mapInPandas(_hashed({x: i for i, x in enumerate(langs)}), "h long, lang int, gain long")
-    found = hashed.toArrow()
-    keys, place, gains = (found[c].to_numpy() for c in ("h", "lang", "gain"))
-    del found
-    keys = keys.view(np.uint64)
-    order = np.lexsort((place, keys))
-    keys = keys[order]
-    start = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
-    return table.drop("n"), Model(langs, keys[start], np.append(start, len(keys)), place[order], gains[order], whole, n_langs, first)
+    apart = _sent(table.where("k > 0"), False, n_langs, first) if grams_fit and not whole else None
+    return table.drop("n"), _sent(head, whole, n_langs, first), apart
 
 
 class Scorer:
@@ -344,10 +357,24 @@ def _dealt_join(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
     return left.join(right, [*on, "part"]).drop("part")
 
 
-def _gains(words: DataFrame, table: DataFrame) -> DataFrame:
+def _gains(words: DataFrame, table: DataFrame, sent: Model | None) -> DataFrame:
     """``word, lang, gain`` of distinct words: their own, or the mean of their longest n-grams that any is known of."""
     known = table.where("k = 0").select(F.col("key").alias("word"), "lang", "gain")
     unknown = words.join(known.select("word").distinct(), "word", "left_anti")
+    own = known.join(words, "word", "left_semi")
+    if sent is not None:  # all n-grams are with the executors
+        grams = words.sparkSession.sparkContext.broadcast(sent)
+
+        def back_off(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            langs = np.array(grams.value.langs, object)
+            for batch in batches:
+                for a in range(0, len(batch), 2000):
+                    part = batch["word"].iloc[a : a + 2000].to_numpy(object)
+                    vectors = grams.value.backed_off(part.tolist())
+                    word, lang = np.nonzero(vectors)
+                    yield pd.DataFrame({"word": part[word], "lang": langs[lang], "gain": vectors[word, lang]})
+
+        return own.unionByName(unknown.mapInPandas(back_off, "word string, lang string, gain long"))
     grams = durable(unknown.mapInPandas(_word_grams, "word string, k int, key string, m long"))
     # One row an n-gram tells how many of a word's are known of any language.
     per_gram = table.where("k > 0").groupBy("k", "key").agg(F.collect_list(F.struct("lang", "gain")).alias("of"))
@@ -357,10 +384,10 @@ def _gains(words: DataFrame, table: DataFrame) -> DataFrame:
     size = used.groupBy("word").agg(F.sum("m").alias("size"))
     sums = used.select("word", "m", F.explode("of").alias("x")).groupBy("word", F.col("x.lang").alias("lang")).agg(F.sum(F.col("m") * F.col("x.gain")).alias("sum"))
     means = sums.join(size, "word").select("word", "lang", F.expr("sum div size").alias("gain"))
-    return known.join(words, "word", "left_semi").unionByName(means)
+    return own.unionByName(means)
 
 
-def predict(docs: DataFrame, model: tuple[DataFrame, Model], *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: tuple[DataFrame, Model, Model | None], *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append ``lang_pred`` and ``score``, the share of the best language in the posterior, to the columns ``keep`` (all).
 
     ``und`` with score 0 where the text is null or has no letter (by Unicode category), or the
@@ -370,7 +397,7 @@ def predict(docs: DataFrame, model: tuple[DataFrame, Model], *, text: str = "tex
     whole, whatever their length. Ties go to the language first in code point order; repeated rows
     and null ids each get their result; input columns of these names are replaced.
     """
-    table, head = model
+    table, head, grams = model
     sent = docs.sparkSession.sparkContext.broadcast(head)
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     kept = [F.col(f"`{c}`") for c in names]
@@ -393,13 +420,13 @@ def predict(docs: DataFrame, model: tuple[DataFrame, Model], *, text: str = "tex
             out = []
             for part in parts:
                 for ws in scorer.words(part):
-                    others = Counter(w for w in ws if w in scorer.untold)
+                    others = {} if scorer.untold.isdisjoint(ws) else Counter(filter(scorer.untold.__contains__, ws))
                     out.append((bool(ws), scorer.total(ws).tolist(), list(others), list(others.values())))
             yield pd.DataFrame(out, columns=["found", "totals", "words", "counts"])
 
     rows = durable(docs.select(*kept, summed(F.col(f"`{text}`")).alias("__fl_s")).withColumn("__fl_row", F.monotonically_increasing_id()))
     others = rows.select(F.col("__fl_row").alias("row"), F.explode(F.arrays_zip("__fl_s.words", "__fl_s.counts")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    gains = durable(_gains(others.select("word").distinct(), table))
+    gains = durable(_gains(others.select("word").distinct(), table, grams))
     per_word = gains.groupBy("word").agg(F.collect_list(F.struct("lang", "gain")).alias("of"))
     joined = _dealt_join(others, per_word, ["word"]).select("row", "n", F.explode("of").alias("x")).select("row", F.col("x.lang").alias("lang"), (F.col("n") * F.col("x.gain")).alias("total"))
     langs = F.array(*[F.lit(x) for x in head.langs]) if head.langs else F.array().cast("array<string>")

@@ -251,8 +251,8 @@ def test_language(spark):
     assert {r["lang_pred"] for r in langid.predict(asked, empty).collect()} == {"und"}
 
 
-@pytest.mark.parametrize("sent, hot", [(None, 50_000), (40, 50_000), (0, 3)])
-def test_language_equals_brute_force(spark, monkeypatch, sent, hot):
+@pytest.mark.parametrize("sent, grams, hot", [(None, None, 50_000), (40, None, 50_000), (40, 0, 50_000), (0, 0, 3)])
+def test_language_equals_brute_force(spark, monkeypatch, sent, grams, hot):
     """The model sent whole, in part or not at all; rare words, marks and hot keys included."""
     monkeypatch.setattr(langid, "HOT", hot)
     rng = random.Random(6)
@@ -261,12 +261,12 @@ def test_language_equals_brute_force(spark, monkeypatch, sent, hot):
     rows += [(90, "x" * 50, "long"), (91, "123 ½", "none"), (92, "हिन्दी में cafe\u0301", "hi"), rows[0], rows[0]]
     marked = lambda w: f"<{w}>"
     words = lambda t: regex.findall(r"\p{L}[\p{L}\p{M}]*", t.lower())
-    grams = lambda w, n: [marked(w)[i : i + n] for i in range(len(w) + 3 - n)]
+    cut = lambda w, n: [marked(w)[i : i + n] for i in range(len(w) + 3 - n)]
     langs, count = sorted({r[2] for r in rows}), {}
     for _, t, k in rows:
         for w in words(t):
             for n in range(5):
-                for g in [w] if n == 0 else grams(w, n):
+                for g in [w] if n == 0 else cut(w, n):
                     count[n, g, k] = count.get((n, g, k), 0) + 1
     total = {(n, k): sum(c for (m, _, x), c in count.items() if (m, x) == (n, k)) for n in range(5) for k in langs}
     gain = {(n, g, k): np.log(c / total[n, k]) - langid.FLOOR for (n, g, k), c in count.items()}
@@ -276,13 +276,13 @@ def test_language_equals_brute_force(spark, monkeypatch, sent, hot):
         if of(0, w).any():
             return of(0, w)
         for n in range(4, 0, -1):
-            found = [of(n, g) for g in grams(w, n) if of(n, g).any()]
+            found = [of(n, g) for g in cut(w, n) if of(n, g).any()]
             if found:
                 return np.mean(found, axis=0)
         return np.zeros(len(langs))
 
     asked = rows + [(200 + i, t, None) for i, t in enumerate(["½ ²³", "qqq qqq", "हिन्द cafe\u0301s", "\u0301", "Thon haßt", "x" * 50 + " on", " ".join(vocab["zz"] * 3000), "漢字"])]
-    model = langid.fit(docs(spark, rows, "doc_id long, text string, lang string"), sent=sent)
+    model = langid.fit(docs(spark, rows, "doc_id long, text string, lang string"), sent=sent, sent_grams=grams)
     got = langid.predict(docs(spark, asked, "doc_id long, text string, lang string"), model).collect()
     assert model[1].n_langs == len(langs) and model[1].whole == (sent is None) and len(got) == len(asked)
     for r in got:
@@ -299,7 +299,7 @@ def test_language_of_rare_words_and_ties(spark):
     assert langid.fit(rare, sent=0)[1].langs == []
     many = docs(spark, [(i, "once only", "en" if i < 5_000 else "de") for i in range(10_000)] + [(10_000, "seldom", "de")], "doc_id long, text string, lang string")
     for sent in (None, 4, 0):  # a word seen once among 20,000 tells the language
-        assert langid.predict(docs(spark, [(1, "seldom once")]), langid.fit(many, sent=sent)).first()["lang_pred"] == "de"
+        assert langid.predict(docs(spark, [(1, "seldom once")]), langid.fit(many, sent=sent, sent_grams=sent)).first()["lang_pred"] == "de"
     even = docs(spark, [(1, "same", "b"), (2, "same", "a")], "doc_id long, text string, lang string")
     got = langid.predict(even.limit(0).unionByName(even), langid.fit(even)).collect()
     assert [(r["lang_pred"], r["score"]) for r in got] == [("a", 0.5)] * 2
