@@ -360,8 +360,8 @@ def _dealt_join(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
 def _gains(words: DataFrame, table: DataFrame, sent: Model | None) -> DataFrame:
     """``word, lang, gain`` of distinct words: their own, or the mean of their longest n-grams that any is known of."""
     known = table.where("k = 0").select(F.col("key").alias("word"), "lang", "gain")
-    unknown = words.join(known.select("word").distinct(), "word", "left_anti")
-    own = known.join(words, "word", "left_semi")
+    met_words = durable(words.join(known, "word", "left"))  # one join tells what is known of each
+    own, unknown = met_words.where("lang is not null"), met_words.where("lang is null").select("word")
     if sent is not None:  # all n-grams are with the executors
         grams = words.sparkSession.sparkContext.broadcast(sent)
 
