@@ -3,20 +3,20 @@
 A known word scores by its log frequency in each language. A word that no language knows backs off
 to its character n-grams, from ``MAX_GRAM`` down to 1, and takes the longest order of which any
 gram is known. Counts cover every learning row, and whatever was counted once is known: the model is a
-table of (order, word or n-gram, language), of any size. If it has few rows, all of it is sent to the
+table of words and one of n-grams, of any size. If they have few rows, all is sent to the
 executors and texts are scored where they lie. Beyond that only the most frequent words are sent; the
-distinct other words of the texts are joined to the table. Gains are whole numbers, so that both ways
-give the same sums in any order.
+other words of the texts are joined to the table. 64-bit hashes stand for n-grams throughout. Gains are
+whole numbers, so that all ways give the same sums in any order.
 """
 
 from __future__ import annotations
 
 import itertools
 import math
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -25,11 +25,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fiberloom.llm.common import durable
+from fiberloom.runtime import scratch
 
-LETTERS = re.compile(r"[^\W\d_]+")
-#: The same by Unicode category, marks after a letter included; ``LETTERS`` also takes characters such as fractions.
-STRICT = regex.compile(r"\p{L}[\p{L}\p{M}]*")
-MARK = regex.compile(r"\p{M}")
+#: A letter and the letters and marks after it.
+WORDS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
+LETTER, MARK = regex.compile(r"\p{L}"), regex.compile(r"\p{M}")
+#: Distinct other characters of a text from which on it is cut by the pattern.
+OTHERS = 100
 MAX_GRAM = 4
 #: Log frequency of what a language lacks though another one has it, or half a count of the largest language if that is less.
 FLOOR = math.log(1e-7)
@@ -145,26 +147,36 @@ class Model:
         return out
 
 
+_kinds: dict[str, int] = {}  # 0 for a letter, 1 for a mark, 2 for others; as many as there are characters
+
+
+def _kind(c: str) -> int:
+    return _kinds.setdefault(c, 0 if LETTER.match(c) else 1 if MARK.match(c) else 2)
+
+
 def words_of_text(text: str) -> list[str]:
-    """Lower-cased words: a letter and the letters and marks after it."""
+    """Lower-cased words: a letter and the letters and marks after it.
+
+    Where a text has no marks, blanks in place of all that is no letter part its words; the pattern would take several times as long.
+    """
     text = text.lower()
-    if not text.isascii() and MARK.search(text):
-        return STRICT.findall(text)
-    return LETTERS.findall(text)
+    kinds = {c: _kinds[c] if c in _kinds else _kind(c) for c in set(text)}
+    others = [c for c, kind in kinds.items() if kind == 2 and c != " "]
+    if 1 in kinds.values() or len(others) > OTHERS:
+        return WORDS.findall(text)
+    for c in others:
+        text = text.replace(c, " ")
+    return text.split()
 
 
 def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Word counts of a partition, emptied whenever they grow large."""
+    """Word counts of a partition, emptied whenever they grow large; each language has the empty word, counted 0 times."""
     counts: dict[str, Counter] = {}
 
     def flush() -> Iterator[pd.DataFrame]:
         for lang, words in counts.items():
-            for w in [w for w in words if not (w.isalpha() or MARK.search(w))]:
-                n = words.pop(w)
-                for part in STRICT.findall(w):
-                    words[part] += n
-            if words:
-                yield pd.DataFrame({"lang": [lang] * len(words), "word": list(words), "n": list(words.values())})
+            words[""] = 0
+            yield pd.DataFrame({"lang": [lang] * len(words), "word": list(words), "n": list(words.values())})
         counts.clear()
 
     for batch in batches:
@@ -175,50 +187,81 @@ def _count_words(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield from flush()
 
 
+def _pieces(words: list[str], size: int = 1_000_000) -> Iterator[slice]:
+    """Slices of so many code points or of one word."""
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2)
+    a = 0
+    while a < len(words):
+        b = max(a + 1, int(np.searchsorted(ends, size + (ends[a - 1] if a else 0), "right")))
+        yield slice(a, b)
+        a = b
+
+
 def _count_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of the n-grams of distinct words, by order, emptied whenever they grow large."""
-    counts: dict[tuple[str, int], Counter] = {}
+    """Counts of the hashed n-grams of distinct words, by order, some 200,000 words at a time."""
+    held: list[pd.DataFrame] = []
 
     def flush() -> Iterator[pd.DataFrame]:
-        for (lang, k), found in counts.items():
-            yield pd.DataFrame({"lang": [lang] * len(found), "k": k, "key": list(found), "n": list(found.values())})
-        counts.clear()
-
+        if not held:
+            return
+        for lang, part in pd.concat(held).groupby("lang", sort=False):
+            words, weights = part["word"].tolist(), part["n"].to_numpy(np.int64)
+            for piece in _pieces(words):
+                marked, w = Marked(words[piece]), weights[piece]
+                for k in range(1, MAX_GRAM + 1):
+                    h, owner = marked.grams(k)
+                    codes, keys = pd.factorize(h)
+                    if len(keys):
+                        sums = np.zeros(len(keys), np.int64)
+                        np.add.at(sums, codes, w[owner])
+                        yield pd.DataFrame({"lang": lang, "k": np.int32(k), "h": keys.view(np.int64), "n": sums})
+        held.clear()
+
+    size = 0
     for batch in batches:
-        for lang, word, n in zip(batch["lang"].tolist(), batch["word"].tolist(), batch["n"].tolist(), strict=True):
-            marked = f"<{word}>"
-            for k in range(1, min(MAX_GRAM, len(marked)) + 1):
-                of = counts.get((lang, k))
-                if of is None:
-                    of = counts[lang, k] = Counter()
-                for i in range(len(marked) - k + 1):
-                    of[marked[i : i + k]] += n
-        if sum(map(len, counts.values())) > 200_000:
+        held.append(batch)
+        size += len(batch)
+        if size >= 200_000:
             yield from flush()
+            size = 0
     yield from flush()
 
 
-def _hashed(place: dict[str, int]):
-    """Rows of the table by hash, languages by number."""
+def _hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words by hash."""
+    for batch in batches:
+        words = batch["word"].tolist()
+        for piece in _pieces(words):
+            yield batch.iloc[piece].assign(h=Marked(words[piece]).words().view(np.int64))[["h", "lang", "gain"]]
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    """Written in columns to the folder that all executors share, and read again: a fifth of what a checkpoint takes."""
+    place = scratch(df.sparkSession)
+    df.write.option("compression", "zstd").parquet(place)
+    return df.sparkSession.read.schema(df.schema).parquet(place)
+
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k, part in batch.groupby("k"):
-                words = part["key"].tolist()
-                if k:  # an n-gram is what it is, marks included: cut the ones that are added off again
-                    h, owner = Marked(words).grams(int(k))
-                    h = h[np.flatnonzero(np.diff(owner, prepend=-1)) + 1]
-                else:
-                    h = Marked(words).words()
-                yield pd.DataFrame({"h": h.view(np.int64), "lang": part["lang"].map(place).to_numpy(np.int32), "gain": part["gain"].to_numpy()})
+class Known(NamedTuple):
+    """All of a model: ``word, of`` of the words that were not sent, with a count ``n`` of each language; ``lang, k, h, n`` of the n-grams; ``k, lang, total, floor``."""
 
-    return run
+    words: DataFrame
+    grams: DataFrame
+    totals: DataFrame
 
+    def gains(self, rows: DataFrame) -> DataFrame:
+        """``gain`` of rows with ``k, lang, n``, in place of ``n``."""
+        gain = F.round((F.log(F.col("n") / F.col("total")) - F.col("floor")) * UNIT).cast("long")
+        return rows.join(self.totals, ["k", "lang"]).withColumn("gain", gain).drop("n", "total", "floor")
 
-def _sent(part: DataFrame, whole: bool, n_langs: int, first: str | None) -> Model:
-    """A part of the table, of bounded size, as arrays on the driver."""
-    langs = sorted(r["lang"] for r in part.select("lang").distinct().collect())  # DENSE at most
-    found = part.select("k", "key", "lang", "gain").mapInPandas(_hashed({x: i for i, x in enumerate(langs)}), "h long, lang int, gain long").toArrow()
+
+def _sent(part: DataFrame | None, langs: list[str], whole: bool, n_langs: int, first: str | None) -> Model:
+    """Rows ``h, lang, gain``, of bounded number, as arrays on the driver."""
+    if part is None:
+        none = np.zeros(0, np.int64)
+        return Model([], none.view(np.uint64), np.zeros(1, np.int64), none, none, whole, n_langs, first)
+    place = (F.array_position(F.array(*map(F.lit, langs)), F.col("lang")) - 1).cast("int")
+    found = part.select("h", place.alias("lang"), "gain").toArrow()
     keys, place, gains = (found[c].to_numpy() for c in ("h", "lang", "gain"))
     del found
     keys = keys.view(np.uint64)
@@ -228,11 +271,11 @@ def _sent(part: DataFrame, whole: bool, n_langs: int, first: str | None) -> Mode
     return Model(langs, keys[start], np.append(start, len(keys)), place[order], gains[order], whole, n_langs, first)
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sent: int | None = None, sent_grams: int | None = None) -> tuple[DataFrame, Model, Model | None]:
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sent: int | None = None, sent_grams: int | None = None) -> tuple[Known, Model, Model | None]:
     """Learn from every row with a text and a language, whole texts of any length.
 
-    Gives the table ``k, key, lang, gain`` of all words (order ``k`` 0) and n-grams, and what is sent
-    of it: all, if words have up to ``sent`` rows and n-grams up to ``sent_grams`` (``SENT``), and there are up to
+    Gives the tables of all words and n-grams, and what is sent
+    of them: all, if words have up to ``sent`` rows and n-grams up to ``sent_grams`` (``SENT``), and there are up to
     ``DENSE`` languages; else the words of the highest counts that have as many, and apart from them the n-grams if all fit. None of
     either with more languages. What is predicted does not depend on it. The counts are
     aggregated over all rows, combined on the map side. Languages are those of all learning rows,
@@ -240,31 +283,36 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sent: int |
     """
     sent, sent_grams = SENT if sent is None else sent, SENT if sent_grams is None else sent_grams
     rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
-    words = durable(rows.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")))
-    grams = words.mapInPandas(_count_grams, "lang string, k int, key string, n long").groupBy("lang", "k", "key").agg(F.sum("n").alias("n"))
-    counts = words.select("lang", F.lit(0).alias("k"), F.col("word").alias("key"), "n").unionByName(grams)
-    counts = durable(counts)
-    totals = counts.groupBy("lang", "k").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"))
+    counted = rows.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    counted = _stored(counted.groupBy("word").agg(F.sum("n").alias("sum"), F.collect_list(F.struct("lang", "n")).alias("of")))
+    n_langs, first = counted.where("word = ''").select(F.explode("of.lang").alias("lang")).agg(F.count(F.lit(1)), F.min("lang")).first()
+    words = counted.where("word != ''").withColumn("class", F.floor(F.log2("sum") * 8))
+    by_lang = words.select("word", "class", F.lit(0).alias("k"), F.explode("of").alias("x")).select("word", "class", "k", "x.lang", "x.n")
+    grams = _stored(by_lang.select("lang", "word", "n").mapInPandas(_count_grams, "lang string, k int, h long, n long").groupBy("lang", "k", "h").agg(F.sum("n").alias("n")))
+    totals = by_lang.select("lang", "k", "n").unionByName(grams.drop("h")).groupBy("lang", "k").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"))
+    totals = _stored(totals)
     floors = totals.groupBy("k").agg(F.least(F.lit(FLOOR), F.log(0.5 / F.max("total"))).alias("floor"), F.sum("rows").alias("rows"))
     sizes = {r["k"]: r["rows"] for r in floors.select("k", "rows").collect()}  # one row an order
-    n_langs, first = rows.select("lang").distinct().agg(F.count(F.lit(1)), F.min("lang")).first()
-    gain = F.round((F.log(F.col("n") / F.col("total")) - F.col("floor")) * UNIT).cast("long")
-    table = counts.join(totals.drop("rows"), ["lang", "k"]).join(F.broadcast(floors.drop("rows")), "k").select("k", "key", "lang", "n", gain.alias("gain"))
-    grams_fit = n_langs <= DENSE and sum(x for k, x in sizes.items() if k) <= sent_grams
-    whole = grams_fit and sizes.get(0, 0) <= sent
-    if whole:
-        head = table
-    elif n_langs > DENSE:
-        head = table.limit(0)
-    else:
-        # Words by the logarithm of their count, a few hundred classes: as many of the upper ones as may be sent.
-        per_word = table.where("k = 0").groupBy("key").agg(F.floor(F.log2(F.sum("n")) * 8).alias("class"), F.count(F.lit(1)).alias("rows"))
-        classes = sorted(((r["class"], r["rows"]) for r in per_word.groupBy("class").agg(F.sum("rows").alias("rows")).collect()), reverse=True)
-        fitting = [c for i, (c, _) in enumerate(classes) if sum(x for _, x in classes[: i + 1]) <= sent]
-        chosen = per_word.where(F.col("class") >= (fitting[-1] if fitting else math.inf)).select("key")
-        head = table.where("k = 0").join(chosen, "key", "left_semi")
-    apart = _sent(table.where("k > 0"), False, n_langs, first) if grams_fit and not whole else None
-    return table.drop("n"), _sent(head, whole, n_langs, first), apart
+    totals = totals.drop("rows").join(F.broadcast(floors.drop("rows")), "k")
+    known = Known(words.select("word", "of"), grams, F.broadcast(totals) if n_langs <= DENSE else totals)
+    if n_langs > DENSE:
+        return known, _sent(None, [], False, n_langs, first), None
+    langs = sorted(r["lang"] for r in totals.select("lang").distinct().collect())  # DENSE at most
+    grams_fit = sum(x for k, x in sizes.items() if k) <= sent_grams
+    hashes = "h long, lang string, gain long"
+    gram_gains = known.gains(grams).select("h", "lang", "gain")
+    if grams_fit and sizes.get(0, 0) <= sent:
+        head = known.gains(by_lang).select("word", "lang", "gain").mapInPandas(_hashed, hashes).unionByName(gram_gains)
+        return known, _sent(head if langs else None, langs, True, n_langs, first), None
+    # Words by the logarithm of their count, a few hundred classes: as many of the upper ones as may be sent.
+    classes = sorted(((r["class"], r["rows"]) for r in words.groupBy("class").agg(F.sum(F.size("of")).alias("rows")).collect()), reverse=True)
+    fitting = [c for i, (c, _) in enumerate(classes) if sum(x for _, x in classes[: i + 1]) <= sent]
+    head = None
+    if fitting:
+        head = known.gains(by_lang.where(F.col("class") >= fitting[-1])).select("word", "lang", "gain").mapInPandas(_hashed, hashes)
+        known = known._replace(words=words.where(F.col("class") < fitting[-1]).select("word", "of"))
+    apart = _sent(gram_gains, langs, False, n_langs, first) if grams_fit else None
+    return known, _sent(head, langs, False, n_langs, first), apart
 
 
 class Scorer:
@@ -291,27 +339,23 @@ class Scorer:
             self.ids.update(zip(part, range(n, n + len(part)), strict=True))
             self.untold.update(part[i] for i in np.flatnonzero(untold))
 
-    def total(self, words: list[str]) -> np.ndarray:
-        total = np.zeros(len(self.model.langs), np.int64)
-        for a in range(0, len(words), 50_000):
-            total += self.table[list(map(self.ids.__getitem__, words[a : a + 50_000]))].sum(axis=0)
-        return total
+    def totals(self, texts: list[list[str]]) -> np.ndarray:
+        """Sums of each text."""
+        out = np.zeros((len(texts), len(self.model.langs)), np.int64)
+        for i, words in enumerate(texts):
+            for a in range(0, len(words), 50_000):
+                out[i] += self.table[list(map(self.ids.__getitem__, words[a : a + 50_000]))].sum(axis=0)
+        return out
 
     def words(self, texts: list[str | None]) -> list[list[str]]:
         """Words of each text, all of them learned."""
         found = [words_of_text(t) if t else [] for t in texts]
-        met = set(itertools.chain.from_iterable(found))
-        odd = {w for w in met if w not in self.ids and not (w.isalpha() or MARK.search(w))}
-        if odd:
-            found = [[x for w in ws for x in (STRICT.findall(w) if w in odd else (w,))] if not odd.isdisjoint(ws) else ws for ws in found]
-            met = set(itertools.chain.from_iterable(found))
-        self.learn(met)
+        self.learn(set(itertools.chain.from_iterable(found)))
         return found
 
-    def score(self, words: list[str]) -> tuple[str, float]:
+    def score(self, words: list[str], total: np.ndarray) -> tuple[str, float]:
         if not words or not self.model.n_langs:
             return UNKNOWN, 0.0
-        total = self.total(words)
         if not total.any():
             return self.model.first, 1.0 / self.model.n_langs
         best = int(total.argmax())  # the first of equals: languages are in order
@@ -329,20 +373,18 @@ def _batches(batches: Iterator[pd.Series]) -> Iterator[list[list[str | None]]]:
 def _word_grams(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """N-grams of all orders of each word, with how often it has them."""
     for batch in batches:
-        for a in range(0, len(batch), 2000):
-            out: list[tuple] = []
-            for word in batch["word"].iloc[a : a + 2000]:
-                marked = f"<{word}>"
-                for k in range(1, min(MAX_GRAM, len(marked)) + 1):
-                    out += [(word, k, g, m) for g, m in Counter(marked[i : i + k] for i in range(len(marked) - k + 1)).items()]
-                    if len(out) > 200_000:
-                        yield pd.DataFrame(out, columns=["word", "k", "key", "m"])
-                        out = []
-            yield pd.DataFrame(out, columns=["word", "k", "key", "m"])
+        words = batch["word"].tolist()
+        for piece in _pieces(words, 200_000):
+            marked, names = Marked(words[piece]), batch["word"].iloc[piece].to_numpy(object)
+            for k in range(1, MAX_GRAM + 1):
+                h, owner = marked.grams(k)
+                found = pd.DataFrame({"owner": owner, "h": h.view(np.int64)}).groupby(["owner", "h"], sort=False).size()
+                owners = found.index.get_level_values("owner")
+                yield pd.DataFrame({"word": names[owners], "k": np.int32(k), "h": found.index.get_level_values("h"), "m": found.to_numpy()})
 
 
-def _dealt_join(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
-    """Inner join of ``rows`` with a ``table`` that a key has few rows of, where a key may hold most of ``rows``.
+def _dealt_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join of ``rows`` with a ``table`` that a key has few rows of, where a key may hold most of ``rows``; inner or left.
 
     Rows of a hot key are dealt over several parts, and its rows of the table repeated in each; fewer than 100,000 keys can be hot.
     """
@@ -350,54 +392,50 @@ def _dealt_join(rows: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
     bound = max(HOT, rows.count() // 100_000)
     hot = durable(counts.where(F.col("c") > bound).select(*on, F.ceil(F.col("c") / bound).cast("int").alias("parts")))
     if hot.isEmpty():
-        return rows.join(table, on)
+        return rows.join(table, on, how)
     hot, parts = F.broadcast(hot), F.coalesce("parts", F.lit(1))
     left = rows.join(hot, on, "left").withColumn("part", F.pmod(F.xxhash64(*rows.columns), parts).cast("int")).drop("parts")
     right = table.join(hot, on, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    return left.join(right, [*on, "part"]).drop("part")
+    return left.join(right, [*on, "part"], how).drop("part")
 
 
-def _gains(words: DataFrame, table: DataFrame, sent: Model | None) -> DataFrame:
-    """``word, lang, gain`` of distinct words: their own, or the mean of their longest n-grams that any is known of."""
-    known = table.where("k = 0").select(F.col("key").alias("word"), "lang", "gain")
-    met_words = durable(words.join(known, "word", "left"))  # one join tells what is known of each
-    own, unknown = met_words.where("lang is not null"), met_words.where("lang is null").select("word")
+def _backed_off(words: DataFrame, known: Known, sent: Model | None) -> DataFrame:
+    """``word, lang, gain`` of distinct unknown words: the mean of their longest n-grams that any is known of."""
     if sent is not None:  # all n-grams are with the executors
         grams = words.sparkSession.sparkContext.broadcast(sent)
 
         def back_off(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             langs = np.array(grams.value.langs, object)
             for batch in batches:
-                for a in range(0, len(batch), 2000):
-                    part = batch["word"].iloc[a : a + 2000].to_numpy(object)
-                    vectors = grams.value.backed_off(part.tolist())
+                words = batch["word"].tolist()
+                for piece in _pieces(words, 100_000):
+                    vectors = grams.value.backed_off(words[piece])
                     word, lang = np.nonzero(vectors)
-                    yield pd.DataFrame({"word": part[word], "lang": langs[lang], "gain": vectors[word, lang]})
+                    yield pd.DataFrame({"word": np.array(words[piece], object)[word], "lang": langs[lang], "gain": vectors[word, lang]})
 
-        return own.unionByName(unknown.mapInPandas(back_off, "word string, lang string, gain long"))
-    grams = durable(unknown.mapInPandas(_word_grams, "word string, k int, key string, m long"))
+        return words.mapInPandas(back_off, "word string, lang string, gain long")
+    grams = _stored(words.mapInPandas(_word_grams, "word string, k int, h long, m long"))
     # One row an n-gram tells how many of a word's are known of any language.
-    per_gram = table.where("k > 0").groupBy("k", "key").agg(F.collect_list(F.struct("lang", "gain")).alias("of"))
-    met = durable(_dealt_join(grams, per_gram, ["k", "key"]))
+    per_gram = known.gains(known.grams).groupBy("k", "h").agg(F.collect_list(F.struct("lang", "gain")).alias("of"))
+    met = _stored(_dealt_join(grams, per_gram, ["k", "h"]).select("word", "k", "m", "of"))
     longest = met.groupBy("word").agg(F.max("k").alias("k"))
     used = met.join(longest, ["word", "k"])
     size = used.groupBy("word").agg(F.sum("m").alias("size"))
     sums = used.select("word", "m", F.explode("of").alias("x")).groupBy("word", F.col("x.lang").alias("lang")).agg(F.sum(F.col("m") * F.col("x.gain")).alias("sum"))
-    means = sums.join(size, "word").select("word", "lang", F.expr("sum div size").alias("gain"))
-    return own.unionByName(means)
+    return sums.join(size, "word").select("word", "lang", F.expr("sum div size").alias("gain"))
 
 
-def predict(docs: DataFrame, model: tuple[DataFrame, Model, Model | None], *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+def predict(docs: DataFrame, model: tuple[Known, Model, Model | None], *, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """Append ``lang_pred`` and ``score``, the share of the best language in the posterior, to the columns ``keep`` (all).
 
     ``und`` with score 0 where the text is null or has no letter (by Unicode category), or the
     model no language; the first language where nothing of a text is known. A model that was sent whole needs
     one narrow stage. Else rows are written with their sums over the words that were sent and the counts of the others;
-    the distinct others are joined to the table, and their gains to the rows. An empty table gives an empty one; texts are scored
+    these are joined to the table, and the distinct ones that it lacks back off. An empty table gives an empty one; texts are scored
     whole, whatever their length. Ties go to the language first in code point order; repeated rows
     and null ids each get their result; input columns of these names are replaced.
     """
-    table, head, grams = model
+    known, head, grams = model
     sent = docs.sparkSession.sparkContext.broadcast(head)
     names = [c for c in (docs.columns if keep is None else keep) if c not in ("lang_pred", "score")]
     kept = [F.col(f"`{c}`") for c in names]
@@ -408,38 +446,49 @@ def predict(docs: DataFrame, model: tuple[DataFrame, Model, Model | None], *, te
         def score(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             scorer = Scorer(sent.value)
             for parts in _batches(batches):
-                yield pd.DataFrame([scorer.score(ws) for part in parts for ws in scorer.words(part)], columns=["lang_pred", "score"])
+                out = []
+                for part in parts:
+                    texts = scorer.words(part)
+                    out += map(scorer.score, texts, scorer.totals(texts))
+                yield pd.DataFrame(out, columns=["lang_pred", "score"])
 
         out = docs.select(*kept, score(F.col(f"`{text}`")).alias("__fl_lang"))
         return out.select(*kept, "__fl_lang.lang_pred", "__fl_lang.score")
 
-    @F.pandas_udf("found boolean, totals array<long>, words array<string>, counts array<long>")
+    @F.pandas_udf("found boolean, totals array<long>, words array<string>, counts array<int>")
     def summed(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         scorer = Scorer(sent.value)
         for parts in _batches(batches):
             out = []
             for part in parts:
-                for ws in scorer.words(part):
+                texts = scorer.words(part)
+                for ws, total in zip(texts, scorer.totals(texts).tolist(), strict=True):
                     others = {} if scorer.untold.isdisjoint(ws) else Counter(filter(scorer.untold.__contains__, ws))
-                    out.append((bool(ws), scorer.total(ws).tolist(), list(others), list(others.values())))
+                    out.append((bool(ws), total, list(others), list(others.values())))
             yield pd.DataFrame(out, columns=["found", "totals", "words", "counts"])
 
-    rows = durable(docs.select(*kept, summed(F.col(f"`{text}`")).alias("__fl_s")).withColumn("__fl_row", F.monotonically_increasing_id()))
-    others = rows.select(F.col("__fl_row").alias("row"), F.explode(F.arrays_zip("__fl_s.words", "__fl_s.counts")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.counts").alias("n"))
-    gains = durable(_gains(others.select("word").distinct(), table, grams))
-    per_word = gains.groupBy("word").agg(F.collect_list(F.struct("lang", "gain")).alias("of"))
-    joined = _dealt_join(others, per_word, ["word"]).select("row", "n", F.explode("of").alias("x")).select("row", F.col("x.lang").alias("lang"), (F.col("n") * F.col("x.gain")).alias("total"))
+    rows = _stored(docs.select(*kept, summed(F.col(f"`{text}`")).alias("__fl_s")).withColumn("__fl_row", F.monotonically_increasing_id()))
+    others = rows.select(F.col("__fl_row").alias("row"), F.explode(F.arrays_zip("__fl_s.words", "__fl_s.counts")).alias("x")).select("row", F.col("x.words").alias("word"), F.col("x.counts").alias("m"))
+    # One join tells what is known of each; words stay with those that nothing is known of.
+    met = _dealt_join(others, known.words, ["word"], "left").select("row", "m", "of", F.when(F.col("of").isNull(), F.col("word")).alias("word"))
+    met = _stored(met)
+    own = met.select("row", "m", F.lit(0).alias("k"), F.explode("of").alias("x")).select("row", "m", "k", "x.lang", "x.n")
+    unknown = met.where("word is not null").select("row", "m", "word")
+    backed = _stored(_backed_off(unknown.select("word").distinct(), known, grams))
+    per_word = backed.groupBy("word").agg(F.collect_list(F.struct("lang", "gain")).alias("of"))
+    joined = _dealt_join(unknown, per_word, ["word"]).select("row", "m", F.explode("of").alias("x")).select("row", "m", "x.lang", "x.gain")
+    joined = joined.unionByName(known.gains(own).drop("k")).select("row", "lang", (F.col("m") * F.col("gain")).alias("total"))
     langs = F.array(*[F.lit(x) for x in head.langs]) if head.langs else F.array().cast("array<string>")
     first = rows.select(F.col("__fl_row").alias("row"), F.explode(F.arrays_zip(langs.alias("lang"), F.col("__fl_s.totals").alias("total"))).alias("x")).select("row", "x.lang", "x.total")
-    totals = first.unionByName(joined).groupBy("row", "lang").agg(F.sum("total").alias("total"))
+    totals = first.where("total != 0").unionByName(joined).groupBy("row", "lang").agg(F.sum("total").alias("total"))
     # As many as there are languages for a row.
     best = totals.where("total > 0").groupBy("row").agg(F.min(F.struct((-F.col("total")).alias("t"), "lang")).alias("best"), F.collect_list("total").alias("all"))
     lacking = (F.lit(head.n_langs) - F.size("all")) * F.exp(F.col("best.t") / UNIT)
     share = 1.0 / (F.aggregate("all", F.lit(0.0), lambda acc, t: acc + F.exp((t + F.col("best.t")) / UNIT)) + lacking)
     best = best.select(F.col("row").alias("__fl_row"), F.col("best.lang").alias("__fl_best"), share.alias("__fl_share"))
-    known = F.col("__fl_s.found") & F.lit(head.n_langs > 0)
-    pred = F.when(known, F.coalesce("__fl_best", F.lit(head.first))).otherwise(UNKNOWN)
-    score = F.when(known, F.coalesce("__fl_share", F.lit(1.0 / max(1, head.n_langs)))).otherwise(0.0)
+    told = F.col("__fl_s.found") & F.lit(head.n_langs > 0)
+    pred = F.when(told, F.coalesce("__fl_best", F.lit(head.first))).otherwise(UNKNOWN)
+    score = F.when(told, F.coalesce("__fl_share", F.lit(1.0 / max(1, head.n_langs)))).otherwise(0.0)
     return rows.join(best, "__fl_row", "left").select(*kept, pred.alias("lang_pred"), score.alias("score"))
 
 
