@@ -246,17 +246,6 @@ def centerline(lines: DataFrame, tolerance: float = 1.0) -> DataFrame:
     return lines.select("ord").join(rows.groupBy("group").applyInPandas(drop, "ord long"), "ord", "left_anti")
 
 
-def merged(lines: DataFrame, key: str, line: str = "line") -> DataFrame:
-    """Lines of a key joined where exactly two meet, with the length of what results."""
-
-    def run(k, rows: pd.DataFrame) -> pd.DataFrame:
-        out = kernel.merge_lines([_points(x) for x in rows.sort_values("ord")[line]])
-        return pd.DataFrame([(k[0], i, _line(m), kernel.length(m)) for i, m in enumerate(out)], columns=[key, "part", "line", "length"])
-
-    kind = lines.schema[key].dataType.simpleString()
-    return lines.groupBy(key).applyInPandas(run, f"{key} {kind}, part int, line {geo.LINE}, length double")
-
-
 def summary(points: DataFrame, lines: DataFrame, obstacle: DataFrame) -> DataFrame:
     """Sites, route metres and obstacles of each ring; 0 where it has none."""
     a = points.groupBy("ring_name").agg(F.count(F.lit(1)).alias("sites"))

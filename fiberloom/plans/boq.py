@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from fiberloom.functions import geo
-from fiberloom.operators import boq, spatial
+from fiberloom.operators import boq, linemerge, spatial
 from fiberloom.plans.fixtures import view, with_views
 from fiberloom.plans.rings import _lines, _SEG
 from fiberloom.runtime import durable
@@ -80,7 +80,7 @@ def geo_12(s, d):
 def agg_11(s, d):
     p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     e = _fiber(s, d).select(F.floor(F.col("ax") / 10000).alias("zone"), F.xxhash64("name").alias("ord"), F.array(p("ax", "ay"), p("bx", "by")).alias("line"))
-    return boq.merged(e, "zone").select("zone", "part", F.round("length", 4).alias("length"))
+    return linemerge.merged(e, "zone").select("zone", "part", F.round("length", 4).alias("length"))
 
 
 def geo_22(s, d):
