@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 from fiberloom.functions import geo, kernel
 from fiberloom.operators.components import connected
 from fiberloom.operators.spatial import nearest, self_pairs, within_radius
-from fiberloom.runtime import durable, few
+from fiberloom.runtime import durable, few, stored
 
 CLASSES = ("high", "medium", "low", "very low")
 STEP = 5  # degrees between the rotations tried
@@ -261,16 +261,56 @@ def clean_protected(sites: DataFrame, protected: DataFrame, max_distance: float
     return sites.join(lost, "ord", "left").withColumn("kept", F.col("__lost").isNull()).drop("__lost")
 
 
+def _coverage_by_rounds(sites: DataFrame, links: DataFrame, radius: float, overlap: float, corners: int) -> DataFrame:
+    """``ord`` of the circles that greedy choice keeps, over all tasks. ``sites`` has ``group``; ``links`` has ``a, b``.
+
+    A circle's area outside the chosen ones only falls, and only with a choice next to it, so one that goes before
+    all its neighbours is chosen whatever happens elsewhere: every such circle is chosen at once.
+    """
+    whole = kernel.area(kernel.polygon(0.0, 0.0, radius, corners))
+    ring = lambda x, y: kernel.polygon(x, y, radius, corners)
+
+    @F.pandas_udf("double")
+    def outside(x: pd.Series, y: pd.Series, others: pd.Series) -> pd.Series:
+        return pd.Series([kernel.area_outside(ring(p, q), [ring(o["ox"], o["oy"]) for o in of]) for p, q, of in zip(x, y, others, strict=True)], dtype="float64")
+
+    @F.pandas_udf("double")
+    def shared(x: pd.Series, y: pd.Series, u: pd.Series, v: pd.Series) -> pd.Series:
+        return pd.Series([kernel.area(kernel.clip_convex(ring(a, b), ring(c, d))) for a, b, c, d in zip(x, y, u, v, strict=True)], dtype="float64")
+
+    side = sites.select(F.col("ord").alias("other"), F.col("x").alias("ox"), F.col("y").alias("oy"), F.col("homes").alias("ohomes"))
+    ways = links.select(F.col("a").alias("ord"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("ord"), F.col("a").alias("other")))
+    near = stored(ways.join(sites.select("ord", "x", "y", "homes"), "ord").join(side, "other"))
+    around = lambda rows: rows.groupBy("ord", "x", "y").agg(F.array_sort(F.collect_list(F.struct("other", "ox", "oy"))).alias("of")).select("ord", outside("x", "y", "of").alias("now"))
+    rank = lambda free: F.struct(F.round(free, 6).alias("f"), "site_score", "tower_score", "homes", (-F.col("ord")).alias("o"))
+    picks = stored(sites.join(around(near), "ord").groupBy("group").agg(F.max_by("ord", rank(F.col("now"))).alias("ord")).select("ord"))
+    kept, left = picks, sites.select("ord", F.lit(whole).alias("free"))
+    while not picks.isEmpty():
+        left = left.join(picks, "ord", "left_anti")
+        touched = stored(near.join(picks.withColumnRenamed("ord", "other"), "other").join(left.select("ord"), "ord", "left_semi"))
+        beaten = touched.where("homes < ohomes").where(shared("x", "y", "ox", "oy") / whole > overlap).select("ord").distinct()
+        rest = touched.select("ord").distinct().join(beaten, "ord", "left_anti")
+        now = around(near.join(rest, "ord", "left_semi").join(kept.withColumnRenamed("ord", "other"), "other", "left_semi"))
+        left = left.join(beaten, "ord", "left_anti").join(now, "ord", "left").select("ord", F.coalesce("now", "free").alias("free"))
+        left = stored(left.where((F.col("free") > 1e-9) & (1 - F.col("free") / whole <= overlap)))
+        ranked = stored(left.join(sites.select("ord", "site_score", "tower_score", "homes"), "ord").select("ord", rank(F.col("free")).alias("p")))
+        best = near.select("ord", "other").join(ranked.select(F.col("ord").alias("other"), "p"), "other").groupBy("ord").agg(F.max("p").alias("q"))
+        picks = stored(ranked.join(best, "ord", "left").where("q is null or p > q").select("ord"))
+        kept = stored(kept.unionByName(picks))
+    return kept
+
+
 def best_coverage(sites: DataFrame, radius: float, overlap: float = 0.1, connected_only: bool = False, corners: int = 32) -> DataFrame:
     """Sites with ``kept``: circles chosen one after the other by the area they add, up to ``overlap`` with what is chosen.
 
     Of equal areas the better ``site_score``, then ``tower_score``, then more ``homes`` goes first, then the
     first ``ord``. What overlaps a chosen circle too much and has fewer homes goes at once. With
     ``connected_only`` a circle that touches the chosen ones goes first. Circles that never meet
-    don't bear on each other, so each component of overlapping ones runs alone. The first choice
+    don't bear on each other, so each component of overlapping ones runs alone, and one of more than ``ONE_TASK`` pairs
+    in rounds over all tasks, but for ``connected_only``, where each choice waits for the one before. The first choice
     goes by the area that no other circle covers.
     """
-    links = self_pairs(sites, "ord", 2 * radius).select("a", "b")
+    links = durable(self_pairs(sites, "ord", 2 * radius).select("a", "b"))
     comp = connected(links, sites.select(F.col("ord").alias("id"))).withColumnsRenamed({"id": "ord", "component": "group"})
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
@@ -299,8 +339,18 @@ def best_coverage(sites: DataFrame, radius: float, overlap: float = 0.1, connect
                 free[o] = kernel.area_outside(rings[o], [rings[p] for p in near[o] if p in kept])
         return pd.DataFrame({"ord": rows["ord"], "kept": rows["ord"].isin(kept)})
 
-    done = sites.join(comp, "ord").groupBy("group").applyInPandas(run, "ord long, kept boolean")
-    return sites.join(done, "ord")
+    rows = sites.select("ord", "x", "y", "homes", "site_score", "tower_score").join(comp, "ord")
+    large = None
+    if not connected_only:
+        grouped = links.join(comp.withColumnRenamed("ord", "a"), "a")
+        large = durable(grouped.groupBy("group").agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > ONE_TASK).select("group"))
+    if large is None or large.isEmpty():
+        return sites.join(rows.groupBy("group").applyInPandas(run, "ord long, kept boolean"), "ord")
+    some = stored(rows.join(few(large), "group", "left_semi"))
+    chosen = _coverage_by_rounds(some, grouped.join(few(large), "group", "left_semi").select("a", "b"), radius, overlap, corners)
+    done = some.select("ord").join(chosen.withColumn("kept", F.lit(True)), "ord", "left").select("ord", F.coalesce("kept", F.lit(False)).alias("kept"))
+    small = rows.join(few(large), "group", "left_anti").groupBy("group").applyInPandas(run, "ord long, kept boolean")
+    return sites.join(done.unionByName(small), "ord")
 
 
 def accept_sectors(sites: DataFrame, buildings: DataFrame, protected: DataFrame, distance: float = 500.0, angle: int = 120, group: int = 120, threshold: int = 100, tolerance: float = 10.0) -> DataFrame:
