@@ -8,7 +8,7 @@ import random
 import pytest
 
 from fiberloom.functions import kernel
-from fiberloom.operators import components, network, rings, spatial
+from fiberloom.operators import components, insert, network, rings, spatial
 from fiberloom.plans import boq as bills
 from fiberloom.plans import jobs
 from fiberloom.plans import rings as plans
@@ -164,3 +164,24 @@ def test_alike_groups_share_one_search(spark, monkeypatch):
     monkeypatch.setattr(jobs, "roads_of", lambda points, *a: seen.append(points.select("ring").distinct().count()) or plain(points, *a))
     assert sorted(tuple(r) for r in jobs.road_distances(p, e, n, "ring", 5000.0).collect()) == want
     assert seen == [3]
+
+
+def test_sites_at_one_place_are_shared_out(spark):
+    places = [(0.0, 0.0), (500.0, 0.0), (500.0, 900.0)]
+    sites = spark.createDataFrame([(f"s{r}{k}", x, y) for r in range(2) for k, (x, y) in enumerate(places)] + [("s9", 0.0, 5000.0)], "site_id string, x double, y double")
+    line = [{"x": x, "y": y} for x, y in places]
+    lines = spark.createDataFrame([("R0", line), ("R1", line)], "ring_name string, line array<struct<x: double, y: double>>")
+    got = sorted((r["ring_name"], r["seq"], r["site_id"]) for r in insert.drawn_order(lines, sites).collect())
+    assert got == [(f"R{r}", k, f"s{r}{k}") for r in range(2) for k in range(3)]
+
+
+def test_rings_with_the_same_ends_are_routed_once(spark, monkeypatch):
+    nodes = spark.createDataFrame([(i, i * 1000.0, 0.0, 0) for i in range(6)], "node_id long, x double, y double, ref_fo int")
+    edges = spark.createDataFrame([(i, i + 1, 1000.0, "primary", 0) for i in range(5)], "node_start long, node_end long, length double, highway string, ref_fo int")
+    pairs = spark.createDataFrame([(f"R{r}", k, k * 1000.0 + r % 2, 0.0, k * 1000.0 + 2000.0, 0.0) for r in range(6) for k in range(3)], "ring_name string, seq int, ax double, ay double, bx double, by double")
+    seen, plain = [], network.routes
+    monkeypatch.setattr(network, "routes", lambda hops, *a, **kw: seen.append(hops.count()) or plain(hops, *a, **kw))
+    got = jobs.fixroute(pairs, edges, nodes).collect()
+    assert seen == [6] and len(got) == 18
+    costs = {(r["ring_name"], r["seq"]): (r["nodes"], r["cost"], r["length"]) for r in got}
+    assert all(costs[f"R{r}", k] == costs[f"R{r % 2}", k] for r in range(6) for k in range(3))
