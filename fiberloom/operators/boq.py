@@ -61,22 +61,28 @@ def _kinds(areas: DataFrame, min_ratio: float) -> DataFrame:
     return areas.select("node_id", F.col("parts").cast("long").alias("parts"), F.round(ratio, 6).alias("ratio"), kind.alias("kind"))
 
 
+def _free(ways: DataFrame, radius: float, width: float) -> DataFrame:
+    """``node_id, parts, low, high``: what ways out of a node, ``dx, dy`` and all longer than the disc, leave of a disc around it."""
+    angles = ways.select("node_id", F.round(geo.azimuth(F.col("dx"), F.col("dy")), 6).alias("a")).distinct()
+    by = Window.partitionBy("node_id").orderBy("a")
+    gap = F.coalesce(F.lead("a").over(by) - F.col("a"), F.first("a").over(by) + 360.0 - F.col("a"))
+    area = angles.withColumn("area", geo.gap_area(F.radians(gap), radius, width)).where(F.col("area") > 1e-9)
+    return area.groupBy("node_id").agg(F.count(F.lit(1)).alias("parts"), F.min("area").alias("low"), F.max("area").alias("high"))
+
+
 def own_parts(nodes: DataFrame, edges: DataFrame, radius: float = DISC, width: float = CABLE) -> DataFrame:
     """``node_id, parts, low, high``: what a node's own edges leave of a disc around it, taken as longer than the disc, in column expressions."""
     xy = lambda k: nodes.select(F.col("node_id").alias(f"node_{k}"), F.col("x").alias(f"x{k}"), F.col("y").alias(f"y{k}"))
     e = edges.select("node_a", "node_b").distinct().join(xy("a"), "node_a").join(xy("b"), "node_b")
     both = e.select("node_a", "xa", "ya", "xb", "yb").unionAll(e.select("node_b", "xb", "yb", "xa", "ya")).toDF("node_id", "x0", "y0", "x1", "y1")
-    ways = both.select("node_id", F.round(geo.azimuth(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")), 6).alias("a")).distinct()
-    by = Window.partitionBy("node_id").orderBy("a")
-    gap = F.coalesce(F.lead("a").over(by) - F.col("a"), F.first("a").over(by) + 360.0 - F.col("a"))
-    area = ways.withColumn("area", geo.gap_area(F.radians(gap), radius, width)).where(F.col("area") > 1e-9)
-    return area.groupBy("node_id").agg(F.count(F.lit(1)).alias("parts"), F.min("area").alias("low"), F.max("area").alias("high"))
+    return _free(both.select("node_id", (F.col("x1") - F.col("x0")).alias("dx"), (F.col("y1") - F.col("y0")).alias("dy")), radius, width)
 
 
 def disc_parts(nodes: DataFrame, edges: DataFrame, radius: float = DISC, width: float = CABLE) -> DataFrame:
     """``node_id, parts, low, high``: what all edges leave of a disc around each node, those passing by included.
 
-    Nodes that only their own edges come near, all longer than the disc, take the closed form; the
+    Nodes that edges come near only by ending there or by passing exactly through, all longer than
+    the disc on either side, take the closed form (an edge that passes through is two ways out); the
     others a walk over the outlines of what is cut out.
     """
     xy = lambda k, x, y: nodes.select(F.col("node_id").alias(f"node_{k}"), F.col("x").alias(x), F.col("y").alias(y))
@@ -87,10 +93,14 @@ def disc_parts(nodes: DataFrame, edges: DataFrame, radius: float = DISC, width:
     cut = cut.withColumns({f"{k}{c}": along(c, F.col("i") + d) for k, d in (("p", 0), ("q", 1)) for c in "xy"}).drop("n", "i")
     met = near_line(nodes.select("node_id", "x", "y"), cut, radius + width, ends=("px", "py", "qx", "qy"))
     met = durable(met.select("node_id", "x", "y", "node_a", "node_b", "ax", "ay", "bx", "by").distinct())
-    other = (F.col("node_id") != F.col("node_a")) & (F.col("node_id") != F.col("node_b"))
-    short = geo.distance2(F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")) < (radius + width) ** 2
-    odd = durable(met.where(other | short).select("node_id").distinct())
-    plain = own_parts(nodes, edges, radius, width).join(odd, "node_id", "left_anti")
+    off = (F.col("ax") - F.col("x")) * (F.col("by") - F.col("y")) != (F.col("ay") - F.col("y")) * (F.col("bx") - F.col("x"))
+    passing = (F.col("node_id") != F.col("node_a")) & (F.col("node_id") != F.col("node_b"))
+    far = lambda k: geo.distance2(F.col(f"{k}x"), F.col(f"{k}y"), F.col("x"), F.col("y")) >= (radius + width) ** 2
+    whole = (far("a") | (F.col("node_id") == F.col("node_a"))) & (far("b") | (F.col("node_id") == F.col("node_b"))) & (F.col("node_a") != F.col("node_b"))
+    odd = durable(met.where(passing & off | ~whole).select("node_id").distinct())
+    end = lambda k: F.struct(F.col(f"node_{k}").alias("to"), (F.col(f"{k}x") - F.col("x")).alias("dx"), (F.col(f"{k}y") - F.col("y")).alias("dy"))
+    ways = met.join(odd, "node_id", "left_anti").select("node_id", F.explode(F.array(end("a"), end("b"))).alias("w"))
+    plain = _free(ways.where(F.col("w.to") != F.col("node_id")).select("node_id", "w.dx", "w.dy"), radius, width)
 
     @F.pandas_udf("array<double>")
     def left(segments: pd.Series) -> pd.Series:
@@ -119,7 +129,8 @@ def devices(points: DataFrame, nodes: DataFrame, classes: DataFrame, reach: floa
     """
     at = nodes.select("node_id", F.col("x").alias("bx"), F.col("y").alias("by"))
     otb = nearest(points.select("site_id", "x", "y"), at, "site_id", "node_id").select("site_id", F.col("node_id").alias("otb"), F.sqrt("d2").alias("otb_distance"))
-    marked = at.join(classes, "node_id")
+    # Read several times below, and costly to find.
+    marked = durable(at.join(classes.where("kind in ('turn', 'branch')"), "node_id"))
     turn = nearest(points.select("site_id", "x", "y"), marked.where("kind = 'turn'"), "site_id", "node_id", max_distance=reach).select("site_id", F.col("node_id").alias("turn"))
     branch = nearest(points.select("site_id", "x", "y"), marked.where("kind = 'branch' and ratio < 0.5"), "site_id", "node_id", max_distance=reach).select("site_id", F.col("node_id").alias("branch"))
     out = otb.join(turn, "site_id", "left").join(branch, "site_id", "left")
@@ -198,8 +209,10 @@ def obstacles(segments: DataFrame, barriers: DataFrame, blob: float = 100.0) ->
     t, u = F.try_divide(qx * oy - qy * ox, det), F.try_divide(qx * dy - qy * dx, det)
     hit = pairs.withColumn("t", t).withColumn("u", u).where("t between 0 and 1 and u between 0 and 1")
     hit = hit.select("line_id", "name", (F.col("ax") + F.col("t") * dx).alias("x"), (F.col("ay") + F.col("t") * dy).alias("y"))
-    rows = hit.groupBy("line_id", "name", "x", "y").agg(F.lit(1).alias("one")).withColumn("ord", F.xxhash64("line_id", "name", "x", "y")).drop("one")
-    comp = connected(self_pairs(rows, "ord", 2 * blob).select("a", "b"), rows.select(F.col("ord").alias("id")))
+    # Places are linked, not crossings: many lines may cross at one place.
+    rows = durable(hit.distinct().withColumn("ord", F.xxhash64("x", "y")))
+    spots = durable(rows.select("ord", "x", "y").distinct())
+    comp = connected(self_pairs(spots, "ord", 2 * blob).select("a", "b"), spots.select(F.col("ord").alias("id")))
     first = F.row_number().over(Window.partitionBy("component", "line_id", "name").orderBy("x", "y"))
     return rows.join(comp.withColumnRenamed("id", "ord"), "ord").withColumn("n", first).where("n = 1").select("line_id", "name", "x", "y")
 
@@ -292,16 +305,21 @@ def stretches(lines: DataFrame, fiber: DataFrame, reach: float = 30.0, tolerance
     """``line_id, fiber, first, last, length, class``: where lines run along existing fiber, a row for each fiber.
 
     A stretch that a longer one of the line covers within the tolerance goes. Beyond 1000 m it is
-    ``fo_exist``, beyond 100 m ``pole_exist``; shorter ones don't count.
+    ``fo_exist``, beyond 100 m ``pole_exist``; shorter ones don't count. Lines of one course are
+    held against the fiber once.
     """
-    pairs = fiber_pairs(lines.select("line_id", "line"), fiber, reach, ["line_id"]).withColumnRenamed("ref", "other")
+    courses = durable(lines.groupBy("line").agg(F.min("line_id").alias("__of")))
+    same = durable(lines.select("line_id", "line").join(courses, "line").select("line_id", "__of"))
+    pairs = fiber_pairs(courses.select(F.col("__of").alias("line_id"), "line"), fiber, reach, ["line_id"]).withColumnRenamed("ref", "other")
     o = fiber_overlap(pairs.select("line_id", "fiber", "line", "other"), reach).where("existing > 0")
     o = o.select("line_id", "fiber", "first", "last", F.col("existing").alias("length")).withColumn("class", overlap_class(F.col("length"))).where("class <> 'none'")
+    o = durable(o)
     # Longest first: covered by one that begins no later, ends no earlier, and is longer (or the earlier name).
     other = o.select("line_id", F.col("fiber").alias("f2"), F.col("first").alias("a2"), F.col("last").alias("b2"), F.col("length").alias("n2"))
     longer = (F.col("n2") > F.col("length")) | (F.col("n2") == F.col("length")) & (F.col("f2") < F.col("fiber"))
     covered = o.join(other, "line_id").where((F.col("a2") <= F.col("first") + tolerance) & (F.col("b2") >= F.col("last") - tolerance) & longer).select("line_id", "fiber").distinct()
-    return o.join(covered, ["line_id", "fiber"], "left_anti")
+    kept = o.join(covered, ["line_id", "fiber"], "left_anti").withColumnRenamed("line_id", "__of")
+    return same.join(kept, "__of").select("line_id", *[c for c in kept.columns if c != "__of"])
 
 
 def parts(lines: DataFrame) -> DataFrame:

@@ -246,7 +246,9 @@ def _bill(s, d):
     p = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
     segs = rings.segments(view(s, d, "site_rings")).select("ring_name", "site_id_a", "site_id_b")
     end = lambda k: view(s, d, "sites").select(F.col("site_id").alias(f"site_id_{k}"), F.struct("x", "y").alias(f"p{k}"))
-    at = lambda k: jobs.snapped(view(s, d, "sites"), view(s, d, "road_nodes")).join(view(s, d, "road_nodes").select(F.col("node_id").alias("node"), F.struct("x", "y").alias(f"n{k}")), "node").select(F.col("site_id").alias(f"site_id_{k}"), f"n{k}")
+    ends = view(s, d, "road_nodes").select(F.col("node_id").alias("node"), F.struct("x", "y").alias("n"))
+    near = durable(jobs.snapped(view(s, d, "sites").select("site_id", "x", "y"), view(s, d, "road_nodes")).join(ends, "node").select("site_id", "n"))
+    at = lambda k: near.select(F.col("site_id").alias(f"site_id_{k}"), F.col("n").alias(f"n{k}"))
     lines = segs.join(end("a"), "site_id_a").join(end("b"), "site_id_b").join(at("a"), "site_id_a").join(at("b"), "site_id_b")
     lines = lines.select("ring_name", F.concat_ws("-", "site_id_a", "site_id_b").alias("line_id"), F.col("site_id_a").alias("near_end"), F.col("site_id_b").alias("far_end"), F.array("pa", "na", "nb", "pb").alias("line"))
     fiber = view(s, d, "fiber_lines").select(F.col("name").alias("fiber"), F.array(p("ax", "ay"), p("bx", "by")).alias("ref"))
