@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fiberloom.runtime import durable, few
+
 PLACEMARK = "file string, name string, folders string, kind string, data map<string,string>, line array<struct<x:double,y:double>>"
 
 
@@ -115,17 +117,34 @@ def document(rows: Iterator[tuple], color: str = "#ff0000") -> str:
     return "".join(pieces(rows, color))
 
 
+#: Placemarks of one document, about; a group with more gets several.
+PART = 10_000
+
+
 def documents(rows: DataFrame, group: str) -> DataFrame:
-    """One KML text for each value of ``group`` (a region, say), built where its rows are.
+    """KML texts of each value of ``group`` (a region, say), built where their rows are.
 
-    ``rows`` has ``folders, name, kind, line, data`` besides; a document must fit in memory.
+    ``rows`` has ``folders, name, kind, line, data`` besides. A group of more than ``PART`` rows falls
+    into several documents of about that many, a folder within one of them unless it is as large
+    itself; so no task holds a group whole.
     """
 
     def run(key, part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["folders", "name"])
         return pd.DataFrame([(str(key[0]), document(part[["folders", "name", "kind", "line", "data"]].itertuples(index=False)).encode())], columns=["path", "content"])
 
-    return rows.groupBy(group).applyInPandas(run, "path string, content binary")
+    g, dealt = F.col(f"`{group}`"), lambda *by: F.pmod(F.xxhash64(*by), F.col("__n"))
+    held = durable(rows.groupBy(g.alias("__g"), F.col("folders").alias("__f")).agg(F.count(F.lit(1)).alias("__rows")))
+    sizes = held.groupBy("__g").agg(F.ceil(F.sum("__rows") / PART).alias("__n"))
+    large = held.where(F.col("__rows") > PART).select(F.col("__g").alias("__h"), "__f", F.lit(True).alias("__large"))
+    rows = rows.join(few(durable(sizes)), g.eqNullSafe(F.col("__g")))
+    rows = rows.join(few(durable(large)), g.eqNullSafe(F.col("__h")) & F.col("folders").eqNullSafe(F.col("__f")), "left")
+    part = F.when(F.col("__large"), dealt("folders", "name", "kind", "line")).otherwise(dealt("folders"))
+    rows = rows.withColumn("__part", part).select(*[F.col(f"`{c}`") for c in dict.fromkeys((group, "folders", "name", "kind", "line", "data"))], "__part")
+    total = held.agg(F.sum("__rows")).first()[0] or 0
+    # Few documents a partition, as what reads them takes a partition's documents at a time.
+    rows = rows.repartition(-(-total // (2 * PART)) or 1, g, F.col("__part"))
+    return rows.groupBy(g, F.col("__part")).applyInPandas(run, "path string, content binary")
 
 
 def write_kmz(rows: DataFrame, path: str, color: str = "#ff0000") -> None:

@@ -120,5 +120,5 @@ def csv_and_package(rows: DataFrame, key: str, folder: str, bound: int = 1_000_0
 
 
 def draw(rows: DataFrame, group: str) -> DataFrame:
-    """One KML document for each value of ``group``, built where its rows are."""
+    """KML documents of each value of ``group``, built where their rows are; large groups fall into several."""
     return kml.documents(rows, group)
