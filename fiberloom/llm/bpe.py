@@ -29,6 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fiberloom.llm.common import give_back
+
 #: Fixed by the byte-level format: the pretoken pattern.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Pretokens remembered by one worker; beyond it the later half is forgotten, which changes no result.
@@ -292,13 +294,16 @@ def encode(docs: DataFrame, tokenizer: str, *, text: str = "text", with_ids: boo
     schema = T.StructType([docs.schema[c] for c in kept] + new.fields)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
         model = shared(tokenizer)
+        give_back()  # what reading the tokenizer took
         for batch in batches:
             columns = batch.columns
             lengths = pc.fill_null(pc.binary_length(columns[-1]), 0).to_pylist()
             for a, b in _chunks(lengths):
                 found = encoded(model, columns[-1].slice(a, b - a).to_pylist(), with_ids)
                 yield pa.RecordBatch.from_arrays([c.slice(a, b - a) for c in columns[:-1]] + found, names=schema.names)
+            del batch, columns, lengths  # not held while the next one comes
 
     source = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__fl_text"))
     return source.mapInArrow(run, schema)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fiberloom.llm.common import give_back
 from fiberloom.operators.tables import numbered
 
 KINDS = ("assign", "access", "hex", "guess")
@@ -79,6 +80,7 @@ def learn(docs: DataFrame, *, text: str = "text", keep: int = RANKED) -> list[st
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        give_back()
         counts: Counter = Counter()
         for batch in batches:
             for t in batch["text"]:

@@ -104,3 +104,15 @@ def test_stages_on_odd_rows(spark, corpus, odd):
     ids = stage["byte-pair encoding"](spark, odd, corpus)
     assert ids.count() == odd.count()
     assert {r["n_tokens"] for r in ids.where("doc_id in (2, 3)").collect()} == {0}
+
+
+def test_a_worker_gives_back_what_it_has_freed():
+    from fiberloom.llm.common import give_back
+
+    held = lambda: int(open("/proc/self/statm").read().split()[1]) * 4096  # noqa: E731, SIM115
+    some = [bytes(1000) for _ in range(200_000)]
+    pins = some[::5000]  # so that the heap's top stays in use
+    before = held()
+    del some
+    give_back()
+    assert before - held() > 100_000_000 and len(pins) == 40
