@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from fiberloom.functions import geo
-from fiberloom.operators import boq
+from fiberloom.operators import boq, rings
 
 
 def test_edges_through_a_node_take_the_closed_form(spark, monkeypatch):
@@ -31,3 +31,12 @@ def test_lines_of_one_course_meet_the_fiber_once(spark, monkeypatch):
     rows = boq.stretches(lines, fiber).collect()
     assert met == [1]
     assert sorted((r["line_id"], r["fiber"], r["length"], r["class"]) for r in rows) == [(f"L{i}", "F", 2000.0, "fo_exist") for i in range(7)]
+
+
+def test_only_roads_between_passed_nodes_meet_the_hops(spark, monkeypatch):
+    paths = spark.createDataFrame([("R", 0, 1), ("R", 0, 2), ("R", 0, 3), ("R", 1, 2), ("R", 1, 3), ("S", 0, 1), ("S", 1, 2)], "ring_name string, seq int, node long")
+    edges = spark.range(1000).select(F.col("id").alias("node_start"), (F.col("id") + 1).alias("node_end"), (F.col("id") * 1000.0).alias("length"))
+    sent, real = [], rings.few
+    monkeypatch.setattr(rings, "few", lambda df: sent.append(df.count()) or real(df), raising=False)
+    assert [tuple(r) for r in rings.shared_road(paths, edges, 1500.0).collect()] == [("R", 0, 1, 2000.0)]
+    assert sent == [3, 3, 2]
