@@ -239,9 +239,16 @@ def centerline(lines: DataFrame, tolerance: float = 1.0) -> DataFrame:
     """``ord`` of the segments that no longer kept segment covers within the tolerance, longest first.
 
     ``lines`` has ``ord, ax, ay, bx, by``. The order matters only among segments that cover each
-    other, link by link; those are few, and each such group runs alone.
+    other, link by link; those are few, and each such group runs alone. What a segment covers that nothing covers goes before, without a group.
     """
     pairs = durable(covers(lines, tolerance))
+    tops = pairs.join(pairs.select(F.col("b").alias("a")).distinct(), "a", "left_anti")
+    sure = durable(tops.select(F.col("b").alias("ord")).distinct())
+    for end in ("a", "b"):
+        pairs = pairs.join(sure.withColumnRenamed("ord", end), end, "left_anti")
+    pairs = durable(pairs.select("a", "b"))
+    if pairs.isEmpty():
+        return lines.select("ord").join(sure, "ord", "left_anti")
     group = connected(pairs).withColumnsRenamed({"id": "b", "component": "group"})
     n = geo.distance2(*[F.col(c) for c in ("ax", "ay", "bx", "by")]).alias("n")
     rows = pairs.join(group, "b").join(lines.select(F.col("ord").alias("b"), n), "b")
@@ -256,7 +263,7 @@ def centerline(lines: DataFrame, tolerance: float = 1.0) -> DataFrame:
                 gone.add(b)
         return pd.DataFrame({"ord": sorted(gone)}, dtype="int64")
 
-    return lines.select("ord").join(rows.groupBy("group").applyInPandas(drop, "ord long"), "ord", "left_anti")
+    return lines.select("ord").join(sure.unionByName(rows.groupBy("group").applyInPandas(drop, "ord long")), "ord", "left_anti")
 
 
 def summary(points: DataFrame, lines: DataFrame, obstacle: DataFrame) -> DataFrame:
