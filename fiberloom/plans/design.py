@@ -120,12 +120,7 @@ def gr_14(s, d):
 
 
 def gr_18(s, d):
-    pts = durable(jobs.snapped(view(s, d, "site_rings"), view(s, d, "road_nodes")))
-    roads = jobs.roads_of(pts, rings.edge_costs(view(s, d, "road_edges"), view(s, d, "road_nodes"), "route"), view(s, d, "road_nodes"), "ring_name", 5000.0)
-    roads = durable(roads)
-    fiber = view(s, d, "road_nodes").where("ref_fo = 1").select(F.col("node_id").alias("node"))
-    ends = roads.select("ring_name", F.col("node_start").alias("node")).unionByName(roads.select("ring_name", F.col("node_end").alias("node"))).distinct()
-    return network.nearest_fiber(pts, ends.join(fiber, "node"), roads, "ring_name", 5000.0)
+    return jobs.fiber_by_road(view(s, d, "site_rings"), view(s, d, "road_edges"), view(s, d, "road_nodes"), 5000.0)
 
 
 # geometry ---------------------------------------------------------------------------------------
