@@ -5,19 +5,26 @@ nearer to a third than the nearer of its two parts was. So all such pairs of all
 the pairs that are left take the larger distance. A pair of clusters stays only while all pairs of
 their members are known. Ties go to the least first, then the least second cluster, as in the plain
 form :func:`network.complete_linkage`, and its labels are found exactly.
+
+Sites at one place are 0 apart and merge first, in order of their names. So a cluster holds of each of its
+places the first few sites, and what is cut off are single ones: places with their numbers are linked, never sites.
 """
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from fiberloom.operators import network
 from fiberloom.operators.components import connected
-from fiberloom.runtime import durable, stored
+from fiberloom.runtime import durable, few, stored
 
-#: Places of a group that are linked as a matrix in one task, 128 MB of it.
+#: Places of a group that are linked as a matrix in one task, 128 MB of it, or sites if it has no more.
 IN_TASK = 4_000
 #: Mergers of a round that may be broadcast, of three short texts each.
 BROADCAST_MERGERS = 100_000
@@ -99,18 +106,80 @@ def by_rounds(sites: DataFrame, dist: DataFrame, group: str, max_distance: float
     return labels.select(group, "site_id", "label")
 
 
+def _cut(m: np.ndarray, label: np.ndarray, held: np.ndarray, expectation: int, tolerance: int, rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """As :func:`network.resplit` for places: the cluster of each, and how many of its ``held`` first sites are in it."""
+    label, held = label.copy(), held.copy()
+    for _ in range(rounds):
+        members = pd.Series(np.arange(len(label))).groupby(label).indices
+        big = [k for k in members.values() if held[k].sum() > expectation + tolerance]
+        if not big:
+            break
+        for k in big:
+            total = int(held[k].sum())
+            groups = math.ceil(total / expectation)
+            if groups < len(k):  # each place is whole, and places merge
+                label[k] = k[network.complete_linkage(m[np.ix_(k, k)], groups=groups)]
+                continue
+            left = total - groups  # mergers of sites at one place, place by place
+            for i in k:
+                now = min(left, int(held[i]) - 1)
+                label[i], held[i], left = i, now + 1, left - now
+    return label, held
+
+
+def by_places(sites: DataFrame, dist: DataFrame, group: str, max_distance: float, expectation: int, tolerance: int, rounds: int = 5) -> DataFrame:
+    """As :func:`network.cluster`: ``group, site_id, label``. A group's places meet in one task, with their numbers of sites, which never do.
+
+    ``sites`` has ``group, site_id, node``; ``dist`` the pairs of each node's least site. Nodes 0 apart are one place, as roads of no length have it.
+    """
+    heads = stored(sites.groupBy(group, "node").agg(F.min("site_id").alias("head"), F.count(F.lit(1)).alias("w")))
+    i, j = F.col("site_i"), F.col("site_j")
+    known = dist.where("site_i <> site_j").select(group, F.least(i, j).alias("a"), F.greatest(i, j).alias("b"), "dist")
+    same = durable(known.where("dist = 0").groupBy(group, F.col("b").alias("head")).agg(F.min("a").alias("to")))
+    if not same.isEmpty():
+        heads = stored(heads.join(same, [group, "head"], "left").withColumn("head", F.coalesce("to", "head")).drop("to"))
+    places = heads.groupBy(group, "head").agg(F.sum("w").alias("w"))
+    places = stored(places.withColumn("no", F.row_number().over(Window.partitionBy(group).orderBy("head")) - 1))
+    for end in ("a", "b"):
+        known = known.join(places.select(group, F.col("head").alias(end), F.col("no").alias(f"n{end}")), [group, end])
+    pairs = known.select(group, "na", "nb", "dist")
+
+    def run(key, p: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        p = p.sort_values("no")
+        m = np.full((len(p), len(p)), 1e10)
+        np.minimum.at(m, (d["na"].to_numpy(np.int64), d["nb"].to_numpy(np.int64)), d["dist"].to_numpy(float))
+        m = np.minimum(m, m.T)
+        np.fill_diagonal(m, 0.0)
+        base = np.array(network.complete_linkage(m, limit=max_distance), dtype=int)
+        label, held = _cut(m, base, p["w"].to_numpy(np.int64), expectation, tolerance, rounds)
+        ids = p["head"].to_numpy(object)
+        return pd.DataFrame({group: key[0], "head": ids, "label": ids[label], "held": held})
+
+    kind = sites.schema[group].dataType.simpleString()
+    found = places.groupBy(group).cogroup(pairs.groupBy(group)).applyInPandas(run, f"{group} {kind}, head string, label string, held long")
+    found = few(stored(heads.select(group, "node", "head").join(found, [group, "head"])))
+    nth = F.row_number().over(Window.partitionBy(group, "head").orderBy("site_id"))
+    own = sites.join(found, [group, "node"]).withColumn("nth", nth)
+    return own.select(group, "site_id", F.when(F.col("nth") <= F.col("held"), F.col("label")).otherwise(F.col("site_id")).alias("label"))
+
+
 def cluster(sites: DataFrame, dist: DataFrame, group: str, max_distance: float, expectation: int = 10, tolerance: int = 2, in_task: int = IN_TASK) -> DataFrame:
-    """As :func:`network.cluster`; groups of more than ``in_task`` places go through rounds, the others through one task each.
+    """As :func:`network.cluster`. Groups of up to ``in_task`` sites go through one task each, with more sites their places do; those of more places go through rounds.
 
-    Both give the same labels. ``sites`` has ``group, site_id`` and, if several share a place, ``node``.
+    All give the same labels. ``sites`` has ``group, site_id`` and, if several share a place, ``node``.
     """
     if "node" not in sites.columns:
         sites = sites.withColumn("node", F.col("site_id"))
-    sites = durable(sites.select(group, "site_id", "node"))
-    large = durable(sites.groupBy(group).agg(F.count_distinct("node").alias("n")).where(F.col("n") > in_task).select(group))
+    sites = stored(sites.select(group, "site_id", "node"))
+    sizes = sites.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("node").alias("places")).where(F.col("n") > in_task)
+    large = stored(sizes)
     if large.isEmpty():
         return network.cluster(sites, dist, group, max_distance, expectation, tolerance)
     dist = durable(dist)
-    pick = lambda rows, how: rows.join(large, group, how)
-    small = network.cluster(pick(sites, "left_anti"), pick(dist, "left_anti"), group, max_distance, expectation, tolerance)
-    return small.unionByName(by_rounds(pick(sites, "left_semi"), pick(dist, "left_semi"), group, max_distance, expectation, tolerance))
+    pick = lambda rows, of, how: rows.join(of.select(group), group, how)
+    out = network.cluster(pick(sites, large, "left_anti"), pick(dist, large, "left_anti"), group, max_distance, expectation, tolerance)
+    for form, which in ((by_places, F.col("places") <= in_task), (by_rounds, F.col("places") > in_task)):
+        of = large.where(which)
+        if not of.isEmpty():
+            out = out.unionByName(form(pick(sites, of, "left_semi"), pick(dist, of, "left_semi"), group, max_distance, expectation, tolerance))
+    return out

@@ -6,6 +6,7 @@ import os
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from fiberloom.functions import kernel
 from fiberloom.operators import components, insert, network, rings, spatial
@@ -185,3 +186,11 @@ def test_rings_with_the_same_ends_are_routed_once(spark, monkeypatch):
     assert seen == [6] and len(got) == 18
     costs = {(r["ring_name"], r["seq"]): (r["nodes"], r["cost"], r["length"]) for r in got}
     assert all(costs[f"R{r}", k] == costs[f"R{r % 2}", k] for r in range(6) for k in range(3))
+
+
+def test_rings_beyond_9999_have_names_of_their_own(spark):
+    sites = spark.range(10_050).select(F.format_string("S%06d", "id").alias("site_id"), F.when(F.col("id") < 10_020, "R").alias("region"))
+    rows = jobs._named(sites.select("site_id", F.col("site_id").alias("label")), sites).collect()
+    names = {r["site_id"]: r["ring_name"] for r in rows}
+    assert len(rows) == 10_050 and len(set(names.values())) == 10_050
+    assert (names["S000000"], names["S009999"], names["S010020"]) == ("R_0001", "R_10000", "0001")
