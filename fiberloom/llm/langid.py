@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fiberloom.llm.common import durable
+from fiberloom.llm.common import durable, let
 from fiberloom.runtime import scratch
 
 #: A letter and the letters and marks after it.
@@ -283,7 +283,8 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", sent: int |
     """
     sent, sent_grams = SENT if sent is None else sent, SENT if sent_grams is None else sent_grams
     rows = docs.select(F.col(f"`{lang}`").cast("string").alias("lang"), F.col(f"`{text}`").alias("text")).where("lang is not null and text is not null")
-    counted = rows.mapInPandas(_count_words, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # Dealt by word once: both sums are found where its rows lie.
+    counted = rows.mapInPandas(_count_words, "lang string, word string, n long").repartition("word").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     counted = _stored(counted.groupBy("word").agg(F.sum("n").alias("sum"), F.collect_list(F.struct("lang", "n")).alias("of")))
     n_langs, first = counted.where("word = ''").select(F.explode("of.lang").alias("lang")).agg(F.count(F.lit(1)), F.min("lang")).first()
     words = counted.where("word != ''").withColumn("class", F.floor(F.log2("sum") * 8))
@@ -388,8 +389,14 @@ def _dealt_join(rows: DataFrame, table: DataFrame, on: list[str], how: str = "in
 
     Rows of a hot key are dealt over several parts, and its rows of the table repeated in each; fewer than 100,000 keys can be hot.
     """
-    counts = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("c"))
-    bound = max(HOT, rows.count() // 100_000)
+    total = rows.count()
+    bound = max(HOT, total // 100_000)
+    # A hot key's bucket is hot, so only the keys of such buckets are counted; ten times as many buckets as could be hot, a million at most.
+    bucket = F.pmod(F.xxhash64(*on), F.lit(10 * total // bound + 1))
+    full = durable(rows.groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > bound).select("b"))
+    if full.isEmpty():
+        return rows.join(table, on, how)
+    counts = rows.join(F.broadcast(full), bucket == F.col("b"), "left_semi").groupBy(*on).agg(F.count(F.lit(1)).alias("c"))
     hot = durable(counts.where(F.col("c") > bound).select(*on, F.ceil(F.col("c") / bound).cast("int").alias("parts")))
     if hot.isEmpty():
         return rows.join(table, on, how)
@@ -478,18 +485,25 @@ def predict(docs: DataFrame, model: tuple[Known, Model, Model | None], *, text:
     per_word = backed.groupBy("word").agg(F.collect_list(F.struct("lang", "gain")).alias("of"))
     joined = _dealt_join(unknown, per_word, ["word"]).select("row", "m", F.explode("of").alias("x")).select("row", "m", "x.lang", "x.gain")
     joined = joined.unionByName(known.gains(own).drop("k")).select("row", "lang", (F.col("m") * F.col("gain")).alias("total"))
+    # Sums over the words that were sent stay with their rows; those of the others, one array a row, are added to them.
+    added = joined.groupBy("row", "lang").agg(F.sum("total").alias("total")).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("lang", "total"))).alias("__fl_added"))
+    met = rows.join(added.withColumnRenamed("row", "__fl_row"), "__fl_row", "left")
     langs = F.array(*[F.lit(x) for x in head.langs]) if head.langs else F.array().cast("array<string>")
-    first = rows.select(F.col("__fl_row").alias("row"), F.explode(F.arrays_zip(langs.alias("lang"), F.col("__fl_s.totals").alias("total"))).alias("x")).select("row", "x.lang", "x.total")
-    totals = first.where("total != 0").unionByName(joined).groupBy("row", "lang").agg(F.sum("total").alias("total"))
-    # As many as there are languages for a row.
-    best = totals.where("total > 0").groupBy("row").agg(F.min(F.struct((-F.col("total")).alias("t"), "lang")).alias("best"), F.collect_list("total").alias("all"))
-    lacking = (F.lit(head.n_langs) - F.size("all")) * F.exp(F.col("best.t") / UNIT)
-    share = 1.0 / (F.aggregate("all", F.lit(0.0), lambda acc, t: acc + F.exp((t + F.col("best.t")) / UNIT)) + lacking)
-    best = best.select(F.col("row").alias("__fl_row"), F.col("best.lang").alias("__fl_best"), share.alias("__fl_share"))
+    more = F.coalesce("__fl_added", F.create_map().cast("map<string,bigint>"))
+    sums = F.concat(
+        F.zip_with(langs, "__fl_s.totals", lambda lang, t: F.struct((t + F.coalesce(more[lang], F.lit(0))).alias("t"), lang.alias("lang"))),
+        F.transform(F.array_except(F.map_keys(more), langs), lambda lang: F.struct(more[lang].alias("t"), lang.alias("lang"))),
+    )
+    # The negative of each positive sum; the least goes first, of equals the first language.
+    least = F.transform(F.filter(sums, lambda x: x["t"] > 0), lambda x: F.struct((-x["t"]).alias("t"), x["lang"].alias("lang")))
+    lacking = lambda all_, best: (F.lit(head.n_langs) - F.size(all_)) * F.exp(best["t"] / UNIT)
+    share = lambda all_, best: 1.0 / (F.aggregate(all_, F.lit(0.0), lambda acc, x: acc + F.exp((best["t"] - x["t"]) / UNIT)) + lacking(all_, best))
+    found = let(least, lambda all_: let(F.array_min(all_), lambda best: F.struct(best["lang"].alias("lang"), F.when(best.isNotNull(), share(all_, best)).alias("share"))))
+    rows = met.withColumn("__fl_found", found).withColumn("__fl_best", F.col("__fl_found.lang")).withColumn("__fl_share", F.col("__fl_found.share"))
     told = F.col("__fl_s.found") & F.lit(head.n_langs > 0)
     pred = F.when(told, F.coalesce("__fl_best", F.lit(head.first))).otherwise(UNKNOWN)
     score = F.when(told, F.coalesce("__fl_share", F.lit(1.0 / max(1, head.n_langs)))).otherwise(0.0)
-    return rows.join(best, "__fl_row", "left").select(*kept, pred.alias("lang_pred"), score.alias("score"))
+    return rows.select(*kept, pred.alias("lang_pred"), score.alias("score"))
 
 
 def held_out(doc_id: str | Column = "doc_id", fold: int = 2, folds: int = 4) -> Column:

@@ -306,6 +306,18 @@ def test_language_of_rare_words_and_ties(spark):
     assert langid.predict(even.limit(0), langid.fit(even)).count() == 0
 
 
+def test_language_words_are_dealt_once_and_buckets_find_hot_keys(spark, monkeypatch):
+    plans, whole = [], langid._stored
+    monkeypatch.setattr(langid, "_stored", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or whole(df))
+    langid.fit(docs(spark, [(1, "same word", "b"), (2, "same", "a")], "doc_id long, text string, lang string"))
+    assert plans[0].count("Exchange hashpartitioning") == 1
+    monkeypatch.setattr(langid, "HOT", 30)
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else f"w{i}") for i in range(400)], "row long, word string")
+    known = spark.createDataFrame([("hot", 1), ("w2", 2)], "word string, n int")
+    got = langid._dealt_join(rows, known, ["word"], "left").collect()
+    assert len(got) == 400 and sum(r["n"] or 0 for r in got) == 202 and {r["n"] for r in got if r["word"] == "hot"} == {1}
+
+
 # op3 --------------------------------------------------------------------------------------------
 
 
