@@ -311,3 +311,13 @@ def test_names_between_dashes(spark):
     ids = spark.createDataFrame([("AB1",), ("AB2",)], "site_id string")
     got = {r["name"]: (r["near_end"], r["far_end"]) for r in tables.near_far(names, ids).collect()}
     assert got == {"-AB1-xAB2- route": ("AB1", "AB2"), "AB2 AB1-AB2": ("AB1", "AB2"), "none-AB1": (None, "AB1"), "AB1": ("AB1", "AB1")}
+
+
+def test_rings_are_dealt_over_tasks_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(rings, "ROWS", 10)
+    sites = spark.range(200).select(F.concat(F.lit("R"), (F.col("id") / 4).cast("int").cast("string")).alias("ring_name"), F.format_string("S%03d", "id").alias("site_id"), (F.col("id") * 10.0).alias("x"), F.lit(0.0).alias("y"))
+    hubs = spark.createDataFrame([("H1", 0.0, 5.0), ("H2", 1000.0, 5.0)], "site_id string, x double, y double")
+    found = rings.ring_hubs(sites, hubs, 50.0)
+    assert found.rdd.getNumPartitions() == 20
+    rows = {(r["ring_name"], r["outcome"], r["hub_id"]) for r in rings.hub_assignment(sites, hubs, 50.0, use_centroid=True).collect()}
+    assert len(rows) == 50 and {r for r in rows if r[1] == "assigned"} == {("R0", "assigned", "H1"), ("R1", "assigned", "H1"), ("R24", "assigned", "H2"), ("R25", "assigned", "H2"), ("R26", "assigned", "H2")}
