@@ -131,14 +131,20 @@ def circle_overlaps(rows: DataFrame, key: str, radius: float, corners: int = 64)
     base = rows.select(F.col(key).alias("k"), "x", "y")
     near = self_pairs(rows, key, 2 * radius).where(F.col("d2") < 4 * radius * radius).select("a", "b")
     pairs = near.join(base.toDF("a", "x0", "y0"), "a").join(base.toDF("b", "x1", "y1"), "b")
-    unit = [(math.cos(2 * math.pi * i / corners), math.sin(2 * math.pi * i / corners)) for i in range(corners)]
 
     @F.pandas_udf(f"ring array<{POINT}>, area double")
     def lens(x0: pd.Series, y0: pd.Series, x1: pd.Series, y1: pd.Series) -> pd.DataFrame:
-        out = []
-        for p, q, u, v in zip(x0, y0, x1, y1, strict=True):
-            ring = kernel.clip_convex([(p + radius * a, q + radius * b) for a, b in unit], [(u + radius * a, v + radius * b) for a, b in unit])
-            out.append(([{"x": float(x), "y": float(y)} for x, y in ring], kernel.area(ring) if ring else 0.0))
-        return pd.DataFrame(out, columns=["ring", "area"])
-
-    return pairs.withColumn("o", lens("x0", "y0", "x1", "y1")).select("a", "b", "o.ring", "o.area").where("area > 0")
+        rings, areas = [], []
+        for a in range(0, len(x0), 2000):
+            p, q, u, v = (c.to_numpy(float)[a : a + 2000] for c in (x0, y0, x1, y1))
+            found, size = kernel.clip_many(kernel.polygons(p, q, radius, corners), kernel.polygons(u, v, radius, corners))
+            points = [{"x": x, "y": y} for x, y in found.tolist()]
+            end = size.cumsum()
+            rings += [points[e - n : e] for n, e in zip(size.tolist(), end.tolist(), strict=True)]
+            areas += kernel.areas(found, size).tolist()
+        return pd.DataFrame({"ring": rings, "area": areas})
+
+    pairs = pairs.repartition(4 * rows.sparkSession.sparkContext.defaultParallelism, "a", "b")  # few bytes, much work
+    # A filter would be pushed below, and clip once more for it, before the pairs are dealt.
+    out = pairs.select("a", "b", lens("x0", "y0", "x1", "y1").alias("o")).select("a", "b", F.explode(F.array("o")).alias("o"))
+    return out.select("a", "b", "o.ring", "o.area").where("area > 0")
